@@ -4,38 +4,55 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm import fingerprint, html_text, langid, licenses, mixing, packing, simhash, topk, toxicity, urls
 from weftline.llm.common import table
+from weftline.llm.oracles import SQL
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftline.llm.licenses import scan_licenses
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
 
-    return scan_licenses(table(spark, sf_dir, "documents"))
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(table(spark, sf_dir, "documents"))
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftline.llm.mixing import mix_report
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
 
-    return mix_report(table(spark, sf_dir, "documents"))
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftline.llm.urls import judge_urls
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
 
-    return judge_urls(table(spark, sf_dir, "pages"))
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftline.llm.topk import top_k
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
 
-    return top_k(table(spark, sf_dir, "embeddings"))
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_license_scan, op4_source_mix, op6_url_filter, op9_exact_topk)}
+    every = (op1_toxicity, op2_license_scan, op3_language_id, op4_source_mix, op5_fingerprints, op6_url_filter, op7_best_fit_packing, op8_html_text, op9_exact_topk, op10_simhash)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    from weftline.llm.oracles import SQL
-
     return dict(SQL)
