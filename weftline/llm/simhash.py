@@ -20,6 +20,8 @@ returned; an empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import persist
+from weftline.llm.fingerprint import shingle_hashes, word_hashes
 
 SEED = 42
 BUFFER_ROWS, MAX_EDGES = 100_000, 1_000_000
@@ -126,22 +129,18 @@ def tile_links(keys: np.ndarray, ring: np.ndarray, fps: np.ndarray, bits: int) -
     return fps[member].view(np.int64), fps[label[member]].view(np.int64)
 
 
-def link_partition(batches, bits: int):
-    """mapInPandas over rows (key, ring, fp) sorted by key; a key's rows stay together."""
+def whole_keys(batches, keys: list[str], links):
+    """mapInPandas over rows sorted by ``keys``: ``links`` of runs of rows in which a key's rows stay together."""
     held: list[pd.DataFrame] = []
     size = 0
-
-    def links(rows: pd.DataFrame) -> pd.DataFrame:
-        u, v = tile_links(pd.factorize(rows["key"])[0], rows["ring"].to_numpy(np.int64), rows["fp"].to_numpy(np.int64).view(np.uint64), bits)
-        return pd.DataFrame({"u": u, "v": v})
-
     for batch in batches:
         held.append(batch)
         size += len(batch)
         if size < BUFFER_ROWS:
             continue
         rows = pd.concat(held, ignore_index=True)
-        cut = len(rows) - int((rows["key"] == rows["key"].iloc[-1]).sum())  # the last key may go on
+        last = np.logical_and.reduce([(rows[k] == rows[k].iloc[-1]).to_numpy() for k in keys])
+        cut = len(rows) - int(last.sum())  # the last key may go on
         if cut:
             yield links(rows.iloc[:cut])
         held, size = [rows.iloc[cut:]], len(rows) - cut
@@ -173,7 +172,12 @@ def near_links(fps: DataFrame, bits: int = 4, tile: int = 2048) -> DataFrame:
     spread = large.join(sizes, "key").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.concat_ws("-", F.least(o, F.col("own")), F.greatest(o, F.col("own"))))
     tiled = spread.select("ring", F.explode(pair).alias("pair"), "key", "fp").select("ring", F.concat_ws(":", "key", "pair").alias("key"), "fp")
-    found = plain.unionByName(tiled).repartition("key").sortWithinPartitions("key").mapInPandas(lambda b: link_partition(b, bits), "u long, v long")
+
+    def linked(rows: pd.DataFrame) -> pd.DataFrame:
+        u, v = tile_links(pd.factorize(rows["key"])[0], rows["ring"].to_numpy(np.int64), rows["fp"].to_numpy(np.int64).view(np.uint64), bits)
+        return pd.DataFrame({"u": u, "v": v})
+
+    found = plain.unionByName(tiled).repartition("key").sortWithinPartitions("key").mapInPandas(lambda b: whole_keys(b, ["key"], linked), "u long, v long")
     return found.distinct()
 
 
@@ -216,11 +220,138 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
-    """The rows of ``docs``, one of each group of near copies: that of the smallest id."""
-    marks = persist(with_fingerprint(docs, id_col, text_col, shingle))
-    by_fp = grouped(marks.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")), bits)
-    keep = by_fp.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.tie")
+WIDE_WORDS = 16
+WIDE_BITS = 64 * WIDE_WORDS
+
+
+def hadamard(x: np.ndarray) -> np.ndarray:
+    """Walsh-Hadamard transform of each row."""
+    n, step = x.shape[1], 1
+    while step < n:
+        x = x.reshape(len(x), -1, 2, step)
+        x = np.concatenate([x[:, :, :1] + x[:, :, 1:], x[:, :, :1] - x[:, :, 1:]], axis=2).reshape(len(x), n)
+        step *= 2
+    return x
+
+
+def wide_votes(text: str | None, shingle: int) -> np.ndarray:
+    """Signed shingle counts in WIDE_BITS places; their transform has each bit's vote balance.
+
+    A shingle's bit codes are plus or minus one Hadamard row, so one addition casts all of
+    its votes at once.
+    """
+    h = shingle_hashes(word_hashes((text or "").lower().split()), shingle)
+    h = np.unique(h)
+    place = (h & np.uint64(WIDE_BITS - 1)).astype(np.int64)
+    sign = 1.0 - 2.0 * ((h >> np.uint64(20)) & np.uint64(1)).astype(np.float32)
+    return np.bincount(place, sign, WIDE_BITS).astype(np.float32)
+
+
+def wide_fingerprints(texts, shingle: int) -> list[bytes]:
+    out: list[bytes] = []
+    spin = 1.0 - 2.0 * np.random.default_rng(SEED).integers(0, 2, WIDE_BITS).astype(np.float32)
+    for at in range(0, len(texts), 64):
+        votes = np.stack([wide_votes(t, shingle) for t in texts[at : at + 64]])
+        bits = hadamard(votes * spin) + 0.5 * spin > 0  # the half breaks even votes
+        out += [row.tobytes() for row in np.packbits(bits, axis=1)]
+    return out
+
+
+def bits_for(similarity: float, bits: int = WIDE_BITS, slack: float = 0.6) -> int:
+    """Differing bits to expect at a Jaccard likeness, plus a share of a standard deviation for sampling noise."""
+    cosine = 2 * similarity / (1 + similarity)
+    p = math.acos(cosine) / math.pi
+    return round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+
+def wide_segments(rows: int, similarity: float, recall: float = 0.98) -> list[tuple[int, int, int]]:
+    """(word, lowest bit, width): wide enough for buckets of some hundred rows, and as many as the recall asks for."""
+    width = min(20, max(12, math.ceil(math.log2(max(rows, 2))) - 6))
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** width))
+    places = [(w, f * width, width) for f in range(64 // width) for w in range(WIDE_WORDS)]
+    return places[:count]
+
+
+def wide_tile_links(keys: np.ndarray, ring: np.ndarray, nodes: np.ndarray, words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Star links among rows of equal key within ``most`` bits; chains of words from the shared one prune pairs first."""
+    n, a_all, b_all, held = len(nodes), [], [], 0
+    left = np.arange(n - 1)
+    for d in range(1, n):
+        left = left[left + d < n]
+        left = left[keys[left] == keys[left + d]]
+        if not len(left):
+            break
+        at, spent = left, np.zeros(len(left), np.int64)
+        for length in range(1, WIDE_WORDS + 1):
+            w = (ring[at] + length - 1) % WIDE_WORDS
+            spent = spent + np.bitwise_count(words[at, w] ^ words[at + d, w])
+            share = most * length / WIDE_WORDS
+            fits = spent <= (most if length == WIDE_WORDS else share + 3 * math.sqrt(share))
+            at, spent = at[fits], spent[fits]
+        if len(at):
+            a_all.append(at)
+            b_all.append(at + d)
+            held += len(at)
+        if held > MAX_EDGES:
+            label = stars(n, np.concatenate(a_all), np.concatenate(b_all))
+            member = np.flatnonzero(label != np.arange(n))
+            a_all, b_all, held = [member], [label[member]], 0
+    if not a_all:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    label = stars(n, np.concatenate(a_all), np.concatenate(b_all))
+    member = np.flatnonzero(label != np.arange(n))
+    return nodes[member], nodes[label[member]]
+
+
+def wide_links(nodes: DataFrame, similarity: float, rows: int, tile: int = 2048) -> DataFrame:
+    """(u, v) over rows (node, wide): stars that connect nodes of likeness ``similarity`` or more."""
+    cuts, most = wide_segments(rows, similarity), bits_for(similarity)
+
+    def keyed(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            words = np.frombuffer(b"".join(batch["wide"]), "<u8").reshape(-1, WIDE_WORDS)
+            for i, (w, low, width) in enumerate(cuts):
+                value = (words[:, w] >> np.uint64(low)) & np.uint64((1 << width) - 1)
+                yield pd.DataFrame({"key": value.astype(np.int64) | (i << 24), "ring": w, "node": batch["node"].to_numpy(), "wide": batch["wide"].to_numpy()})
+
+    def linked(rows: pd.DataFrame) -> pd.DataFrame:
+        words = np.frombuffer(b"".join(rows["wide"]), "<u8").reshape(-1, WIDE_WORDS)
+        u, v = wide_tile_links(pd.factorize(rows["key"] * 4096 + rows["pair"])[0], rows["ring"].to_numpy(np.int64), rows["node"].to_numpy(np.int64), words, most)
+        return pd.DataFrame({"u": u, "v": v})
+
+    index = nodes.mapInPandas(keyed, "key long, ring int, node long, wide binary")
+    sizes = nodes.select("node", "wide").mapInPandas(lambda b: (x[["key"]] for x in keyed(b)), "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile)
+    marked = index.join(sizes, "key", "left")
+    tiles = F.ceil(F.coalesce("n", F.lit(1)) / tile).cast("int")
+    own = F.pmod(F.xxhash64("node"), tiles).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), tiles - 1), lambda o: F.least(o, own) * 64 + F.greatest(o, own))
+    tiled = marked.select("key", "ring", "node", "wide", F.explode(pair).alias("pair"))
+    found = tiled.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInPandas(lambda b: whole_keys(b, ["key", "pair"], linked), "u long, v long")
+    return found.distinct()
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, one of each group of near copies: that of the smallest id.
+
+    Near is a likeness of ``similarity`` or more between the sets of lower-cased shingles,
+    estimated by SimHash fingerprints of 1,024 bits (at 0.8, to about 0.03). A likeness so
+    far from 1 leaves no segment of a 64-bit fingerprint untouched, hence the width.
+    """
+
+    @F.pandas_udf("binary")
+    def wide(texts: pd.Series) -> pd.Series:
+        return pd.Series(wide_fingerprints(texts.tolist(), shingle), dtype=object)
+
+    marks = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("tie"), wide(text_col).alias("wide"))
+    marks = persist(marks.withColumn("node", F.xxhash64("wide")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")
+    nodes = persist(marks.groupBy("node", "wide").agg(first))
+    roots = components(wide_links(nodes.select("node", "wide"), similarity, nodes.count()))
+    by_node = nodes.drop("wide").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keep = by_node.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.tie")
     copies = marks.groupBy("doc_id", "tie").agg(F.count("*").alias("rows"))
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.tie") == F.col(f"{b}.tie"))
     keep = keep.alias("k").join(copies.alias("c"), same("k", "c")).select("k.doc_id", "k.tie", "c.rows")
