@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from weftline.plans import q_clean, q_compare, q_keys, q_metadata, q_profile, q_repair, q_rules  # noqa: F401
+from weftline.plans.registry import QUERIES, SQL
 
 
 def queries() -> dict:
