@@ -50,11 +50,14 @@ LABELLED = (
     (100, 0.0, 70, 0.0, 20, 0.0, -1, 0, 0, 0), (12, 0.0, 2, 0.0, 12, 0.0, -1, 0, 1, 0), (8, 0.3, 30, 0.0, 1, 1.0, -1, 0, 0, 0), (5, 0.0, 25, 0.0, 0, 0.0, -1, 0, 0, 0),
     (60, 0.0, 8, 0.0, 55, 0.0, 0, 0, 0, 1), (90, 0.1, 60, 0.0, 80, 0.0, 0, 0, 0, 1), (35, 0.0, 40, 0.0, 30, 0.0, 0, 0, 0, 1), (14, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 1),
     (8, 0.0, 55, 0.0, 62, 0.1, 0, 0, 0, 1), (7, 0.0, 3, 1.0, 50, 0.0, 0, 0, 1, 1), (4, 0.0, 45, 0.0, 48, 0.0, 0, 0, 1, 1), (28, 0.2, 12, 0.0, 35, 0.1, 0, 0, 0, 1),
+    (40, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 1), (60, 0.0, 0, 0.0, 50, 0.0, 0, 0, 0, 1), (25, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 1), (30, 0.1, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (13, 0.0, 0, 0.0, 30, 0.0, 0, 0, 0, 1),
     (20, 0.0, 70, 0.0, 4, 1.0, 0, 0, 0, 1), (3, 1.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0), (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0), (5, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0, 0),
     (9, 0.7, 2, 1.0, 8, 0.6, 0, 0, 0, 0), (6, 1.0, 50, 0.0, 5, 1.0, 0, 0, 0, 0), (12, 0.0, 5, 0.6, 4, 0.8, 0, 0, 0, 0), (3, 0.0, 2, 0.0, 4, 0.0, 0, 0, 0, 0),
     (40, 0.9, 20, 0.8, 30, 0.9, 0, 0, 0, 0), (18, 0.5, 6, 1.0, 9, 0.7, 0, 0, 0, 0), (40, 0.0, 60, 0.0, 50, 0.0, 0, 1, 0, 0), (10, 0.0, 8, 0.0, 40, 0.0, 0, 1, 0, 0),
     (2, 1.0, 3, 1.0, 60, 0.0, 0, 1, 0, 0), (25, 0.0, 45, 0.0, 2, 0.0, 0, 1, 0, 0), (6, 0.0, 0, 0.0, 40, 0.0, 0, 1, 1, 0), (5, 0.0, 3, 0.0, 6, 0.0, 0, 0, 0, 0),
 )
+#: In an article, blocks of every shape are main text unless a menu, form or the like holds them.
+LABELLED += tuple((*r[:6], 1, 0, r[8], 1) for r in LABELLED if r[6] == 0 and not r[7])
 
 
 def grow(rows: tuple, depth: int = 6):
