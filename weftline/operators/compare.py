@@ -120,7 +120,7 @@ def together(f):
 
 
 def correlation_long(df: DataFrame, columns: list[str]) -> DataFrame:
-    safe = lambda a, b: F.when((F.stddev_samp(a) > 0) & (F.stddev_samp(b) > 0), F.corr(a, b))
+    safe = lambda a, b: F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
     return pair_stats(df, columns, together(safe), "correlation")
 
 

@@ -24,10 +24,9 @@ def nearest_peer(df: DataFrame, key: str, time: str, ident: str, bucket: str = "
     The nearest row stands just before or just after in (time, id) order, so two window
     functions over the key replace a join of all rows of a key with each other.
     """
-    w = Window.partitionBy(key).orderBy(time, ident)
     seconds = F.unix_timestamp(F.col(time).cast("timestamp"))
-    rows = df.select(key, time, F.col(ident).alias("id"), seconds.alias("t"))
-    w = Window.partitionBy(key).orderBy("t", "id")
+    rows = df.select(F.col(key).alias("of"), F.col(ident).alias("id"), seconds.alias("t"))
+    w = Window.partitionBy("of").orderBy("t", "id")
     side = lambda f: F.when(f("id").over(w).isNotNull(), F.struct(F.abs(F.col("t") - f("t").over(w)).alias("gap_seconds"), F.abs(F.col("id") - f("id").over(w)).alias("gap_id"), (-f("id").over(w)).alias("neg")))
     best = F.least(side(F.lag), side(F.lead))
     return rows.withColumn("b", best).filter("b is not null").select("id", (-F.col("b.neg")).alias("peer_id"), F.col("b.gap_seconds").alias("gap_seconds"))
