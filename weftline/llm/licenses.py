@@ -73,43 +73,52 @@ def license_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("text_hash"), words.alias("words"))
     n = F.size("words")
     pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.element_at("words", i), F.element_at("words", i + 1)).alias("hash")))
-    own = F.array(F.struct(F.lit(-1).alias("at"), n.cast("long").alias("hash")))
-    spread = rows.select("doc_id", "text_hash", F.explode(F.when(n > 1, F.concat(own, pairs)).otherwise(own)).alias("x")).select("doc_id", "text_hash", "x.at", "x.hash")
+    itself = F.array(F.struct(F.lit(-1).alias("at"), n.cast("long").alias("hash")))
+    spread = rows.select("doc_id", "text_hash", F.explode(F.when(n > 1, F.concat(itself, pairs)).otherwise(itself)).alias("x")).select("doc_id", "text_hash", "x.at", "x.hash")
     known = template_pairs(docs.sparkSession, phrases, templates)
     # the templates are a constant of the program, so their broadcast is bounded
     joined = spread.join(F.broadcast(known.withColumnRenamed("hash", "known")), (F.col("at") >= 0) & (F.col("hash") == F.col("known")), "left")
-    return joined.filter((F.col("at") < 0) | F.col("template").isNotNull())
+    own = F.when(F.col("at") < 0, F.col("hash"))
+    return joined.filter((F.col("at") < 0) | F.col("template").isNotNull()).select(
+        "doc_id", "text_hash", F.coalesce("template", F.lit(-1)).alias("template"), "label", F.coalesce("base", F.lit(False)).alias("base"), "length", "at", F.coalesce("place", F.lit(0)).alias("place"), own.alias("n_words"),
+    )
 
 
 def license_spans(hits: DataFrame, max_shift: int = 4, max_gap: int = 8, min_cover: float = 0.75, min_words: int = 5) -> DataFrame:
-    """Verified spans: doc_id, text_hash, label, base, template, begin, end, cover."""
+    """Verified spans (doc_id, text_hash, template, label, base, begin, end, cover) and each document's own row.
+
+    The document's row has template -1, its word count and in ``rows`` how often it stands.
+    All steps group by the document first, so one shuffle serves them.
+    """
     key = ["doc_id", "text_hash", "template"]
-    found = hits.filter("at >= 0").select(*key, "label", "base", "length", "at", "place").distinct()  # equal rows vote once
-    diagonals = found.groupBy(*key, "label", "base", "length", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("at").alias("begin"), (F.max("at") + 2).alias("end"), F.min("place").alias("t_begin"), (F.max("place") + 2).alias("t_end"),
+    dealt = hits.repartition("doc_id", "text_hash")
+    found = dealt.groupBy(*key, "at", "place").agg(*(F.first(c).alias(c) for c in ("label", "base", "length", "n_words")), F.count("*").alias("rows"))  # equal rows vote once
+    diagonals = found.groupBy(*key, (F.col("at") - F.col("place")).alias("diagonal")).agg(
+        *(F.first(c).alias(c) for c in ("label", "base", "length", "n_words")), F.max("rows").alias("rows"),
+        F.count("*").alias("votes"), F.min("at").alias("begin"), (F.max("at") + 2).alias("end"), F.min("place").alias("t_begin"),
     )
-    exact = diagonals.filter(F.col("base") & (F.col("votes") == F.col("length") - 1))
-    exact = exact.select(*key, "label", "base", "begin", "end", F.lit(1.0).alias("cover"))
     order = Window.partitionBy(*key).orderBy("begin", "diagonal")
     near = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) <= max_shift) & (F.col("begin") - F.lag("end").over(order) <= max_gap) & (F.col("t_begin") >= F.lag("t_begin").over(order))
-    runs = diagonals.filter(~F.col("base")).withColumn("fresh", F.coalesce(1 - near.cast("int"), F.lit(1))).withColumn("run", F.sum("fresh").over(order))
-    merged = runs.groupBy(*key, "label", "base", "length", "run").agg(F.sum("votes").alias("votes"), F.min("begin").alias("begin"), F.max("end").alias("end"))
-    cover = F.least(F.col("votes") / (F.col("length") - 1), F.lit(1.0))
-    # a span stands if it has enough of the template's pairs and is not much longer than the template
-    stands = merged.withColumn("cover", cover).filter((F.col("cover") >= min_cover) & (F.col("length") >= min_words) & (F.col("end") - F.col("begin") <= 2 * F.col("length")))
-    return exact.unionByName(stands.select(*key, "label", "base", "begin", "end", "cover"))
+    fresh = F.when(F.col("base"), 1).otherwise(F.coalesce(1 - near.cast("int"), F.lit(1)))
+    runs = diagonals.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
+    merged = runs.groupBy(*key, "run").agg(
+        *(F.first(c).alias(c) for c in ("label", "base", "length", "n_words")), F.max("rows").alias("rows"),
+        F.sum("votes").alias("votes"), F.min("begin").alias("begin"), F.max("end").alias("end"),
+    )
+    spans = merged.withColumn("cover", F.when(F.col("template") >= 0, F.least(F.col("votes") / (F.col("length") - 1), F.lit(1.0))))
+    # a phrase stands if its diagonal is whole; a template, if the span has enough of its pairs and is not much longer
+    exact = F.col("base") & (F.col("votes") == F.col("length") - 1)
+    enough = ~F.col("base") & (F.col("cover") >= min_cover) & (F.col("length") >= min_words) & (F.col("end") - F.col("begin") <= 2 * F.col("length"))
+    return spans.filter((F.col("template") < 0) | exact | enough).drop("run", "votes", "length")
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, one row per input row."""
-    hits = license_hits(docs, id_col, text_col)
-    spans = license_spans(hits, **options)
+    spans = license_spans(license_hits(docs, id_col, text_col), **options)
     base = F.col("base")
-    per_span = spans.select("doc_id", "text_hash", F.lit(None).cast("long").alias("n_words"), "label", "base", "begin", "cover")
-    own = hits.filter("at < 0").select("doc_id", "text_hash", F.col("hash").alias("n_words"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("base"), F.lit(None).cast("int").alias("begin"), F.lit(None).cast("double").alias("cover"))
-    joined = own.unionByName(per_span).groupBy("doc_id", "text_hash").agg(
+    per_doc = spans.groupBy("doc_id", "text_hash").agg(
         F.max("n_words").alias("n_words"),
-        F.count("n_words").alias("rows"),
+        F.max(F.when(F.col("template") < 0, F.col("rows"))).alias("rows"),
         F.count(F.when(base, 1)).alias("n_base"),
         F.min(F.when(base, F.col("begin"))).cast("long").alias("first_word"),
         F.max(F.when(base, F.col("begin"))).cast("long").alias("last_word"),
@@ -117,5 +126,5 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
         F.round(F.coalesce(F.max("cover"), F.lit(0.0)), 6).alias("score"),
     )
-    times = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    times = per_doc.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     return times.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
