@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.storage import settle as persist  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -14,23 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def persist(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the cluster's shared checkpoint folder and cut its lineage.
-
-    The folder is the one that ``spark.checkpoint.dir`` names; only a session that
-    names none (tests on one machine) gets a temporary one.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and leave every other character alone."""
     return F.translate(text, UPPER, LOWER)
-
-
-def fallback(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add the named columns where ``df`` lacks them."""
-    return df.withColumns({k: v for k, v in columns.items() if k not in df.columns})

@@ -213,8 +213,8 @@ def train_tagger(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     return tagger
 
 
-def identify_languages(docs: DataFrame, tagger: ByteTagger | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with struct column ``language`` (lang_pred, score)."""
+def identify_languages(docs: DataFrame, tagger: ByteTagger | None, text_col: str = "text", out_col: str = "language") -> DataFrame:
+    """``docs`` with a struct column ``out_col`` (lang_pred, score)."""
     pools: list[Pool] = []
 
     @F.pandas_udf("lang_pred string, score double")
@@ -235,7 +235,7 @@ def identify_languages(docs: DataFrame, tagger: ByteTagger | None, text_col: str
                 scores.append(float(min(1.0, p[best])))
         return pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype=float)})
 
-    return docs.withColumn("language", predict(text_col))
+    return docs.withColumn(out_col, predict(text_col))
 
 
 def held_out_rows(id_col: str = "doc_id", folds: int = 5, fold: int = 0):

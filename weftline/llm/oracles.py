@@ -1 +1,89 @@
-SQL = {}
+"""DuckDB SQL for the corpus queries that SQL can express on whole tables."""
+
+from __future__ import annotations
+
+from weftline.llm import licenses, mixing, urls
+
+
+def text_literal(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def license_sql() -> str:
+    entries = [(label, licenses.template_words(t), True) for t, label in licenses.PHRASES] + [(label, licenses.template_words(t), False) for label, t in licenses.TEMPLATES]
+    rows = ",\n".join(f"({i}, {p}, {text_literal(w[p])}, {text_literal(w[p + 1])}, {len(w)}, {text_literal(label)}, {base})" for i, (label, w, base) in enumerate(entries) for p in range(len(w) - 1))
+    return rf"""
+WITH pairs(template, place, a, b, length, label, base) AS (VALUES {rows}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT r, unnest(range(len(w) - 1)) AS pos, w FROM d WHERE len(w) > 1),
+hits AS (SELECT r, template, label, base, length, pos, place FROM (SELECT r, pos, w[pos + 1] AS a, w[pos + 2] AS b FROM g) JOIN pairs USING (a, b)),
+diagonals AS (SELECT r, template, label, base, length, pos - place AS diagonal, count(*) AS votes, min(pos) AS s, max(pos) + 2 AS e, min(place) AS t FROM hits GROUP BY ALL),
+marked AS (SELECT *, CASE WHEN base THEN 1 ELSE coalesce(1 - (abs(diagonal - lag(diagonal) OVER o) <= 4 AND s - lag(e) OVER o <= 8 AND t >= lag(t) OVER o)::int, 1) END AS fresh
+  FROM diagonals WINDOW o AS (PARTITION BY r, template ORDER BY s, diagonal)),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY s, diagonal) AS run FROM marked),
+merged AS (SELECT r, template, label, base, length, run, sum(votes) AS votes, min(s) AS s, max(e) AS e FROM runs GROUP BY ALL),
+spans AS (SELECT *, least(votes::double / (length - 1), 1.0::double) AS cover FROM merged
+  WHERE (base AND votes = length - 1) OR (NOT base AND votes::double / (length - 1) >= 0.75 AND length >= 5 AND e - s <= 2 * length)),
+found AS (SELECT r, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, round(max(cover), 6) AS score FROM spans GROUP BY r)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_base, 0)::bigint AS n_base, first_word::bigint AS first_word, last_word::bigint AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::double AS score
+FROM d LEFT JOIN found USING (r)"""
+
+
+def mix_sql() -> str:
+    w = mixing.WEIGHTS
+    return rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS size, md5(concat_ws('|', coalesce(doc_id::varchar, ''), coalesce(source, ''))) AS place FROM documents),
+s AS (SELECT source, sum(size)::bigint AS source_size, ([{', '.join(map(str, w))}])[((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % {len(w)}) + 1] AS weight FROM d GROUP BY source),
+c AS (SELECT *, 2 * source_size AS cap, (2 * source_size)::double / weight AS ratio FROM s),
+l AS (SELECT *, (sum(source_size) OVER ()::double * 1.5 - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::double) / (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::double AS line
+  FROM c WINDOW o AS (ORDER BY ratio, encode(source) NULLS LAST)),
+water AS (SELECT arg_min(line, ratio) AS line FROM l WHERE line <= ratio),
+t AS (SELECT l.source, source_size, CASE WHEN water.line IS NULL OR water.line * weight > cap THEN cap::double ELSE water.line * weight END AS target FROM l, water),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start FROM d)
+SELECT doc_id, p.source, size, source_size, target,
+  (greatest(0, least(start + size, floor(target)::bigint) - start) + greatest(0, least(start + size + source_size, floor(target)::bigint) - start - source_size))::bigint AS taken
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source"""
+
+
+def url_sql(depth: int = urls.DEPTH, max_siblings: int = 12, min_share: float = 0.05, m: float = 5.0, reject_at: float = 0.8, z: float = 2.0) -> str:
+    fits = []
+    for verdict, rule in sorted(urls.RULES, key=lambda x: -len(x[1])):
+        suffix, _, prefix = rule.partition("/")
+        fits.append((f"(host = '{suffix}' OR ends_with(host, '.{suffix}')) AND starts_with(path, '/{prefix}')", rule, verdict))
+    rule = "CASE " + " ".join(f"WHEN {c} THEN '{r}'" for c, r, _ in fits) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, _, v in fits) + " END"
+    seeds = "|".join(urls.SEED_WORDS)
+    levels = [f"t0 AS (SELECT *, string_split(shape, '/') AS seg, '' AS template FROM shapes)"]
+    for i in range(1, depth + 1):
+        levels.append(f"k{i} AS (SELECT host, template, seg[{i + 1}] AS s, sum(n) AS cn, count(*) OVER o AS kids, sum(sum(n)) OVER o AS total FROM t{i - 1} WHERE len(seg) > {i} GROUP BY host, template, seg[{i + 1}] WINDOW o AS (PARTITION BY host, template))")
+        levels.append(f"t{i} AS (SELECT a.* EXCLUDE (template), a.template || CASE WHEN len(seg) <= {i} THEN '' WHEN kids > {max_siblings} AND cn < {min_share}::double * total THEN '/*' ELSE '/' || seg[{i + 1}] END AS template FROM t{i - 1} a LEFT JOIN k{i} b ON a.host = b.host AND a.template = b.template AND seg[{i + 1}] = b.s)")
+    return rf"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rows_ AS (SELECT *, {rule} AS rule, {verdict} AS by_rule, regexp_replace(path, '[0-9]+', '#', 'g') AS shape FROM h),
+labels_ AS (SELECT *, CASE WHEN by_rule IS NOT NULL THEN (by_rule = 'block')::int WHEN regexp_matches(host, '(^|[.-])({seeds})([.-]|$)') THEN 1 END AS y FROM rows_),
+shapes AS (SELECT host, shape, count(*) AS n, count(y) AS labelled, coalesce(sum(y), 0) AS blocked FROM labels_ GROUP BY host, shape),
+{','.join(levels)},
+ts AS (SELECT * EXCLUDE (template), CASE WHEN len(seg) > {depth + 1} THEN template || '/**' ELSE template END AS template FROM t{depth}),
+tp AS (SELECT host, template, sum(labelled) AS labelled, sum(blocked) AS blocked, regexp_extract(template, '^[^/]*(/[^/]*)?') AS branch, regexp_replace(template, '^/[^/]*', '') AS below FROM ts GROUP BY host, template),
+br AS (SELECT host, branch, sum(labelled) AS bl, sum(blocked) AS bb, string_agg(DISTINCT below, chr(10) ORDER BY below) AS subtree FROM tp GROUP BY host, branch),
+bg AS (SELECT *, sum(bl) OVER (PARTITION BY host, subtree) AS gl, sum(bb) OVER (PARTITION BY host, subtree) AS gb FROM br),
+bp AS (SELECT host, branch, CASE WHEN power((bb * gl - gb * bl)::double, 2) <= {z * z} * (gb * (gl - gb) * bl)::double THEN subtree ELSE '/' || branch END AS pool FROM bg),
+pl AS (SELECT tp.host, template, sum(labelled) OVER (PARTITION BY tp.host, pool, below) AS labelled, sum(blocked) OVER (PARTITION BY tp.host, pool, below) AS blocked, sum(labelled) OVER (PARTITION BY tp.host) AS hl, sum(blocked) OVER (PARTITION BY tp.host) AS hb FROM tp JOIN bp ON tp.host = bp.host AND tp.branch = bp.branch),
+pr AS (SELECT (coalesce(sum(blocked), 0) + 1.0::double) / (coalesce(sum(labelled), 0) + 2.0::double) AS prior FROM tp),
+jd AS (SELECT host, template, labelled, blocked, CASE WHEN (blocked + {m}::double * ((hb + {m}::double * prior) / (hl + {m}::double))) / (labelled + {m}::double) >= {reject_at} AND hl > 0 THEN 'block' ELSE 'allow' END AS by_tree FROM pl, pr)
+SELECT page_id, r.host, path, rule, coalesce(by_rule, by_tree) AS verdict, jd.template, jd.labelled::bigint AS labelled, jd.blocked::bigint AS blocked
+FROM rows_ r JOIN ts ON r.host = ts.host AND r.shape = ts.shape JOIN jd ON ts.host = jd.host AND ts.template = jd.template"""
+
+
+TOPK_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::bigint AS score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::int AS rank, vec_id, score FROM k WHERE rank <= 10"""
+
+SQL = {"op2_license_scan": license_sql(), "op4_source_mix": mix_sql(), "op6_url_filter": url_sql(), "op9_exact_topk": TOPK_SQL}

@@ -195,8 +195,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return lexicon, BoostedTrees().fit(x[own], y[own]).calibrate(x[rest], y[rest])
 
 
-def score_toxicity(docs: DataFrame, model: tuple[dict[str, float], BoostedTrees] | None, text_col: str = "text", prior: float = 0.0) -> DataFrame:
-    """``docs`` with a column ``toxicity`` between 0 and 1."""
+def score_toxicity(docs: DataFrame, model: tuple[dict[str, float], BoostedTrees] | None, text_col: str = "text", prior: float = 0.0, out_col: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``out_col`` between 0 and 1."""
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
@@ -204,7 +204,7 @@ def score_toxicity(docs: DataFrame, model: tuple[dict[str, float], BoostedTrees]
             return pd.Series(np.full(len(texts), prior))
         return pd.Series(model[1].score(np.array([features(t or "", model[0]) for t in texts.where(texts.notna(), "")])))
 
-    return docs.withColumn("toxicity", score(text_col))
+    return docs.withColumn(out_col, score(text_col))
 
 
 def held_out(column: str):
