@@ -5,7 +5,8 @@ The rest is judged by a tree of path templates: digit runs are wildcards from th
 then, level by level, segments that are rare among many siblings become ``*``. Sibling
 branches whose subtrees look alike and whose labelled rates do not differ significantly
 are pooled. A template is rejected when its labelled block rate, smoothed towards its
-host's and that towards the corpus rate, reaches ``reject_at``.
+host's and that towards the corpus rate, reaches ``reject_at``; without a label on its host
+it is not.
 
 Labels come from the rules' own verdicts and from seed words in host names.
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from weftline.llm.common import ascii_lower
+from weftline.llm.common import ascii_lower, persist
 
 #: (verdict, rule): a host suffix, then a path prefix.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -87,7 +88,7 @@ def shape_verdicts(rows: DataFrame, seed_words, depth: int, max_siblings: int, m
     seeded = F.col("host").rlike(r"(^|[.-])(" + "|".join(seed_words) + r")([.-]|$)") if seed_words else F.lit(False)
     label = F.when(F.col("by_rule").isNotNull(), (F.col("by_rule") == "block").cast("long")).when(seeded, F.lit(1).cast("long"))
     shapes = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count(label).alias("labelled"), F.coalesce(F.sum(label), F.lit(0).cast("long")).alias("blocked"))
-    shapes = shapes.withColumns({"segments": F.split("shape", "/"), "template": F.lit("")})
+    shapes = persist(shapes).withColumns({"segments": F.split("shape", "/"), "template": F.lit("")})
     for level in range(1, depth + 1):  # segment 0 is what stands before the first slash: nothing
         segment = F.when(F.size("segments") > level, F.element_at("segments", level + 1))
         shapes = shapes.withColumn("segment", segment)
@@ -99,7 +100,7 @@ def shape_verdicts(rows: DataFrame, seed_words, depth: int, max_siblings: int, m
         )
         joined = shapes.join(children, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (F.col("segment") == F.col("s")), "left")
         step = F.when(F.col("segment").isNull(), F.lit("")).when(F.col("variable"), F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("segment")))
-        shapes = joined.withColumn("template", F.concat("template", step)).drop("h", "t", "s", "variable", "segment")
+        shapes = persist(joined.withColumn("template", F.concat("template", step)).drop("h", "t", "s", "variable", "segment"))
     shapes = shapes.withColumn("template", F.when(F.size("segments") > depth + 1, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
 
     templates = shapes.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
@@ -122,5 +123,5 @@ def shape_verdicts(rows: DataFrame, seed_words, depth: int, max_siblings: int, m
     prior = templates.agg(rate.alias("prior")).scalar()
     of_host = (F.col("h_blocked") + m * prior) / (F.col("h_labelled") + m)
     purity = (F.col("blocked") + m * of_host) / (F.col("labelled") + m)
-    judged = pooled.select("host", "template", "labelled", "blocked", F.when(purity >= reject_at, "block").otherwise("allow").alias("by_tree"))
+    judged = pooled.select("host", "template", "labelled", "blocked", F.when((purity >= reject_at) & (F.col("h_labelled") > 0), "block").otherwise("allow").alias("by_tree"))
     return shapes.select(F.col("host"), F.col("shape"), F.col("template")).join(judged, ["host", "template"])
