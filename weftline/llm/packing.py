@@ -33,6 +33,7 @@ SIZE, SEPARATOR = 2048, 0
 BLOCK_PIECES = 4096
 #: White space as the vocabulary's own pre-tokenizer has it (Unicode White_Space).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+OTHER_WHITE = re.compile(r"[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A word with the blank before it, or a run of white space: no token crosses these borders.
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Characters of text whose new chunks are tokenized in one call.
@@ -45,8 +46,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Chunks(dict):
-    """Chunk -> its token ids as little-endian bytes; forgets everything when full."""
+class Chunks:
+    """Token ids, as little-endian bytes, of the chunks that texts have been cut into so far.
+
+    Texts are cut at blanks, each of which goes with the word behind it, and before line
+    feeds. The vocabulary's pre-tokenizer cuts there too, but where white space meets white
+    space; texts in which it may, or that have other white space, are cut by CHUNK. Tables
+    forget everything when full.
+    """
 
     LIMIT = 800_000
 
@@ -56,16 +63,64 @@ class Chunks(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.marks = dict(zip(",.;:!?", self.ids(list(",.;:!?"))))
+        self.clear()
+
+    def clear(self) -> None:
+        #: words without the blank before them, or with the line feed; chunks as they are
+        self.words, self.chunks = dict([("", self.ids([" "])[0])]), {"": b""}
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn_chunks(self, lists: list[list[str]]) -> None:
+        fresh = list(set().union(*lists).difference(self.chunks))
+        self.chunks.update(zip(fresh, self.ids(fresh)))
+
+    def lines(self, text: str) -> tuple[bytes, list[int]]:
+        """The ids of a text, and where in their bytes its line feeds stand; each has to be a token of its own."""
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        return ids.tobytes(), (np.flatnonzero(ids == self.line_feed) * 4).tolist()
+
+    def learn_words(self, lists: list[list[str]]) -> None:
+        """New words, all in two texts with a word a line, as far as they hold no white space."""
+        fresh = set().union(*lists).difference(self.words)
+        # letters and a mark behind them are two tokens' worth: the letters are looked up, the mark is known
+        marked = [x for x in fresh if x[-1] in self.marks and x[:-1].isalpha()]
+        fresh.difference_update(marked)
+        fresh.update({x[:-1] for x in marked}.difference(self.words))
+        plain, after = [x for x in fresh if x[0] != "\n"], [x for x in fresh if x[0] == "\n"]
+        if plain and "\n".join(plain).split() == plain:
+            data, feeds = self.lines(" " + "\n ".join(plain))
+            self.words.update((x, data[a:b]) for x, a, b in zip(plain, [0, *(f + 4 for f in feeds)], [*feeds, len(data)], strict=True))
+            plain = []
+        if after and "".join(after).split() == [x[1:] for x in after]:
+            data, feeds = self.lines("".join(after))
+            self.words.update((x, data[a:b]) for x, a, b in zip(after, feeds, [*feeds[1:], len(data)], strict=True))
+            after = []
+        self.words.update(zip(plain, self.ids([" " + x for x in plain])))
+        self.words.update(zip(after, self.ids(after)))
+        self.words.update((x, self.words[x[:-1]] + self.marks[x[-1]]) for x in marked)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; chunks not seen before go to the tokenizer in one call."""
-        split = [CHUNK.findall(t) for t in texts]
-        if len(self) > self.LIMIT:
+        """The ids of each text; what has not been seen before goes to the tokenizer in few calls."""
+        if len(self.words) + len(self.chunks) > self.LIMIT:
             self.clear()
-        fresh = list(set().union(*split).difference(self))
-        for encoding, chunk in zip(self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), fresh):
-            self[chunk] = array("I", encoding.ids).tobytes()
-        return [b"".join(map(self.__getitem__, chunks)) for chunks in split]
+        starts, rest = [], []
+        for text in texts:
+            if "  " in text or " \n" in text or "\n\n" in text or OTHER_WHITE.search(text):
+                starts.append(CHUNK.findall(text))
+                rest.append([])
+            else:
+                parts = text.replace("\n", " \n").split(" ")
+                starts.append([parts[0]])
+                del parts[0]
+                rest.append(parts)
+        self.learn_chunks(starts)
+        self.learn_words(rest)
+        chunk, word = self.chunks.__getitem__, self.words.__getitem__
+        return [b"".join(map(chunk, a)) + b"".join(map(word, b)) for a, b in zip(starts, rest)]
 
 
 def in_calls(texts: list[str]) -> Iterator[list[str]]:
