@@ -25,3 +25,12 @@ def unused(df: DataFrame, name: str) -> str:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and leave every other character alone."""
     return F.translate(text, UPPER, LOWER)
+
+
+def range_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the rising ``bounds`` are not above the value, found by halving steps."""
+    if not bounds:
+        return F.lit(0)
+    known, steps = F.array(*map(F.lit, bounds)), [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    fits = lambda i: (i <= len(bounds)) & (F.element_at(known, F.least(i, F.lit(len(bounds)))) <= value)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda i, s: F.when(fits(i + s), i + s).otherwise(i))

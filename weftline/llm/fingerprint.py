@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import range_of
+
 K, SHINGLE, WIDTH = 128, 5, 5
 SPACE = (1 << (8 * WIDTH)) - 1
 #: Characters of text that a range of ids has about.
@@ -138,11 +140,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # range bounds are ids that exist: the least one and approximate quantiles
     cuts = rows.agg(F.min("place").alias("low"), F.percentile_approx("place", [i / ranges for i in range(ranges)], max(10_000, 4 * ranges)).alias("cuts")).first()
     bounds = sorted({least if cuts["low"] is None else cuts["low"], *(cuts["cuts"] or [])})
-    known, steps = F.array(*map(F.lit, bounds)), [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    fits = lambda i: (i <= len(bounds)) & (F.element_at(known, F.least(i, F.lit(len(bounds)))) <= F.col("place"))
-    # the last bound that is not above the id, by halving steps
-    at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda i, s: F.when(fits(i + s), i + s).otherwise(i))
-    dealt = rows.withColumn("range", at - 1)
+    known = F.array(*map(F.lit, bounds))
+    dealt = rows.withColumn("range", range_of(F.col("place"), bounds) - 1)
     own = F.struct(F.col("range").alias("range"), F.lit(0).alias("beyond"))
     before = F.struct(F.pmod(F.col("range") - 1, F.lit(len(bounds))).alias("range"), F.lit(1).alias("beyond"))
     first = F.element_at(known, F.col("range") + 1) == F.col("place")

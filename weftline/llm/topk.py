@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from weftline.llm.common import persist
+from weftline.llm.common import persist, range_of
 
 BLOCK_ROWS = 256
 #: Rows in a block group and in a query group: what one cell holds at most, 8 bytes a component.
-GROUP_ROWS, QUERY_ROWS = 16_384, 1024
+GROUP_ROWS, QUERY_ROWS = 16_384, 8192
 PACKED = "grp long, block long, dims int, ids binary, rows binary, vectors binary, tops binary, bottoms binary"
 FOUND = "query_row long, query_id long, cand_id long, score long"
 
@@ -127,10 +127,7 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
     groups = max(1, math.ceil(n / group_rows))
     # Groups are ranges of ids with bounds taken from an approximate quantile sketch.
     bounds = sorted(set(rows.approxQuantile("vec_id", [i / groups for i in range(1, groups)], 0.25 / groups))) if groups > 1 else []
-    grp = F.lit(0).cast("long")
-    if bounds:
-        grp = F.size(F.filter(F.array(*(F.lit(int(b)) for b in bounds)), lambda b: b <= F.col("vec_id"))).cast("long")
-    dealt = rows.withColumn("grp", grp)
+    dealt = rows.withColumn("grp", range_of(F.col("vec_id"), [int(b) for b in bounds]).cast("long"))
     blocks = persist(dealt.repartition(groups, "grp").sortWithinPartitions("grp", F.size("vector"), "vec_id", "row").mapInPandas(lambda b: pack(b, block_rows, group_rows), PACKED))
     sides = math.ceil(max(1, n / every) / query_rows)
     pack_long = F.pandas_udf(lambda s: s.map(lambda v: np.asarray(v, np.int64).tobytes()), "binary")
