@@ -291,3 +291,24 @@ def test_sketched_profile(spark):
     df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
     a, b = (profile.numeric(df, exact=e).first() for e in (True, False))
     assert a["distinct_count"] == 1000 and a["median_value"] == 499.5 and abs(b["median_value"] - 499.5) < 5 and abs(b["distinct_count"] - 1000) < 200
+
+
+def test_shapes(spark):
+    from weftline.operators import shape
+
+    df = frame(spark, "oid long, flag long, x double, note string", *[(i, i % 3, i / 4, f"n{i}") for i in range(60)])
+    assert dict(shape.few_valued_as_text(df).dtypes)["flag"] == "string" and dict(shape.few_valued_as_text(df).dtypes)["oid"] == "bigint"
+    assert shape.model_columns(df, {"note": "llm", "flag": "remove"}).columns == ["oid", "x"]
+    assert shape.training_frame(df, ["oid"], [], ["x"], ["note"]).columns == ["flag"] and shape.training_frame(df, df.columns, [], [], []).columns == df.columns
+    made = df.select("oid", (F.col("flag") + 0.3).alias("flag"), (F.col("x") + 0.001).alias("x"), "note")
+    assert dict(shape.restored(made, df).dtypes)["flag"] == "bigint" and shape.restored(made, df).exceptAll(df).count() == 0
+    assert shape.synthetic_problems(df, df, 60, ["oid"]) == [] and shape.synthetic_problems(df.drop("x"), df, 61, ["flag"]) == ["60 rows, not 61", "columns differ", "flag repeats"]
+    assert shape.is_ascending(df, "oid", ["oid"]).first()["ascending"] and not shape.is_ascending(df, "flag", ["oid"]).first()["ascending"]
+    split = df.withColumn("g", F.when(F.col("oid") % 2 == 0, "a").otherwise("b")).unionByName(df.withColumn("g", F.when(F.col("oid") % 2 == 0, "a").otherwise("b")))
+    assert shape.divergent_column(split, ["g"], ["x"]) is None
+    apart = split.withColumn("x", F.when(F.col("g") == "a", F.col("x") + 100).otherwise(F.col("x")))
+    assert shape.divergent_column(apart, ["g"], ["x"]) == "g"
+    table = shape.analyse_table(df.select(F.col("oid").alias("item_id"), "x", F.concat(F.lit("Item "), F.col("oid").cast("string")).alias("name")))
+    assert (table["ids"], table["functions"], table["decimals"]) == (["item_id"], ["name"], {"x": 2})
+    summary = shape.preprocessing_summary(df, df.drop("note").withColumn("new", F.lit(1)), {"note": "remove", "x": "keep"})
+    assert summary["added"] == ["new"] and summary["removed"] == ["note"] and summary["actions"] == {"remove": 1, "keep": 1}

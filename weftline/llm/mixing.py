@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from weftline.llm.common import persist
+from weftline.llm.common import persist, unused
 
 WEIGHTS = (5, 2, 1)
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 GOLDEN = (math.sqrt(5) - 1) / 2
 
 
@@ -151,9 +151,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     middle = F.col("start") + F.floor(F.col("size") / 2)
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.when(middle < F.col("want"), 1).otherwise(0) + F.when(middle + F.col("total") < F.col("want"), 1).otherwise(0))
     counts = placed_rows.groupBy("doc_id", "tie", F.col("source").alias("src")).agg(F.sum(copies).alias("copies"), F.count("*").alias("rows"))
-    keyed = docs.withColumn("_tie", F.coalesce(F.xxhash64(text_col), F.lit(0)))
-    cond = F.col(f"_d.{id_col}").eqNullSafe(F.col("_c.doc_id")) & F.col(f"_d.{source_col}").eqNullSafe(F.col("_c.src")) & (F.col("_d._tie") == F.col("_c.tie"))
+    tie, copy = unused(docs, "_tie"), unused(docs, "_copy")
+    keyed = docs.withColumn(tie, F.coalesce(F.xxhash64(text_col), F.lit(0)))
+    cond = F.col(f"_d.{id_col}").eqNullSafe(F.col("_c.doc_id")) & F.col(f"_d.{source_col}").eqNullSafe(F.col("_c.src")) & (F.col(f"_d.{tie}") == F.col("_c.tie"))
     joined = keyed.alias("_d").join(counts.alias("_c"), cond)
     # equal rows share their copies: each gets the rounded-up share
     times = F.ceil(F.col("_c.copies") / F.col("_c.rows")).cast("int")
-    return joined.filter(times > 0).select(*(F.col(f"_d.`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), times)).alias("_copy")).drop("_copy")
+    return joined.filter(times > 0).select(*(F.col(f"_d.`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), times)).alias(copy)).drop(copy)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import persist
+from weftline.llm.common import persist, unused
 from weftline.llm.fingerprint import shingle_hashes, word_hashes
 
 SEED = 42
@@ -308,28 +308,34 @@ def wide_links(nodes: DataFrame, similarity: float, rows: int, tile: int = 2048)
     """(u, v) over rows (node, wide): stars that connect nodes of likeness ``similarity`` or more."""
     cuts, most = wide_segments(rows, similarity), bits_for(similarity)
 
-    def keyed(batches):
+    def keys_of(batch: pd.DataFrame):
+        words = np.frombuffer(b"".join(batch["wide"]), "<u8").reshape(-1, WIDE_WORDS)
+        for i, (w, low, width) in enumerate(cuts):
+            yield ((words[:, w] >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64) | (i << 24)
+
+    def index(batches):
+        for batch in batches:
+            for key in keys_of(batch) if len(batch) else ():
+                yield pd.DataFrame({"key": key, "node": batch["node"].to_numpy(), "wide": batch["wide"].to_numpy()})
+
+    def keys_only(batches):
         for batch in batches:
-            if not len(batch):
-                continue
-            words = np.frombuffer(b"".join(batch["wide"]), "<u8").reshape(-1, WIDE_WORDS)
-            for i, (w, low, width) in enumerate(cuts):
-                value = (words[:, w] >> np.uint64(low)) & np.uint64((1 << width) - 1)
-                yield pd.DataFrame({"key": value.astype(np.int64) | (i << 24), "ring": w, "node": batch["node"].to_numpy(), "wide": batch["wide"].to_numpy()})
+            for key in keys_of(batch) if len(batch) else ():
+                yield pd.DataFrame({"key": key})
 
     def linked(rows: pd.DataFrame) -> pd.DataFrame:
         words = np.frombuffer(b"".join(rows["wide"]), "<u8").reshape(-1, WIDE_WORDS)
-        u, v = wide_tile_links(pd.factorize(rows["key"] * 4096 + rows["pair"])[0], rows["ring"].to_numpy(np.int64), rows["node"].to_numpy(np.int64), words, most)
+        ring = np.array([c[0] for c in cuts])[rows["key"].to_numpy(np.int64) >> 36]
+        u, v = wide_tile_links(pd.factorize(rows["key"])[0], ring, rows["node"].to_numpy(np.int64), words, most)
         return pd.DataFrame({"u": u, "v": v})
 
-    index = nodes.mapInPandas(keyed, "key long, ring int, node long, wide binary")
-    sizes = nodes.select("node", "wide").mapInPandas(lambda b: (x[["key"]] for x in keyed(b)), "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile)
-    marked = index.join(sizes, "key", "left")
-    tiles = F.ceil(F.coalesce("n", F.lit(1)) / tile).cast("int")
+    # a key is the segment's number, its bits and, for the sake of large ones, a pair of tiles
+    large = nodes.select("wide").mapInPandas(keys_only, "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile)
+    tiles = F.least(F.ceil(F.coalesce("n", F.lit(1)) / tile), F.lit(64)).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), tiles - 1), lambda o: F.least(o, own) * 64 + F.greatest(o, own))
-    tiled = marked.select("key", "ring", "node", "wide", F.explode(pair).alias("pair"))
-    found = tiled.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInPandas(lambda b: whole_keys(b, ["key", "pair"], linked), "u long, v long")
+    pair = F.transform(F.sequence(F.lit(0), tiles - 1), lambda o: F.col("key") * 4096 + F.least(o, own) * 64 + F.greatest(o, own))
+    tiled = nodes.select("node", "wide").mapInPandas(index, "key long, node long, wide binary").join(large, "key", "left").select(F.explode(pair).alias("key"), "node", "wide")
+    found = tiled.repartition("key").sortWithinPartitions("key").mapInPandas(lambda b: whole_keys(b, ["key"], linked), "u long, v long")
     return found.distinct()
 
 
@@ -355,8 +361,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = marks.groupBy("doc_id", "tie").agg(F.count("*").alias("rows"))
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.tie") == F.col(f"{b}.tie"))
     keep = keep.alias("k").join(copies.alias("c"), same("k", "c")).select("k.doc_id", "k.tie", "c.rows")
-    rows = docs.withColumn("_tie", F.coalesce(F.xxhash64(text_col), F.lit(0))).alias("d")
-    kept = rows.join(keep.alias("k"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("k.doc_id")) & (F.col("d._tie") == F.col("k.tie")))
-    kept = kept.select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("k.rows").alias("_rows"))
-    once = kept.filter("_rows = 1").drop("_rows")
-    return once.unionByName(kept.filter("_rows > 1").drop("_rows").dropDuplicates([id_col, text_col]))
+    tie, times = unused(docs, "_tie"), unused(docs, "_rows")
+    rows = docs.withColumn(tie, F.coalesce(F.xxhash64(text_col), F.lit(0))).alias("d")
+    kept = rows.join(keep.alias("k"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{tie}") == F.col("k.tie")))
+    kept = kept.select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("k.rows").alias(times))
+    once = kept.filter(F.col(times) == 1).drop(times)
+    return once.unionByName(kept.filter(F.col(times) > 1).drop(times).dropDuplicates([id_col, text_col]))

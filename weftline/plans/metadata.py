@@ -52,6 +52,11 @@ def activity(parts: list[tuple[str, DataFrame, str, str]], n: int = 20) -> DataF
     return out.orderBy(F.desc("at"), "kind", F.desc("id")).limit(n)
 
 
+def stale(df: DataFrame, beat: str, now, minutes: int) -> DataFrame:
+    """Rows whose last sign of life is over so many minutes old."""
+    return df.filter(F.col(beat) < now - F.make_dt_interval(mins=F.lit(minutes)))
+
+
 def insights(deltas: DataFrame, targets: dict[str, float]) -> DataFrame:
     """(metric, insight, severity) for metrics that fell back or are below their targets."""
     goal = F.create_map(*(F.lit(x) for kv in targets.items() for x in kv))[F.col("metric")] if targets else F.lit(None).cast("double")

@@ -149,6 +149,16 @@ def read_group(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFram
     return {name: read_table(spark, path) for name, path in paths.items()}
 
 
+def find_dataset(spark: SparkSession, root: str, dataset_id: str) -> str:
+    """The newest file or folder below ``root`` whose name starts with the data set's id."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    system = place(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s for depth in ("", "*/", "*/*/", "*/*/*/") for s in system.globStatus(place(f"{root.rstrip('/')}/{depth}{dataset_id}*")) or []]
+    if not found:
+        raise FileNotFoundError(f"no data set {dataset_id} below {root}")
+    return max(found, key=lambda s: (s.getModificationTime(), s.getPath().toString())).getPath().toString()
+
+
 def preview(df: DataFrame, limit: int = 10) -> DataFrame:
     if not 1 <= limit <= 50:
         raise ValueError("a preview has 1 to 50 rows")
