@@ -96,7 +96,10 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     bases = hits.groupBy("source", "part").count().select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     local = hits.withColumn("local", F.row_number().over(Window.partitionBy("source", "part").orderBy("slot")) - 1)
     ranked = local.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select(F.col("source").alias("s"), (F.col("base") + F.col("local")).alias("r"), "slot")
-    wanted = shares.withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
+    # ranks unfold in two steps with a shuffle between them, so a source with most slots is not unfolded in one task
+    parts = shares.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(part).cast("long"))))
+    dealt = parts.repartition(max(1, math.ceil(length / (16 * part))), "source", "first")
+    wanted = dealt.withColumn("rank", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + part, F.col("slots")) - 1))).drop("first")
     joined = wanted.join(ranked, F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("r")), "left")
     begin = F.col("rank") * block
     return joined.select("source", F.coalesce(F.col("slot"), F.col("rank") + length).alias("slot"), "rank", begin.alias("begin"), F.least(begin + block, F.col("want")).alias("end"), "source_size")
@@ -114,14 +117,14 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return placed(sizes, sizes.count()), targets, schedule(targets, block)
 
 
-def taken_words(rows: DataFrame, slots: DataFrame, block: int, max_passes: int = 2) -> DataFrame:
+def taken_words(rows: DataFrame, targets: DataFrame, slots: DataFrame, block: int, max_passes: int = 2) -> DataFrame:
     """Add ``taken``: the words the schedule takes from each document, repeats counted.
 
     A document meets the blocks that its span covers in every pass; slots join them by
     source and block rank.
     """
     passes = rows.filter("size > 0").withColumn("pass_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_passes - 1).cast("long"))))
-    sized = passes.join(slots.select(F.col("source").alias("s"), F.col("source_size").alias("total")).distinct(), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    sized = passes.join(targets.select(F.col("source").alias("s"), F.col("source_size").alias("total")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     spans = sized.withColumn("from", F.col("start") + F.col("pass_no") * F.col("total")).withColumn("to", F.col("from") + F.col("size"))
     pieces = spans.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
     takes = slots.select(F.col("source").alias("s"), F.col("rank").alias("r"), "begin", "end")
@@ -135,7 +138,7 @@ def taken_words(rows: DataFrame, slots: DataFrame, block: int, max_passes: int =
 def mix_report(docs: DataFrame, block: int = 1024, **options) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every document."""
     rows, targets, slots = mix_plan(docs, block=block, **options)
-    taken = taken_words(rows, slots, block, options.get("max_passes", 2))
+    taken = taken_words(rows, targets, slots, block, options.get("max_passes", 2))
     named = targets.select(F.col("source").alias("s"), "source_size", "target")
     return taken.join(named, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", "taken")
 
