@@ -93,10 +93,11 @@ def shape_verdicts(rows: DataFrame, seed_words, depth: int, max_siblings: int, m
         segment = F.when(F.size("segments") > level, F.element_at("segments", level + 1))
         shapes = shapes.withColumn("segment", segment)
         children = shapes.filter(F.col("segment").isNotNull()).groupBy("host", "template", "segment").agg(F.sum("n").alias("child_n"))
-        siblings = Window.partitionBy("host", "template")
-        children = children.select(
+        # sums joined back, not a window: a host may have any number of segments at one place
+        siblings = children.groupBy(F.col("host").alias("ph"), F.col("template").alias("pt")).agg(F.count("*").alias("siblings"), F.sum("child_n").alias("siblings_n"))
+        children = children.join(siblings, (F.col("host") == F.col("ph")) & (F.col("template") == F.col("pt"))).select(
             F.col("host").alias("h"), F.col("template").alias("t"), F.col("segment").alias("s"),
-            ((F.count("*").over(siblings) > max_siblings) & (F.col("child_n") < min_share * F.sum("child_n").over(siblings))).alias("variable"),
+            ((F.col("siblings") > max_siblings) & (F.col("child_n") < min_share * F.col("siblings_n"))).alias("variable"),
         )
         joined = shapes.join(children, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (F.col("segment") == F.col("s")), "left")
         step = F.when(F.col("segment").isNull(), F.lit("")).when(F.col("variable"), F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("segment")))
