@@ -261,6 +261,14 @@ def test_main_text():
     assert html_text.main_text(None) == "" and html_text.main_text("<script>never closed") == ""
 
 
+def test_rare_siblings_become_wildcards(spark):
+    rows = [(i, f"http://many.net/{a}{b}/end") for i, (a, b) in enumerate((a, b) for a in "abcdefgh" for b in "abcdefgh")]
+    rows += [(1000 + i, f"http://few.net/{'xy'[i % 2]}/end") for i in range(6)]
+    got = {r["page_id"]: r["template"] for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert {got[i] for i in range(64)} == {"/*/end"}
+    assert {got[1000 + i] for i in range(6)} == {"/x/end", "/y/end"}
+
+
 def test_url_rules_and_tree(spark):
     rows = [(0, "http://X.example.org/es/1"), (1, "https://example.org/en/12#a"), (2, "http://notexample.org/es/1"), (3, "http://a.com/fr/"), (4, "http://a.com/de/x?y"), (5, "http://a.net/"), (6, "http://org/en"), (7, "http://a.org")]
     rows += [(100 + i, f"http://spam-farm.net/p/{i}") for i in range(30)] + [(200 + i, f"http://b.com/de/{i}") for i in range(30)]
