@@ -94,6 +94,15 @@ def test_near_dedup_finds_copies_and_keeps_the_rest(spark):
     assert kept == set(range(60))
 
 
+@pytest.mark.parametrize("rows", [1_000, 4_194_304, 4_300_000, 13_000_000, 17_000_000, 100_000_000])
+def test_near_copy_index_has_all_segments(rows):
+    cuts = simhash.wide_segments(rows, 0.8)
+    p = np.arccos(1.6 / 1.8) / np.pi
+    assert 1 - (1 - (1 - p) ** cuts.shape[1]) ** len(cuts) >= 0.98
+    assert all(len(set(c)) == cuts.shape[1] for c in cuts.tolist()) and len({frozenset(c) for c in cuts.tolist()}) == len(cuts)
+    assert cuts.min() >= 0 and cuts.max() < simhash.WIDE_BITS
+
+
 def test_fingerprints_follow_the_texts(docs, texts):
     order = sorted(texts)
     rows = {r["doc_id"]: r for r in fingerprint.fingerprint_edits(docs, range_chars=40_000).collect()}

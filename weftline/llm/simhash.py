@@ -264,17 +264,23 @@ def bits_for(similarity: float, bits: int = WIDE_BITS, slack: float = 0.6) -> in
     return round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
-def wide_segments(rows: int, similarity: float, recall: float = 0.98) -> list[tuple[int, int, int]]:
-    """(word, lowest bit, width): wide enough for buckets of some hundred rows, and as many as the recall asks for."""
+def wide_segments(rows: int, similarity: float, recall: float = 0.98) -> np.ndarray:
+    """The bits of each segment: wide enough for buckets of some hundred rows, and as many as the recall asks for.
+
+    Seeded shuffles of all bits are cut up one after another, so there is no most to their number.
+    """
     width = min(20, max(12, math.ceil(math.log2(max(rows, 2))) - 6))
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** width))
-    places = [(w, f * width, width) for f in range(64 // width) for w in range(WIDE_WORDS)]
-    return places[:count]
+    rng, each = np.random.default_rng(SEED), WIDE_BITS // width
+    shuffles = [rng.permutation(WIDE_BITS)[: each * width].reshape(each, width) for _ in range(math.ceil(count / each))]
+    cuts = np.concatenate(shuffles)[:count]
+    assert len(cuts) == count
+    return cuts
 
 
-def wide_tile_links(keys: np.ndarray, ring: np.ndarray, nodes: np.ndarray, words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star links among rows of equal key within ``most`` bits; chains of words from the shared one prune pairs first."""
+def wide_tile_links(keys: np.ndarray, nodes: np.ndarray, words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Star links among rows of equal key within ``most`` bits; chains of words prune pairs first."""
     n, a_all, b_all, held = len(nodes), [], [], 0
     left = np.arange(n - 1)
     for d in range(1, n):
@@ -284,8 +290,7 @@ def wide_tile_links(keys: np.ndarray, ring: np.ndarray, nodes: np.ndarray, words
             break
         at, spent = left, np.zeros(len(left), np.int64)
         for length in range(1, WIDE_WORDS + 1):
-            w = (ring[at] + length - 1) % WIDE_WORDS
-            spent = spent + np.bitwise_count(words[at, w] ^ words[at + d, w])
+            spent = spent + np.bitwise_count(words[at, length - 1] ^ words[at + d, length - 1])
             share = most * length / WIDE_WORDS
             fits = spent <= (most if length == WIDE_WORDS else share + 3 * math.sqrt(share))
             at, spent = at[fits], spent[fits]
@@ -309,9 +314,12 @@ def wide_links(nodes: DataFrame, similarity: float, rows: int, tile: int = 2048)
     cuts, most = wide_segments(rows, similarity), bits_for(similarity)
 
     def keys_of(batch: pd.DataFrame):
-        words = np.frombuffer(b"".join(batch["wide"]), "<u8").reshape(-1, WIDE_WORDS)
-        for i, (w, low, width) in enumerate(cuts):
-            yield ((words[:, w] >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64) | (i << 24)
+        bits = np.unpackbits(np.frombuffer(b"".join(batch["wide"]), np.uint8).reshape(-1, WIDE_BITS // 8), axis=1)
+        for i, cut in enumerate(cuts):
+            key = np.full(len(bits), i << 24, np.int64)
+            for at, bit in enumerate(cut):
+                key |= bits[:, bit].astype(np.int64) << at
+            yield key
 
     def index(batches):
         for batch in batches:
@@ -325,8 +333,7 @@ def wide_links(nodes: DataFrame, similarity: float, rows: int, tile: int = 2048)
 
     def linked(rows: pd.DataFrame) -> pd.DataFrame:
         words = np.frombuffer(b"".join(rows["wide"]), "<u8").reshape(-1, WIDE_WORDS)
-        ring = np.array([c[0] for c in cuts])[rows["key"].to_numpy(np.int64) >> 36]
-        u, v = wide_tile_links(pd.factorize(rows["key"])[0], ring, rows["node"].to_numpy(np.int64), words, most)
+        u, v = wide_tile_links(pd.factorize(rows["key"])[0], rows["node"].to_numpy(np.int64), words, most)
         return pd.DataFrame({"u": u, "v": v})
 
     # a key is the segment's number, its bits and, for the sake of large ones, a pair of tiles
