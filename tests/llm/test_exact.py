@@ -94,6 +94,42 @@ def test_near_dedup_finds_copies_and_keeps_the_rest(spark):
     assert kept == set(range(60))
 
 
+def test_near_dedup_tells_short_texts_apart(spark):
+    """Thousands of different texts of 1 to 5 words stay; copies in other letter case go."""
+    rng = random.Random(11)
+    short = set()
+    while len(short) < 4000:
+        short.add(" ".join("".join(rng.choices("abcdefghij", k=4)) for _ in range(rng.randint(1, 5))))
+    short = sorted(short)
+    rows = list(enumerate(short)) + [(10_000 + i, t.upper()) for i, t in enumerate(short[:300])]
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(4000))
+
+
+def test_near_dedup_of_small_sets_is_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for base in range(150):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, 24))]
+        rows.append((len(rows), " ".join(w)))
+        for _ in range(3):
+            v = list(w)
+            if rng.random() < 0.5:
+                v += [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, 2))]
+            else:
+                v = v[rng.randint(0, 2) :]
+            rows.append((len(rows), " ".join(v)))
+    grams = {i: {tuple(w[j : j + 5]) for w in [t.split()] for j in range(max(1, len(w) - 4))} if t else set() for i, t in rows}
+    root = {i: i for i in grams}
+    top = lambda i: i if root[i] == i else top(root[i])
+    for i in grams:
+        for j in range(i):
+            if 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {top(i) for i in grams}
+
+
 @pytest.mark.parametrize("rows", [1_000, 4_194_304, 4_300_000, 13_000_000, 17_000_000, 100_000_000])
 def test_near_copy_index_has_all_segments(rows):
     cuts = simhash.wide_segments(rows, 0.8)

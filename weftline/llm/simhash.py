@@ -234,29 +234,48 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def wide_votes(text: str | None, shingle: int) -> np.ndarray:
-    """Signed shingle counts in WIDE_BITS places; their transform has each bit's vote balance.
+#: Sets of up to so many shingles are compared as they are; so few votes make no estimate.
+FEW = 20
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes, rising."""
+    return np.unique(shingle_hashes(word_hashes((text or "").lower().split()), shingle))
+
+
+def wide_votes(h: np.ndarray) -> np.ndarray:
+    """Signed counts of distinct shingles in WIDE_BITS places; their transform has each bit's vote balance.
 
     A shingle's bit codes are plus or minus one Hadamard row, so one addition casts all of
     its votes at once.
     """
-    h = shingle_hashes(word_hashes((text or "").lower().split()), shingle)
-    h = np.unique(h)
     place = (h & np.uint64(WIDE_BITS - 1)).astype(np.int64)
     sign = 1.0 - 2.0 * ((h >> np.uint64(20)) & np.uint64(1)).astype(np.float32)
     return np.bincount(place, sign, WIDE_BITS).astype(np.float32)
 
 
-def wide_fingerprints(texts, shingle: int) -> list[bytes]:
+def wide_fingerprints(sets: list[np.ndarray]) -> list[bytes]:
     out: list[bytes] = []
     spin = 1.0 - 2.0 * np.random.default_rng(SEED).integers(0, 2, WIDE_BITS).astype(np.float32)
-    for at in range(0, len(texts), 64):
-        votes = np.stack([wide_votes(t, shingle) for t in texts[at : at + 64]])
+    for at in range(0, len(sets), 64):
+        votes = np.stack([wide_votes(h) for h in sets[at : at + 64]])
         bits = hadamard(votes * spin) + 0.5 * spin > 0  # the half breaks even votes
         out += [row.tobytes() for row in np.packbits(bits, axis=1)]
     return out
 
 
+def near_marks(texts, shingle: int, similarity: float) -> pd.DataFrame:
+    """node, a hash of the shingle set; few, the set itself if a set of FEW may be near; wide, the fingerprint if it has over FEW."""
+    most, nodes, few, wide = math.floor(FEW / similarity + 1e-9), [], [], []
+    for at in range(0, len(texts), 64):
+        sets = [shingle_set(t, shingle) for t in texts[at : at + 64]]
+        prints = iter(wide_fingerprints([h for h in sets if len(h) > FEW]))
+        nodes += [xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets]
+        few += [h.tobytes() if len(h) <= most else None for h in sets]
+        wide += [next(prints) if len(h) > FEW else None for h in sets]
+    return pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "few": pd.Series(few, dtype=object), "wide": pd.Series(wide, dtype=object)})
+
+
 def bits_for(similarity: float, bits: int = WIDE_BITS, slack: float = 0.6) -> int:
     """Differing bits to expect at a Jaccard likeness, plus a share of a standard deviation for sampling noise."""
     cosine = 2 * similarity / (1 + similarity)
@@ -309,12 +328,68 @@ def wide_tile_links(keys: np.ndarray, nodes: np.ndarray, words: np.ndarray, most
     return nodes[member], nodes[label[member]]
 
 
+def few_tile_links(keys: np.ndarray, nodes: np.ndarray, sets: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Star links among rows of equal key whose shingle sets have ``similarity`` or more, exactly."""
+    n, a_all, b_all = len(nodes), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    sizes = np.array([len(s) // 8 for s in sets], np.int64)
+    width = int(sizes.max(initial=1))
+    held = np.arange(width) < sizes[:, None]
+    values = np.zeros((n, width), np.uint64)
+    values[held] = np.frombuffer(b"".join(sets), np.uint64)
+    left = np.arange(n - 1)
+    for d in range(1, n):
+        left = left[left + d < n]
+        left = left[keys[left] == keys[left + d]]
+        if not len(left):
+            break
+        near = left[np.minimum(sizes[left], sizes[left + d]) >= similarity * np.maximum(sizes[left], sizes[left + d]) - 1e-9]
+        for at in np.array_split(near, len(near) // 20_000 + 1):
+            shared = np.zeros(len(at), np.int64)
+            for i in range(width):
+                shared += ((values[at, i, None] == values[at + d]) & held[at + d]).any(axis=1) & held[at, i]
+            at = at[shared >= similarity * (sizes[at] + sizes[at + d] - shared) - 1e-9]
+            a_all.append(at)
+            b_all.append(at + d)
+        if sum(map(len, a_all)) > MAX_EDGES:
+            label = stars(n, np.concatenate(a_all), np.concatenate(b_all))
+            member = np.flatnonzero(label != np.arange(n))
+            a_all, b_all = [member], [label[member]]
+    label = stars(n, np.concatenate(a_all), np.concatenate(b_all))
+    member = np.flatnonzero(label != np.arange(n))
+    return nodes[member], nodes[label[member]]
+
+
+def few_keys(held: bytes, similarity: float) -> np.ndarray:
+    """Those of a set's smallest shingles of which two sets of ``similarity`` share one at least."""
+    n = len(held) // 8
+    return np.frombuffer(held, np.uint64)[: n - math.ceil(similarity * n - 1e-9) + 1].astype(np.int64)
+
+
+#: Marks the key of a shingle, next to its 40 bits.
+BY_SHINGLE = 1 << 47
+
+
 def wide_links(nodes: DataFrame, similarity: float, rows: int, tile: int = 2048) -> DataFrame:
-    """(u, v) over rows (node, wide): stars that connect nodes of likeness ``similarity`` or more."""
+    """(u, v) over rows (node, few, wide): stars that connect nodes of likeness ``similarity`` or more.
+
+    Small sets meet by their smallest shingles and are compared exactly, the others meet by
+    segments of their fingerprints.
+    """
     cuts, most = wide_segments(rows, similarity), bits_for(similarity)
 
     def keys_of(batch: pd.DataFrame):
-        bits = np.unpackbits(np.frombuffer(b"".join(batch["wide"]), np.uint8).reshape(-1, WIDE_BITS // 8), axis=1)
+        """(keys, places in the batch, what is compared)."""
+        small = np.flatnonzero(batch["few"].notna())
+        if len(small):
+            keys = [few_keys(s, similarity) for s in batch["few"].iloc[small]]
+            at = np.repeat(small, [len(k) for k in keys])
+            yield np.concatenate(keys) | BY_SHINGLE, at, batch["few"].to_numpy()[at]
+        large = np.flatnonzero(batch["wide"].notna())
+        for key in segment_keys(batch["wide"].iloc[large]) if len(large) else ():
+            yield key, large, batch["wide"].to_numpy()[large]
+
+    def segment_keys(wide: pd.Series):
+        bits = np.unpackbits(np.frombuffer(b"".join(wide), np.uint8).reshape(-1, WIDE_BITS // 8), axis=1)
         for i, cut in enumerate(cuts):
             key = np.full(len(bits), i << 24, np.int64)
             for at, bit in enumerate(cut):
@@ -323,25 +398,28 @@ def wide_links(nodes: DataFrame, similarity: float, rows: int, tile: int = 2048)
 
     def index(batches):
         for batch in batches:
-            for key in keys_of(batch) if len(batch) else ():
-                yield pd.DataFrame({"key": key, "node": batch["node"].to_numpy(), "wide": batch["wide"].to_numpy()})
+            for key, at, held in keys_of(batch):
+                yield pd.DataFrame({"key": key, "node": batch["node"].to_numpy()[at], "held": held})
 
     def keys_only(batches):
         for batch in batches:
-            for key in keys_of(batch) if len(batch) else ():
+            for key, _, _ in keys_of(batch):
                 yield pd.DataFrame({"key": key})
 
     def linked(rows: pd.DataFrame) -> pd.DataFrame:
-        words = np.frombuffer(b"".join(rows["wide"]), "<u8").reshape(-1, WIDE_WORDS)
-        u, v = wide_tile_links(pd.factorize(rows["key"])[0], rows["node"].to_numpy(np.int64), words, most)
-        return pd.DataFrame({"u": u, "v": v})
-
-    # a key is the segment's number, its bits and, for the sake of large ones, a pair of tiles
-    large = nodes.select("wide").mapInPandas(keys_only, "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile)
+        by_shingle = rows["key"].to_numpy(np.int64) >> 12 >= BY_SHINGLE
+        few, wide = rows[by_shingle], rows[~by_shingle]
+        u, v = few_tile_links(pd.factorize(few["key"])[0], few["node"].to_numpy(np.int64), few["held"].tolist(), similarity)
+        words = np.frombuffer(b"".join(wide["held"]), "<u8").reshape(-1, WIDE_WORDS)
+        x, y = wide_tile_links(pd.factorize(wide["key"])[0], wide["node"].to_numpy(np.int64), words, most)
+        return pd.DataFrame({"u": np.concatenate([u, x]), "v": np.concatenate([v, y])})
+
+    # a key is a shingle or the segment's number and its bits and, for the sake of large ones, a pair of tiles
+    large = nodes.select("few", "wide").mapInPandas(keys_only, "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile)
     tiles = F.least(F.ceil(F.coalesce("n", F.lit(1)) / tile), F.lit(64)).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
     pair = F.transform(F.sequence(F.lit(0), tiles - 1), lambda o: F.col("key") * 4096 + F.least(o, own) * 64 + F.greatest(o, own))
-    tiled = nodes.select("node", "wide").mapInPandas(index, "key long, node long, wide binary").join(large, "key", "left").select(F.explode(pair).alias("key"), "node", "wide")
+    tiled = nodes.select("node", "few", "wide").mapInPandas(index, "key long, node long, held binary").join(large, "key", "left").select(F.explode(pair).alias("key"), "node", "held")
     found = tiled.repartition("key").sortWithinPartitions("key").mapInPandas(lambda b: whole_keys(b, ["key"], linked), "u long, v long")
     return found.distinct()
 
@@ -349,21 +427,23 @@ def wide_links(nodes: DataFrame, similarity: float, rows: int, tile: int = 2048)
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, one of each group of near copies: that of the smallest id.
 
-    Near is a likeness of ``similarity`` or more between the sets of lower-cased shingles,
-    estimated by SimHash fingerprints of 1,024 bits (at 0.8, to about 0.03). A likeness so
-    far from 1 leaves no segment of a 64-bit fingerprint untouched, hence the width.
+    Near is a likeness of ``similarity`` or more between the sets of lower-cased shingles.
+    It is exact where one of two sets has FEW shingles or less, and else estimated by
+    SimHash fingerprints of 1,024 bits (at 0.8, to about 0.03). A likeness so far from 1
+    leaves no segment of a 64-bit fingerprint untouched, hence the width. Texts are equal
+    only if their shingle sets are.
     """
 
-    @F.pandas_udf("binary")
-    def wide(texts: pd.Series) -> pd.Series:
-        return pd.Series(wide_fingerprints(texts.tolist(), shingle), dtype=object)
+    @F.pandas_udf("node long, few binary, wide binary")
+    def mark(texts: pd.Series) -> pd.DataFrame:
+        return near_marks(texts.tolist(), shingle, similarity)
 
-    marks = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("tie"), wide(text_col).alias("wide"))
-    marks = persist(marks.withColumn("node", F.xxhash64("wide")))
+    marks = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("tie"), mark(text_col).alias("m"))
+    marks = persist(marks.select("doc_id", "tie", "m.node", "m.few", "m.wide"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")
-    nodes = persist(marks.groupBy("node", "wide").agg(first))
-    roots = components(wide_links(nodes.select("node", "wide"), similarity, nodes.count()))
-    by_node = nodes.drop("wide").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = persist(marks.groupBy("node", "few", "wide").agg(first))
+    roots = components(wide_links(nodes.select("node", "few", "wide"), similarity, nodes.filter("wide is not null").count()))
+    by_node = nodes.drop("few", "wide").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     keep = by_node.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.tie")
     copies = marks.groupBy("doc_id", "tie").agg(F.count("*").alias("rows"))
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.tie") == F.col(f"{b}.tie"))
