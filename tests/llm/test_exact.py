@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from weftline.llm import fingerprint, html_text, langid, licenses, mixing, packing, simhash, topk, toxicity, urls
 
@@ -238,6 +239,14 @@ def test_schedule_is_of_low_discrepancy(docs):
         assert abs(half - share[s] / whole * (len(order) // 2)) <= 4
 
 
+def test_url_branches_of_a_hot_host(spark):
+    """Millions of pages on one host: products of their counts are beyond 64 bits."""
+    url = F.concat(F.lit("http://hot.com/"), F.when(F.col("id") % 2 == 0, "de").otherwise("fr"), F.lit("/5"))
+    out = urls.judge_urls(spark.range(4_400_000).select(F.col("id").alias("page_id"), url.alias("url")))
+    rows = out.groupBy("template", "verdict", "labelled", "blocked").count().collect()
+    assert {tuple(r) for r in rows} == {("/de/#", "block", 2_200_000, 2_200_000, 2_200_000), ("/fr/#", "allow", 2_200_000, 0, 2_200_000)}
+
+
 def test_license_places(spark):
     texts = ["X under the MIT license, under the mit License", "Apache License, Version 2.0 and apache license version 2", "CC-BY-NC cc by nc", "ÜNDER the MIT license", "This work is licensed under the GNU General Public License, version 3.",
              "licensed under the very Apache License, Version 2.0"]

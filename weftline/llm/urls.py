@@ -110,9 +110,10 @@ def shape_verdicts(rows: DataFrame, seed_words, depth: int, max_siblings: int, m
     branches = templates.groupBy("host", "branch").agg(F.sum("labelled").alias("b_labelled"), F.sum("blocked").alias("b_blocked"), F.concat_ws("\n", F.sort_array(F.collect_set("below"))).alias("subtree"))
     alike = Window.partitionBy("host", "subtree")
     branches = branches.withColumns({"g_labelled": F.sum("b_labelled").over(alike), "g_blocked": F.sum("b_blocked").over(alike)})
-    # |b/nb - g/ng| <= z * sqrt(p(1-p)/nb) squared and cleared of its divisions, in whole numbers but for z.
-    gap = F.col("b_blocked") * F.col("g_labelled") - F.col("g_blocked") * F.col("b_labelled")
-    near = (gap * gap).cast("double") <= z * z * (F.col("g_blocked") * (F.col("g_labelled") - F.col("g_blocked")) * F.col("b_labelled")).cast("double")
+    # |b/nb - g/ng| <= z * sqrt(p(1-p)/nb) squared and cleared of its divisions. Products of counts pass 2^63 on hot hosts, hence the decimals.
+    b_labelled, b_blocked, g_labelled, g_blocked = (F.col(c).cast("decimal(19,0)") for c in ("b_labelled", "b_blocked", "g_labelled", "g_blocked"))
+    gap = (b_blocked * g_labelled - g_blocked * b_labelled).cast("double")
+    near = gap * gap <= z * z * (g_blocked * (g_labelled - g_blocked) * b_labelled).cast("double")
     branches = branches.withColumn("pool", F.when(near, F.col("subtree")).otherwise(F.concat(F.lit("/"), F.col("branch"))))
     # the host and pool columns are compared under other names, since both sides derive from one table
     named = branches.select(F.col("host").alias("h"), F.col("branch").alias("b"), "pool")
