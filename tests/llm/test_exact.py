@@ -239,6 +239,22 @@ def test_schedule_is_of_low_discrepancy(docs):
         assert abs(half - share[s] / whole * (len(order) // 2)) <= 4
 
 
+def test_license_notices_with_one_word_more_or_less(spark):
+    """At every place of every template; the pairs that are left decide."""
+    rows, want = [], []
+    for label, text in licenses.TEMPLATES:
+        w = licenses.template_words(text)
+        cases = [(w[:i] + ["zzz"] + w[i:], len(w) - 1 - (0 < i < len(w))) for i in range(len(w) + 1)]
+        cases += [(w[:i] + w[i + 1 :], len(w) - 2 - (0 < i < len(w) - 1)) for i in range(len(w))]
+        for words, pairs in cases:
+            if len(w) >= 5 and pairs >= 0.75 * (len(w) - 1):
+                rows.append((len(rows), " ".join(["qqq", *words, "qqq"])))
+                want.append(label)
+    found = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    missed = [rows[r["doc_id"]][1] for r in found if want[r["doc_id"]] not in r["labels"].split(",")]
+    assert len(found) == len(rows) > 500 and missed == []
+
+
 def test_url_branches_of_a_hot_host(spark):
     """Millions of pages on one host: products of their counts are beyond 64 bits."""
     url = F.concat(F.lit("http://hot.com/"), F.when(F.col("id") % 2 == 0, "de").otherwise("fr"), F.lit("/5"))

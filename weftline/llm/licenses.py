@@ -3,7 +3,7 @@
 Every word pair of a document is hashed and joined to the pairs of a fixed set of license
 templates; a hit at document place p and template place t votes for the diagonal p - t.
 Votes are gathered by diagonal, diagonals a few words apart that follow one another are
-merged (words put in or left out), and a merged span stands if it covers enough of its
+chained (words put in or left out), whatever stray hits lie between, and a chain's span stands if it covers enough of its
 template. Base phrases are templates too: one stands where a diagonal holds all its pairs,
 which is to say where its words follow one another.
 
@@ -21,7 +21,6 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 #: Fixed values of the contract: phrase, label.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -84,6 +83,32 @@ def license_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+CHAIN = "array<struct<votes:int, begin:int, end:int, diagonal:int, t_begin:int, places:array<int>>>"
+
+
+def chains(diagonals: Column, length: Column, max_shift: int, max_gap: int, min_cover: float) -> Column:
+    """Chains of diagonals (in order of begin) that cover enough of a template, each with the places it covers.
+
+    A diagonal goes on with the one of all near chains that then covers most, so stray hits
+    between two diagonals do not part them. Chains that can't go on and don't stand are
+    dropped, so the list is no longer than the strays near one place.
+    """
+    enough = lambda c: c["votes"] >= min_cover * (length - 1)
+
+    def step(known: Column, x: Column) -> Column:
+        goes_on = lambda c: x["begin"] - c["end"] <= max_gap
+        near = F.filter(known, lambda c: goes_on(c) & (F.abs(x["diagonal"] - c["diagonal"]) <= max_shift) & (x["t_begin"] >= c["t_begin"]) & (F.greatest(x["end"], c["end"]) - c["begin"] <= 2 * length))
+
+        def link(begin: Column, end: Column, places: Column) -> Column:
+            return F.struct(F.size(places).alias("votes"), begin.alias("begin"), end.alias("end"), x["diagonal"].alias("diagonal"), x["t_begin"].alias("t_begin"), places.alias("places"))
+
+        longer = F.transform(near, lambda c: link(c["begin"], F.greatest(x["end"], c["end"]), F.array_union(c["places"], x["places"])))
+        best = F.array_max(F.concat(longer, F.array(link(x["begin"], x["end"], x["places"]))).cast(CHAIN))
+        return F.concat(F.filter(known, lambda c: goes_on(c) | enough(c)), F.array(best)).cast(CHAIN)
+
+    return F.filter(F.aggregate(diagonals, F.array().cast(CHAIN), step), enough)
+
+
 def license_spans(hits: DataFrame, max_shift: int = 4, max_gap: int = 8, min_cover: float = 0.75, min_words: int = 5) -> DataFrame:
     """Verified spans (doc_id, text_hash, template, label, base, begin, end, cover) and each document's own row.
 
@@ -95,21 +120,23 @@ def license_spans(hits: DataFrame, max_shift: int = 4, max_gap: int = 8, min_cov
     found = dealt.groupBy(*key, "at", "place").agg(*(F.first(c).alias(c) for c in ("label", "base", "length", "n_words")), F.count("*").alias("rows"))  # equal rows vote once
     diagonals = found.groupBy(*key, (F.col("at") - F.col("place")).alias("diagonal")).agg(
         *(F.first(c).alias(c) for c in ("label", "base", "length", "n_words")), F.max("rows").alias("rows"),
-        F.count("*").alias("votes"), F.min("at").alias("begin"), (F.max("at") + 2).alias("end"), F.min("place").alias("t_begin"),
+        F.min("at").alias("begin"), (F.max("at") + 2).alias("end"), F.min("place").alias("t_begin"), F.collect_set("place").alias("places"),
     )
-    order = Window.partitionBy(*key).orderBy("begin", "diagonal")
-    near = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) <= max_shift) & (F.col("begin") - F.lag("end").over(order) <= max_gap) & (F.col("t_begin") >= F.lag("t_begin").over(order))
-    fresh = F.when(F.col("base"), 1).otherwise(F.coalesce(1 - near.cast("int"), F.lit(1)))
-    runs = diagonals.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
-    merged = runs.groupBy(*key, "run").agg(
+    whole = diagonals.groupBy(*key).agg(
         *(F.first(c).alias(c) for c in ("label", "base", "length", "n_words")), F.max("rows").alias("rows"),
-        F.sum("votes").alias("votes"), F.min("begin").alias("begin"), F.max("end").alias("end"),
+        F.sort_array(F.collect_list(F.struct("begin", "diagonal", "end", "t_begin", "places"))).alias("diagonals"),
+    )
+    # a phrase stands if its diagonal is whole; a template, if a chain has enough of its pairs and is not much longer
+    plain = F.transform("diagonals", lambda x: F.struct(F.size(x["places"]).alias("votes"), x["begin"].alias("begin"), x["end"].alias("end"), x["diagonal"].alias("diagonal"), x["t_begin"].alias("t_begin"), x["places"].alias("places"))).cast(CHAIN)
+    length = F.col("length")
+    exact = F.filter(plain, lambda c: c["votes"] == length - 1)
+    stand = F.filter(chains(F.col("diagonals"), length, max_shift, max_gap, min_cover), lambda c: (length >= min_words) & (c["end"] - c["begin"] <= 2 * length))
+    spans = whole.withColumn("span", F.explode(F.when(F.col("template") < 0, plain).when(F.col("base"), exact).otherwise(stand)))
+    longest = spans.groupBy(*key, F.col("span.begin").alias("begin")).agg(
+        *(F.first(c).alias(c) for c in ("label", "base", "length", "n_words", "rows")), F.max(F.struct("span.votes", (-F.col("span.end")).alias("back"))).alias("most"),
     )
-    spans = merged.withColumn("cover", F.when(F.col("template") >= 0, F.least(F.col("votes") / (F.col("length") - 1), F.lit(1.0))))
-    # a phrase stands if its diagonal is whole; a template, if the span has enough of its pairs and is not much longer
-    exact = F.col("base") & (F.col("votes") == F.col("length") - 1)
-    enough = ~F.col("base") & (F.col("cover") >= min_cover) & (F.col("length") >= min_words) & (F.col("end") - F.col("begin") <= 2 * F.col("length"))
-    return spans.filter((F.col("template") < 0) | exact | enough).drop("run", "votes", "length")
+    cover = F.when(F.col("template") >= 0, F.least(F.col("most.votes") / (length - 1), F.lit(1.0)))
+    return longest.select(*key, "label", "base", "n_words", "rows", "begin", (-F.col("most.back")).alias("end"), cover.alias("cover"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
