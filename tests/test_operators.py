@@ -90,6 +90,15 @@ def test_arithmetic_rules(spark):
     assert rules.detect_arithmetic(frame(spark, "sales long, cost long, quantity long", (100, 40, 7), (250, 80, 12), (390, 120, 19))) == []
 
 
+def test_arithmetic_rule_with_rare_divisors(spark):
+    """A quotient that has a divisor in a few of many rows only, among more candidates than one aggregate holds."""
+    d = F.when(F.col("id") % 20_000 == 7, F.col("id") % 97 + 2.0).otherwise(0.0)
+    x = (F.col("id") * 7919 % 10_007).cast("double")
+    table = spark.range(100_000).select(x.alias("x"), d.alias("d"), (F.when(d != 0, x / d).otherwise(x + 5)).alias("q"), (F.col("id") * 31 % 1009).cast("double").alias("other"))
+    found = {tuple(r)[:4] for r in rules.scan_arithmetic(table).collect()}
+    assert ("divide", "x", "d", "q") in found
+
+
 def test_derived_and_domain_rules(spark):
     rows = [(i % 7 + 1, 1.5 * (i % 11 + 1), (i % 7 + 1) * 1.5 * (i % 11 + 1), f"2026-01-{i % 20 + 1:02d}", f"2026-02-{i % 20 + 1:02d}") for i in range(60)]
     df = frame(spark, "quantity int, unit_cost double, total_value double, shipment_date string, delivery_date string", *rows)

@@ -2,7 +2,7 @@
 
 Rules become Boolean columns. Discovery tests all of its candidates in a few wide
 aggregates (at most ``CHUNK`` expressions each, for the sake of code size), so the table is
-read a fixed number of times, whatever the number of candidates.
+read once for each ``CHUNK`` of candidates.
 """
 
 from __future__ import annotations
@@ -106,32 +106,15 @@ def hit_share(op: str, a: str, b: str, t: str, rtol: float, atol: float) -> str:
     return f"avg(case when {b} <> 0 then {hit} end)" if op == "divide" else f"avg({hit})"
 
 
-def probe_arithmetic(numbers: DataFrame, todo: list[tuple], least: float, rtol: float, atol: float) -> list[tuple]:
-    """The candidates that reach ``least`` on a small table: each row meets all of them in one generic expression."""
-    columns = {c: i for i, c in enumerate(numbers.columns)}
-    codes = list(exprs.OPERATIONS)
-    tuples = ", ".join(f"struct({k} as k, {codes.index(op)} as o, {columns[a]} as i, {columns[b]} as j, {columns[t]} as t)" for k, (op, a, b, t) in enumerate(todo))
-    rows = numbers.select(F.array(*(F.col(f"`{c}`") for c in columns)).alias("v"), F.expr(f"explode(array({tuples}))").alias("c"))
-    rows = rows.selectExpr("c.k as k", "c.o as o", "v[c.i] as x", "v[c.j] as y", "v[c.t] as z")
-    made = "case o when 0 then x + y when 1 then x - y when 2 then x * y else try_divide(x, y) end"
-    hit = F.expr(f"case when o = 3 and not y <> 0 then null else cast(coalesce(abs({made} - z) <= {atol!r}D + {rtol!r}D * abs(z), false) as int) end")
-    shares = rows.groupBy("k").agg(F.avg(hit).alias("share")).filter(F.col("share") >= least).collect()
-    return [todo[r["k"]] for r in sorted(shares, key=lambda r: r["k"])]
-
-
-def scan_arithmetic(df: DataFrame, columns: list[str] | None = None, operations=("add", "subtract", "multiply", "divide"), least: float = 0.99, rtol: float = 1e-5, atol: float = 1e-2, tried: list | None = None, probe: int = 4000) -> DataFrame:
+def scan_arithmetic(df: DataFrame, columns: list[str] | None = None, operations=("add", "subtract", "multiply", "divide"), least: float = 0.99, rtol: float = 1e-5, atol: float = 1e-2, tried: list | None = None) -> DataFrame:
     """(operation, left_column, right_column, target, accuracy) of candidates that hold for ``least`` of the rows.
 
-    A division's accuracy counts rows whose divisor is not 0. A random sample of about
-    ``probe`` rows goes first: what misses the mark there by a tenth, more than ten standard
-    deviations, is not tried on the whole table. Survivors share wide aggregates.
+    A division's accuracy counts rows whose divisor is not 0, however few. Every candidate
+    is tried on every row; ``CHUNK`` of them share a wide aggregate.
     """
     columns = columns or profile.numeric_columns(df)
     todo = candidates(columns, operations) if tried is None else tried
     df = df.select(*(exprs.number(c).alias(c) for c in columns))
-    if len(todo) > CHUNK:
-        share = min(1.0, probe / max(1, df.count()))
-        todo = probe_arithmetic(df if share == 1 else df.filter(F.rand(42) < share), todo, least - 0.1, rtol, atol)
     kept = []
     for at in range(0, len(todo), CHUNK):
         part = todo[at : at + CHUNK]
