@@ -157,6 +157,33 @@ def test_fingerprints_follow_the_texts(docs, texts):
     assert np.mean(gaps) < 0.03 and max(gaps) < 0.2
 
 
+def test_fingerprints_of_one_hot_id(spark):
+    """Most rows have no id: they are cut into tasks by the hash of their texts and still meet their next."""
+    rng = random.Random(4)
+    rows = [(None if i % 4 else i, " ".join(f"w{rng.randrange(500)}" for _ in range(rng.randint(0, 60)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tie", F.xxhash64("text"))
+    order = sorted(df.collect(), key=lambda r: (-(2**63) if r["doc_id"] is None else r["doc_id"], r["tie"]))
+    found = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprint.fingerprint_edits(df, range_chars=5_000).collect())
+    want = Counter()
+    for r, following in zip(order, order[1:] + order[:1]):
+        t, n = r["text"], following["text"]
+        want[r["doc_id"], len(t), hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest()] += 1
+    assert found == want
+
+
+def test_every_range_has_its_task(spark):
+    df = spark.range(1)
+    for tasks in (1, 7, 35, 300):
+        keys = fingerprint.task_keys(df, tasks)
+        got = spark.createDataFrame([(k,) for k in keys], "k long").select(F.pmod(F.hash("k"), F.lit(tasks)).alias("t")).collect()
+        assert [r["t"] for r in got] == list(range(tasks))
+
+
+def test_long_texts_are_sketched_in_parts():
+    words = fingerprint.word_hashes([f"w{i * 7 % 90_001}" for i in range(130_000)])
+    assert np.array_equal(fingerprint.sketch_words(words), fingerprint.bottom(fingerprint.shingle_hashes(words)))
+
+
 def test_sketches_merge():
     words = [f"w{i}" for i in range(4000)]
     whole = fingerprint.sketch_text(" ".join(words))
@@ -203,6 +230,34 @@ def test_local_search_empties_bins():
         assert len(bins) <= len(packing.best_fit(lengths, 2048)) * 1.15 + 1
 
 
+def least_bins(lengths, size):
+    """Lower bound of Martello and Toth."""
+    best = 0
+    for k in range(size // 2 + 1):
+        large, middle = sum(x > size - k for x in lengths), [x for x in lengths if size / 2 < x <= size - k]
+        small = sum(x for x in lengths if k <= x <= size / 2)
+        best = max(best, large + len(middle) + max(0, -(-(small - len(middle) * size + sum(middle)) // size)))
+    return best
+
+
+def test_local_search_against_bounds():
+    rng = random.Random(1)
+    uniform, middle = [rng.randint(1, 255) for _ in range(1000)], [rng.randint(70, 140) for _ in range(1000)]
+    assert len(packing.improve(packing.best_fit(uniform, 256), uniform, 256)) == least_bins(uniform, 256)
+    best_fit = packing.best_fit(middle, 256)
+    assert len(packing.improve(best_fit, middle, 256)) < len(best_fit)
+    alone = packing.improve([[i] for i in range(len(middle))], middle, 256)
+    assert len(alone) <= len(best_fit)
+
+
+def test_tokens_of_special_strings_and_odd_white_space():
+    from tokenizers import Tokenizer
+
+    tok, chunks = Tokenizer.from_file(packing.default_tokenizer()), packing.Chunks(packing.default_tokenizer())
+    texts = ["a <|endoftext|>b", "<|endoftext|>", " x<|endoftext|> \n y", "<|endof text|>", "a\u3000b  c\t\td \n\n e", "", " "]
+    assert [np.frombuffer(b, "<u4").tolist() for b in chunks.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_topk_is_brute_force(spark):
     rng = np.random.default_rng(2)
     m = rng.normal(0, 0.3, (700, 12)).astype(np.float32)

@@ -7,8 +7,10 @@ whole; two sketches estimate resemblance, containment and the union's distinct c
 Sketch text: base64 of 5-byte big-endian hashes in rising order after a 2-byte k.
 
 The edited text of a document takes its last quarter from the start of the next document
-by id. Rows are dealt into ranges of ids with the range's first row repeated behind the
-range before it, so each task walks its sorted rows and always sees the next one.
+by id. Its SHA-256 needs all of it in one place, so texts are dealt into ranges of (id, hash
+of the text) of about equal numbers of characters, each to a task of its own, with the
+range's first row repeated behind the range before it; a task walks its sorted rows and
+always sees the next one. Long texts are sketched in parts, whose sketches are merged.
 
 Edge cases: null texts are empty; an empty text has an empty sketch, equal only to another
 empty one; texts of fewer words than a shingle are one shingle; equal ids are ordered by a
@@ -28,12 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import range_of
+from weftline.llm.common import persist, range_of
 
 K, SHINGLE, WIDTH = 128, 5, 5
 SPACE = (1 << (8 * WIDTH)) - 1
-#: Characters of text that a range of ids has about.
-RANGE_CHARS = 24_000_000
+#: Characters of text that a range has about, unless there would be over MAX_RANGES (whose bounds are part of the plan).
+RANGE_CHARS, MAX_RANGES = 24_000_000, 16_384
+#: Words of a part of a long text; parts overlap by a shingle less one word.
+PART_WORDS = 50_000
 
 
 class WordHashes(dict):
@@ -116,38 +120,88 @@ def decode(text: str) -> np.ndarray:
     return np.hstack([np.zeros((len(raw), 8 - WIDTH), np.uint8), raw]).copy().view(">u8").reshape(-1).astype(np.uint64)
 
 
+def sketch_words(words: np.ndarray, k: int = K, shingle: int = SHINGLE) -> np.ndarray:
+    """The sketch of a sequence of word hashes, merged from parts of PART_WORDS."""
+    if len(words) <= PART_WORDS:
+        return bottom(shingle_hashes(words, shingle), k)
+    starts = range(0, len(words) - shingle + 1, PART_WORDS)
+    return merge(*(bottom(shingle_hashes(words[a : a + PART_WORDS + shingle - 1], shingle), k) for a in starts), k=k)
+
+
 def sketch_text(text: str | None, k: int = K, shingle: int = SHINGLE) -> np.ndarray:
-    return bottom(shingle_hashes(word_hashes((text or "").split()), shingle), k)
+    return sketch_words(word_hashes((text or "").split()), k, shingle)
 
 
-def edited_sketch(text: str, cut: int, edited: str, words: np.ndarray, shingles: np.ndarray, k: int, shingle: int) -> np.ndarray:
-    """Sketch of ``edited``, which has the first ``cut`` characters of ``text``; the shingles before the cut are not hashed again."""
+def edited_sketch(cut: int, edited: str, text: str, words: np.ndarray, k: int, shingle: int) -> np.ndarray:
+    """Sketch of ``edited``, which has the first ``cut`` characters of ``text``: that of the words before the cut, merged with that of the rest."""
     kept = max(0, len(text[:cut].split()) - 1)  # the word at the cut may change
     if kept <= shingle:
         return sketch_text(edited, k, shingle)
-    tail = word_hashes(edited.split()[kept:])
-    fresh = shingle_hashes(np.concatenate([words[kept - shingle + 1 : kept], tail]), shingle)
-    return bottom(np.concatenate([shingles[: kept - shingle + 1], fresh]), k)
+    rest = np.concatenate([words[kept - shingle + 1 : kept], word_hashes(edited.split()[kept:])])
+    return merge(sketch_words(words[:kept], k, shingle), sketch_words(rest, k, shingle), k=k)
+
+
+def text_ranges(slim: DataFrame, chars: int, range_chars: int) -> tuple[list[int], list[int]]:
+    """(bounds, parts): rising ids at which ranges begin, and into how many parts by hash each range is cut on.
+
+    ``slim`` has place, tie and chars. Fine ranges of about equal rows are joined into ranges of
+    about equal characters; a range that one id fills is cut by the hash of its texts.
+    """
+    ranges = min(MAX_RANGES, max(1, math.ceil(chars / range_chars)))
+    fine = min(MAX_RANGES, 8 * ranges)
+    cuts = slim.agg(F.percentile_approx("place", [i / fine for i in range(fine)], max(10_000, 4 * fine)).alias("cuts")).first()["cuts"] or [0]
+    known = sorted(set(cuts))
+    sums = slim.groupBy(range_of(F.col("place"), known).alias("r")).agg(F.sum("chars").alias("chars"), F.min("place").alias("low"), F.max("place").alias("high"))
+    limit = chars / ranges
+    bounds, parts, held = [], [], limit
+    for r in sums.orderBy("r").collect():  # at most ``fine`` rows
+        own = max(1, math.ceil(r["chars"] / limit)) if r["low"] == r["high"] else 1
+        if held >= limit or own > 1 or (parts and parts[-1] > 1):
+            bounds.append(r["low"])
+            parts.append(own)
+            held = 0
+        held += r["chars"]
+    return bounds or [0], parts or [1]
+
+
+def task_keys(docs: DataFrame, tasks: int) -> list[int]:
+    """keys[i]: a number that ``repartition(tasks, key)`` deals to task i."""
+    ids = docs.sparkSession.range(tasks * (8 + 2 * tasks.bit_length()))
+    found = {r["t"]: r["id"] for r in ids.groupBy(F.pmod(F.hash("id"), F.lit(tasks)).alias("t")).agg(F.min("id").alias("id")).collect()}
+    return [found.get(i, i) for i in range(tasks)]
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, shingle: int = SHINGLE, range_chars: int = RANGE_CHARS) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    least = -(2**63)
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+
+    Also what the sketches estimate: distinct_shingles of the document, edited_containment (how
+    much of it its edited text has) and next_containment (how much of it the next one has).
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("place", F.coalesce("doc_id", F.lit(least)))
-    chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    ranges = min(4096, max(1, math.ceil(chars / range_chars)))
-    # range bounds are ids that exist: the least one and approximate quantiles
-    cuts = rows.agg(F.min("place").alias("low"), F.percentile_approx("place", [i / ranges for i in range(ranges)], max(10_000, 4 * ranges)).alias("cuts")).first()
-    bounds = sorted({least if cuts["low"] is None else cuts["low"], *(cuts["cuts"] or [])})
-    known = F.array(*map(F.lit, bounds))
-    dealt = rows.withColumn("range", range_of(F.col("place"), bounds) - 1)
+    rows = rows.withColumns({"place": F.coalesce("doc_id", F.lit(-(2**63))), "tie": F.xxhash64("text")})
+    slim = persist(rows.select("place", "tie", (F.length("text") + 1).cast("long").alias("chars")))
+    chars = slim.agg(F.sum("chars")).first()[0] or 0
+    bounds, parts = text_ranges(slim, chars, range_chars)
+    first_task = [sum(parts[:i]) for i in range(len(parts))]
+    at = F.greatest(range_of(F.col("place"), bounds), F.lit(1))
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), i)
+    part = F.lit(0)
+    if max(parts) > 1:  # the leading 31 bits of the hash, in order, scaled to the number of parts
+        part = F.shiftright((F.shiftright("tie", 33) + 2**30) * pick(parts, at), 31).cast("int")
+    task = pick(first_task, at) + part
+    tasks = sum(parts)
+    # the first row of each task that has rows, and the task before it
+    firsts = sorted((r["task"], r["f"]["place"], r["f"]["tie"]) for r in slim.groupBy(task.alias("task")).agg(F.min(F.struct("place", "tie")).alias("f")).collect())
+    known = {t: (place, tie, firsts[i - 1][0]) for i, (t, place, tie) in enumerate(firsts)}
+    place_of, tie_of, before_of = ([known.get(t, (0, 0, 0))[i] for t in range(tasks)] for i in range(3))
+    keys = task_keys(docs, tasks)
+    dealt = rows.withColumn("range", task)
     own = F.struct(F.col("range").alias("range"), F.lit(0).alias("beyond"))
-    before = F.struct(F.pmod(F.col("range") - 1, F.lit(len(bounds))).alias("range"), F.lit(1).alias("beyond"))
-    first = F.element_at(known, F.col("range") + 1) == F.col("place")
-    spread = dealt.select("doc_id", "text", "place", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))).alias("x")).select("x.range", "x.beyond", "place", "doc_id", "text")
-    tied = spread.withColumn("tie", F.xxhash64("text")).repartition(len(bounds), "range").sortWithinPartitions("range", "beyond", "place", "tie")
-    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    before = F.struct(pick(before_of, F.col("range") + 1).alias("range"), F.lit(1).alias("beyond"))
+    first = (pick(place_of, F.col("range") + 1) == F.col("place")) & (pick(tie_of, F.col("range") + 1) == F.col("tie"))
+    spread = dealt.select("doc_id", "text", "place", "tie", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))).alias("x")).select("x.range", "x.beyond", "place", "tie", "doc_id", "text")
+    tied = spread.repartition(tasks, pick(keys, F.col("range") + 1)).sortWithinPartitions("range", "beyond", "place", "tie")
+    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "distinct_shingles", "edited_containment", "next_containment"]
 
     def walk(batches):
         last = None
@@ -155,19 +209,22 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             out = []
             for span, beyond, doc_id, text in zip(batch["range"], batch["beyond"], batch["doc_id"], batch["text"]):
                 words = word_hashes(text.split())
-                shingles = shingle_hashes(words, shingle)
-                sketch = bottom(shingles, k)
-                if last is not None and last[0] == span:
-                    out.append(row(*last[1:], text, sketch))
-                last = None if beyond else (span, doc_id, text, words, shingles, sketch)
+                sketch = sketch_words(words, k, shingle)
+                if last is not None and last[0] == span and not last[1]:
+                    out.append(row(*last[2:], text, sketch))
+                last = span, beyond, doc_id, text, words, sketch
             if out:
                 yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
 
-    def row(doc_id, text, words, shingles, sketch, following, next_sketch):
+    def row(doc_id, text, words, sketch, following, next_sketch):
         cut = len(text) - len(text) // 4
         edited = text[:cut] + following[: len(text) // 4]
-        changed = edited_sketch(text, cut, edited, words, shingles, k, shingle)
+        changed = edited_sketch(cut, edited, text, words, k, shingle)
         digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-        return None if pd.isna(doc_id) else doc_id, len(text), digest, encode(sketch, k), encode(changed, k), resemblance(sketch, changed, k), resemblance(sketch, next_sketch, k)
+        return (
+            None if pd.isna(doc_id) else doc_id, len(text), digest, encode(sketch, k), encode(changed, k), resemblance(sketch, changed, k), resemblance(sketch, next_sketch, k),
+            distinct_count(sketch, k), containment(sketch, changed, k), containment(sketch, next_sketch, k),
+        )
 
-    return tied.select("range", "beyond", "doc_id", "text").mapInPandas(walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, distinct_shingles double, edited_containment double, next_containment double"
+    return tied.select("range", "beyond", "doc_id", "text").mapInPandas(walk, schema)
