@@ -131,7 +131,70 @@ def test_near_dedup_of_small_sets_is_brute_force(spark):
     assert kept == {top(i) for i in grams}
 
 
-@pytest.mark.parametrize("rows", [1_000, 4_194_304, 4_300_000, 13_000_000, 17_000_000, 100_000_000])
+def jaccard(a, b, shingle=5):
+    grams = lambda t: {tuple(w[j : j + shingle]) for w in [t.split()] for j in range(max(1, len(w) - shingle + 1))}
+    a, b = grams(a), grams(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_drops_nothing_below_its_likeness(spark):
+    """Copies with 1 to 12 changed words of 120: likeness between 0.96 and 0.4."""
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(160):
+        w = rng.choices(vocab, k=120)
+        v = list(w)
+        for at in rng.sample(range(120), rng.randint(1, 12)):
+            v[at] = "x" + v[at]
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    likeness = {i + 1: jaccard(rows[i][1], rows[i + 1][1]) for i in range(0, len(rows), 2)}
+    dropped = {i: x for i, x in likeness.items() if i not in kept}
+    assert kept >= {i for i, _ in rows if i % 2 == 0} and min(dropped.values()) >= 0.75
+    clear = [i for i, x in likeness.items() if x >= 0.8]
+    assert len(clear) > 20 and sum(i in dropped for i in clear) >= 0.98 * len(clear) - 1
+
+
+def test_forest_connects_what_its_edges_up_to_any_distance_do():
+    rng = np.random.default_rng(3)
+    for n, e in ((2, 1), (30, 60), (200, 3000)):
+        a = rng.integers(0, n, e)
+        b = (a + 1 + rng.integers(0, n - 1, e)) % n
+        d = rng.integers(0, 12, e)
+        at = simhash.forest(n, a, b, d)
+        assert len(at) <= n - 1
+        for limit in range(13):
+            whole, part = d <= limit, at[d[at] <= limit]
+            assert np.array_equal(simhash.stars(n, a[whole], b[whole]), simhash.stars(n, a[part], b[part]))
+
+
+def test_large_groups_of_near_copies_are_tiled(spark):
+    """One family whose fingerprints share most segments, in tiles of 16 rows."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = []
+    for i in range(150):
+        w = list(base)
+        w[rng.randrange(400)] = f"y{i}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"z{rng.randrange(10**6)}" for _ in range(400)) for _ in range(20)]
+    marks = simhash.near_marks(texts, 5, 0.8)
+    nodes = spark.createDataFrame([(int(a), None if b is None else bytes(b), None if c is None else bytes(c)) for a, b, c in marks.itertuples(index=False)], "node long, few binary, wide binary")
+    roots = {r["u"]: r["root"] for r in simhash.components(simhash.wide_links(nodes, 0.8, 170, tile=16)).collect()}
+    ids = marks["node"].tolist()
+    assert len({roots.get(i, i) for i in ids[:150]}) == 1 and len({roots.get(i, i) for i in ids}) == 21
+
+
+def test_lookups_of_large_keys(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 4000, 0).otherwise(F.col("id")).alias("k"), "id")
+    found = rows.groupBy("k").agg(F.count("*").alias("n"), F.when(F.min("k") != 4000, F.min("k")).alias("v"))
+    out = simhash.looked_up(rows, found, "k", "v", hub=100).collect()
+    assert {r["id"]: r["v"] for r in out} == {i: 0 if i < 4000 else None if i == 4000 else i for i in range(5000)}
+    assert len(out) == 5000
+
+
+@pytest.mark.parametrize("rows", [10_000, 1_000_000, 4_194_304, 4_300_000, 13_000_000, 17_000_000, 100_000_000, 1_000_000_000])
 def test_near_copy_index_has_all_segments(rows):
     cuts = simhash.wide_segments(rows, 0.8)
     p = np.arccos(1.6 / 1.8) / np.pi

@@ -195,7 +195,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         near = down.join(low, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         return near.unionByName(low.select("u", F.col("low").alias("v"))).distinct()
 
-    state, before = persist(links.filter("u <> v")), None
+    state, before = persist(links.select("u", "v").filter("u <> v")), None
     for _ in range(max_rounds):
         seen = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if seen["n"] == 0 or seen == before:
@@ -204,20 +204,32 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def grouped(marks: DataFrame, bits: int = 4) -> DataFrame:
-    """Add ``root``, the component's smallest fingerprint, to rows that have ``fp``."""
-    roots = components(near_links(marks.select("fp").distinct(), bits))
-    joined = marks.join(roots.withColumnRenamed("u", "fp"), "fp", "left")
-    return joined.withColumn("root", F.coalesce("root", "fp"))
+def looked_up(rows: DataFrame, found: DataFrame, key: str, value: str, hub: int = 1000) -> DataFrame:
+    """``rows`` with ``value`` of ``found`` (key, n, value), which has one row per key and its number of rows.
+
+    Keys of over ``hub`` rows, of which there is one for every ``hub`` rows at most, meet theirs
+    under ``spread`` keys each, so no task gets all rows of a large group.
+    """
+    spread = 64
+    salts = F.sequence(F.lit(0), F.lit(spread - 1))
+    salted = found.filter(F.col("n") > hub).select(F.col(key).alias("_k"), F.explode(salts).alias("_s"), F.col(value).alias("_large"), F.lit(True).alias("_hit"))
+    own = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(spread)).cast("int"))
+    with_large = own.join(salted, (F.col(key) == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left").drop("_k", "_s", "_salt")
+    large = with_large.filter("_hit").drop("_hit").withColumnRenamed("_large", value)
+    small = with_large.filter("_hit is null").drop("_large", "_hit").join(found.filter(F.col("n") <= hub).select(key, value), key)
+    return large.unionByName(small)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest id reachable."""
     marks = persist(with_fingerprint(docs, id_col, text_col, shingle).drop("tie"))
-    by_fp = grouped(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), bits)
-    firsts = by_fp.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = by_fp.join(firsts, "root").select("fp", "component_id")
-    return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
+    roots = components(near_links(by_fp.select("fp"), bits)).withColumnRenamed("u", "fp")
+    by_fp = persist(by_fp.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    firsts = persist(by_fp.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    named = looked_up(by_fp.select("fp", "rows", "root"), firsts, "root", "component_id").select("fp", F.col("rows").alias("n"), "component_id")
+    out = looked_up(marks, named, "fp", "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 WIDE_WORDS = 16
@@ -276,8 +288,8 @@ def near_marks(texts, shingle: int, similarity: float) -> pd.DataFrame:
     return pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "few": pd.Series(few, dtype=object), "wide": pd.Series(wide, dtype=object)})
 
 
-def bits_for(similarity: float, bits: int = WIDE_BITS, slack: float = 0.6) -> int:
-    """Differing bits to expect at a Jaccard likeness, plus a share of a standard deviation for sampling noise."""
+def bits_for(similarity: float, bits: int = WIDE_BITS, slack: float = 0.0) -> int:
+    """Differing bits to expect at a Jaccard likeness, plus ``slack`` standard deviations of sampling noise."""
     cosine = 2 * similarity / (1 + similarity)
     p = math.acos(cosine) / math.pi
     return round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
@@ -298,34 +310,63 @@ def wide_segments(rows: int, similarity: float, recall: float = 0.98) -> np.ndar
     return cuts
 
 
-def wide_tile_links(keys: np.ndarray, nodes: np.ndarray, words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star links among rows of equal key within ``most`` bits; chains of words prune pairs first."""
-    n, a_all, b_all, held = len(nodes), [], [], 0
-    left = np.arange(n - 1)
-    for d in range(1, n):
-        left = left[left + d < n]
-        left = left[keys[left] == keys[left + d]]
+def forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of the edges (a, b) of a spanning forest of least distances d (Boruvka's rounds).
+
+    Whatever distance turns out to be too far, what the edges up to it connect, the forest's do.
+    """
+    order = np.lexsort((b, a, d))
+    a, b = a[order], b[order]
+    label, rank, taken = np.arange(n), np.arange(len(a)), []
+    while True:
+        x, y = label[a], label[b]
+        live = x != y
+        a, b, rank, x, y = a[live], b[live], rank[live], x[live], y[live]
+        if not len(a):
+            break
+        nearest = np.full(n, len(order))
+        np.minimum.at(nearest, x, rank)
+        np.minimum.at(nearest, y, rank)
+        chosen = np.unique(nearest[nearest < len(order)])
+        taken.append(chosen)
+        at = np.searchsorted(rank, chosen)
+        label = stars(n, x[at], y[at])[label]
+    return order[np.sort(np.concatenate(taken))] if taken else np.empty(0, np.int64)
+
+
+def wide_tile_links(keys: np.ndarray, nodes: np.ndarray, words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (u, v, differing bits) among rows of equal key within ``most`` bits, as forests of nearest pairs.
+
+    A chain of words whose differences add up to more than ``most`` ends a pair's check.
+    """
+    n, a, b, d_all = len(nodes), [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    left, held = np.arange(n - 1), 0
+
+    def reduced():
+        x, y, d = np.concatenate(a), np.concatenate(b), np.concatenate(d_all)
+        at = forest(n, x, y, d)
+        return [x[at]], [y[at]], [d[at]]
+
+    for step in range(1, n):
+        left = left[left + step < n]
+        left = left[keys[left] == keys[left + step]]
         if not len(left):
             break
         at, spent = left, np.zeros(len(left), np.int64)
-        for length in range(1, WIDE_WORDS + 1):
-            spent = spent + np.bitwise_count(words[at, length - 1] ^ words[at + d, length - 1])
-            share = most * length / WIDE_WORDS
-            fits = spent <= (most if length == WIDE_WORDS else share + 3 * math.sqrt(share))
-            at, spent = at[fits], spent[fits]
+        for i in range(WIDE_WORDS):
+            spent = spent + np.bitwise_count(words[at, i] ^ words[at + step, i])
+            if i >= WIDE_WORDS // 4:
+                at, spent = at[spent <= most], spent[spent <= most]
         if len(at):
-            a_all.append(at)
-            b_all.append(at + d)
+            a.append(at)
+            b.append(at + step)
+            d_all.append(spent)
             held += len(at)
         if held > MAX_EDGES:
-            label = stars(n, np.concatenate(a_all), np.concatenate(b_all))
-            member = np.flatnonzero(label != np.arange(n))
-            a_all, b_all, held = [member], [label[member]], 0
-    if not a_all:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    label = stars(n, np.concatenate(a_all), np.concatenate(b_all))
-    member = np.flatnonzero(label != np.arange(n))
-    return nodes[member], nodes[label[member]]
+            a, b, d_all = reduced()
+            held = len(a[0])
+    (x,), (y,), (d,) = reduced()
+    return nodes[x], nodes[y], d
 
 
 def few_tile_links(keys: np.ndarray, nodes: np.ndarray, sets: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -365,28 +406,26 @@ def few_keys(held: bytes, similarity: float) -> np.ndarray:
     return np.frombuffer(held, np.uint64)[: n - math.ceil(similarity * n - 1e-9) + 1].astype(np.int64)
 
 
-#: Marks the key of a shingle, next to its 40 bits.
-BY_SHINGLE = 1 << 47
+def wide_links(nodes: DataFrame, similarity: float, rows: int, tile: int = 2048, slack: float = 2.5) -> DataFrame:
+    """(u, v, bits) over rows (node, few, wide): links that connect nodes of likeness ``similarity`` or more.
 
-
-def wide_links(nodes: DataFrame, similarity: float, rows: int, tile: int = 2048) -> DataFrame:
-    """(u, v) over rows (node, few, wide): stars that connect nodes of likeness ``similarity`` or more.
-
-    Small sets meet by their smallest shingles and are compared exactly, the others meet by
-    segments of their fingerprints.
+    Small sets meet by their smallest shingles and are compared exactly (bits 0). The others
+    meet by segments of their fingerprints and are linked if these differ in no more bits
+    than ``slack`` standard deviations above what ``similarity`` lets expect. Rows of one key
+    are dealt into pairs of tiles, so no task holds more than two tiles of a key at once.
     """
-    cuts, most = wide_segments(rows, similarity), bits_for(similarity)
+    cuts, most = wide_segments(rows, similarity), bits_for(similarity, slack=slack)
 
     def keys_of(batch: pd.DataFrame):
-        """(keys, places in the batch, what is compared)."""
+        """(keys, places in the batch, what is compared); an even key is a shingle's, an odd one a segment's."""
         small = np.flatnonzero(batch["few"].notna())
         if len(small):
             keys = [few_keys(s, similarity) for s in batch["few"].iloc[small]]
             at = np.repeat(small, [len(k) for k in keys])
-            yield np.concatenate(keys) | BY_SHINGLE, at, batch["few"].to_numpy()[at]
+            yield np.concatenate(keys) << 1, at, batch["few"].to_numpy()[at]
         large = np.flatnonzero(batch["wide"].notna())
         for key in segment_keys(batch["wide"].iloc[large]) if len(large) else ():
-            yield key, large, batch["wide"].to_numpy()[large]
+            yield key << 1 | 1, large, batch["wide"].to_numpy()[large]
 
     def segment_keys(wide: pd.Series):
         bits = np.unpackbits(np.frombuffer(b"".join(wide), np.uint8).reshape(-1, WIDE_BITS // 8), axis=1)
@@ -407,31 +446,64 @@ def wide_links(nodes: DataFrame, similarity: float, rows: int, tile: int = 2048)
                 yield pd.DataFrame({"key": key})
 
     def linked(rows: pd.DataFrame) -> pd.DataFrame:
-        by_shingle = rows["key"].to_numpy(np.int64) >> 12 >= BY_SHINGLE
-        few, wide = rows[by_shingle], rows[~by_shingle]
+        of_segment = rows["key"].to_numpy(np.int64) & 1 == 1
+        few, wide = rows[~of_segment], rows[of_segment]
         u, v = few_tile_links(pd.factorize(few["key"])[0], few["node"].to_numpy(np.int64), few["held"].tolist(), similarity)
         words = np.frombuffer(b"".join(wide["held"]), "<u8").reshape(-1, WIDE_WORDS)
-        x, y = wide_tile_links(pd.factorize(wide["key"])[0], wide["node"].to_numpy(np.int64), words, most)
-        return pd.DataFrame({"u": np.concatenate([u, x]), "v": np.concatenate([v, y])})
+        x, y, d = wide_tile_links(pd.factorize(wide["key"])[0], wide["node"].to_numpy(np.int64), words, most)
+        low, high = np.concatenate([u, np.minimum(x, y)]), np.concatenate([v, np.maximum(x, y)])
+        return pd.DataFrame({"u": low, "v": high, "bits": np.concatenate([np.zeros(len(u), np.int64), d])})
 
-    # a key is a shingle or the segment's number and its bits and, for the sake of large ones, a pair of tiles
+    # keys of large groups are hashed anew with each pair of tiles; two keys that collide only share a comparison
     large = nodes.select("few", "wide").mapInPandas(keys_only, "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile)
-    tiles = F.least(F.ceil(F.coalesce("n", F.lit(1)) / tile), F.lit(64)).cast("int")
+    tiles = F.ceil(F.col("n") / tile).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), tiles - 1), lambda o: F.col("key") * 4096 + F.least(o, own) * 64 + F.greatest(o, own))
+    kind = F.col("key").bitwiseAND(F.lit(1))
+    spread = F.transform(F.sequence(F.lit(0), tiles - 1), lambda o: F.xxhash64("key", F.least(o, own), F.greatest(o, own)).bitwiseAND(F.lit(~1)) + kind)
+    pair = F.when(F.col("n").isNull(), F.array("key")).otherwise(spread)
     tiled = nodes.select("node", "few", "wide").mapInPandas(index, "key long, node long, held binary").join(large, "key", "left").select(F.explode(pair).alias("key"), "node", "held")
-    found = tiled.repartition("key").sortWithinPartitions("key").mapInPandas(lambda b: whole_keys(b, ["key"], linked), "u long, v long")
-    return found.distinct()
+    found = tiled.repartition("key").sortWithinPartitions("key").mapInPandas(lambda b: whole_keys(b, ["key"], linked), "u long, v long, bits long")
+    return found.groupBy("u", "v").agg(F.min("bits").alias("bits"))
+
+
+def true_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, sure: float) -> DataFrame:
+    """(u, v): the links that hold. Those whose fingerprints leave a doubt are settled by the texts' shingle sets.
+
+    A link is beyond doubt if it was compared exactly, or has so few differing bits that a pair
+    of likeness ``similarity - 0.05`` has as few only ``sure`` standard deviations off.
+    """
+    links = persist(links)
+    clear = bits_for(similarity - 0.05, slack=-sure)
+    doubt = links.filter(F.col("bits") > clear)
+    asked = doubt.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = nodes.join(asked, "node").select("node", F.col("first.doc_id").alias("want_id"), F.col("first.tie").alias("want_tie"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("tie", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    met = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("tie") == F.col("want_tie")))
+    sets = persist(met.groupBy("node").agg(F.first("text").alias("text")))
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            x, y = shingle_set(x, shingle), shingle_set(y, shingle)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+        return pd.Series(out, dtype=bool)
+
+    pairs = doubt.join(sets.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+    return links.filter(F.col("bits") <= clear).select("u", "v").unionByName(pairs.filter(near("a", "b")).select("u", "v"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, one of each group of near copies: that of the smallest id.
 
     Near is a likeness of ``similarity`` or more between the sets of lower-cased shingles.
-    It is exact where one of two sets has FEW shingles or less, and else estimated by
-    SimHash fingerprints of 1,024 bits (at 0.8, to about 0.03). A likeness so far from 1
-    leaves no segment of a 64-bit fingerprint untouched, hence the width. Texts are equal
-    only if their shingle sets are.
+    Sets of FEW shingles or less are compared exactly. Others are candidates by SimHash
+    fingerprints of 1,024 bits (a likeness of 0.8 leaves no segment of a 64-bit fingerprint
+    untouched, hence the width), whose nearest pairs are settled by the shingle sets
+    themselves wherever the fingerprints leave a doubt. Texts are equal only if their shingle
+    sets are. Null and empty texts are one group; a row with an id is kept before one without,
+    and of equal rows one stays; an empty table gives an empty result.
     """
 
     @F.pandas_udf("node long, few binary, wide binary")
@@ -442,7 +514,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = persist(marks.select("doc_id", "tie", "m.node", "m.few", "m.wide"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")
     nodes = persist(marks.groupBy("node", "few", "wide").agg(first))
-    roots = components(wide_links(nodes.select("node", "few", "wide"), similarity, nodes.filter("wide is not null").count()))
+    links = wide_links(nodes.select("node", "few", "wide"), similarity, nodes.filter("wide is not null").count())
+    roots = components(true_links(links, nodes, docs, id_col, text_col, shingle, similarity, sure=4.0))
     by_node = nodes.drop("few", "wide").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     keep = by_node.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.tie")
     copies = marks.groupBy("doc_id", "tie").agg(F.count("*").alias("rows"))
