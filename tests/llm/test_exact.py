@@ -357,6 +357,66 @@ def test_schedule_is_of_low_discrepancy(docs):
         assert abs(half - share[s] / whole * (len(order) // 2)) <= 4
 
 
+def test_another_sequence_is_another_mix(spark, docs):
+    of = lambda sequence: {r["doc_id"]: r for r in mixing.mix_report(docs, block=64, sequence=sequence).collect()}
+    golden, other = of("golden"), of("van_der_corput")
+    assert sum(golden[i]["taken"] for i in golden) == sum(other[i]["taken"] for i in other)
+    assert sum(golden[i]["first_slot"] != other[i]["first_slot"] for i in golden) > len(golden) / 2
+    order = lambda sequence: [r["doc_id"] for r in mixing.mixed_documents(docs, block=64, sequence=sequence).collect()]
+    assert sorted(order("golden")) == sorted(order("van_der_corput")) and order("golden") != order("van_der_corput")
+
+
+def test_a_sequence_that_stands_still_serves_one_source(docs, monkeypatch):
+    monkeypatch.setitem(mixing.SEQUENCES, "still", (lambda slot: F.lit(0).cast("long"), 2))
+    rows = mixing.mix_report(docs, block=64, sequence="still").collect()
+    assert len({r["source"] for r in rows if r["taken"]}) == 1
+
+
+def test_mixed_rows_stand_in_slot_order(docs):
+    first = {r["doc_id"]: r["first_slot"] for r in mixing.mix_report(docs, block=64).collect()}
+    order = [r["doc_id"] for r in mixing.mixed_documents(docs, block=64).collect()]
+    seen, places = set(), []
+    for i in order:
+        if i not in seen and first[i] is not None:
+            places.append(first[i])
+        seen.add(i)
+    steps = np.diff(places)
+    assert np.mean(steps >= -64) > 0.9  # a document's copy may begin a block or two behind its first words
+
+
+def test_every_source_gets_its_ranks(spark):
+    """One word to half of all, in whatever order: the slots reach each source's target."""
+    rng = random.Random(6)
+    for sequence in mixing.SEQUENCES:
+        rows = [(f"s{i:03}", 10_000, float(rng.choice([1, 2, 5, 64, 65, 1000, 30_000]))) for i in range(300)]
+        targets = spark.createDataFrame(rows, "source string, source_size long, target double")
+        got = Counter()
+        for r in mixing.schedule(targets, 64, sequence).collect():
+            got[r["source"]] += r["end"] - r["begin"]
+        assert got == {s: int(t) for s, _, t in rows}
+
+
+def test_points_are_exact_far_out(spark):
+    slots = [0, 1, 2**20 - 1, 2**20, 10**9, 3 * 10**12]
+    got = spark.createDataFrame([(i,) for i in slots], "slot long").select(mixing.golden_points(F.col("slot")).alias("p"), mixing.van_der_corput_points(F.col("slot")).alias("v")).collect()
+    assert [r["p"] for r in got] == [(i + 1) * mixing.GOLDEN % 2**40 for i in slots]
+    assert [r["v"] for r in got[:4]] == [int(f"{i:040b}"[::-1], 2) for i in slots[:4]]
+
+
+def test_prefix_sums_in_levels(spark):
+    rng = random.Random(2)
+    rows = [(k, i, rng.randrange(9)) for k in ("a", None) for i in sorted(rng.sample(range(1000), 300))]
+    got = {(r["k"], r["i"]): r["base"] for r in mixing.with_base(spark.createDataFrame(rows, "k string, i long, n long"), ["k"], "i", "n", 1000, fan=7).collect()}
+    assert got == {(k, i): sum(n for x, j, n in rows if x == k and j < i) for k, i, _ in rows}
+
+
+def test_equal_rows_are_placed_once(spark):
+    df = spark.range(9000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("a").alias("source"))
+    rows = mixing.mix_report(df.unionByName(spark.createDataFrame([(1, "x y", "b")], df.schema)), block=64).collect()
+    taken = Counter((r["source"], r["taken"]) for r in rows)
+    assert len(rows) == 9001 and sum(s * n for (_, s), n in taken.items()) == sum({r["source"]: int(r["target"]) for r in rows}.values())
+
+
 def test_license_notices_with_one_word_more_or_less(spark):
     """At every place of every template; the pairs that are left decide."""
     rows, want = [], []

@@ -3,18 +3,25 @@
 Every source gets a target in words: the wanted total is shared by weight, no target
 exceeds ``max_passes`` times its source, and the excess is shared among the others. The
 documents of a source stand in a fixed shuffled order and form one long stream of words,
-cut into blocks of ``block`` words. Slot i of the schedule maps the golden-ratio point
-frac(i * phi) through the cumulative weights to a source; the slot's rank within its
-source is the block it takes; past the end the stream starts again. The last block is
-trimmed so that each source gives its target, rounded down.
+cut into blocks of ``block`` words; past the end the stream starts again. Slot i of the
+schedule maps the i-th point of a low-discrepancy sequence (golden ratio or van der Corput)
+through the cumulative weights to a source; the slot's rank within its source is the block
+it takes, and slots of a source that has its target are passed over. So the slots say which
+blocks are taken and where in the mix they stand. The last block is trimmed, so that each
+source gives its target, rounded down.
 
-Prefix sums over a source run in two steps, within buckets of the shuffled order and over
-the bucket totals, so a source with a third of all rows is spread over many tasks.
+Points are whole numbers of 40 bits, so they are exact at any number of slots. By the
+three-gap theorem, an interval of k/N holds k of the first 1.9 N golden-ratio points, so
+2 N slots serve every source.
+
+Prefix sums run level by level, over at most FAN rows in a window, so a source with a third
+of all rows is spread over many tasks. Windows over all sources hold one row per source.
 
 Edge cases: null texts have size 0, are kept and give nothing; a null source is a source,
-ordered last; null or repeated ids are allowed, equal rows share alike in whatever the row
-order gives; an empty table gives an empty result. Other columns of the input are ignored
-by ``mix_plan`` and passed through by ``mixed_documents``.
+ordered last; null or repeated ids are allowed; equal rows (id, source and text) are placed
+once and unfolded, so any number of them may be equal; an empty table gives an empty
+result. Other columns of the input are ignored by ``mix_report`` and passed through by
+``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -28,8 +35,10 @@ from pyspark.sql import Window
 from weftline.llm.common import persist, unused
 
 WEIGHTS = (5, 2, 1)
-BUCKET_ROWS = 2_000
-GOLDEN = (math.sqrt(5) - 1) / 2
+BUCKET_ROWS, FAN = 2_000, 4_096
+BITS = 40
+#: The golden ratio's fraction in units of 2**-BITS, made odd.
+GOLDEN = round((math.sqrt(5) - 1) / 2 * 2**BITS) | 1
 
 
 def word_count(text: Column) -> Column:
@@ -57,107 +66,161 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total_share: float = 1.5,
     return lines.select("source", "source_size", "weight", target.alias("target"))
 
 
+def with_base(rows: DataFrame, keys: list[str], at: str, value: str, size: int, fan: int = FAN) -> DataFrame:
+    """Add ``base``, the sum of ``value`` over rows of equal keys with smaller ``at``, a whole number below ``size``, to rows that are one for each keys and ``at``."""
+    if size <= fan:
+        before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("base", F.coalesce(F.sum(value).over(before), F.lit(0).cast("long")))
+    up, total = f"{at}_up", f"{value}_up"
+    raised = rows.withColumn(up, F.floor(F.col(at) / fan))
+    sums = with_base(raised.groupBy(*keys, up).agg(F.sum(value).alias(total)), keys, up, total, -(-size // fan), fan)
+    named = sums.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), F.col(up).alias("_up"), F.col("base").alias("_base"))
+    same = F.col(up) == F.col("_up")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_{i}"))
+    before = Window.partitionBy(*keys, up).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    base = F.col("_base") + F.coalesce(F.sum(value).over(before), F.lit(0).cast("long"))
+    return raised.join(named, same).withColumn("base", base).drop(up, "_up", "_base", *(f"_{i}" for i in range(len(keys))))
+
+
+def unfolded(rows: DataFrame, times: str, part: int = FAN) -> DataFrame:
+    """Each row ``times`` times over, with its number in ``copy_no``; long runs are unfolded in parts dealt over tasks."""
+    number = lambda first, n: F.explode(F.sequence(first, first + n - 1))
+    zero = F.lit(0).cast("long")
+    few = rows.filter(F.col(times) <= part).withColumn("copy_no", number(zero, F.col(times)))
+    parts = rows.filter(F.col(times) > part).withColumn("_first", F.explode(F.sequence(zero, F.col(times) - 1, F.lit(part).cast("long")))).repartition("place", "_first")
+    many = parts.withColumn("copy_no", number(F.col("_first"), F.least(F.lit(part).cast("long"), F.col(times) - F.col("_first")))).drop("_first")
+    return few.unionByName(many)
+
+
 def placed(sizes: DataFrame, rows: int) -> DataFrame:
     """Add ``start``, where each row begins in its source's shuffled stream of words.
 
-    The order is that of an md5 over id and text hash; its first hex digits are the bucket.
+    The order is that of an md5 over id, source and text; its first hex digits are the bucket.
     """
     digits = max(0, math.ceil(math.log(max(rows / BUCKET_ROWS, 1e-9), 16)))
-    keyed = sizes.withColumn("bucket", F.substring("place", 1, digits) if digits else F.lit(""))
-    totals = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("source", "bucket").orderBy("place", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
-    local = keyed.withColumn("local", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    joined = local.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    return joined.withColumn("start", F.col("base") + F.col("local")).drop("s", "b", "base", "local", "bucket")
+    bucket = F.conv(F.substring("place", 1, digits), 16, 10).cast("long") if digits else F.lit(0).cast("long")
+    once = sizes.groupBy("source", "place", "doc_id", "size", "tie").agg(F.count("*").alias("times")).withColumn("bucket", bucket)
+    totals = once.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("times")).alias("bucket_size"))
+    bases = with_base(totals, ["source"], "bucket", "bucket_size", 16**digits).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "base")
+    within = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    local = once.withColumn("local", F.coalesce(F.sum(F.col("size") * F.col("times")).over(within), F.lit(0).cast("long")))
+    joined = local.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b", "bucket")
+    start = F.col("base") + F.col("local") + F.col("copy_no") * F.col("size")
+    return unfolded(joined, "times").withColumn("start", start).drop("base", "local", "copy_no", "times")
+
+
+def golden_points(slot: Column, step: int = GOLDEN) -> Column:
+    """(slot + 1) * step modulo 2**BITS, in two halves that stay below 2**63."""
+    v, half = slot + 1, 1 << (BITS // 2)
+    low, high = v.bitwiseAND(F.lit(half - 1).cast("long")), F.shiftright(v, BITS // 2)
+    return F.pmod(low * F.lit(step) + F.pmod(high * F.lit(step), F.lit(half)) * F.lit(half), F.lit(1 << BITS))
+
+
+def van_der_corput_points(slot: Column) -> Column:
+    """The slot's bits in reverse."""
+    return F.conv(F.reverse(F.lpad(F.bin(slot), BITS, "0")), 2, 10).cast("long")
 
 
-def schedule(targets: DataFrame, block: int) -> DataFrame:
+#: Points of a slot, and how many times as many slots as blocks give every source its ranks.
+SEQUENCES = {"golden": (golden_points, 2), "van_der_corput": (van_der_corput_points, 4)}
+
+
+def schedule(targets: DataFrame, block: int, sequence: str = "golden") -> DataFrame:
     """(source, slot, rank, begin, end, source_size): what each slot of the mix takes.
 
-    Slot points meet the sources' intervals of cumulative weight in an equi-join on a grid
-    of cells. Low discrepancy leaves a source at most a few ranks short of its target by the
-    end; those come as extra slots behind the others. Ranks beyond the target are dropped.
+    Slot points meet the sources' intervals in an equi-join on a grid of cells, of which
+    there are at least four times as many as sources.
     """
-    spark, cells, part = targets.sparkSession, 1024, 65_536
-    cum, whole = Window.orderBy(F.col("source").asc_nulls_last()), Window.partitionBy()  # one row per source
-    shares = targets.filter("target >= 1").select(
-        "source", "source_size", F.floor("target").alias("want"), F.ceil(F.floor("target") / block).alias("slots"),
-        (F.coalesce(F.sum("target").over(cum.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) / F.sum("target").over(whole)).alias("low"),
-        (F.sum("target").over(cum.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("target").over(whole)).alias("high"),
-    )
-    length = targets.agg(F.coalesce(F.sum(F.ceil(F.floor("target") / block)), F.lit(0)).alias("n")).first()["n"]
-    slots = spark.range(length).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)).alias("point"))
-    slots = slots.withColumn("cell", F.floor(F.col("point") * cells))
-    spread = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells), F.floor(F.col("high") * cells))))
-    hits = slots.join(spread, "cell").filter((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))).select("source", "slot", F.floor(F.col("slot") / part).alias("part"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = hits.groupBy("source", "part").count().select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    spark, part = targets.sparkSession, 65_536
+    point, spare = SEQUENCES[sequence]
+    upto = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)  # one row per source
+    shares = targets.filter("target >= 1").select("source", "source_size", F.floor("target").alias("want"), F.ceil(F.floor("target") / block).alias("slots"))
+    shares = persist(shares.withColumn("upto", F.sum("slots").over(upto)))
+    known = shares.agg(F.coalesce(F.max("upto"), F.lit(0)).alias("slots"), F.count("*").alias("sources")).first()
+    length = spare * known["slots"] + 16
+    edge = lambda c: F.floor(c.cast("double") / max(1, known["slots"]) * 2**BITS)
+    shift = BITS - max(10, known["sources"].bit_length() + 2)
+    bounds = shares.select("source", "source_size", "want", "slots", edge(F.col("upto") - F.col("slots")).alias("low"), edge(F.col("upto")).alias("high"))
+    spread = bounds.withColumn("cell", F.explode(F.sequence(F.shiftright("low", shift), F.shiftright(F.col("high") - 1, shift))))
+    points = spark.range(length if known["slots"] else 0).select(F.col("id").alias("slot"), point(F.col("id")).alias("point")).withColumn("cell", F.shiftright("point", shift))
+    hits = points.join(spread, "cell").filter((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
+    hits = hits.select("source", "source_size", "want", "slots", "slot", F.floor(F.col("slot") / part).alias("part"))
+    bases = with_base(hits.groupBy("source", "part").agg(F.count("*").alias("n")), ["source"], "part", "n", -(-length // part))
+    bases = bases.select(F.col("source").alias("s"), F.col("part").alias("p"), "base")
     local = hits.withColumn("local", F.row_number().over(Window.partitionBy("source", "part").orderBy("slot")) - 1)
-    ranked = local.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select(F.col("source").alias("s"), (F.col("base") + F.col("local")).alias("r"), "slot")
-    # ranks unfold in two steps with a shuffle between them, so a source with most slots is not unfolded in one task
-    parts = shares.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(part).cast("long"))))
-    dealt = parts.repartition(max(1, math.ceil(length / (16 * part))), "source", "first")
-    wanted = dealt.withColumn("rank", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + part, F.col("slots")) - 1))).drop("first")
-    joined = wanted.join(ranked, F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("r")), "left")
+    ranked = local.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).withColumn("rank", F.col("base") + F.col("local"))
     begin = F.col("rank") * block
-    return joined.select("source", F.coalesce(F.col("slot"), F.col("rank") + length).alias("slot"), "rank", begin.alias("begin"), F.least(begin + block, F.col("want")).alias("end"), "source_size")
+    return ranked.filter("rank < slots").select("source", "slot", "rank", begin.alias("begin"), F.least(begin + block, F.col("want")).alias("end"), "source_size")
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, total_share: float = 1.5, max_passes: int = 2, block: int = 1024) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, total_share: float = 1.5, max_passes: int = 2, block: int = 1024, sequence: str = "golden") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, targets, slots): placed documents, targets by source and the schedule."""
+    whole = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(source_col), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
     sizes = persist(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(source_col), F.lit("")))).alias("place"),
-        F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("tie"),
+        F.md5(whole).alias("place"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("tie"),
     ))
-    targets = source_targets(sizes, weights, total_share, max_passes)
-    targets = persist(targets)
-    return placed(sizes, sizes.count()), targets, schedule(targets, block)
+    targets = persist(source_targets(sizes, weights, total_share, max_passes))
+    return placed(sizes, sizes.count()), targets, schedule(targets, block, sequence)
 
 
-def taken_words(rows: DataFrame, targets: DataFrame, slots: DataFrame, block: int, max_passes: int = 2) -> DataFrame:
-    """Add ``taken``: the words the schedule takes from each document, repeats counted.
+def taken_passes(rows: DataFrame, targets: DataFrame, slots: DataFrame, block: int, max_passes: int = 2) -> DataFrame:
+    """The words that slots take from each document (of words) in each pass, with the first such slot.
 
-    A document meets the blocks that its span covers in every pass; slots join them by
-    source and block rank.
+    A document meets the blocks that its span covers; slots join them by source and block rank.
     """
-    passes = rows.filter("size > 0").withColumn("pass_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_passes - 1).cast("long"))))
-    sized = passes.join(targets.select(F.col("source").alias("s"), F.col("source_size").alias("total")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    spans = sized.withColumn("from", F.col("start") + F.col("pass_no") * F.col("total")).withColumn("to", F.col("from") + F.col("size"))
-    pieces = spans.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
-    takes = slots.select(F.col("source").alias("s"), F.col("rank").alias("r"), "begin", "end")
+    named = targets.select(F.col("source").alias("s"), F.col("source_size").alias("total"), F.floor("target").alias("want"))
+    sized = rows.filter("size > 0").join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    passes = sized.withColumn("pass_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_passes - 1).cast("long"))))
+    spans = passes.withColumn("from", F.col("start") + F.col("pass_no") * F.col("total")).withColumn("to", F.col("from") + F.col("size"))
+    last = F.floor((F.least("to", "want") - 1) / block)
+    pieces = spans.filter("`from` < want").withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block), last)))
+    takes = slots.select(F.col("source").alias("s"), F.col("rank").alias("r"), "slot", "begin", "end")
     met = pieces.join(takes, F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("r")))
     words = F.least("to", "end") - F.greatest("from", "begin")
-    got = met.filter(words > 0).groupBy(F.col("source").alias("s"), F.col("start").alias("at"), F.col("size").alias("z")).agg(F.sum(words).alias("taken"))
-    out = rows.join(got, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")) & (F.col("size") == F.col("z")), "left")
-    return out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("s", "at", "z")
+    return met.groupBy("source", "place", "start", "doc_id", "tie", "size", "pass_no").agg(F.sum(words).alias("words"), F.min("slot").alias("slot"))
 
 
 def mix_report(docs: DataFrame, block: int = 1024, **options) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every document."""
+    """doc_id, source, size, source_size, target, taken and first_slot (null if nothing is taken) for every document."""
     rows, targets, slots = mix_plan(docs, block=block, **options)
-    taken = taken_words(rows, targets, slots, block, options.get("max_passes", 2))
+    rows = persist(rows)
+    passes = taken_passes(rows, targets, slots, block, options.get("max_passes", 2))
+    got = passes.groupBy("source", "place", "start").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    got = got.select(F.col("source").alias("s"), F.col("place").alias("p"), F.col("start").alias("at"), "taken", "first_slot")
+    # a document without words shares its start with the next one, but not its place
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("place") == F.col("p")) & (F.col("start") == F.col("at"))
+    taken = rows.join(got, same, "left").drop("s", "p", "at")
     named = targets.select(F.col("source").alias("s"), "source_size", "target")
-    return taken.join(named, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", "taken")
+    out = taken.join(named, F.col("source").eqNullSafe(F.col("s")))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, rounded to whole documents.
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 1024, max_passes: int = 2, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, rounded to whole documents, in the order of the schedule.
 
-    A document is copied once for each pass that takes at least half of its words.
+    A document is copied once for each pass in which slots take at least half of its words;
+    the copy stands where the first of them does. Documents without words come first, once.
     """
-    rows, targets, _ = mix_plan(docs, id_col, text_col, source_col, **options)
-    named = targets.select(F.col("source").alias("s"), F.col("source_size").alias("total"), F.floor("target").alias("want"))
-    placed_rows = rows.join(named, F.col("source").eqNullSafe(F.col("s")))
-    middle = F.col("start") + F.floor(F.col("size") / 2)
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.when(middle < F.col("want"), 1).otherwise(0) + F.when(middle + F.col("total") < F.col("want"), 1).otherwise(0))
-    counts = placed_rows.groupBy("doc_id", "tie", F.col("source").alias("src")).agg(F.sum(copies).alias("copies"), F.count("*").alias("rows"))
-    tie, copy = unused(docs, "_tie"), unused(docs, "_copy")
-    keyed = docs.withColumn(tie, F.coalesce(F.xxhash64(text_col), F.lit(0)))
-    cond = F.col(f"_d.{id_col}").eqNullSafe(F.col("_c.doc_id")) & F.col(f"_d.{source_col}").eqNullSafe(F.col("_c.src")) & (F.col(f"_d.{tie}") == F.col("_c.tie"))
-    joined = keyed.alias("_d").join(counts.alias("_c"), cond)
+    rows, targets, slots = mix_plan(docs, id_col, text_col, source_col, block=block, max_passes=max_passes, **options)
+    rows = persist(rows)
+    passes = taken_passes(rows, targets, slots, block, max_passes)
+    key = ["doc_id", "tie", "source"]
+    chosen = F.col("words") * 2 >= F.col("size")
+    of_pass = lambda i: F.min(F.when(chosen & (F.col("pass_no") == i), F.col("slot"))).alias(f"slot_{i}")
+    copies = passes.groupBy(*key).agg(F.count(F.when(chosen, 1)).alias("copies"), *(of_pass(i) for i in range(max_passes)))
+    empty = rows.filter("size = 0").groupBy(*key).agg(F.count("*").alias("rows"))
+    whole = rows.filter("size > 0").groupBy(*key).agg(F.count("*").alias("rows"))
+    names = [F.col(f"k_{c}").eqNullSafe(F.col(c)) for c in key]
+    counted = copies.join(whole.select(*(F.col(c).alias(f"k_{c}") for c in key), "rows"), names)
     # equal rows share their copies: each gets the rounded-up share
-    times = F.ceil(F.col("_c.copies") / F.col("_c.rows")).cast("int")
-    return joined.filter(times > 0).select(*(F.col(f"_d.`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), times)).alias(copy)).drop(copy)
+    times = F.ceil(F.col("copies") / F.col("rows")).cast("int")
+    at = F.slice(F.array_compact(F.array(*(f"slot_{i}" for i in range(max_passes)))), F.lit(1), times)
+    marks = counted.filter("copies > 0").select(*key, at.alias("slots")).unionByName(empty.select(*key, F.array(F.lit(-1).cast("long")).alias("slots")))
+    tie, slot = unused(docs, "_tie"), unused(docs, "_slot")
+    keyed = docs.withColumn(tie, F.coalesce(F.xxhash64(text_col), F.lit(0)))
+    cond = F.col(f"_d.{id_col}").eqNullSafe(F.col("_c.doc_id")) & F.col(f"_d.{source_col}").eqNullSafe(F.col("_c.source")) & (F.col(f"_d.{tie}") == F.col("_c.tie"))
+    joined = keyed.alias("_d").join(marks.alias("_c"), cond)
+    out = joined.select(*(F.col(f"_d.`{c}`") for c in docs.columns), F.explode("_c.slots").alias(slot))
+    return out.repartitionByRange(slot).sortWithinPartitions(slot).drop(slot)

@@ -32,19 +32,26 @@ FROM d LEFT JOIN found USING (r)"""
 
 
 def mix_sql() -> str:
-    w = mixing.WEIGHTS
+    w, b, half, block = mixing.WEIGHTS, mixing.BITS, 1 << (mixing.BITS // 2), 1024
     return rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS size, md5(concat_ws('|', coalesce(doc_id::varchar, ''), coalesce(source, ''))) AS place FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS size, md5(concat_ws('|', coalesce(doc_id::varchar, ''), coalesce(source, ''), coalesce(text, ''))) AS place FROM documents),
 s AS (SELECT source, sum(size)::bigint AS source_size, ([{', '.join(map(str, w))}])[((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % {len(w)}) + 1] AS weight FROM d GROUP BY source),
 c AS (SELECT *, 2 * source_size AS cap, (2 * source_size)::double / weight AS ratio FROM s),
 l AS (SELECT *, (sum(source_size) OVER ()::double * 1.5 - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::double) / (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::double AS line
   FROM c WINDOW o AS (ORDER BY ratio, encode(source) NULLS LAST)),
 water AS (SELECT arg_min(line, ratio) AS line FROM l WHERE line <= ratio),
 t AS (SELECT l.source, source_size, CASE WHEN water.line IS NULL OR water.line * weight > cap THEN cap::double ELSE water.line * weight END AS target FROM l, water),
-p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start FROM d)
-SELECT doc_id, p.source, size, source_size, target,
-  (greatest(0, least(start + size, floor(target)::bigint) - start) + greatest(0, least(start + size + source_size, floor(target)::bigint) - start - source_size))::bigint AS taken
-FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source"""
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start FROM d),
+w AS (SELECT source, floor(target)::bigint AS want, (floor(target)::bigint + {block} - 1) // {block} AS slots FROM t WHERE target >= 1),
+n AS (SELECT coalesce(sum(slots), 0)::bigint AS n FROM w),
+i AS (SELECT w.source, want, slots, floor((sum(slots) OVER o - slots)::double / n * {1 << b}::double)::bigint AS low, floor((sum(slots) OVER o)::double / n * {1 << b}::double)::bigint AS high FROM w, n WINDOW o AS (ORDER BY encode(w.source) NULLS LAST)),
+q AS (SELECT slot, ((((slot + 1) & {half - 1}) * {mixing.GOLDEN} + ((((slot + 1) >> {b // 2}) * {mixing.GOLDEN}) % {half}) * {half}) % {1 << b})::bigint AS point FROM (SELECT unnest(range(2 * n + 16)) AS slot FROM n)),
+h AS (SELECT source, want, slots, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM q JOIN i ON point >= low AND point < high QUALIFY rank < slots),
+x AS (SELECT r, doc_id, p.source, size, source_size, target, start + pass * source_size AS f FROM (SELECT *, row_number() OVER () AS r FROM p) p JOIN t ON p.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) v(pass)),
+k AS (SELECT r, sum(least(f + size, (rank + 1) * {block}, want) - greatest(f, rank * {block})) AS taken, min(slot) AS first_slot
+  FROM x JOIN h ON x.source IS NOT DISTINCT FROM h.source AND rank >= f // {block} AND rank * {block} < f + size AND f < want AND size > 0 WHERE rank * {block} < want GROUP BY r)
+SELECT doc_id, source, size, source_size, target, coalesce(taken, 0)::bigint AS taken, first_slot::bigint AS first_slot
+FROM (SELECT DISTINCT r, doc_id, source, size, source_size, target FROM x) LEFT JOIN k USING (r)"""
 
 
 def url_sql(depth: int = urls.DEPTH, max_siblings: int = 12, min_share: float = 0.05, m: float = 5.0, reject_at: float = 0.8, z: float = 2.0) -> str:
