@@ -459,7 +459,8 @@ def test_language_held_out(spark):
 def test_backpropagation_is_the_gradient():
     tagger = langid.ByteTagger(["a", "b"], hidden=3)
     tagger.p = {k: v.astype(np.float64) for k, v in tagger.p.items()}
-    codes, mask = langid.as_codes([b"abc", b"zy"])
+    codes = np.frombuffer(b"abczy\0", np.uint8).reshape(2, 3)
+    mask = (codes != 0).astype(float)
     y = np.array([0, 1])
     g, _ = tagger.gradients(codes, mask, y)
     for k in tagger.p:
@@ -475,8 +476,71 @@ def test_backpropagation_is_the_gradient():
 
 def test_language_of_every_byte():
     tagger = langid.ByteTagger(["x", "y"])
-    tagger.fit([b"aaa", b"aba", b"zzz", b"zyz"] * 20, np.array([0, 0, 1, 1] * 20), epochs=20)
-    assert tagger.label_bytes(b"aab") == ["x"] * 3 and tagger.label_bytes(b"zz") == ["y"] * 2
+    codes, of = langid.windows_of(["aaa bab 1 " * 40, "zzz yzy 1 " * 40])
+    tagger.fit(np.repeat(codes, 10, axis=0), np.repeat(of, 10), epochs=10)
+    assert tagger.label_bytes("aab, 1 a") == ["x"] * 8 and tagger.label_bytes("zz 11 z") == ["y"] * 7
+    mixed = tagger.label_bytes("aaa bab 1 " * 30 + "zzz yzy 1 " * 30)
+    assert mixed[:250] == ["x"] * 250 and mixed[-250:] == ["y"] * 250
+
+
+def test_windows_hold_every_byte_once_and_see_their_neighbours():
+    text = "".join(chr(97 + i % 26) for i in range(1000))
+    codes, of = langid.windows_of(["", text, "b"])
+    assert of.tolist() == [1] * 11 + [2]
+    core = b"".join(c[langid.CONTEXT : -langid.CONTEXT].tobytes() for c in codes[:11]).rstrip(b"\0")
+    assert core.decode() == text
+    assert bytes(codes[3]) == text.encode()[3 * 96 - 16 : 4 * 96 + 16] and not codes[0][: langid.CONTEXT].any()
+
+
+def slow_probabilities(tagger, window):
+    """The network of one window, a byte and a unit at a time."""
+    p, k, states = tagger.p, tagger.hidden, {}
+    for d in "fb":
+        h, out = np.zeros(k), {}
+        for t in range(len(window)) if d == "f" else reversed(range(len(window))):
+            if window[t]:
+                x = p[f"x{d}"][window[t]].astype(float)
+                z = 1 / (1 + np.exp(-(x[:k] + h @ p[f"r{d}"][:, :k])))
+                g = 1 / (1 + np.exp(-(x[k : 2 * k] + h @ p[f"r{d}"][:, k:])))
+                h = (1 - z) * h + z * np.tanh(x[2 * k :] + (g * h) @ p[f"c{d}"])
+            out[t] = h
+        states[d] = out
+    rows = []
+    for t in range(len(window)):
+        e = np.exp(np.concatenate([states["f"][t], states["b"][t]]) @ p["out"] + p["bias"])
+        rows.append(e / e.sum())
+    return np.array(rows)
+
+
+def test_pooling_is_brute_force():
+    tagger = langid.ByteTagger(["a", "b", "c"], seed=3)
+    texts = ["Ein kurzer Text, 12 Wörter.", "x" * 300 + " 7 " + "é" * 50, "no"]
+    got = tagger.pooled(texts)
+    for text, row in zip(texts, got):
+        codes, _ = langid.windows_of([text])
+        total, n = np.zeros(3), 0
+        for window in codes:
+            p = slow_probabilities(tagger, window)
+            for t in range(langid.CONTEXT, langid.WINDOW - langid.CONTEXT):
+                if 97 <= window[t] <= 122 or window[t] >= 128:
+                    total, n = total + p[t], n + 1
+        assert row[-1] == n and np.allclose(row[:-1], total, atol=1e-3)
+
+
+def test_scores_do_not_depend_on_the_batch():
+    tagger = langid.ByteTagger(["a", "b"])
+    texts = [f"text {i} " * (i % 40 + 1) for i in range(3000)]
+    whole = tagger.pooled(texts)
+    assert np.array_equal(whole[100:200], tagger.pooled(texts[100:200])) and np.array_equal(whole[2999], tagger.pooled(texts[2999:])[0])
+
+
+def test_undetermined_texts_and_many_languages(spark):
+    odd = ["½ ² ①", "12 ½", "ª", "一", None, ""]
+    rows = [(i, t, None) for i, t in enumerate(odd)] + [(100 + i, f"l{i % 70} " * 30, f"l{i % 70}") for i in range(140)]
+    tagger = langid.train_tagger(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_windows=2)
+    assert len(tagger.langs) == 70
+    got = langid.identify_languages(spark.createDataFrame(rows[:6], "doc_id long, text string, lang string"), tagger).orderBy("doc_id").collect()
+    assert [r["language"]["lang_pred"] == "und" for r in got] == [True, True, False, False, True, True]
 
 
 def test_toxicity_held_out(spark):

@@ -1,16 +1,19 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads lower-cased letter runs byte by byte in both directions, with a fresh
-state for every run, and gives each byte a distribution over the learned languages; a
-document's distribution is the mean over all of its bytes. A run's bytes are labelled
-whatever stands around it, so each distinct run goes through the network once per task and
-the whole text counts. Training is backpropagation through time in numpy on a bounded,
-documented sample of the labelled rows (``sample_docs``, ``sample_runs``).
-
-Edge cases: texts that are null or have no letter are ``und`` with score 0; with no
-labelled row to learn from, every text is; runs of over ``WINDOW`` bytes are read in
-windows; every row gives one row; an empty table gives an empty result. Other columns are
-ignored.
+The network reads the lower-cased UTF-8 bytes of whole texts, blanks, digits and marks
+included, in windows of WINDOW bytes of which each overlaps its neighbours by CONTEXT bytes
+on either side, so both states have run over that much text before a byte counts. Every
+byte gets a distribution over the learned languages; a document's distribution is the mean
+over the bytes of its letters, as digits and marks belong to no language. Training is
+backpropagation through time in numpy on a bounded, documented sample of labelled rows
+(``sample_docs``, ``sample_windows``), all languages included.
+
+Windows go through the network in batches of one fixed shape, so a text's score does not
+depend on which texts it shares a batch with.
+
+Edge cases: texts that are null or have no letter are ``und`` with score 0 (numerals such as
+the half sign are no letters); with no labelled row to learn from, every text is; every row
+gives one row; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,18 +27,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-WINDOW, HIDDEN = 24, 8
-RUN = re.compile(rb"[a-z\x80-\xff]+")
+CORE, CONTEXT, HIDDEN = 96, 16, 12
+WINDOW = CORE + 2 * CONTEXT
+BATCH = 1024
 LETTER = re.compile(r"[^\W\d_]")
 CALL_CHARS = 500_000
+#: Bytes that letters are made of once they are lower-cased.
+OF_LETTERS = np.zeros(256, np.float32)
+OF_LETTERS[97:123] = OF_LETTERS[128:] = 1
 
 
-def byte_runs(text: str) -> list[bytes]:
-    """Lower-cased letter runs; windows of long ones."""
-    runs = RUN.findall(text.lower().encode("utf-8", "replace"))
-    if any(map(WINDOW.__lt__, map(len, runs))):
-        runs = [r[i : i + WINDOW] for r in runs for i in range(0, len(r), WINDOW)]
-    return runs
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
+
+
+def windows_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(windows of bytes, the text that each is of). Bytes beyond a text's ends are 0."""
+    data, ends, at = [], [], 0
+    for text in texts:
+        raw = text.lower().encode("utf-8", "replace")
+        n = -(-len(raw) // CORE)
+        data.append(raw.ljust(n * CORE, b"\0"))
+        ends.append(n)
+    counts = np.array(ends, np.int64)
+    of = np.repeat(np.arange(len(texts)), counts)
+    if not len(of):
+        return np.zeros((0, WINDOW), np.uint8), of
+    core = np.frombuffer(b"".join(data), np.uint8).reshape(-1, CORE)
+    out = np.zeros((len(core), WINDOW), np.uint8)
+    out[:, CONTEXT:-CONTEXT] = core
+    follows = of[1:] == of[:-1]  # the window before is of the same text
+    out[1:, :CONTEXT][follows] = core[:-1, -CONTEXT:][follows]
+    out[:-1, -CONTEXT:][follows] = core[1:, :CONTEXT][follows]
+    return out, of
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -69,10 +93,10 @@ class ByteTagger:
             out[t] = h
         return out
 
-    def probabilities(self, codes: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """(steps, words, languages)"""
+    def probabilities(self, codes: np.ndarray, mask: np.ndarray, keep: dict | None = None, keep_steps: slice = slice(None)) -> np.ndarray:
+        """(steps, windows, languages)"""
         kept = {d: [] for d in "fb"} if keep is not None else {"f": None, "b": None}
-        states = np.concatenate([self.scan(codes, mask, d, kept[d]) for d in "fb"], axis=2)
+        states = np.concatenate([self.scan(codes, mask, d, kept[d])[keep_steps] for d in "fb"], axis=2)
         logits = states @ self.p["out"] + self.p["bias"]
         e = np.exp(logits - logits.max(axis=2, keepdims=True))
         if keep is not None:
@@ -107,16 +131,14 @@ class ByteTagger:
             g |= {f"x{d}": gx, f"r{d}": gr, f"c{d}": gc}
         return g, loss
 
-    def fit(self, runs: list[bytes], y: np.ndarray, epochs: int = 14, batch: int = 256, rate: float = 0.02, seed: int = 11) -> list[float]:
+    def fit(self, codes: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.02, seed: int = 11) -> list[float]:
         rng, moments, step, losses = np.random.default_rng(seed), {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}, 0, []
-        codes, mask = as_codes(runs)
-        length = mask.sum(1).astype(int)
+        mask = (codes != 0).astype(np.float32)
         for epoch in range(epochs):
-            order, total = rng.permutation(len(runs)), 0.0
-            for at in range(0, len(runs), batch):
+            order, total = rng.permutation(len(codes)), 0.0
+            for at in range(0, len(codes), batch):
                 rows = order[at : at + batch]
-                steps = max(1, length[rows].max())
-                g, loss = self.gradients(codes[rows, :steps], mask[rows, :steps], y[rows])
+                g, loss = self.gradients(codes[rows], mask[rows], y[rows])
                 step, total = step + 1, total + loss
                 lr = rate * (1 - 0.9 * epoch / epochs)
                 for k, v in g.items():
@@ -124,55 +146,28 @@ class ByteTagger:
                     m1 += 0.1 * (v - m1)
                     m2 += 0.01 * (v * v - m2)
                     self.p[k] -= lr * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
-            losses.append(total / max(1, -(-len(runs) // batch)))
+            losses.append(total / max(1, -(-len(codes) // batch)))
         return losses
 
-    def run_sums(self, runs: list[bytes], batch: int = 2048) -> np.ndarray:
-        """For each run: the sum over its bytes of their distributions, and its number of bytes."""
-        out = np.zeros((len(runs), len(self.langs) + 1), np.float32)
-        lengths = np.fromiter(map(len, runs), np.int64, len(runs))
-        order = np.argsort(lengths, kind="stable")
-        for at in range(0, len(runs), batch):
-            rows = order[at : at + batch]
-            codes, mask = as_codes([runs[i] for i in rows])
-            p = self.probabilities(codes, mask)
-            out[rows, :-1] = np.einsum("tnl,nt->nl", p, mask)
-            out[rows, -1] = lengths[rows]
-        return out
-
-    def label_bytes(self, run: bytes) -> list[str]:
-        """The language of each byte of one run."""
-        codes, mask = as_codes([run])
-        return [self.langs[i] for i in self.probabilities(codes, mask)[:, 0].argmax(1)[: len(run)]]
-
-
-def as_codes(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    steps = max(map(len, runs), default=1)
-    codes = np.frombuffer(b"".join(r.ljust(steps, b"\0") for r in runs), np.uint8).reshape(len(runs), steps)
-    lengths = np.fromiter(map(len, runs), np.int64, len(runs))
-    return codes, (np.arange(steps)[None] < lengths[:, None]).astype(np.float32)
-
-
-class Pool:
-    """Distinct runs seen by a task and their sums; forgets everything when full."""
-
-    LIMIT = 400_000
-
-    def __init__(self, tagger: ByteTagger):
-        self.tagger, self.at, self.sums = tagger, {}, np.zeros((0, len(tagger.langs) + 1), np.float32)
+    def label_bytes(self, text: str) -> list[str]:
+        """The language of each byte of the lower-cased text."""
+        codes, _ = windows_of([text])
+        best = self.probabilities(codes, (codes != 0).astype(np.float32)).argmax(2).T[:, CONTEXT:-CONTEXT]
+        return [self.langs[i] for i in best.reshape(-1)[: len(text.lower().encode("utf-8", "replace"))]]
 
     def pooled(self, texts: list[str]) -> np.ndarray:
-        split = [byte_runs(t) for t in texts]
-        if len(self.at) > self.LIMIT:
-            self.at, self.sums = {}, self.sums[:0]
-        fresh = list(set().union(*split).difference(self.at))
-        if fresh:
-            self.at.update(zip(fresh, range(len(self.at), len(self.at) + len(fresh))))
-            self.sums = np.concatenate([self.sums, self.tagger.run_sums(fresh)])
-        out = np.zeros((len(texts), self.sums.shape[1]))
-        for i, runs in enumerate(split):
-            if runs:
-                out[i] = self.sums[np.fromiter(map(self.at.__getitem__, runs), np.int64, len(runs))].sum(0, dtype=np.float64)
+        """For each text: the sum over the bytes of its letters of their distributions, and the number of these bytes."""
+        codes, of = windows_of(texts)
+        sums = np.zeros((len(codes), len(self.langs) + 1))
+        for at in range(0, len(codes), BATCH):
+            part = codes[at : at + BATCH]
+            whole = np.concatenate([part, np.zeros((BATCH - len(part), WINDOW), np.uint8)]) if len(part) < BATCH else part
+            p = self.probabilities(whole, (whole != 0).astype(np.float32), keep_steps=slice(CONTEXT, -CONTEXT))
+            weight = OF_LETTERS[whole[:, CONTEXT:-CONTEXT]]
+            sums[at : at + BATCH, :-1] = np.einsum("tnl,nt->nl", p, weight)[: len(part)]
+            sums[at : at + BATCH, -1] = weight.sum(1)[: len(part)]
+        out = np.zeros((len(texts), sums.shape[1]))
+        np.add.at(out, of, sums)
         return out
 
 
@@ -188,51 +183,61 @@ def in_calls(texts: list[str]):
         yield run
 
 
-def train_tagger(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", learn=None, sample_docs: int = 400, sample_runs: int = 6000) -> ByteTagger | None:
-    """Fit on the distinct runs of about ``sample_docs`` documents of each of the 64 commonest languages, ``sample_runs`` runs of each at most.
+def train_tagger(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", learn=None, sample_docs: int = 400, sample_windows: int = 1200) -> ByteTagger | None:
+    """Fit on windows of about ``sample_docs`` documents of each language, ``sample_windows`` of each at most.
 
-    Documents and runs are chosen by hashes of what they hold, so reruns choose alike.
+    Documents and windows are chosen by hashes of what they hold, so reruns choose alike. Every
+    learned language is a column of the network; their number is that of the labels in use.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.lit(True).alias("ok") if learn is None else learn.alias("ok"))
     rows = rows.filter("ok and text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()
-    if not counts:
+    counts = rows.groupBy("lang").count()
+    langs = [r["lang"] for r in counts.orderBy(F.desc("count"), "lang").collect()]
+    if not langs:
         return None
-    langs, rate = [r["lang"] for r in counts], F.lit(0)
-    for r in counts:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(math.ceil(1e6 * sample_docs / r["count"]))).otherwise(rate)
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < rate)
-    runs_of = F.pandas_udf(lambda texts: texts.map(lambda t: sorted(set(byte_runs(t)))), "array<binary>")
-    spread = sample.select("lang", F.explode(runs_of("text")).alias("run")).distinct().withColumn("h", F.xxhash64("run"))
-    ranked = spread.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "run"))).filter(F.col("place") <= sample_runs)
-    picked = ranked.orderBy("lang", "place").select("lang", "run").collect()
+    rates = counts.select("lang", F.ceil(1e6 * sample_docs / F.col("count")).alias("rate"))
+    sample = rows.join(rates, "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("rate"))
+
+    @F.pandas_udf("array<binary>")
+    def cut(texts: pd.Series) -> pd.Series:
+        codes, of = windows_of(texts.tolist())
+        out: list[list[bytes]] = [[] for _ in range(len(texts))]
+        for i, code in zip(of, codes):
+            if OF_LETTERS[code].sum() * 2 >= CORE // 2:
+                out[i].append(code.tobytes())
+        return pd.Series(out)
+
+    spread = sample.select("lang", F.explode(cut("text")).alias("window")).distinct().withColumn("h", F.xxhash64("window"))
+    # a window of some thousand rows a language: the sampled documents' windows
+    ranked = spread.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "window"))).filter(F.col("place") <= sample_windows)
+    picked = ranked.orderBy("lang", "place").select("lang", "window").collect()
     tagger = ByteTagger(langs)
     if picked:
         at = {lang: i for i, lang in enumerate(langs)}
-        tagger.fit([bytes(r["run"]) for r in picked], np.array([at[r["lang"]] for r in picked]))
+        tagger.fit(np.frombuffer(b"".join(bytes(r["window"]) for r in picked), np.uint8).reshape(-1, WINDOW), np.array([at[r["lang"]] for r in picked]))
     return tagger
 
 
+def least_score(tagger: ByteTagger | None, above_chance: float = 0.05) -> float:
+    """A pooled probability that is ``above_chance`` of the way from an even guess to certainty."""
+    even = 1 / len(tagger.langs) if tagger is not None else 1.0
+    return even + above_chance * (1 - even) - 1e-6
+
+
 def identify_languages(docs: DataFrame, tagger: ByteTagger | None, text_col: str = "text", out_col: str = "language") -> DataFrame:
     """``docs`` with a struct column ``out_col`` (lang_pred, score)."""
-    pools: list[Pool] = []
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        if tagger is not None and not pools:
-            pools.append(Pool(tagger))
         langs, scores = [], []
-        for part in in_calls(texts.fillna("").tolist()):
-            sums = pools[0].pooled(part) if pools else None
-            for i, text in enumerate(part):
-                if sums is None or not LETTER.search(text):
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                p = sums[i, :-1] / sums[i, -1] if sums[i, -1] else np.full(len(tagger.langs), 1 / len(tagger.langs))
-                best = int(p.argmax())
-                langs.append(tagger.langs[best])
-                scores.append(float(min(1.0, p[best])))
+        for part in in_calls(texts.where(texts.notna(), "").tolist()):
+            known = [tagger is not None and has_letter(t) for t in part]
+            sums = iter(tagger.pooled([t for t, k in zip(part, known) if k])) if any(known) else iter(())
+            for k in known:
+                row = next(sums) if k else None
+                p = row[:-1] / row[-1] if k else None
+                langs.append(tagger.langs[int(p.argmax())] if k else "und")
+                scores.append(float(min(1.0, p.max())) if k else 0.0)
         return pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype=float)})
 
     return docs.withColumn(out_col, predict(text_col))
