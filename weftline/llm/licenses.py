@@ -1,11 +1,15 @@
 """License scan by diagonal voting.
 
 Every word pair of a document is hashed and joined to the pairs of a fixed set of license
-templates; a hit at document place p and template place t votes for the diagonal p - t.
-Votes are gathered by diagonal, diagonals a few words apart that follow one another are
-chained (words put in or left out), whatever stray hits lie between, and a chain's span stands if it covers enough of its
-template. Base phrases are templates too: one stands where a diagonal holds all its pairs,
-which is to say where its words follow one another.
+templates, whole notices and their well-known sentences; a hit at document place p and
+template place t votes for the diagonal p - t. Votes are gathered in bands of neighbouring
+diagonals (words put in or left out move a notice's rest by a few diagonals), laid twice so
+that a notice lies well inside one of them, and parted where a band has no vote for some
+words or a template's place comes again. Each such run is a span; it is verified by how many
+of its template's pairs stand in it and by its length. Of spans that overlap, the one that
+holds most pairs stands, so a notice is not also taken for its relatives. Pairs of two
+function words do not vote. Base phrases are templates too: one stands where a single
+diagonal holds all its pairs, which is to say where its words follow one another.
 
 All of it is DataFrame work: the texts are read once, split once and never shuffled. What
 is shuffled is one row per document and one per hit.
@@ -21,10 +25,24 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 #: Fixed values of the contract: phrase, label.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
+WARRANTY = "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+AS_IS = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+ENDORSE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+FSF = "Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+
 #: Well-known notices, as their licenses word them.
 TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
@@ -43,7 +61,23 @@ TEMPLATES = (
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    # whole notices
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("apache-2", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("gpl-3", f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program {WARRANTY} See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("gpl-2", f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program {WARRANTY} See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the {FSF}."),
+    ("lgpl", f"This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library {WARRANTY} See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the {FSF}"),
+    ("agpl-3", f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program {WARRANTY} See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("bsd-2", BSD + AS_IS),
+    ("bsd-3", BSD + ENDORSE + AS_IS),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("cc0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide"),
 )
+#: A pair of two of these does not vote.
+FUNCTION_WORDS = frozenset("a an and any are as at be but by for from in is it its may no not of on or that the this to was with you".split())
 #: In a Java pattern; the complement of the word characters once A-Z are lower-cased.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -58,12 +92,20 @@ def template_words(text: str) -> list[str]:
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
 
 
+def template_entries(phrases=PHRASES, templates=TEMPLATES) -> list[tuple[str, list[str], bool, list[int]]]:
+    """(label, words, whether a base phrase, places of the pairs that vote)."""
+    out = []
+    for label, text, base in [(label, t, True) for t, label in phrases] + [(label, t, False) for label, t in templates]:
+        words = template_words(text)
+        out.append((label, words, base, [i for i in range(len(words) - 1) if base or not {words[i], words[i + 1]} <= FUNCTION_WORDS]))
+    return out
+
+
 def template_pairs(spark, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
-    """(hash, template, place, length, label, base): the pairs of all phrases and templates, some hundreds of rows."""
-    entries = [(label, template_words(t), True) for t, label in phrases] + [(label, template_words(t), False) for label, t in templates]
-    rows = [(i, at, words[at], words[at + 1], len(words), label, base) for i, (label, words, base) in enumerate(entries) for at in range(len(words) - 1)]
-    pairs = spark.createDataFrame(rows, "template int, place int, a string, b string, length int, label string, base boolean")
-    return pairs.select(F.xxhash64("a", "b").alias("hash"), "template", "place", "length", "label", "base")
+    """(hash, template, place, length, pairs, label, base): the voting pairs of all phrases and templates, some thousand rows."""
+    rows = [(i, at, words[at], words[at + 1], len(words), len(places), label, base) for i, (label, words, base, places) in enumerate(template_entries(phrases, templates)) for at in places]
+    pairs = spark.createDataFrame(rows, "template int, place int, a string, b string, length int, pairs int, label string, base boolean")
+    return pairs.select(F.xxhash64("a", "b").alias("hash"), "template", "place", "length", "pairs", "label", "base")
 
 
 def license_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
@@ -79,64 +121,50 @@ def license_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = spread.join(F.broadcast(known.withColumnRenamed("hash", "known")), (F.col("at") >= 0) & (F.col("hash") == F.col("known")), "left")
     own = F.when(F.col("at") < 0, F.col("hash"))
     return joined.filter((F.col("at") < 0) | F.col("template").isNotNull()).select(
-        "doc_id", "text_hash", F.coalesce("template", F.lit(-1)).alias("template"), "label", F.coalesce("base", F.lit(False)).alias("base"), "length", "at", F.coalesce("place", F.lit(0)).alias("place"), own.alias("n_words"),
+        "doc_id", "text_hash", F.coalesce("template", F.lit(-1)).alias("template"), "label", F.coalesce("base", F.lit(False)).alias("base"), "length", "pairs", "at", F.coalesce("place", F.lit(0)).alias("place"), own.alias("n_words"),
     )
 
 
-CHAIN = "array<struct<votes:int, begin:int, end:int, diagonal:int, t_begin:int, places:array<int>>>"
-
-
-def chains(diagonals: Column, length: Column, max_shift: int, max_gap: int, min_cover: float) -> Column:
-    """Chains of diagonals (in order of begin) that cover enough of a template, each with the places it covers.
-
-    A diagonal goes on with the one of all near chains that then covers most, so stray hits
-    between two diagonals do not part them. Chains that can't go on and don't stand are
-    dropped, so the list is no longer than the strays near one place.
-    """
-    enough = lambda c: c["votes"] >= min_cover * (length - 1)
-
-    def step(known: Column, x: Column) -> Column:
-        goes_on = lambda c: x["begin"] - c["end"] <= max_gap
-        near = F.filter(known, lambda c: goes_on(c) & (F.abs(x["diagonal"] - c["diagonal"]) <= max_shift) & (x["t_begin"] >= c["t_begin"]) & (F.greatest(x["end"], c["end"]) - c["begin"] <= 2 * length))
-
-        def link(begin: Column, end: Column, places: Column) -> Column:
-            return F.struct(F.size(places).alias("votes"), begin.alias("begin"), end.alias("end"), x["diagonal"].alias("diagonal"), x["t_begin"].alias("t_begin"), places.alias("places"))
-
-        longer = F.transform(near, lambda c: link(c["begin"], F.greatest(x["end"], c["end"]), F.array_union(c["places"], x["places"])))
-        best = F.array_max(F.concat(longer, F.array(link(x["begin"], x["end"], x["places"]))).cast(CHAIN))
-        return F.concat(F.filter(known, lambda c: goes_on(c) | enough(c)), F.array(best)).cast(CHAIN)
-
-    return F.filter(F.aggregate(diagonals, F.array().cast(CHAIN), step), enough)
-
-
-def license_spans(hits: DataFrame, max_shift: int = 4, max_gap: int = 8, min_cover: float = 0.75, min_words: int = 5) -> DataFrame:
+def license_spans(hits: DataFrame, band: int = 16, max_gap: int = 8, min_cover: float = 0.75, min_words: int = 5) -> DataFrame:
     """Verified spans (doc_id, text_hash, template, label, base, begin, end, cover) and each document's own row.
 
     The document's row has template -1, its word count and in ``rows`` how often it stands.
     All steps group by the document first, so one shuffle serves them.
     """
-    key = ["doc_id", "text_hash", "template"]
-    dealt = hits.repartition("doc_id", "text_hash")
-    found = dealt.groupBy(*key, "at", "place").agg(*(F.first(c).alias(c) for c in ("label", "base", "length", "n_words")), F.count("*").alias("rows"))  # equal rows vote once
-    diagonals = found.groupBy(*key, (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        *(F.first(c).alias(c) for c in ("label", "base", "length", "n_words")), F.max("rows").alias("rows"),
-        F.min("at").alias("begin"), (F.max("at") + 2).alias("end"), F.min("place").alias("t_begin"), F.collect_set("place").alias("places"),
-    )
-    whole = diagonals.groupBy(*key).agg(
-        *(F.first(c).alias(c) for c in ("label", "base", "length", "n_words")), F.max("rows").alias("rows"),
-        F.sort_array(F.collect_list(F.struct("begin", "diagonal", "end", "t_begin", "places"))).alias("diagonals"),
-    )
-    # a phrase stands if its diagonal is whole; a template, if a chain has enough of its pairs and is not much longer
-    plain = F.transform("diagonals", lambda x: F.struct(F.size(x["places"]).alias("votes"), x["begin"].alias("begin"), x["end"].alias("end"), x["diagonal"].alias("diagonal"), x["t_begin"].alias("t_begin"), x["places"].alias("places"))).cast(CHAIN)
-    length = F.col("length")
-    exact = F.filter(plain, lambda c: c["votes"] == length - 1)
-    stand = F.filter(chains(F.col("diagonals"), length, max_shift, max_gap, min_cover), lambda c: (length >= min_words) & (c["end"] - c["begin"] <= 2 * length))
-    spans = whole.withColumn("span", F.explode(F.when(F.col("template") < 0, plain).when(F.col("base"), exact).otherwise(stand)))
-    longest = spans.groupBy(*key, F.col("span.begin").alias("begin")).agg(
-        *(F.first(c).alias(c) for c in ("label", "base", "length", "n_words", "rows")), F.max(F.struct("span.votes", (-F.col("span.end")).alias("back"))).alias("most"),
-    )
-    cover = F.when(F.col("template") >= 0, F.least(F.col("most.votes") / (length - 1), F.lit(1.0)))
-    return longest.select(*key, "label", "base", "n_words", "rows", "begin", (-F.col("most.back")).alias("end"), cover.alias("cover"))
+    key = ["doc_id", "text_hash"]
+    about = ("label", "base", "length", "pairs", "n_words")
+    dealt = hits.repartition(*key)
+    found = dealt.groupBy(*key, "template", "at", "place").agg(*(F.first(c).alias(c) for c in about), F.count("*").alias("rows"))  # equal rows vote once
+    single = F.col("base") | (F.col("template") < 0)
+    phases = found.withColumn("phase", F.explode(F.when(single, F.array(F.lit(-1))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    diagonal = F.col("at") - F.col("place")
+    banded = phases.withColumn("band", F.when(F.col("phase") < 0, diagonal).otherwise(F.floor((diagonal + F.col("phase") * (band // 2)) / band)))
+    lane = [*key, "template", "phase", "band"]
+    along = Window.partitionBy(*lane).orderBy("at", "place")
+    fresh = F.when(F.col("at") - F.lag("at").over(along) > max_gap, 1).otherwise(0)
+    runs = banded.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(along))
+    again = Window.partitionBy(*lane, "run", "place").orderBy("at")
+    copies = runs.withColumn("copy", F.row_number().over(again))
+    spans = copies.groupBy(*lane, "run", "copy").agg(*(F.first(c).alias(c) for c in about), F.max("rows").alias("rows"), F.count("*").alias("votes"), F.min("at").alias("begin"), (F.max("at") + 2).alias("end"))
+    whole = F.col("votes") == F.col("pairs")
+    covers = (F.col("votes") >= min_cover * F.col("pairs")) & (F.col("length") >= min_words) & (F.col("end") - F.col("begin") <= 2 * F.col("length"))
+    stand = spans.filter(F.when(F.col("template") < 0, True).when(F.col("base"), whole).otherwise(covers))
+    stand = stand.withColumn("cover", F.when(F.col("template") >= 0, F.col("votes") / F.col("pairs")))
+    # spans that overlap meet in a cluster; those of the method give way to better ones of another label
+    onward = Window.partitionBy(*key, single).orderBy("begin", "end", "template", "phase", "copy")
+    apart = F.coalesce(F.col("begin") >= F.max("end").over(onward.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    marked = stand.withColumn("single", single).withColumn("apart", apart.cast("int"))
+    clustered = marked.withColumn("cluster", F.sum("apart").over(Window.partitionBy(*key, "single").orderBy("begin", "end", "template", "phase", "copy")))
+    columns = ("votes", "cover", "label", "begin", "end", "template", "base", "n_words", "rows")
+    met = clustered.groupBy(*key, "single", "cluster").agg(F.collect_list(F.struct(*columns)).alias("spans"))
+
+    def beaten(x: Column, o: Column) -> Column:
+        shared = F.least(x["end"], o["end"]) - F.greatest(x["begin"], o["begin"])
+        close = shared * 2 >= F.least(x["end"] - x["begin"], o["end"] - o["begin"])
+        return (o["label"] != x["label"]) & close & (F.struct(o["votes"], o["cover"], o["label"]) > F.struct(x["votes"], x["cover"], x["label"]))
+
+    best = F.filter("spans", lambda x: ~F.exists("spans", lambda o: beaten(x, o)))
+    return met.select(*key, F.explode(F.when(F.col("single"), F.col("spans")).otherwise(best)).alias("x")).select(*key, "x.*")
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
