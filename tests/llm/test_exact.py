@@ -633,6 +633,88 @@ def test_main_text():
     assert html_text.main_text(None) == "" and html_text.main_text("<script>never closed") == ""
 
 
+def known_page(rng, layout):
+    """(html, main text) of a made-up page."""
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "über", "x", "AT&amp;T", "1 &lt; 2", "end."])
+    links = lambda n: "<ul>" + "".join(f"<li><a href='/{i}'>{word()} {word()}</a></li>" for i in range(n)) + "</ul>"
+    blocks, text = [], []
+    least = 1 if layout in ("article", "main") else 6
+    for _ in range(rng.randint(1, 9) if least == 1 else rng.randint(4, 9)):
+        words = [word() for _ in range(rng.randint(least, 60))]
+        plain = [w.replace("&amp;", "&").replace("&lt;", "<") for w in words]
+        shape = rng.choice(["p", "h2", "li", "blockquote", "open p", "div"])
+        inline = list(words)
+        if rng.random() < 0.5:
+            at = rng.randrange(len(inline))
+            inline[at] = rng.choice(["<b>{}</b>", "<i class='share-of'>{}</i>", "<a href=\"x>y\">{}</a>", "<math>{}</math>", "{}<!-- <p> -->", "{}<script>'</p>'</script>", "{}<svg><title>t</title></svg>"]).format(inline[at])
+        body = rng.choice([" ", "\n ", "&nbsp;", "<br>"]).join(inline)
+        blocks.append(f"<p>{body}" if shape == "open p" else f"<{shape}>{body}</{shape}>")
+        text.append(" ".join(plain))
+    core = "".join(blocks)
+    inner = f"<article>{core}</article>" if layout == "article" else f"<main><div>{core}</div></main>" if layout == "main" else f"<div class='entry-body'>{core}</div>"
+    noise = ["<nav>" + links(5) + "</nav>", "<div class='cookie-notice'><p>We use cookies here.</p></div>", "<div id=sidebar><p>" + "side " * 20 + "</p></div>", "<div class='ad'>Buy.</div>", "<form><p>Sign up</p><select><option>a<option>b</select></form>"]
+    behind = ["<footer><p>" + "foot " * 30 + "</p></footer>", "<section class='comments'><article><p>" + "reader " * 30 + "</p></article></section>", "<div class='related-posts'>" + links(3) + "</div>", "<aside>" + "aside " * 12 + "</aside>"]
+    rng.shuffle(noise)
+    rng.shuffle(behind)
+    if layout in ("article", "main"):  # an advert or a notice between two blocks
+        core = "".join(b + ("</p>" + rng.choice(noise + behind) if rng.random() < 0.2 else "") for b in blocks)
+        inner = f"<article>{core}</article>" if layout == "article" else f"<main><div>{core}</div></main>"
+    return f"<html><head><title>No</title><style>p{{}}</style></head><body>{''.join(noise[:3])}{inner}{''.join(behind[:3])}</body></html>", "\n".join(text)
+
+
+@pytest.mark.parametrize("layout", ["article", "main", "none"])
+def test_main_text_of_known_pages(layout):
+    rng = random.Random(layout)
+    for _ in range(300):
+        page, text = known_page(rng, layout)
+        assert html_text.main_text(page) == text, page
+
+
+def test_nothing_else_is_dropped():
+    kept = "<article><p>Let <math><mi>x</mi></math> be <button>it</button>.</p><div class='related-work'><p>Earlier work</p></div><section id='header-notes'>Notes</section><p><a>All</a></p><p>b</p></article>"
+    assert html_text.main_text(kept) == "Let x be it.\nEarlier work\nNotes\nAll\nb"
+    short = ["One short.", "Two is short too.", "long " * 49 + "long", "The end is short."]
+    assert html_text.main_text("".join(f"<p>{t}</p>" for t in short)) == "\n".join(short)
+    assert html_text.main_text("<article><p>Main text of some length</p></article><article class='comment'><p>Nice</p></article><article><p>I agree</p></article>") == "Main text of some length"
+    assert html_text.main_text("<article><svg viewBox='0'/><p>one</p><svg><p>two</p><button><p>three</p></article>") == "one\ntwo\nthree"
+    assert html_text.main_text("<form id='aspnet'><article><p>In a form</p></article></form>") == "In a form"
+
+
+@pytest.mark.parametrize("unit", ["<b ", '<b "', "<!--", "<svg>", "<script", "<p '<", "</", "<a href=\"x'", "<div class='a'>", "<", "&", "<!", "<p"])
+def test_broken_markup_takes_linear_time(unit):
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        html_text.main_text(unit * n)
+        return time.perf_counter() - began
+
+    assert seconds(64_000) < 10 * seconds(16_000) + 0.5 and seconds(64_000) < 5
+
+
+def test_tree_splits_where_impurity_falls_most():
+    """Against a search over all splits, node by node."""
+    table = html_text.measured()
+
+    def impurity(rows):
+        p = sum(r[-1] for r in rows) / max(1, len(rows))
+        return 2 * p * (1 - p) * len(rows)
+
+    def check(tree, rows):
+        if isinstance(tree, int):
+            assert tree == int(2 * sum(r[-1] for r in rows) >= len(rows))
+            return
+        left, right = [r for r in rows if r[tree[0]] <= tree[1]], [r for r in rows if r[tree[0]] > tree[1]]
+        best = min(impurity([r for r in rows if r[f] <= t]) + impurity([r for r in rows if r[f] > t]) for f in range(len(html_text.FEATURES)) for t in {r[f] for r in rows})
+        assert impurity(left) + impurity(right) <= best + 1e-9 and left and right
+        check(tree[2], left)
+        check(tree[3], right)
+
+    tree = html_text.grow(table)
+    check(tree, list(table))
+    assert all(html_text.decide(tree, r) == r[-1] for r in table)
+
+
 def test_rare_siblings_become_wildcards(spark):
     rows = [(i, f"http://many.net/{a}{b}/end") for i, (a, b) in enumerate((a, b) for a in "abcdefgh" for b in "abcdefgh")]
     rows += [(1000 + i, f"http://few.net/{'xy'[i % 2]}/end") for i in range(6)]

@@ -33,6 +33,8 @@ from weftline.llm.fingerprint import shingle_hashes, word_hashes
 
 SEED = 42
 BUFFER_ROWS, MAX_EDGES = 100_000, 1_000_000
+#: Rows of three numbers of which a table may have so many to be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -476,7 +478,9 @@ def true_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     clear = bits_for(similarity - 0.05, slack=-sure)
     doubt = links.filter(F.col("bits") > clear)
     asked = doubt.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = nodes.join(asked, "node").select("node", F.col("first.doc_id").alias("want_id"), F.col("first.tie").alias("want_tie"))
+    wanted = persist(nodes.join(asked, "node").select("node", F.col("first.doc_id").alias("want_id"), F.col("first.tie").alias("want_tie")))
+    if wanted.count() <= BROADCAST_ROWS:  # beyond that the texts are shuffled
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("tie", F.coalesce(F.xxhash64("text"), F.lit(0)))
     met = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("tie") == F.col("want_tie")))
     sets = persist(met.groupBy("node").agg(F.first("text").alias("text")))
