@@ -546,10 +546,10 @@ def test_language_of_every_byte():
 def test_windows_hold_every_byte_once_and_see_their_neighbours():
     text = "".join(chr(97 + i % 26) for i in range(1000))
     codes, of = langid.windows_of(["", text, "b"])
-    assert of.tolist() == [1] * 11 + [2]
-    core = b"".join(c[langid.CONTEXT : -langid.CONTEXT].tobytes() for c in codes[:11]).rstrip(b"\0")
+    assert of.tolist() == [1] * 8 + [2]
+    core = b"".join(c[langid.CONTEXT : -langid.CONTEXT].tobytes() for c in codes[:8]).rstrip(b"\0")
     assert core.decode() == text
-    assert bytes(codes[3]) == text.encode()[3 * 96 - 16 : 4 * 96 + 16] and not codes[0][: langid.CONTEXT].any()
+    assert bytes(codes[3]) == text.encode()[3 * 128 - 12 : 4 * 128 + 12] and not codes[0][: langid.CONTEXT].any()
 
 
 def slow_probabilities(tagger, window):

@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-CORE, CONTEXT, HIDDEN = 96, 16, 12
+CORE, CONTEXT, HIDDEN = 128, 12, 8
 WINDOW = CORE + 2 * CONTEXT
 BATCH = 1024
 LETTER = re.compile(r"[^\W\d_]")
 CALL_CHARS = 500_000
+BROADCAST_LANGS = 100_000
 #: Bytes that letters are made of once they are lower-cased.
 OF_LETTERS = np.zeros(256, np.float32)
 OF_LETTERS[97:123] = OF_LETTERS[128:] = 1
@@ -93,10 +94,10 @@ class ByteTagger:
             out[t] = h
         return out
 
-    def probabilities(self, codes: np.ndarray, mask: np.ndarray, keep: dict | None = None, keep_steps: slice = slice(None)) -> np.ndarray:
+    def probabilities(self, codes: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """(steps, windows, languages)"""
         kept = {d: [] for d in "fb"} if keep is not None else {"f": None, "b": None}
-        states = np.concatenate([self.scan(codes, mask, d, kept[d])[keep_steps] for d in "fb"], axis=2)
+        states = np.concatenate([self.scan(codes, mask, d, kept[d]) for d in "fb"], axis=2)
         logits = states @ self.p["out"] + self.p["bias"]
         e = np.exp(logits - logits.max(axis=2, keepdims=True))
         if keep is not None:
@@ -155,6 +156,33 @@ class ByteTagger:
         best = self.probabilities(codes, (codes != 0).astype(np.float32)).argmax(2).T[:, CONTEXT:-CONTEXT]
         return [self.langs[i] for i in best.reshape(-1)[: len(text.lower().encode("utf-8", "replace"))]]
 
+    def states(self, codes: np.ndarray, d: str) -> np.ndarray:
+        """The states of ``scan``, in arrays that are written over; sigmoid(x) is (tanh(x / 2) + 1) / 2."""
+        steps, n, k = codes.shape[1], len(codes), self.hidden
+        x, r, c = self.p[f"x{d}"], self.p[f"r{d}"] / 2, self.p[f"c{d}"]
+        xz, xg, xc, rz, rg = (np.ascontiguousarray(a) for a in (x[:, :k] / 2, x[:, k : 2 * k] / 2, x[:, 2 * k :], r[:, :k], r[:, k:]))
+        at, whole = np.ascontiguousarray(codes.T), codes.all(axis=0)
+        h, out = np.zeros((n, k), np.float32), np.empty((steps, n, k), np.float32)
+        z, g, new, byte = (np.empty((n, k), np.float32) for _ in range(4))
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            for gate, weights, table in ((z, rz, xz), (g, rg, xg)):
+                np.matmul(h, weights, out=gate)
+                gate += np.take(table, at[t], axis=0, out=byte, mode="clip")
+                np.tanh(gate, out=gate)
+                gate += 1
+                gate *= 0.5
+            g *= h
+            np.matmul(g, c, out=new)
+            new += np.take(xc, at[t], axis=0, out=byte, mode="clip")
+            np.tanh(new, out=new)
+            new -= h
+            new *= z
+            if not whole[t]:
+                new *= (at[t] != 0)[:, None]
+            h += new
+            out[t] = h
+        return out
+
     def pooled(self, texts: list[str]) -> np.ndarray:
         """For each text: the sum over the bytes of its letters of their distributions, and the number of these bytes."""
         codes, of = windows_of(texts)
@@ -162,10 +190,13 @@ class ByteTagger:
         for at in range(0, len(codes), BATCH):
             part = codes[at : at + BATCH]
             whole = np.concatenate([part, np.zeros((BATCH - len(part), WINDOW), np.uint8)]) if len(part) < BATCH else part
-            p = self.probabilities(whole, (whole != 0).astype(np.float32), keep_steps=slice(CONTEXT, -CONTEXT))
-            weight = OF_LETTERS[whole[:, CONTEXT:-CONTEXT]]
-            sums[at : at + BATCH, :-1] = np.einsum("tnl,nt->nl", p, weight)[: len(part)]
-            sums[at : at + BATCH, -1] = weight.sum(1)[: len(part)]
+            k, inner = self.hidden, slice(CONTEXT, -CONTEXT)
+            e = self.states(whole, "f")[inner] @ self.p["out"][:k] + self.states(whole, "b")[inner] @ self.p["out"][k:] + self.p["bias"]
+            np.exp(np.minimum(e, 60, out=e), out=e)
+            weight = OF_LETTERS[whole[:, inner]].T
+            e *= (weight / e.sum(axis=2))[:, :, None]
+            sums[at : at + BATCH, :-1] = e.sum(axis=0)[: len(part)]
+            sums[at : at + BATCH, -1] = weight.sum(axis=0)[: len(part)]
         out = np.zeros((len(texts), sums.shape[1]))
         np.add.at(out, of, sums)
         return out
@@ -183,7 +214,7 @@ def in_calls(texts: list[str]):
         yield run
 
 
-def train_tagger(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", learn=None, sample_docs: int = 400, sample_windows: int = 1200) -> ByteTagger | None:
+def train_tagger(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", learn=None, sample_docs: int = 400, sample_windows: int = 1000) -> ByteTagger | None:
     """Fit on windows of about ``sample_docs`` documents of each language, ``sample_windows`` of each at most.
 
     Documents and windows are chosen by hashes of what they hold, so reruns choose alike. Every
@@ -196,6 +227,8 @@ def train_tagger(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     if not langs:
         return None
     rates = counts.select("lang", F.ceil(1e6 * sample_docs / F.col("count")).alias("rate"))
+    if len(langs) <= BROADCAST_LANGS:  # beyond that the texts are shuffled
+        rates = F.broadcast(rates)
     sample = rows.join(rates, "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("rate"))
 
     @F.pandas_udf("array<binary>")
