@@ -336,6 +336,21 @@ def test_topk_is_brute_force(spark):
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows} == want
 
 
+def test_topk_of_clusters_and_one_hot_id(spark):
+    """Groups out of reach get no query; rows of one id are dealt over groups; two lengths of vectors."""
+    rng = np.random.default_rng(5)
+    m = np.concatenate([rng.normal(c, 0.05, (120, 8)) for c in (-2, 0, 2, 5)]).astype(np.float32)
+    rows = [(i if i < 240 else 300, v.tolist()) for i, v in enumerate(m)] + [(1000 + i, v[:3].tolist()) for i, v in enumerate(m[::7])]
+    got = Counter(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=60, block_rows=8, group_rows=40, query_rows=3).collect())
+    want = Counter()
+    w = [np.floor(1024 * np.array(v, np.float32).astype(float)).astype(np.int64) for _, v in rows]
+    for i, (q, _) in enumerate(rows):
+        if q % 60 == 0:
+            scored = sorted((-int(w[i] @ w[j]), rows[j][0]) for j in range(len(rows)) if j != i and len(w[j]) == len(w[i]))[:10]
+            want.update((q, rank + 1, v, -s) for rank, (s, v) in enumerate(scored))
+    assert got == want
+
+
 def test_mix_comes_near_its_targets(docs):
     rows = mixing.mix_report(docs, block=64).collect()
     taken, target, total = Counter(), {}, sum(r["size"] for r in rows)
