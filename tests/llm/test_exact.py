@@ -627,6 +627,51 @@ def test_toxicity_held_out(spark):
     assert np.mean(hit) > 0.8 and np.mean(false) < 0.02
 
 
+def test_trees_split_where_the_gain_is_largest():
+    """Each node against a search over every feature and bin; each leaf is its Newton step."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(60, 3)), rng.integers(0, 2, 60).astype(float)
+    model = toxicity.BoostedTrees(trees=3, depth=2, rate=0.3, bins=8, least=4).fit(x, y)
+    b, margin = model.binned(x), np.full(60, model.base)
+
+    def check(tree, rows, g, h, depth):
+        leaf = float(np.clip(0.3 * g[rows].sum() / (h[rows].sum() + 1), -2, 2))
+        score = lambda r: g[r].sum() ** 2 / (h[r].sum() + 1)
+        gains = {}
+        for f in range(3):
+            for at in range(7):
+                left = b[rows, f] <= at
+                if left.sum() >= 4 and (~left).sum() >= 4:
+                    gains[f, at] = score(rows[left]) + score(rows[~left]) - score(rows)
+        if isinstance(tree, float):
+            assert abs(tree - leaf) < 1e-9 and (depth == 0 or len(rows) < 8 or max(gains.values(), default=0) <= 1e-6)
+            return
+        assert abs(gains[tree[0], tree[1]] - max(gains.values())) < 1e-9
+        left = b[rows, tree[0]] <= tree[1]
+        check(tree[2], rows[left], g, h, depth - 1)
+        check(tree[3], rows[~left], g, h, depth - 1)
+
+    for tree in model.forest:
+        p = 1 / (1 + np.exp(-margin))
+        check(tree, np.arange(60), y - p, p * (1 - p), 2)
+        margin = margin + model.walk(tree, b)
+    assert np.allclose(margin, model.margin(x))
+
+
+def test_calibration_is_the_best_rising_fit():
+    """Pooled blocks against the min-max formula of isotonic regression."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(40, 2)), rng.integers(0, 2, 40).astype(float)
+    model = toxicity.BoostedTrees(trees=5, least=4).fit(x, y).calibrate(x, y)
+    order = np.argsort(model.margin(x), kind="stable")
+    t, n = y[order], len(y)
+    best = np.array([max(min(t[i : j + 1].mean() for j in range(k, n)) for i in range(k + 1)) for k in range(n)])
+    levels = [best[0]] + [b for a, b in zip(best, best[1:]) if b - a > 1e-12]
+    sizes = [int((abs(best - v) < 1e-12).sum()) for v in levels]
+    want = [(v * s + 0.01) / (s + 0.02) for v, s in zip(levels, sizes)]
+    assert np.allclose(model.knots[1], np.maximum.accumulate(want))
+
+
 def test_calibration_rises():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 3))
@@ -738,6 +783,13 @@ def test_rare_siblings_become_wildcards(spark):
     assert {got[1000 + i] for i in range(6)} == {"/x/end", "/y/end"}
 
 
+def test_labelled_urls_take_the_place_of_seed_words(spark):
+    rows = [(i, f"http://spam-farm.net/p/{i}") for i in range(30)] + [(100 + i, f"http://shop.net/sale/{i}") for i in range(30)]
+    labelled = spark.createDataFrame([(f"http://shop.net/sale/{i}9", 1) for i in range(40)] + [("http://spam-farm.net/p/1", 0), (None, 1)], "url string, block int")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), labelled=labelled).collect()}
+    assert len(got) == 60 and got[3] == "allow" and got[103] == "block"
+
+
 def test_url_rules_and_tree(spark):
     rows = [(0, "http://X.example.org/es/1"), (1, "https://example.org/en/12#a"), (2, "http://notexample.org/es/1"), (3, "http://a.com/fr/"), (4, "http://a.com/de/x?y"), (5, "http://a.net/"), (6, "http://org/en"), (7, "http://a.org")]
     rows += [(100 + i, f"http://spam-farm.net/p/{i}") for i in range(30)] + [(200 + i, f"http://b.com/de/{i}") for i in range(30)]

@@ -152,7 +152,9 @@ class BoostedTrees:
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn=None, sample_rows: int = 4000, max_terms: int = 4000) -> tuple[dict[str, float], BoostedTrees] | None:
     """(lexicon, model) from about ``sample_rows`` labelled rows of each class, chosen by a hash of the id.
 
-    The chosen labels are few, so they are broadcast, and the texts are not shuffled.
+    The chosen labels are few (``4 * sample_rows`` at most), so they are broadcast, and the
+    texts are not shuffled. The learned lexicon is that of the ``max_terms`` terms that tell
+    the classes apart best, a bound on what each task holds.
     """
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     if learn is not None:

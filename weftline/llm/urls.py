@@ -8,7 +8,8 @@ are pooled. A template is rejected when its labelled block rate, smoothed toward
 host's and that towards the corpus rate, reaches ``reject_at``; without a label on its host
 it is not.
 
-Labels come from the rules' own verdicts and from seed words in host names.
+Labels come from the rules' own verdicts, from the caller's table of labelled pages if there
+is one, and else from seed words in host names.
 
 Edge cases: null urls and urls without ``://`` have an empty host and path and get the
 template ````; they share one tree. Repeated rows are judged alike and all kept. An empty
@@ -68,9 +69,13 @@ def judge_urls(
     smoothing: int = 5,
     reject_at: float = 0.8,
     z: float = 2.0,
+    labelled: DataFrame | None = None,
 ) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, template, labelled, blocked.
 
+    ``labelled`` has rows (url, block), block 1 or 0; they label the tree in place of the seed
+    words, and need not be urls of ``pages``.
+
     The tree is built on counts per (host, path shape), so its cost follows the number of
     distinct shapes; the pages themselves take part in one equi-join at the end, whose
     small side AQE broadcasts only after measuring it, and whose hot keys it splits.
@@ -79,15 +84,21 @@ def judge_urls(
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "by_rule": verdict, "shape": path_shape(F.col("path"))})
-    tree = shape_verdicts(rows, seed_words, depth, max_siblings, min_share, smoothing, reject_at, z)
+    seeded = F.col("host").rlike(r"(^|[.-])(" + "|".join(seed_words) + r")([.-]|$)") if seed_words and labelled is None else F.lit(False)
+    label = F.when(F.col("by_rule").isNotNull(), (F.col("by_rule") == "block").cast("long")).when(seeded, F.lit(1).cast("long"))
+    votes = rows.select("host", "shape", F.lit(1).cast("long").alias("n"), label.alias("label"))
+    if labelled is not None:
+        host, path = split_url(F.col("url"))
+        own = labelled.select(F.coalesce(host, F.lit("")).alias("host"), path_shape(F.coalesce(path, F.lit(""))).alias("shape"), F.lit(0).cast("long").alias("n"), F.col("block").cast("long").alias("label"))
+        votes = votes.unionByName(own)
+    tree = shape_verdicts(votes, depth, max_siblings, min_share, smoothing, reject_at, z)
     out = rows.join(tree, ["host", "shape"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_tree").alias("verdict"), "template", "labelled", "blocked")
 
 
-def shape_verdicts(rows: DataFrame, seed_words, depth: int, max_siblings: int, min_share: float, smoothing: int, reject_at: float, z: float) -> DataFrame:
-    seeded = F.col("host").rlike(r"(^|[.-])(" + "|".join(seed_words) + r")([.-]|$)") if seed_words else F.lit(False)
-    label = F.when(F.col("by_rule").isNotNull(), (F.col("by_rule") == "block").cast("long")).when(seeded, F.lit(1).cast("long"))
-    shapes = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count(label).alias("labelled"), F.coalesce(F.sum(label), F.lit(0).cast("long")).alias("blocked"))
+def shape_verdicts(votes: DataFrame, depth: int, max_siblings: int, min_share: float, smoothing: int, reject_at: float, z: float) -> DataFrame:
+    """host, shape, template, labelled, blocked, by_tree from rows (host, shape, n, label)."""
+    shapes = votes.groupBy("host", "shape").agg(F.sum("n").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0).cast("long")).alias("blocked"))
     shapes = persist(shapes).withColumns({"segments": F.split("shape", "/"), "template": F.lit("")})
     for level in range(1, depth + 1):  # segment 0 is what stands before the first slash: nothing
         segment = F.when(F.size("segments") > level, F.element_at("segments", level + 1))
