@@ -66,6 +66,20 @@ def bounded_similarity(difference: Column, scale: Column, least: float = 1e-9) -
     return F.greatest(F.lit(0.0), F.lit(1.0) - F.least(F.abs(difference) / F.greatest(scale, F.lit(least)), F.lit(1.0)))
 
 
+def position(value, cuts, most: int) -> Column:
+    """How many of a rising array of fewer than ``most`` cuts are not above the value, by halving steps."""
+    value, cuts = as_col(value), as_col(cuts)
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(max(1, most).bit_length()))))
+    fits = lambda i: (i <= F.size(cuts)) & (F.element_at(cuts, F.least(i, F.size(cuts))) <= value)
+    return F.when(F.size(cuts) == 0, 0).otherwise(F.aggregate(steps, F.lit(0), lambda i, s: F.when(fits(i + s), i + s).otherwise(i)))
+
+
+def add_days(start, days) -> Column:
+    """The date (yyyy-MM-dd) so many days, whole or not, behind a moment; negative and missing spans count as none."""
+    span = F.greatest(F.coalesce(number(days), F.lit(0.0)), F.lit(0.0))
+    return F.date_format(F.timestamp_seconds(F.unix_timestamp(parse_date(start)) + span * 86400), "yyyy-MM-dd")
+
+
 def last_number(c) -> Column:
     """The last run of digits as a long, or null."""
     return F.try_element_at(F.regexp_extract_all(as_col(c).cast("string"), F.lit(r"(\d+)"), F.lit(1)), F.lit(-1)).try_cast("long")

@@ -4,16 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only a session that
-    names none (tests on one machine) gets a temporary one.
+    A session on one machine that names none (as in tests) gets a temporary folder; on a
+    cluster, where that would be another disk on each machine, it is an error.
     """
+    context = spark.sparkContext
+    if named := context.getConf().get("spark.checkpoint.dir", "") or context.getCheckpointDir():
+        return named
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="checkpoint-")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and cut its lineage."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

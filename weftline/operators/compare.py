@@ -51,34 +51,42 @@ def numeric_similarity(real: DataFrame, synthetic: DataFrame, columns: list[str]
     return both.select("column_name", F.round(m, 4).alias("mean_similarity"), F.round(d, 4).alias("std_similarity"), F.round("ks_statistic", 4).alias("ks_statistic"), F.round((m + d + 1 - F.col("ks_statistic")) / 3 * 100, 4).alias("score"))
 
 
+def shares(counts: DataFrame) -> DataFrame:
+    """Add ``all_r`` and ``all_s``, a column's totals, and the shares p and q (0 for an empty side)."""
+    totals = counts.groupBy("column_name").agg(F.sum("nr").alias("all_r"), F.sum("ns").alias("all_s"))
+    joined = counts.join(F.broadcast(totals), "column_name")  # one row per column
+    return joined.withColumns({"p": F.coalesce(exprs.divide("nr", "all_r"), F.lit(0.0)), "q": F.coalesce(exprs.divide("ns", "all_s"), F.lit(0.0))})
+
+
 def top_and_other(counts: DataFrame, keep: int = 10) -> DataFrame:
-    """(column_name, value, p, q): shares of the ``keep`` commonest values and of all others together."""
-    whole = Window.partitionBy("column_name")
-    shares = counts.withColumns({"p": exprs.divide("nr", F.sum("nr").over(whole)), "q": exprs.divide("ns", F.sum("ns").over(whole))})
-    shares = shares.withColumns({"p": F.coalesce("p", F.lit(0.0)), "q": F.coalesce("q", F.lit(0.0))})
-    place = F.row_number().over(Window.partitionBy("column_name").orderBy((F.col("p") + F.col("q")).desc(), "value"))
-    named = shares.withColumn("value", F.when(place <= keep, F.col("value")).otherwise(F.lit("Other")))
-    return named.groupBy("column_name", "value").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    """(column_name, value, p, q): shares of the ``keep`` commonest values and of all others together.
+
+    The window keeps ``keep`` rows of a column in every task before it shuffles; the others
+    are what is left of the totals.
+    """
+    place = Window.partitionBy("column_name").orderBy((F.col("p") + F.col("q")).desc(), "value")
+    top = shares(counts).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= keep).select("column_name", "value", "nr", "ns")
+    sizes = counts.groupBy("column_name").agg(F.sum("nr").alias("all_r"), F.sum("ns").alias("all_s"), F.count("*").alias("n"))
+    held = top.groupBy("column_name").agg(F.sum("nr").alias("nr"), F.sum("ns").alias("ns"))
+    rest = sizes.filter(F.col("n") > keep).join(held, "column_name").select("column_name", F.lit("Other").alias("value"), (F.col("all_r") - F.col("nr")).alias("nr"), (F.col("all_s") - F.col("ns")).alias("ns"))
+    named = top.unionByName(rest).groupBy("column_name", "value").agg(F.sum("nr").alias("nr"), F.sum("ns").alias("ns"))  # a value may be called Other
+    return shares(named).select("column_name", "value", "p", "q")
 
 
 def js_distance(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, js_distance, score): Jensen-Shannon distance to base 2 of category shares."""
-    counts = value_counts(real, synthetic, columns, profile.text_long)
-    whole = Window.partitionBy("column_name")
-    shares = counts.withColumns({"p": exprs.divide("nr", F.sum("nr").over(whole)), "q": exprs.divide("ns", F.sum("ns").over(whole))})
+    known = shares(value_counts(real, synthetic, columns, profile.text_long)).filter("all_r > 0 and all_s > 0")
     m = (F.col("p") + F.col("q")) / 2
     part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / m)).otherwise(0.0)
     distance = F.sqrt(F.greatest(F.lit(0.0), F.sum(part("p")) / 2 + F.sum(part("q")) / 2))
-    out = shares.groupBy("column_name").agg(distance.alias("d"))
+    out = known.groupBy("column_name").agg(distance.alias("d"))
     return out.select("column_name", F.round("d", 4).alias("js_distance"), F.round(F.greatest(F.lit(0.0), 1 - F.col("d")) * 100, 4).alias("score"))
 
 
 def tvd(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, tvd): total-variation distance of category shares."""
-    counts = value_counts(real, synthetic, columns, profile.text_long)
-    whole = Window.partitionBy("column_name")
-    gap = F.abs(F.col("nr") / F.sum("nr").over(whole) - F.col("ns") / F.sum("ns").over(whole))
-    return counts.withColumn("gap", gap).groupBy("column_name").agg(F.round(F.sum("gap") / 2, 4).alias("tvd"))
+    known = shares(value_counts(real, synthetic, columns, profile.text_long)).filter("all_r > 0 and all_s > 0")
+    return known.groupBy("column_name").agg(F.round(F.sum(F.abs(F.col("p") - F.col("q"))) / 2, 4).alias("tvd"))
 
 
 def eligible(real: DataFrame, configs: dict[str, dict] | None = None) -> tuple[dict[str, str], dict[str, str]]:

@@ -8,10 +8,9 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from weftline.functions import words
-from weftline.operators import profile
+from weftline.operators import clean, profile
 
 MAX_CATEGORIES, HASH_FEATURES = 30, 16
 
@@ -35,9 +34,8 @@ def one_hot(df: DataFrame, column: str) -> DataFrame:
 
 
 def codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): categories numbered in order; the window runs over distinct values only."""
-    distinct = df.select(category(column).alias("value")).distinct()
-    return distinct.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
+    """(value, code): categories numbered in order, over ranges of the values and the ranges' sizes."""
+    return clean.numbered(df.select(category(column).alias("value")).distinct(), ["value"], "code", 0)
 
 
 def binary(df: DataFrame, column: str) -> DataFrame:

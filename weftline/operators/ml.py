@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import exprs, roles
-from weftline.operators import repair
+from weftline.operators import profile, repair
 
 TREES, DEPTH, LIFT, SEED = 50, 6, 0.05, 42
+#: Values of a text column that are told apart (the commonest ones); the forest's bins have to hold them.
+VALUES, BINS = 200, 256
 RESULT = "target string, task string, status string, real_score double, synthetic_score double, score double"
 
 
@@ -25,11 +27,22 @@ def task_of(df: DataFrame, target: str) -> str | None:
     return "classification" if 2 <= n <= 20 else None
 
 
-def features_of(real: DataFrame, columns: list[str]) -> tuple[list, dict]:
-    """Indexers for text columns and medians for number columns, learnt on the real training rows."""
+def features_of(real: DataFrame, columns: list[str]) -> tuple[dict[str, list[str]], dict]:
+    """The values told apart in text columns and the medians of number columns, learnt on the real training rows."""
     numbers = [c for c in columns if roles.is_numeric(real.schema[c].dataType)]
     medians = real.agg(*(F.percentile_approx(exprs.number(c), 0.5).alias(c) for c in numbers)).first().asDict() if numbers else {}
-    return [c for c in columns if c not in numbers], medians
+    texts: dict[str, list[str]] = {c: [] for c in columns if c not in numbers}
+    if texts:
+        for r in profile.value_counts(real.select(*(F.col(c).cast("string").alias(c) for c in texts)), list(texts), VALUES).filter("value is not null").collect():
+            texts[r["column_name"]].append(r["value"])
+    return texts, medians
+
+
+def detached(model):
+    """A fitted model without its training summary, which holds the session and whatever is not serializable in it."""
+    if getattr(model, "hasSummary", False):
+        model._java_obj.setSummary(model._java_obj.getClass().getClassLoader().loadClass("scala.Option").getMethod("empty", None).invoke(None, None))
+    return model
 
 
 def utility(real: DataFrame, synthetic: DataFrame, target: str, key: list[str], columns: list[str] | None = None) -> DataFrame:
@@ -43,9 +56,14 @@ def utility(real: DataFrame, synthetic: DataFrame, target: str, key: list[str],
     train, test = split.filter("not is_test"), split.filter("is_test")
     texts, medians = features_of(train, columns)
 
+    def told(c: str):
+        """The value, one of the commonest, or that it is missing or another."""
+        value = F.col(c).cast("string")
+        return F.when(value.isNull(), "?").when(value.isin(*texts[c]), value).otherwise("?other")
+
     def ready(df: DataFrame) -> DataFrame:
         label = exprs.number(target) if task == "regression" else F.col(target).cast("string")
-        return df.select(*(F.coalesce(exprs.number(c), F.lit(float(m or 0))).alias(c) for c, m in medians.items()), *(F.coalesce(F.col(c).cast("string"), F.lit("?")).alias(c) for c in texts), label.alias("_y")).filter("_y is not null")
+        return df.select(*(F.coalesce(exprs.number(c), F.lit(float(m or 0))).alias(c) for c, m in medians.items()), *(told(c).alias(c) for c in texts), label.alias("_y")).filter("_y is not null")
 
     train, test, fake = ready(train), ready(test), ready(synthetic)
     stages = [StringIndexer(inputCol=c, outputCol=f"_{c}", handleInvalid="keep") for c in texts]
@@ -53,12 +71,12 @@ def utility(real: DataFrame, synthetic: DataFrame, target: str, key: list[str],
     if task == "classification":
         labels = StringIndexer(inputCol="_y", outputCol="_label", handleInvalid="skip").fit(train)
         train, test, fake = (labels.transform(x) for x in (train, test, fake))
-        model = RandomForestClassifier(featuresCol="_x", labelCol="_label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxBins=256)
+        model = RandomForestClassifier(featuresCol="_x", labelCol="_label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxBins=BINS)
     else:
-        model = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxBins=256)
+        model = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxBins=BINS)
     prepared = Pipeline(stages=stages).fit(train)
     train, test, fake = (prepared.transform(x) for x in (train, test, fake))
-    a, b = model.fit(train).transform(test), model.fit(fake).transform(test)
+    a, b = (detached(model.fit(x)).transform(test) for x in (train, fake))
     if task == "classification":
         metric = lambda df, name: MulticlassClassificationEvaluator(labelCol="_label", metricName=name).evaluate(df)
         majority = test.groupBy("_label").count().agg(F.max("count") / F.sum("count")).first()[0]

@@ -13,6 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import types as T
 
 from weftline.functions import exprs, roles, words
+from weftline.functions.storage import settle
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -48,41 +49,65 @@ def value_table(df: DataFrame, columns: list[str]) -> DataFrame:
     return numeric_long(df, columns).filter("value is not null").groupBy("column_name", "value").agg(F.count("*").alias("n"))
 
 
-def cumulative(counts: DataFrame, weights: list[str], slices: int = 64) -> DataFrame:
+#: Distinct values of a column in one slice of its range, about, and slices of a column at most (whose bounds are one row a column).
+SLICE_VALUES, MOST_SLICES = 100_000, 4096
+
+
+def sliced(counts: DataFrame, weights: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``slice``, sums): settled value counts in slices of each column's range.
+
+    Sums have one row per column and slice: ``t_w`` of the slice, ``b_w`` of those before it and
+    ``all_w`` of the column, for each weight w.
+    """
+    most = counts.groupBy("column_name").count().agg(F.max("count")).first()[0] or 0
+    slices = min(MOST_SLICES, -(-most // SLICE_VALUES))
+    if slices > 1:
+        bounds = counts.groupBy("column_name").agg(F.percentile_approx("value", [i / slices for i in range(1, slices)], max(1000, 10 * slices)).alias("cuts"))
+        cut = counts.join(F.broadcast(bounds), "column_name").withColumn("slice", exprs.position("value", "cuts", slices)).drop("cuts")  # one row per column
+    else:
+        cut = counts.withColumn("slice", F.lit(0))
+    totals = cut.groupBy("column_name", "slice").agg(*(F.sum(w).alias(f"t_{w}") for w in weights))
+    earlier, whole = Window.partitionBy("column_name").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("column_name")
+    return cut, totals.select("column_name", "slice", *(c for w in weights for c in (f"t_{w}", F.coalesce(F.sum(f"t_{w}").over(earlier), F.lit(0)).alias(f"b_{w}"), F.sum(f"t_{w}").over(whole).alias(f"all_{w}"))))
+
+
+def within_slices(rows: DataFrame, weights: list[str]) -> DataFrame:
+    """Add ``before_w`` to rows that carry their slice's ``b_w``."""
+    inside = Window.partitionBy("column_name", "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumns({f"before_{w}": F.col(f"b_{w}") + F.coalesce(F.sum(w).over(inside), F.lit(0)) for w in weights})
+
+
+def cumulative(counts: DataFrame, weights: list[str]) -> DataFrame:
     """Add, for each weight column w, ``before_w`` (the sum over smaller values) and ``all_w``.
 
     Sums run in two steps, within slices of a column's value range and over its slices, so
     no task holds all values of a column.
     """
-    bounds = counts.groupBy("column_name").agg(F.percentile_approx("value", [i / slices for i in range(1, slices)], 1000).alias("cuts"))
-    cut = counts.join(F.broadcast(bounds), "column_name")  # one row per column
-    cut = cut.withColumn("slice", F.size(F.filter("cuts", lambda b: b <= F.col("value")))).drop("cuts")
-    totals = cut.groupBy("column_name", "slice").agg(*(F.sum(w).alias(f"t_{w}") for w in weights))
-    earlier, whole = Window.partitionBy("column_name").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("column_name")
-    base = totals.select("column_name", "slice", *(F.coalesce(F.sum(f"t_{w}").over(earlier), F.lit(0)).alias(f"b_{w}") for w in weights), *(F.sum(f"t_{w}").over(whole).alias(f"all_{w}") for w in weights))
-    within = Window.partitionBy("column_name", "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    local = cut.withColumns({f"l_{w}": F.coalesce(F.sum(w).over(within), F.lit(0)) for w in weights})
-    joined = local.join(base, ["column_name", "slice"])
-    return joined.withColumns({f"before_{w}": F.col(f"b_{w}") + F.col(f"l_{w}") for w in weights}).drop("slice", *(f"{p}_{w}" for p in "bl" for w in weights))
+    cut, sums = sliced(settle(counts), weights)
+    joined = cut.join(sums, ["column_name", "slice"])
+    return within_slices(joined, weights).drop("slice", *(f"{p}_{w}" for p in "bt" for w in weights))
 
 
-def quantile_parts(points: list[float]) -> list:
-    """Aggregates over ``cumulative`` rows that hold the values around each quantile."""
+def ranked_values(counts: DataFrame, points: list[float]) -> DataFrame:
+    """(column_name, q0, q1, ...): quantiles with linear interpolation, from settled value counts.
+
+    Only the slices in which a quantile lies are sorted.
+    """
+    cut, sums = sliced(counts, ["n"])
     at = lambda p: F.lit(p) * (F.col("all_n") - 1)
+    ranks = F.array(*(f(at(p)) for p in points for f in (F.floor, F.ceil)))
+    needed = sums.filter(F.exists(ranks, lambda r: (r >= F.col("b_n")) & (r < F.col("b_n") + F.col("t_n"))))
+    near = within_slices(cut.join(F.broadcast(needed), ["column_name", "slice"]), ["n"])  # two slices a point and column at most
     held = lambda rank: F.max(F.when((F.col("before_n") <= rank) & (rank < F.col("before_n") + F.col("n")), F.col("value")))
-    return [x for i, p in enumerate(points) for x in (held(F.floor(at(p))).alias(f"lo{i}"), held(F.ceil(at(p))).alias(f"hi{i}"))]
-
-
-def quantile_columns(points: list[float]) -> list:
-    """Linear interpolation between the values of ``quantile_parts``."""
-    pos = lambda p: F.lit(p) * (F.col("all_n") - 1)
-    return [(F.col(f"lo{i}") + (pos(p) - F.floor(pos(p))) * (F.col(f"hi{i}") - F.col(f"lo{i}"))).alias(f"q{i}") for i, p in enumerate(points)]
+    parts = [x for i, p in enumerate(points) for x in (held(F.floor(at(p))).alias(f"lo{i}"), held(F.ceil(at(p))).alias(f"hi{i}"))]
+    rows = near.groupBy("column_name").agg(F.max("all_n").alias("all_n"), *parts)
+    return rows.select("column_name", *((F.col(f"lo{i}") + (at(p) - F.floor(at(p))) * (F.col(f"hi{i}") - F.col(f"lo{i}"))).alias(f"q{i}") for i, p in enumerate(points)))
 
 
 def quantiles(df: DataFrame, columns: list[str], points: list[float], exact: bool = True) -> dict[str, list[float]]:
     """The quantiles of each column that has values."""
     if exact:
-        rows = cumulative(value_table(df, columns), ["n"]).groupBy("column_name").agg(F.max("all_n").alias("all_n"), *quantile_parts(points)).select("column_name", *quantile_columns(points))
+        rows = ranked_values(settle(value_table(df, columns)), points)
         return {r["column_name"]: list(r)[1:] for r in rows.collect()}
     row = df.agg(*(F.percentile_approx(exprs.number(c), points, 10_000).alias(c) for c in columns)).first()
     return {c: list(row[c]) for c in columns if row[c] is not None}
@@ -100,9 +125,9 @@ def numeric(df: DataFrame, columns: list[str] | None = None, exact: bool = True,
         F.count("*").alias("row_count"), F.count_if(F.col("value").isNull()).alias("null_count"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.avg("value").alias("mean_value"), F.stddev_samp("value").alias("std_value"), *sketch
     )
     if exact:
-        counts = cumulative(value_table(df, columns or numeric_columns(df)), ["n"])
-        ranked = counts.groupBy("column_name").agg(F.count("*").alias("distinct_count"), F.max("all_n").alias("all_n"), *quantile_parts(points)).select("column_name", "distinct_count", *quantile_columns(points))
-        stats = stats.join(ranked, "column_name", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
+        counts = settle(value_table(df, columns or numeric_columns(df)))
+        distinct = counts.groupBy("column_name").agg(F.count("*").alias("distinct_count"))
+        stats = stats.join(distinct, "column_name", "left").join(ranked_values(counts, points), "column_name", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
     else:
         stats = stats.withColumns({f"q{i}": F.col("q")[i] for i in range(3)})
     rounded = lambda c, name: F.round(c, digits).alias(name)

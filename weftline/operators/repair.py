@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from weftline.functions import exprs, words
+from weftline.functions.storage import settle
 from weftline.operators import clean, compare, rules
 
 
@@ -19,7 +20,8 @@ def quantile_map(real: DataFrame, synthetic: DataFrame, column: str, order: list
     values, which meet it in an equi-join, so neither table is gathered.
     """
     s = clean.numbered(synthetic.withColumn("_v", exprs.number(column)).filter("_v is not null"), ["_v", *order], "_rank")
-    r = clean.numbered(real.select(exprs.number(column).alias("_real")).filter("_real is not null"), ["_real"], "_pos", 0)
+    # a value that many rows have is dealt over several ranges by the second key
+    r = clean.numbered(real.select(exprs.number(column).alias("_real"), F.monotonically_increasing_id().alias("_r")).filter("_real is not null"), ["_real", "_r"], "_pos", 0)
     n, m = s.count(), r.count()
     if not n or not m:
         return synthetic
@@ -48,8 +50,7 @@ def match_marginals(real: DataFrame, synthetic: DataFrame, columns: list[str], o
 def class_weights(real: DataFrame, synthetic: DataFrame, column: str, low_real: float = 0.01, low_synthetic: float = 0.001) -> DataFrame:
     """(value, p_real, p_synthetic, weight): how much more often a class has to be drawn."""
     counts = compare.value_counts(real, synthetic, [column], lambda df, c: df.select(*(F.col(x).cast("string").alias(x) for x in c)).unpivot([], c, "column_name", "value"))
-    whole = Window.partitionBy("column_name")
-    shares = counts.withColumns({"p_real": F.col("nr") / F.sum("nr").over(whole), "p_synthetic": F.col("ns") / F.sum("ns").over(whole)})
+    shares = compare.shares(counts).withColumnsRenamed({"p": "p_real", "q": "p_synthetic"})
     weight = F.greatest("p_real", F.lit(low_real)) / F.greatest("p_synthetic", F.lit(low_synthetic))
     return shares.filter("ns > 0").select("value", F.round("p_real", 6).alias("p_real"), F.round("p_synthetic", 6).alias("p_synthetic"), F.round(weight, 6).alias("weight"))
 
@@ -150,14 +151,34 @@ def privacy_guard(real: DataFrame, synthetic: DataFrame, key: list[str], most: f
 
 def reject_and_resample(make, valid, rows: int, most: int = 10) -> DataFrame:
     """``rows`` valid rows from ``make(n, attempt)``; raises after ``most`` attempts."""
-    kept, have = None, 0
-    for attempt in range(most):
-        part = make(max(1, math.ceil((rows - have) * 1.25)), attempt).filter(valid)
+    def attempts():
+        have = 0
+        for attempt in range(most):
+            part = make(max(1, math.ceil((rows - have) * 1.25)), attempt).filter(valid)
+            have += yield part
+
+    return first_rows(attempts(), rows)
+
+
+def first_rows(parts, rows: int) -> DataFrame:
+    """``rows`` rows of the tables that a coroutine makes, which is told how many rows its last one had; raises when it ends too soon.
+
+    Each table is settled, so it is made once, and the last one gives its first rows by number.
+    """
+    have, kept, told = 0, None, None
+    while have < rows:
+        try:
+            part = settle(parts.send(told))
+        except StopIteration:
+            raise RuntimeError(f"{have} of {rows} valid rows") from None
+        told = part.count()
+        if have + told > rows:
+            ranked = clean.numbered(part.withColumn("_m", F.monotonically_increasing_id()), ["_m"], "_n")
+            part = ranked.filter(F.col("_n") <= rows - have).drop("_m", "_n")
         kept = part if kept is None else kept.unionByName(part)
-        have = kept.count()
-        if have >= rows:
-            return kept.limit(rows)
-    raise RuntimeError(f"{have} of {rows} valid rows after {most} attempts")
+        have += told
+    parts.close()
+    return kept
 
 
 def cyclical(df: DataFrame, column: str) -> DataFrame:

@@ -149,15 +149,44 @@ def first_per_target(rules: list[dict]) -> list[dict]:
     return list(seen.values())
 
 
-def detect_derived(df: DataFrame, columns: list[str] | None = None, least: float = 0.98) -> list[dict]:
-    """Derived columns, each target once; multiplication is preferred to sums, differences and ratios."""
+def detect_derived(df: DataFrame, columns: list[str] | None = None, least: float = 0.98, dates: list[str] | None = None) -> list[dict]:
+    """Derived columns, each target once; multiplication is preferred to sums, differences and ratios.
+
+    Of two ``dates`` of which the second hardly ever comes first, the second is derived: the
+    first and a number of days, {end}__diff_days.
+    """
     columns = columns or profile.numeric_columns(df)
     if df.limit(5).count() < 5:
         return []
+    spans = []
+    for r in chronology(df, list(combinations(dates, 2))).collect() if dates and len(dates) > 1 else []:
+        if r["pairs"] > 20 and r["forward"] > 0.95:
+            spans.append({"rule_type": "date_difference", "start": r["first_column"], "target": r["second_column"], "days": f"{r['second_column']}__diff_days"})
     rank = {"multiply": 0, "add": 1, "subtract": 2, "divide": 3}
     found = scan_arithmetic(df, columns, least=least, rtol=1e-3).collect()
     found.sort(key=lambda r: (columns.index(r["left_column"]), columns.index(r["right_column"]), rank[r["operation"]]))
-    return first_per_target([{"rule_type": "arithmetic", "operation": r["operation"], "operands": [r["left_column"], r["right_column"]], "target": r["target"], "confidence": r["accuracy"]} for r in found])
+    arithmetic = [{"rule_type": "arithmetic", "operation": r["operation"], "operands": [r["left_column"], r["right_column"]], "target": r["target"], "confidence": r["accuracy"]} for r in found]
+    return first_per_target(arithmetic + spans)
+
+
+def with_spans(df: DataFrame, rules: list[dict]) -> DataFrame:
+    """The end dates of date differences as days behind their start, which is what a generator learns."""
+    spans = [r for r in rules if r["rule_type"] == "date_difference" and {r["start"], r["target"]} <= set(df.columns)]
+    days = {r["days"]: (F.unix_timestamp(exprs.parse_date(r["target"])) - F.unix_timestamp(exprs.parse_date(r["start"]))) / 86400 for r in spans}
+    return df.withColumns(days).drop(*(r["target"] for r in spans)) if spans else df
+
+
+def apply_spans(df: DataFrame, rules: list[dict]) -> DataFrame:
+    """End dates again from their start and the days behind it; the days go."""
+    for r in rules:
+        if r["rule_type"] == "date_difference" and {r["start"], r["days"]} <= set(df.columns):
+            df = df.withColumn(r["target"], exprs.add_days(r["start"], r["days"])).drop(r["days"])
+    return df
+
+
+def apply_derived(df: DataFrame, rules: list[dict]) -> DataFrame:
+    """Recompute what was derived: numbers from their operands, end dates from their start."""
+    return apply_spans(apply_arithmetic(df, rules), rules)
 
 
 def detect_domain(df: DataFrame, numbers: list[str] | None = None, dates: list[str] | None = None) -> list[dict]:
@@ -181,12 +210,12 @@ def detect_domain(df: DataFrame, numbers: list[str] | None = None, dates: list[s
 def chronology(df: DataFrame, pairs: list[tuple[str, str]], exact: bool = True) -> DataFrame:
     """For each pair of date columns: comparable rows, shares in either order and the 99.5th percentile of days."""
     days = [(F.unix_timestamp(exprs.parse_date(b)) - F.unix_timestamp(exprs.parse_date(a))) / 86400 for a, b in pairs]
-    rows = df.select(F.inline(F.array(*(F.struct(F.lit(a).alias("first_column"), F.lit(b).alias("second_column"), x.alias("days")) for (a, b), x in zip(pairs, days))))).filter("days is not null")
-    p = (lambda c: F.percentile(c, 0.995)) if exact else (lambda c: F.percentile_approx(c, 0.995, 10_000))
-    return rows.groupBy("first_column", "second_column").agg(
-        F.count("*").alias("pairs"), F.avg((F.col("days") >= 0).cast("int")).alias("forward"), F.avg((F.col("days") <= 0).cast("int")).alias("backward"),
-        p(F.when(F.col("days") >= 0, F.col("days"))).alias("p995_forward"), p(F.when(F.col("days") <= 0, -F.col("days"))).alias("p995_backward"),
-    )
+    spans = df.select(*(x.alias(f"d{i}") for i, x in enumerate(days)))
+    row = spans.agg(*(f(F.col(f"d{i}")).alias(f"{k}{i}") for i in range(len(pairs)) for k, f in (("n", F.count), ("f", lambda c: F.count_if(c >= 0)), ("b", lambda c: F.count_if(c <= 0))))).first()
+    sides = spans.select(*(F.when(F.col(f"d{i}") >= 0, F.col(f"d{i}")).alias(f"f{i}") for i in range(len(pairs))), *(F.when(F.col(f"d{i}") <= 0, -F.col(f"d{i}")).alias(f"b{i}") for i in range(len(pairs))))
+    far = profile.quantiles(sides, sides.columns, [0.995], exact)
+    rows = [(a, b, row[f"n{i}"], row[f"f{i}"] / row[f"n{i}"], row[f"b{i}"] / row[f"n{i}"], *(far[f"{k}{i}"][0] if f"{k}{i}" in far else None for k in "fb")) for i, (a, b) in enumerate(pairs) if row[f"n{i}"]]
+    return df.sparkSession.createDataFrame(rows, "first_column string, second_column string, pairs long, forward double, backward double, p995_forward double, p995_backward double")
 
 
 def apply_arithmetic(df: DataFrame, rules: list[dict]) -> DataFrame:

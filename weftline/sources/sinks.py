@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import html
+import uuid
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 
 def save_generated(df: DataFrame, folder: str, name: str, model: str, kind: str = "parquet") -> dict:
-    """Write under folder/gen_date=.../; counts come from the write itself, not from another job."""
-    seen = Observation("rows")
-    dated = df.observe(seen, F.count(F.lit(1)).alias("rows")).withColumn("gen_date", F.date_format(F.current_date(), "yyyy-MM-dd"))
+    """Write under folder/gen_date=.../run=.../; the rows are counted in what was written, by its footers where it has them."""
     path = f"{folder}/{name}_{model}"
-    writer = dated.write.mode("append").partitionBy("gen_date")
-    writer.option("header", "true").csv(path) if kind == "csv" else writer.format(kind).save(path)
-    return {"path": path, "rows": seen.get["rows"], "columns": len(df.columns)}
+    own = f"{path}/gen_date={date.today().isoformat()}/run={uuid.uuid4().hex}"
+    options = {"header": "true"} if kind == "csv" else {}
+    df.write.options(**options).format(kind).save(own)
+    rows = df.sparkSession.read.options(**options).format(kind).load(own).count()
+    return {"path": path, "rows": rows, "columns": len(df.columns)}
 
 
 def append_batch(df: DataFrame, path: str, first_row: int) -> None:
@@ -41,9 +42,8 @@ def save_tables(tables: dict[str, DataFrame], folder: str) -> DataFrame:
     """Every table as Parquet with a manifest (table_name, rows); the manifest is written last."""
     rows = []
     for name, df in tables.items():
-        seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{folder}/{name}")
-        rows.append((name, seen.get["rows"]))
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        rows.append((name, df.sparkSession.read.parquet(f"{folder}/{name}").count()))
     manifest = next(iter(tables.values())).sparkSession.createDataFrame(rows, "table_name string, rows long")
     manifest.write.mode("overwrite").json(f"{folder}/_manifest")
     return manifest
