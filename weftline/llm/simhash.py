@@ -32,7 +32,7 @@ from weftline.llm.common import persist, unused
 from weftline.llm.fingerprint import shingle_hashes, word_hashes
 
 SEED = 42
-BUFFER_ROWS, MAX_EDGES = 100_000, 1_000_000
+BUFFER_ROWS, MAX_EDGES = 50_000, 200_000
 #: Rows of three numbers of which a table may have so many to be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -476,14 +476,15 @@ def true_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     """
     links = persist(links)
     clear = bits_for(similarity - 0.05, slack=-sure)
-    doubt = links.filter(F.col("bits") > clear)
-    asked = doubt.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = persist(nodes.join(asked, "node").select("node", F.col("first.doc_id").alias("want_id"), F.col("first.tie").alias("want_tie")))
+    doubt = links.filter(F.col("bits") > clear).select("u", "v")
+    ends = doubt.select(F.explode(F.array("u", "v")).alias("node"), "u", "v")
+    wanted = persist(ends.join(nodes.select("node", F.col("first.doc_id").alias("want_id"), F.col("first.tie").alias("want_tie")), "node"))
     if wanted.count() <= BROADCAST_ROWS:  # beyond that the texts are shuffled
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("tie", F.coalesce(F.xxhash64("text"), F.lit(0)))
     met = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("tie") == F.col("want_tie")))
-    sets = persist(met.groupBy("node").agg(F.first("text").alias("text")))
+    text_of = lambda end: F.first(F.when(F.col("node") == F.col(end), F.col("text")), ignorenulls=True)
+    pairs = met.groupBy("u", "v").agg(text_of("u").alias("a"), text_of("v").alias("b"))
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -494,7 +495,6 @@ def true_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
             out.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
         return pd.Series(out, dtype=bool)
 
-    pairs = doubt.join(sets.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
     return links.filter(F.col("bits") <= clear).select("u", "v").unionByName(pairs.filter(near("a", "b")).select("u", "v"))
 
 
