@@ -18,9 +18,15 @@ NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Do
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
+def sample_rows(df: DataFrame, rows: int) -> DataFrame:
+    """``rows`` rows by a hash of what they hold, so the order of files and tasks does not matter."""
+    plain = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BooleanType, *NUMERIC, *TEMPORAL))]
+    return df.orderBy(F.xxhash64(*plain)).limit(rows) if plain else df.limit(rows)
+
+
 def sample_values(df: DataFrame, rows: int = 100) -> dict[str, list]:
-    """The first values of each column that are not null, as text, from ``rows`` rows."""
-    taken = df.limit(rows).collect()
+    """The values of each column that are not null, as text, from a sample of ``rows`` rows."""
+    taken = sample_rows(df, rows).collect()
     return {c: [str(r[c]) for r in taken if r[c] is not None] for c in df.columns}
 
 
@@ -47,11 +53,11 @@ def role_of(name: str, kind: T.DataType, sample: list[str], config: dict | None
     head = [v.strip() for v in sample[:30]]
     share = lambda p, values: sum(bool(re.match(p, v)) for v in values) / len(values) if values else 0.0
     textual = isinstance(kind, T.StringType)
-    if low in words.IDENTIFIER_NAMES or low.endswith(("_id", " id")) or low.startswith(("id_", "id ")) or (head and share(words.HEX_TOKEN, head) >= 0.8):
+    if low in words.IDENTIFIER_NAMES or low.endswith(words.IDENTIFIER_ENDS) or low.startswith(words.IDENTIFIER_STARTS) or (head and share(words.HEX_TOKEN, head) >= 0.8):
         return "identifier"
     if textual and (tokens & set(words.TEXT_NAMES) or long_texts(head)):
         return "free_form_text"
-    if isinstance(kind, TEMPORAL) or low in words.DATETIME_NAMES or any(t in low for t in ("date", "datetime", "timestamp")):
+    if isinstance(kind, TEMPORAL) or low in words.DATETIME_NAMES or any(t in low for t in words.DATETIME_PARTS):
         return "datetime"
     if textual and share(words.DATE_LIKE, head[:20]) >= 0.5:
         return "datetime"
@@ -87,7 +93,7 @@ def business_roles(df: DataFrame) -> dict[str, list[str]]:
         mixed = bool(values) and any(c.isdigit() for c in values[0]) and any(c.isalpha() for c in values[0])
         if isinstance(field.dataType, TEMPORAL) or dated:
             out["dates"].append(field.name)
-        elif name.endswith(("id", "_code", "_ref", "_number")) or (isinstance(field.dataType, T.StringType) and distinct[field.name] > max(0.8 * distinct["_n"], 20) and mixed):
+        elif name.endswith(words.REFERENCE_ENDS) or (isinstance(field.dataType, T.StringType) and distinct[field.name] > max(0.8 * distinct["_n"], 20) and mixed):
             out["identifiers"].append(field.name)
         elif is_numeric(field.dataType):
             whole = isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) or (values and sum(float(v).is_integer() for v in values) / len(values) > 0.95)

@@ -5,6 +5,21 @@ TEXT_NAMES = ("text", "feedback", "comment", "comments", "review", "reviews", "d
 IDENTIFIER_NAMES = ("id", "user id", "user_id", "userid", "customer id", "customer_id", "customerid", "order id", "order_id", "orderid", "product id", "product_id", "productid", "uuid", "guid", "ssn", "key")
 DATETIME_NAMES = ("date", "time", "date/time", "date_time", "datetime", "timestamp", "created at", "created_at", "updated at", "updated_at", "order date", "order_date", "delivery date", "delivery_date")
 
+DATETIME_PARTS = ("date", "datetime", "timestamp")
+IDENTIFIER_ENDS, IDENTIFIER_STARTS = ("_id", " id"), ("id_", "id ")
+REFERENCE_ENDS = ("id", "_code", "_ref", "_number")
+SENTIMENT_NAMES, RATING_NAMES = ("sentiment", "tone", "sentiment_label"), ("rating", "stars", "score_rating")
+COMPLAINT_PARTS = ("complaint", "feedback", "comment")
+TARGET_HINTS = ("target", "label", "status", "class", "outcome", "performance", "category", "total", "price", "cost")
+
+# Patterns of column names for the filling of gaps.
+DATE_NAME = r"(?i)(^|_)(date|datetime|timestamp|time)(_|$)"
+NUMERIC_NAME = r"(?i)(amount|price|cost|quantity|qty|count|number|num|score|rate|percent|percentage|age|total|balance|weight|height|duration|days|hours|units|revenue|profit|salary|latitude|longitude)$"
+
+# Keys under which a language model's answer holds its records, their numbers and their texts.
+RECORD_KEYS = ("records", "items", "data", "values", "texts")
+NUMBER_KEYS, TEXT_KEYS = ("id", "record_id", "index"), ("text", "value", "content", "feedback")
+
 # Patterns of column contents.
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 PHONE = r"^\+?[\d\s().-]{7,}$"

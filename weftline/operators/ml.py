@@ -10,7 +10,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions import exprs, roles
+from weftline.functions import exprs, roles, words
 from weftline.operators import profile, repair
 
 TREES, DEPTH, LIFT, SEED = 50, 6, 0.05, 42
@@ -94,7 +94,7 @@ def utility(real: DataFrame, synthetic: DataFrame, target: str, key: list[str],
 
 def rank_targets(df: DataFrame, key: list[str], most: int = 6) -> list[str]:
     """Columns worth predicting: named like outcomes first, then classes, then numbers."""
-    hints = ("target", "label", "status", "class", "outcome", "performance", "category", "total", "price", "cost")
+    hints = words.TARGET_HINTS
     found = [(c, task_of(df, c)) for c in df.columns if c not in key and not c.lower().endswith("_id")]
     rank = lambda c, t: (next((i for i, h in enumerate(hints) if h in c.lower()), len(hints)), t != "classification", c)
     return [c for c, t in sorted((x for x in found if x[1]), key=lambda x: rank(*x))][:most]

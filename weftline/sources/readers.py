@@ -74,15 +74,25 @@ def sniff_delimiter(text: str) -> tuple[str, bool]:
     return best[1], wrapped
 
 
+def has_line_breaks(text: str, delimiter: str) -> bool:
+    """Whether a quoted field of the sample goes on over a line's end."""
+    whole = text[: text.rfind("\n") + 1] or text
+    try:
+        return any("\n" in field for record in csv.reader(whole.splitlines(keepends=True), delimiter=delimiter) for field in record)
+    except csv.Error:
+        return False
+
+
 def clean_names(df: DataFrame) -> DataFrame:
     return df.toDF(*(c.strip().lstrip("﻿").strip('"').strip() for c in df.columns))
 
 
-def read_csv(spark: SparkSession, path: str, tolerant: bool = False, infer: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, tolerant: bool = False, infer: bool = True, multi_line: bool | None = None) -> DataFrame:
     """A delimited file with a header row.
 
-    ``tolerant`` drops lines that do not fit. Lines wrapped in quotes as a whole are
-    unwrapped by an expression and parsed again, on the executors like any other line.
+    ``tolerant`` drops lines that do not fit. ``multi_line`` says whether fields hold line
+    breaks (such a file is read by one task); by default the first 64 KB tell. Lines wrapped in
+    quotes as a whole are unwrapped and parsed again, on the executors like any other line.
     """
     head = head_bytes(spark, path)
     encoding = sniff_encoding(head)
@@ -90,11 +100,12 @@ def read_csv(spark: SparkSession, path: str, tolerant: bool = False, infer: bool
     delimiter, wrapped = sniff_delimiter(text)
     options = {"sep": delimiter, "header": "true", "encoding": encoding, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "inferSchema": str(infer).lower(), "escape": '"', "mode": "DROPMALFORMED" if tolerant else "PERMISSIVE"}
     if not wrapped:
-        return clean_names(spark.read.options(**options).csv(path))
+        broken = has_line_breaks(text, delimiter) if multi_line is None else multi_line
+        return clean_names(spark.read.options(**options, multiLine=str(broken).lower()).csv(path))
     header = next(csv.reader([unwrapped(text.splitlines()[0])], delimiter=delimiter))
-    line = F.replace(F.regexp_replace(F.trim("value"), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
     schema = ", ".join(f"`{h.strip()}` STRING" for h in header)
-    rows = spark.read.option("encoding", encoding).text(path).select(line.alias("line")).filter(F.col("line") != unwrapped(text.splitlines()[0]))
+    # one field a line by a separator that no text has: each file's header goes, quotes are taken off
+    rows = spark.read.schema("line string").options(sep="\u0001", header="true", encoding=encoding, escape='"', ignoreLeadingWhiteSpace="true").csv(path)
     parsed = rows.select(F.from_csv("line", schema, {"sep": delimiter, "ignoreLeadingWhiteSpace": "true"}).alias("r")).select("r.*")
     return narrowed(parsed) if infer else parsed
 
