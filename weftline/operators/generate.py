@@ -1,32 +1,65 @@
-"""Generators: a Gaussian copula with empirical marginals, templates for texts, linked tables."""
+"""Generators: a Gaussian copula with empirical marginals, text providers, linked tables.
+
+What a row gets depends on the seed and the row's number only: uniform numbers come from
+hashes of both, so any task can make any row again.
+"""
 
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
+import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import exprs, roles, words
-from weftline.operators import clean, keys, repair, rules
+from weftline.functions.storage import settle
+from weftline.operators import clean, keys, profile, repair, rules, shape, text
 
 KNOTS = 257
 
 
+def uniform(ident, *salt) -> Column:
+    """A number in (0, 1) by a hash of the row's number and the salt."""
+    return (F.shiftrightunsigned(F.xxhash64(F.col(ident) if isinstance(ident, str) else ident, *map(F.lit, salt)), 11) + 0.5) / float(1 << 53)
+
+
+def normal_cdf(x: np.ndarray) -> np.ndarray:
+    """By the rational approximation of erf (Abramowitz and Stegun 7.1.26), to 1e-7."""
+    z = np.abs(x) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * z)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-z * z) / 2
+    return np.where(x < 0, tail, 1 - tail)
+
+
+def normal_quantile(p: np.ndarray) -> np.ndarray:
+    """By the rational approximation of Abramowitz and Stegun 26.2.23, sharpened by two Newton steps."""
+    q = np.minimum(p, 1 - p)
+    t = np.sqrt(-2 * np.log(q))
+    x = t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308)))
+    x = np.where(p < 0.5, -x, x)
+    for _ in range(2):
+        x = x - np.clip((normal_cdf(x) - p) * math.sqrt(2 * math.pi) * np.exp(x * x / 2), -0.1, 0.1) * (np.abs(x) < 4)
+    return x
+
+
 class GaussianCopula:
     """Normal scores of each column, their correlations, and quantile knots to go back.
 
-    What is learnt is of fixed size: ``KNOTS`` quantiles a number column, at most
-    ``max_categories`` shares a text column, one correlation matrix.
+    The model itself is of fixed size: ``KNOTS`` quantiles a number column, the shares of the
+    ``max_categories`` commonest values of a text column, one correlation matrix. Text columns of
+    more values keep a settled table of the rows that have the others, from which these are
+    drawn, each as often as it stands.
     """
 
     def __init__(self, max_categories: int = 500, seed: int = 42):
         self.max_categories, self.seed = max_categories, seed
         self.columns: list[tuple[str, str, object]] = []
+        self.rare: dict[str, tuple[DataFrame, int]] = {}
         self.root = np.eye(0)
 
     def fit(self, df: DataFrame) -> GaussianCopula:
@@ -35,7 +68,7 @@ class GaussianCopula:
         points = [i / (KNOTS - 1) for i in range(KNOTS)]
         value = {c: exprs.number(c) for c in numbers} | {c: F.unix_timestamp(F.col(c).cast("timestamp")).cast("double") for c in dates}
         rows = df.agg(*(F.percentile_approx(v, points, 10_000).alias(c) for c, v in value.items())).first() if value else {}
-        scores, self.columns = [], []
+        scores, self.columns, self.rare = [], [], {}
         for f in df.schema:
             if f.name in value:
                 knots = [float(x) for x in rows[f.name] or [0.0]]
@@ -46,16 +79,16 @@ class GaussianCopula:
                 self.columns.append((f.name, "category", shares))
                 middles, low = [], 0.0
                 for v, s in shares:
-                    middles += [F.lit(v), F.lit(low + s / 2)]
+                    middles += [F.lit(v), F.lit(low + s / 2)] if v is not None else []
                     low += s
-                p = F.coalesce(F.try_element_at(F.create_map(*middles), F.coalesce(F.col(f.name).cast("string"), F.lit(words.MISSING_CATEGORY))), F.lit(0.5))
+                other = F.lit(1 - shares[-1][1] / 2) if f.name in self.rare else F.lit(0.5)
+                p = F.coalesce(F.try_element_at(F.create_map(*middles), F.coalesce(F.col(f.name).cast("string"), F.lit(words.MISSING_CATEGORY))), other)
             scores.append(p.alias(f.name))
         normal = df.select(*scores)
 
         @F.pandas_udf("double")
         def score(p: pd.Series) -> pd.Series:
-            inv = NormalDist().inv_cdf
-            return p.fillna(0.5).clip(1e-6, 1 - 1e-6).map(inv)
+            return pd.Series(normal_quantile(p.fillna(0.5).clip(1e-6, 1 - 1e-6).to_numpy(float)))
 
         normal = normal.select(*(score(F.col(f"`{c}`")).alias(c) for c in df.columns))
         n = len(df.columns)
@@ -76,39 +109,61 @@ class GaussianCopula:
         equal = F.size(F.filter(F.array(*(F.lit(k) for k in knots)), lambda k: k == v))
         return (below - equal / 2) / len(knots)
 
-    def shares(self, df: DataFrame, column: str) -> list[tuple[str, float]]:
-        counts = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit(words.MISSING_CATEGORY)).alias("v")).agg(F.count("*").alias("n"))
-        top = counts.orderBy(F.desc("n"), "v").limit(self.max_categories).collect()
-        total = sum(r["n"] for r in top) or 1
-        return [(r["v"], r["n"] / total) for r in top] or [(words.MISSING_CATEGORY, 1.0)]
+    def shares(self, df: DataFrame, column: str) -> list[tuple[str | None, float]]:
+        """(value, share) of the commonest values; the last is (None, share) for all others if there are any."""
+        value = F.coalesce(F.col(column).cast("string"), F.lit(words.MISSING_CATEGORY))
+        counts = df.groupBy(value.alias("v")).agg(F.count("*").alias("n"))
+        top = counts.orderBy(F.desc("n"), "v").limit(self.max_categories + 1).collect()
+        if len(top) <= self.max_categories:
+            total = sum(r["n"] for r in top) or 1
+            return [(r["v"], r["n"] / total) for r in top] or [(words.MISSING_CATEGORY, 1.0)]
+        top = top[:-1]
+        others = df.select(value.alias("v")).filter(~F.col("v").isin(*(r["v"] for r in top)))
+        numbered = settle(clean.numbered(others.withColumn("m", F.monotonically_increasing_id()), ["v", "m"], "pos", 0).select("pos", "v"))
+        rare = numbered.count()
+        self.rare[column] = (numbered, rare)
+        total = rare + sum(r["n"] for r in top)
+        return [(r["v"], r["n"] / total) for r in top] + [(None, rare / total)]
 
     def generate(self, spark: SparkSession, rows: int, offset: int = 0) -> DataFrame:
         """``rows`` rows; the draw of a row depends on the seed and its number only."""
         kinds = {"int": T.LongType(), "float": T.DoubleType(), "date": T.StringType(), "category": T.StringType()}
-        schema = T.StructType([T.StructField(c, kinds[k]) for c, k, _ in self.columns])
-        columns, root, seed = self.columns, self.root, self.seed
+        names = [c for c, _, _ in self.columns]
+        schema = T.StructType([T.StructField(f"c{i}", kinds[k]) for i, (_, k, _) in enumerate(self.columns)] + [T.StructField(f"r{i}", T.LongType()) for i, c in enumerate(names) if c in self.rare])
+        columns, root = self.columns, self.root
+        rare = {i: self.rare[c][1] for i, c in enumerate(names) if c in self.rare}
 
         def draw(batches):
-            phi = np.vectorize(NormalDist().cdf)
             for batch in batches:
-                z = np.array([np.random.default_rng([seed, int(i)]).standard_normal(len(columns)) for i in batch["id"]]).reshape(-1, len(columns))
-                u = phi(z @ root.T) if len(z) else z
+                z = normal_quantile(batch.to_numpy(float).reshape(-1, len(columns)))
+                u = normal_cdf(z @ root.T) if len(z) else z
                 out = {}
-                for k, (name, kind, learnt) in enumerate(columns):
+                for k, (_, kind, learnt) in enumerate(columns):
                     if kind == "category":
                         edges = np.cumsum([s for _, s in learnt])
                         at = np.minimum(np.searchsorted(edges, u[:, k], side="right"), len(learnt) - 1)
-                        out[name] = [None if learnt[i][0] == words.MISSING_CATEGORY else learnt[i][0] for i in at]
+                        values = np.array([None if v == words.MISSING_CATEGORY else v for v, _ in learnt], dtype=object)
+                        out[f"c{k}"] = values[at]
+                        if k in rare:
+                            share = (u[:, k] - (edges[-1] - learnt[-1][1])) / learnt[-1][1]
+                            out[f"r{k}"] = pd.array(np.clip(share * rare[k], 0, rare[k] - 1).astype(np.int64), dtype="Int64")
+                            out[f"r{k}"][at != len(learnt) - 1] = pd.NA
                         continue
                     x = np.interp(u[:, k], np.linspace(0, 1, len(learnt)), learnt)
-                    out[name] = np.round(x).astype(np.int64) if kind == "int" else pd.to_datetime(x, unit="s").strftime("%Y-%m-%d") if kind == "date" else x
-                yield pd.DataFrame(out, columns=[c for c, _, _ in columns])
+                    out[f"c{k}"] = np.round(x).astype(np.int64) if kind == "int" else pd.to_datetime(x, unit="s").strftime("%Y-%m-%d") if kind == "date" else x
+                yield pd.DataFrame(out, columns=schema.names)
 
-        return spark.range(offset, offset + rows).mapInPandas(draw, schema)
+        draws = spark.range(offset, offset + rows).select(*(uniform("id", self.seed, i).alias(f"u{i}") for i in range(len(columns))))
+        made = draws.mapInPandas(draw, schema)
+        for k in rare:
+            table = self.rare[names[k]][0].select(F.col("pos").alias("_pos"), F.nullif(F.col("v"), F.lit(words.MISSING_CATEGORY)).alias("_v"))
+            common = made.filter(F.col(f"r{k}").isNull()).drop(f"r{k}")
+            made = common.unionByName(made.filter(F.col(f"r{k}").isNotNull()).join(table, F.col(f"r{k}") == F.col("_pos")).withColumn(f"c{k}", F.col("_v")).drop("_pos", "_v", f"r{k}"))
+        return made.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
 
 
 class TemplateText:
-    """Offline text provider: recombines halves of the texts it has seen, for columns that a language model would write."""
+    """Offline text provider: recombines halves of ``most`` texts (a sample by hash), for columns that a language model would write."""
 
     def __init__(self, column: str, most: int = 500, seed: int = 42):
         self.column, self.most, self.seed, self.texts = column, most, seed, [""]
@@ -118,19 +173,57 @@ class TemplateText:
         self.texts = [r["t"] for r in rows] or [""]
         return self
 
-    def generate(self, spark: SparkSession, rows: int) -> DataFrame:
-        texts, seed = self.texts, self.seed
+    def written(self, ident: Column, attempt: int = 0) -> Column:
+        """The text of a row's number."""
+        halves = [t.split() for t in self.texts]
+        heads, tails = (F.array(*(F.lit(" ".join(x)) for x in part)) for part in ([h[: len(h) // 2] for h in halves], [h[len(h) // 2 :] for h in halves]))
+        pick = lambda part, k: F.element_at(part, (F.floor(uniform(ident, self.seed, attempt, k) * len(self.texts)) + 1).cast("int"))
+        return F.trim(F.concat_ws(" ", pick(heads, 0), pick(tails, 1)))
+
+    def generate(self, spark: SparkSession, rows: int, offset: int = 0) -> DataFrame:
+        return spark.range(offset, offset + rows).select(self.written(F.col("id")).alias(self.column))
+
+
+class ProvidedText(TemplateText):
+    """Texts by a provider such as a language model, which gets (numbers, example texts) and answers with a string.
 
-        @F.pandas_udf("string")
-        def write(ids: pd.Series) -> pd.Series:
-            def one(i: int) -> str:
-                rng = np.random.default_rng([seed, i])
-                a, b = (texts[k].split() for k in rng.integers(0, len(texts), 2))
-                return " ".join(a[: len(a) // 2] + b[len(b) // 2 :])
+    Numbers are asked for in batches, inside tasks. Answers are read by ``text.answers_by_id``;
+    what is missing, repeats another text or copies an example is asked for again, up to
+    ``retries`` times, then written from templates.
+    """
 
-            return ids.map(one)
+    def __init__(self, column: str, provider: Callable[[list[int], list[str]], str], batch: int = 25, retries: int = 3, most: int = 500, seed: int = 42):
+        super().__init__(column, most, seed)
+        self.provider, self.batch, self.retries = provider, batch, retries
 
-        return spark.range(rows).select(write("id").alias(self.column))
+    def asked(self, ids: DataFrame) -> DataFrame:
+        """(id, text) of the answers to settled ``ids``."""
+        ask, examples, size = self.provider, self.texts, self.batch
+
+        def run(batches):
+            for rows in batches:
+                numbers = rows["id"].tolist()
+                parts = [numbers[at : at + size] for at in range(0, len(numbers), size)]
+                if parts:
+                    yield pd.DataFrame({"ids": parts, "answer": [ask(p, examples[:5]) for p in parts]})
+
+        # answers cost money and differ each time, so they are settled before they are read
+        return text.answers_by_id(settle(ids.mapInPandas(run, "ids array<long>, answer string")), "answer", "ids")
+
+    def generate(self, spark: SparkSession, rows: int, offset: int = 0) -> DataFrame:
+        todo, kept = spark.range(offset, offset + rows), None
+        known = spark.createDataFrame([(t.lower(),) for t in self.texts], "low string")
+        for _ in range(self.retries):
+            found = self.asked(todo).join(todo, "id").withColumn("low", F.lower("text")).join(F.broadcast(known), "low", "left_anti")  # at most ``most`` examples
+            if kept is not None:
+                found = found.join(kept.select(F.lower("text").alias("low")).distinct(), "low", "left_anti")
+            found = settle(found.groupBy("low").agg(F.min_by("text", "id").alias("text"), F.min("id").alias("id")).select("id", "text"))
+            kept = found if kept is None else settle(kept.unionByName(found))
+            todo = settle(todo.join(kept.select("id"), "id", "left_anti"))
+            if todo.isEmpty():
+                break
+        rest = todo.select("id", self.written(F.col("id")).alias("text"))
+        return (rest if kept is None else kept.unionByName(rest)).orderBy("id").select(F.col("text").alias(self.column))
 
 
 def generator(name: str, **options):
@@ -138,37 +231,36 @@ def generator(name: str, **options):
     if name == "gaussian_copula":
         return GaussianCopula(**options)
     if name == "llm_text":
-        return TemplateText(**options)
+        return ProvidedText(**options) if "provider" in options else TemplateText(**options)
     if name in ("ctgan", "tvae"):
         raise RuntimeError(f"{name} needs the optional dependency torch, which is not installed")
     raise ValueError(f"unknown generator {name!r}")
 
 
-def batch_size(rows: int, wanted: int | None = None) -> int:
-    """Rows in one checkpointed batch."""
+def batch_size(rows: int, wanted: int | None = None, most_batches: int = 100) -> int:
+    """Rows in one checkpointed batch: a few for small requests, and so many that there are at most ``most_batches``."""
     if wanted:
         return wanted
-    return max(5, rows // 2) if rows <= 20 else 25 if rows <= 100 else 100 if rows <= 500 else 200
+    return max(5, rows // 2) if rows <= 20 else 25 if rows <= 100 else 100 if rows <= 500 else max(200, -(-rows // most_batches))
 
 
 def generate_rows(model, spark: SparkSession, rows: int, real: DataFrame | None = None, row_rules: list[dict] | None = None, derive: list[dict] | None = None, actions: dict[str, str] | None = None, factor: float = 1.25, most: int = 10) -> DataFrame:
     """``rows`` rows that keep the rules; raises when ``most`` attempts do not find them."""
-    kept, have, offset = None, 0, 0
-    for _ in range(most):
-        ask = max(1, math.ceil((rows - have) * factor))
-        part = rules.valid_rows(rules.apply_arithmetic(model.generate(spark, ask, offset), derive or []), row_rules or [])
-        offset += ask
-        kept = part if kept is None else kept.unionByName(part)
-        have = kept.count()
-        if have >= rows:
-            out = kept.limit(rows)
-            out = clean.impute(out, real.select(*[c for c in out.columns if c in real.columns])) if real is not None else out
-            return clean.apply_actions(out, actions, out.columns[:1]) if actions else out
-    raise RuntimeError(f"{have} of {rows} valid rows after {most} attempts")
+
+    def attempts():
+        have = offset = 0
+        for _ in range(most):
+            ask = max(1, math.ceil((rows - have) * factor))
+            have += yield rules.valid_rows(rules.apply_derived(model.generate(spark, ask, offset), derive or []), row_rules or [])
+            offset += ask
+
+    out = repair.first_rows(attempts(), rows)
+    out = clean.impute(out, real.select(*[c for c in out.columns if c in real.columns])) if real is not None else out
+    return clean.apply_actions(out, actions, out.columns[:1]) if actions else out
 
 
 def generate_checkpointed(model, spark: SparkSession, rows: int, path: str, wanted: int | None = None) -> DataFrame:
-    """Generate in batches that are appended as Parquet; a restart goes on behind the last whole batch."""
+    """Generate in batches that are written as Parquet; a restart goes on behind the last whole batch."""
     from weftline.sources import sinks
 
     done, size = sinks.checkpoint_rows(spark, path), batch_size(rows, wanted)
@@ -191,18 +283,55 @@ def parents_first(tables: list[str], relations: list[tuple[str, str, str, str]])
     return out
 
 
+def rendered(template: str) -> tuple[str, int, str]:
+    """(before, width, behind) of the last number in a value."""
+    at = list(re.finditer(r"\d+", template))
+    return (template[: at[-1].start()], len(at[-1].group()), template[at[-1].end() :]) if at else (template, 0, "")
+
+
+def post_processed(real: DataFrame, out: DataFrame, pk: str, found: dict, most_categories: int = 50) -> DataFrame:
+    """A generated table in the form of its original: other ids, key functions, decimals, derived columns, category shares."""
+    for c in found["ids"]:
+        if c != pk:
+            values = [str(r[c]) for r in real.select(c).orderBy(F.desc(c)).limit(500).collect()]
+            out = keys.make_ids(out, c, [pk], keys.id_pattern(values), real.select(F.col(c).cast("string")))
+            out = out.withColumn(c, F.col(c).try_cast(real.schema[c].dataType))
+    for c in found["functions"]:
+        sample = real.filter(F.col(c).isNotNull()).select(c).orderBy(pk).first()
+        before, width, behind = rendered(str(sample[c]) if sample else "")
+        out = keys.apply_key_function(out.withColumn(c, F.lit(None).cast("string")), pk, c, real.select(pk, c), before, width, behind)
+    modelled = [c for c in real.columns if c in out.columns]
+    for r in found["derived"]:
+        if r["rule_type"] == "arithmetic" and r["target"] not in out.columns:
+            out = out.withColumn(r["target"], F.lit(None).cast(real.schema[r["target"]].dataType))
+    out = rules.apply_derived(shape.restored(out, real.select(*modelled)), found["derived"])
+    made = {r["target"] for r in found["derived"]}
+    out = shape.restored(out, real.select(*(c for c in made if c in out.columns))) if made else out
+    fixed = {pk, *found["ids"], *found["foreign"], *found["functions"], *made}
+    for c in profile.text_columns(real):
+        if c in out.columns and c not in fixed and real.select(c).distinct().limit(most_categories + 1).count() <= most_categories:
+            out = repair.restore_categories(real, out, c, [pk])
+    return out
+
+
 def linked(tables: dict[str, DataFrame], relations: list[tuple[str, str, str, str]], primary: dict[str, str], rows: int | dict[str, int], seed: int = 42) -> dict[str, DataFrame]:
-    """Synthetic tables whose foreign keys point to synthetic parents, as often as the originals do."""
+    """Synthetic tables whose foreign keys point to synthetic parents, as often as the originals do.
+
+    Ids, foreign keys, key functions and derived columns are not learnt but made again.
+    """
     made: dict[str, DataFrame] = {}
     for name in parents_first(list(tables), relations):
         df, pk = tables[name], primary[name]
         spark, n = df.sparkSession, rows[name] if isinstance(rows, dict) else rows
         foreign = {fk: (p, k) for p, k, c, fk in relations if c == name}
-        body = df.drop(pk, *foreign)
+        found = shape.analyse_table(df, list(foreign), pk)
+        spans = [r["target"] for r in found["derived"] if r["rule_type"] == "date_difference"]
+        derived = [r["target"] for r in found["derived"] if r["target"] not in spans]
+        body = rules.with_spans(shape.training_frame(df, [pk, *found["ids"]], list(foreign), derived, found["functions"]), found["derived"])
+        body = body if set(body.columns) - {pk, *foreign} else df.select()
         out = GaussianCopula(seed=seed).fit(body).generate(spark, n) if body.columns else spark.range(n).select()
         start = keys.next_integers(df, pk)["start"] if dict(df.dtypes)[pk] in ("int", "bigint") else 1
-        out = out.withColumn("_i", F.monotonically_increasing_id())
-        out = clean.numbered(out, ["_i"], pk, start).drop("_i")
+        out = clean.numbered(out.withColumn("_i", F.monotonically_increasing_id()), ["_i"], pk, start).drop("_i")
         for fk, (parent, key) in foreign.items():
             # child counts of the original parents, by falling count, meet the synthetic parents by place
             counts = clean.numbered(df.groupBy(F.col(fk)).agg(F.count("*").alias("w")).withColumn("o", -F.col("w")), ["o", fk], "_p", 0).select("_p", "w")
@@ -210,7 +339,7 @@ def linked(tables: dict[str, DataFrame], relations: list[tuple[str, str, str, st
             weights = parents.join(counts, "_p", "left").select("value", F.coalesce("w", F.lit(1)).cast("double").alias("weight"))
             draws = draw_weighted(weights, n, seed)
             out = clean.numbered(out, [pk], "_q", 0).join(draws.withColumnRenamed("value", fk), "_q").drop("_q")
-        made[name] = out.select(*df.columns)
+        made[name] = settle(shape.aligned(post_processed(df, out, pk, found), df.columns))
     return made
 
 

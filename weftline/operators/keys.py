@@ -6,13 +6,10 @@ costs one row.
 
 from __future__ import annotations
 
-import random
 import re
 import string
-import uuid
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import exprs, words
@@ -83,11 +80,11 @@ def key_function(df: DataFrame, key: str, value: str, least: float = 0.95) -> Da
     )
 
 
-def apply_key_function(df: DataFrame, key: str, value: str, known: DataFrame, prefix: str, width: int) -> DataFrame:
-    """A value looked up by key, else the template ``prefix`` + the key's number, zero-padded."""
+def apply_key_function(df: DataFrame, key: str, value: str, known: DataFrame, prefix: str, width: int, suffix: str = "") -> DataFrame:
+    """A value looked up by key, else the template ``prefix`` + the key's number, zero-padded, + ``suffix``."""
     look = known.select(F.col(key).alias("_k"), F.col(value).alias("_v")).dropDuplicates(["_k"])
     number = exprs.last_number(key).cast("string")
-    made = F.concat(F.lit(prefix), F.when(F.length(number) >= width, number).otherwise(F.lpad(number, width, "0")))
+    made = F.concat(F.lit(prefix), F.when(F.length(number) >= width, number).otherwise(F.lpad(number, width, "0")), F.lit(suffix))
     return df.join(look, F.col(key) == F.col("_k"), "left").withColumn(value, F.coalesce("_v", made)).drop("_k", "_v")
 
 
@@ -131,8 +128,8 @@ def id_pattern(values: list[str]) -> dict:
 def make_ids(rows: DataFrame, column: str, order: list[str], pattern: dict, existing: DataFrame | None = None, seed: int = 42) -> DataFrame:
     """``rows`` with new ids after the pattern; none of ``existing`` (one column) is used again.
 
-    Counters go on behind the largest number. Other kinds draw from a generator seeded by
-    the row's number, so retries and reruns agree.
+    Counters go on behind the largest number. Other kinds are made of hashes of the row's
+    number, so retries and reruns agree.
     """
     numbered = clean.numbered(rows, order, "_i", 0)
     if pattern["kind"] == "counter":
@@ -141,19 +138,23 @@ def make_ids(rows: DataFrame, column: str, order: list[str], pattern: dict, exis
         return numbered.withColumn(column, F.concat(F.lit(pattern["prefix"]), padded, F.lit(pattern["suffix"]))).drop("_i")
     alphabet = {"U": string.ascii_uppercase, "L": string.ascii_lowercase, "D": string.digits, "S": "-"}
 
-    def draw(i: int, attempt: int) -> str:
-        rng = random.Random(f"{seed}:{attempt}:{i}")
+    def some(letters: str, n: int, salt: str) -> Column:
+        """``n`` letters by bytes of hashes of the row's number."""
+        blocks = F.concat(*(F.sha2(F.concat_ws(":", F.lit(f"{seed}:{salt}:{k}"), F.col("_i").cast("string")), 256) for k in range(-(-n // 16))))
+        code = lambda i: F.conv(F.substring(blocks, 4 * i + 1, 4), 16, 10).cast("int") % len(letters)
+        return F.concat(*(F.substring(F.lit(letters), code(i) + 1, F.lit(1)) for i in range(n))) if n else F.lit("")
+
+    def ids(attempt: int) -> Column:
         if pattern["kind"] == "uuid":
-            return str(uuid.UUID(int=rng.getrandbits(128), version=4))
+            h = F.sha2(F.concat_ws(":", F.lit(f"{seed}:{attempt}"), F.col("_i").cast("string")), 256)
+            part = lambda at, n: F.substring(h, at, n)
+            return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("4"), part(14, 3)), F.concat(F.lit("a"), part(18, 3)), part(21, 12))
         if pattern["kind"] == "template":
-            return "".join(fixed if fixed is not None else "".join(rng.choices(alphabet[k], k=n + attempt // 2)) for fixed, k, n in pattern["runs"])
+            return F.concat(*(F.lit(fixed) if fixed is not None else some(alphabet[k], n + attempt // 2, f"{attempt}:{at}") for at, (fixed, k, n) in enumerate(pattern["runs"])))
         size = max(6, pattern.get("length", 8) - len(pattern["prefix"])) + attempt
-        return pattern["prefix"] + "".join(rng.choices(string.ascii_uppercase + string.digits, k=size))
-
-    def ids(attempt: int):
-        return F.pandas_udf(lambda i: pd.Series([draw(x, attempt) for x in i], dtype=object), "string")
+        return F.concat(F.lit(pattern["prefix"]), some(string.ascii_uppercase + string.digits, size, str(attempt)))
 
-    out = numbered.withColumn(column, ids(0)("_i"))
+    out = numbered.withColumn(column, ids(0))
     for attempt in range(1, 7):
         taken = out.groupBy(F.col(column).alias("_v")).agg(F.min("_i").alias("_first"))
         marked = out.join(taken, F.col(column) == F.col("_v")).withColumn("_again", F.col("_i") != F.col("_first")).drop("_v", "_first")
@@ -162,7 +163,7 @@ def make_ids(rows: DataFrame, column: str, order: list[str], pattern: dict, exis
             marked = marked.join(old, F.col(column) == F.col("_e"), "left").withColumn("_again", F.col("_again") | F.coalesce("_old", F.lit(False))).drop("_e", "_old")
         if marked.filter("_again").isEmpty():
             return out.drop("_i")
-        out = marked.withColumn(column, F.when(F.col("_again"), ids(attempt)("_i")).otherwise(F.col(column))).drop("_again")
+        out = marked.withColumn(column, F.when(F.col("_again"), ids(attempt)).otherwise(F.col(column))).drop("_again")
     raise RuntimeError(f"{column}: no free ids after 6 widenings")
 
 

@@ -149,6 +149,23 @@ def first_per_target(rules: list[dict]) -> list[dict]:
     return list(seen.values())
 
 
+def without_circles(rules: list[dict]) -> list[dict]:
+    """The rules, first come first kept, but for those whose operands are made of their own target."""
+    made: dict[str, set[str]] = {}
+    out = []
+    for r in rules:
+        operands = r.get("operands") or [r["start"]]
+        needs = set(operands).union(*(made.get(o, set()) for o in operands))
+        if r["target"] in needs:
+            continue
+        made[r["target"]] = needs
+        for known in made.values():
+            if r["target"] in known:
+                known |= needs
+        out.append(r)
+    return out
+
+
 def detect_derived(df: DataFrame, columns: list[str] | None = None, least: float = 0.98, dates: list[str] | None = None) -> list[dict]:
     """Derived columns, each target once; multiplication is preferred to sums, differences and ratios.
 
@@ -166,7 +183,7 @@ def detect_derived(df: DataFrame, columns: list[str] | None = None, least: float
     found = scan_arithmetic(df, columns, least=least, rtol=1e-3).collect()
     found.sort(key=lambda r: (columns.index(r["left_column"]), columns.index(r["right_column"]), rank[r["operation"]]))
     arithmetic = [{"rule_type": "arithmetic", "operation": r["operation"], "operands": [r["left_column"], r["right_column"]], "target": r["target"], "confidence": r["accuracy"]} for r in found]
-    return first_per_target(arithmetic + spans)
+    return without_circles(first_per_target(arithmetic + spans))
 
 
 def with_spans(df: DataFrame, rules: list[dict]) -> DataFrame:

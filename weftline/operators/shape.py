@@ -103,13 +103,15 @@ def divergent_column(df: DataFrame, labels: list[str], numbers: list[str], least
     return None
 
 
-def analyse_table(df: DataFrame, foreign: list[str] = ()) -> dict:
-    """Ids, key functions, derived columns and decimal places of one of several linked tables."""
+def analyse_table(df: DataFrame, foreign: list[str] = (), key: str | None = None) -> dict:
+    """Ids, key functions (of ``key`` or the first id), derived columns and decimal places of one of several linked tables."""
     ids = keys.id_columns(df)
-    texts = [c for c in profile.text_columns(df) if c not in ids]
-    functions = [c for c in texts if ids and keys.key_function(df, ids[0], c).first()["is_key_function"]]
-    numbers = [c for c in profile.numeric_columns(df) if c not in ids and c not in foreign]
-    derived = [r for r in rules.detect_derived(df, numbers)] if len(numbers) >= 3 else []
+    key = key or (ids[0] if ids else None)
+    texts = [c for c in profile.text_columns(df) if c not in ids and c not in foreign and c != key]
+    functions = [c for c in texts if key and keys.key_function(df, key, c).first()["is_key_function"]]
+    numbers = [c for c in profile.numeric_columns(df) if c not in ids and c not in foreign and c != key]
+    dates = [f.name for f in df.schema if isinstance(f.dataType, roles.TEMPORAL)] + [c for c, k in clean.column_kinds(df.select(*(x for x in texts if x not in functions))).items() if k == "date"]
+    derived = rules.detect_derived(df, numbers, dates=dates) if len(numbers) >= 3 or len(dates) >= 2 else []
     floats = [f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
     return {"ids": ids, "foreign": list(foreign), "functions": functions, "derived": derived, "decimals": repair.rounding(df, floats) if floats else {}}
 

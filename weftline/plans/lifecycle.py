@@ -60,18 +60,35 @@ def improve(real: DataFrame, synthetic: DataFrame, key: str, thresholds=(0.04, 0
     return tables[best["candidate"] if best else "baseline"], scores
 
 
-def autotune(real: DataFrame, key: str, rows: int, goal: float = 80.0, least_gain: float = 1.0, most: int = 3) -> tuple[DataFrame, list[dict]]:
-    """(table, attempts): refits the copula with other seeds until the score is good or gains little."""
-    body, attempts, best = real.drop(key), [], None
-    for i in range(most):
-        made = generate.GaussianCopula(seed=42 + 13 * i).fit(body).generate(real.sparkSession, rows)
-        score = compare.statistical_similarity(body, made).agg(F.avg("score")).first()[0] or 0.0
-        attempts.append({"attempt": i + 1, "seed": 42 + 13 * i, "score": score})
-        gain = score - (best[1] if best else 0.0)
-        if best is None or gain > 0:
-            best = (made, score)
-        if score >= goal or (i and gain < least_gain):
+def tuned(name: str, options: dict, attempt: int) -> dict:
+    """The options for the next attempt: a new seed for the copula, a looser guard against like texts for text providers."""
+    out = dict(options)
+    if name == "gaussian_copula":
+        out["seed"] = out.get("seed", 42) + 13 * attempt
+    if "similarity" in out:
+        out["similarity"] = min(0.95, round(out["similarity"] + 0.05, 2))
+    return out
+
+
+def autotune(real: DataFrame, key: str, rows: int, goal: float = 80.0, least_gain: float = 1.0, most: int = 3, name: str = "gaussian_copula", options: dict | None = None, score=None) -> tuple[DataFrame, list[dict]]:
+    """(best table, attempts): generates again with tuned options until the score is good or gains little.
+
+    ``score(real, made)`` is the mean statistical similarity by default. Each attempt says which
+    metrics were weak.
+    """
+    body, attempts, best, last = real.drop(key), [], None, None
+    options = dict(options or {})
+    measure = score or (lambda r, m: compare.statistical_similarity(r, m).agg(F.avg("score")).first()[0] or 0.0)
+    for i in range(1, most + 1):
+        made = generate.generator(name, **options).fit(body).generate(real.sparkSession, rows)
+        value = measure(body, made)
+        weak = metadata.weak_metrics(real.sparkSession.createDataFrame([("statistical", float(value))], "metric string, score double")).select("metric").collect()
+        attempts.append({"attempt": i, "options": dict(options), "score": value, "weak": [r["metric"] for r in weak]})
+        if best is None or value > best[1]:
+            best = (made, value)
+        if value >= goal or (last is not None and value - last < least_gain):
             break
+        options, last = tuned(name, options, i), value
     return best[0], attempts
 
 
