@@ -234,6 +234,15 @@ def test_fingerprints_of_one_hot_id(spark):
     assert found == want
 
 
+def test_ranges_of_long_texts_are_even(spark):
+    """Long documents stand together at the end of the ids."""
+    slim = spark.range(20_000).select(F.col("id").alias("place"), F.when(F.col("id") >= 19_500, 60_000).otherwise(500).cast("long").alias("chars"))
+    chars = slim.agg(F.sum("chars")).first()[0]
+    bounds, parts = fingerprint.text_ranges(slim, 20_000, chars, chars // 40)
+    sums = slim.groupBy(F.expr(" + ".join(f"int(place >= {b})" for b in bounds)).alias("r")).agg(F.sum("chars").alias("n")).collect()
+    assert set(parts) == {1} and len(bounds) >= 40 and max(r["n"] for r in sums) < 2 * chars / 40
+
+
 def test_every_range_has_its_task(spark):
     df = spark.range(1)
     for tasks in (1, 7, 35, 300):

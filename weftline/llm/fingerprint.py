@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -141,27 +142,20 @@ def edited_sketch(cut: int, edited: str, text: str, words: np.ndarray, k: int, s
     return merge(sketch_words(words[:kept], k, shingle), sketch_words(rest, k, shingle), k=k)
 
 
-def text_ranges(slim: DataFrame, chars: int, range_chars: int) -> tuple[list[int], list[int]]:
+def text_ranges(slim: DataFrame, rows: int, chars: int, range_chars: int) -> tuple[list[int], list[int]]:
     """(bounds, parts): rising ids at which ranges begin, and into how many parts by hash each range is cut on.
 
-    ``slim`` has place, tie and chars. Fine ranges of about equal rows are joined into ranges of
-    about equal characters; a range that one id fills is cut by the hash of its texts.
+    ``slim`` has place and chars. Bounds are quantiles of the ids in which a row counts once for
+    every average row's characters that it has, so ranges have about equal characters. An id
+    that stands for several of them is a range of its own, cut by the hash of its texts.
     """
     ranges = min(MAX_RANGES, max(1, math.ceil(chars / range_chars)))
-    fine = min(MAX_RANGES, 8 * ranges)
-    cuts = slim.agg(F.percentile_approx("place", [i / fine for i in range(fine)], max(10_000, 4 * fine)).alias("cuts")).first()["cuts"] or [0]
-    known = sorted(set(cuts))
-    sums = slim.groupBy(range_of(F.col("place"), known).alias("r")).agg(F.sum("chars").alias("chars"), F.min("place").alias("low"), F.max("place").alias("high"))
-    limit = chars / ranges
-    bounds, parts, held = [], [], limit
-    for r in sums.orderBy("r").collect():  # at most ``fine`` rows
-        own = max(1, math.ceil(r["chars"] / limit)) if r["low"] == r["high"] else 1
-        if held >= limit or own > 1 or (parts and parts[-1] > 1):
-            bounds.append(r["low"])
-            parts.append(own)
-            held = 0
-        held += r["chars"]
-    return bounds or [0], parts or [1]
+    weighted = slim.select("place", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("chars") * rows / F.lit(max(1, chars))))))
+    cuts = weighted.agg(F.percentile_approx("place", [i / ranges for i in range(ranges)], max(10_000, 4 * ranges)).alias("cuts")).first()["cuts"] or [0]
+    times = Counter(cuts)
+    behind = {c + 1 for c, n in times.items() if n > 1 and c < 2**63 - 1}
+    bounds = sorted(times.keys() | behind)
+    return bounds, [times.get(c, 1) for c in bounds]
 
 
 def task_keys(docs: DataFrame, tasks: int) -> list[int]:
@@ -180,8 +174,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumns({"place": F.coalesce("doc_id", F.lit(-(2**63))), "tie": F.xxhash64("text")})
     slim = persist(rows.select("place", "tie", (F.length("text") + 1).cast("long").alias("chars")))
-    chars = slim.agg(F.sum("chars")).first()[0] or 0
-    bounds, parts = text_ranges(slim, chars, range_chars)
+    size = slim.agg(F.count("*").alias("rows"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars")).first()
+    bounds, parts = text_ranges(slim, size["rows"], size["chars"], range_chars)
     first_task = [sum(parts[:i]) for i in range(len(parts))]
     at = F.greatest(range_of(F.col("place"), bounds), F.lit(1))
     pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), i)
