@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans import q_clean, q_compare, q_keys, q_metadata, q_profile, q_repair, q_rules, q_shape  # noqa: F401
+from weftline.plans import q_clean, q_compare, q_files, q_keys, q_lifecycle, q_metadata, q_profile, q_repair, q_rules, q_shape  # noqa: F401
 from weftline.plans.registry import QUERIES, SQL
 
 

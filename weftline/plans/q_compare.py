@@ -127,11 +127,11 @@ def association_preservation(spark, d):
     return compare.association_preservation(real, synthetic, ["o_orderstatus", "o_orderpriority"])
 
 
-@query("""WITH s AS (SELECT l_quantity, l_discount, l_returnflag FROM lineitem WHERE l_orderkey % 2 <> 0), r AS (SELECT DISTINCT l_quantity, l_discount, l_returnflag FROM lineitem WHERE l_orderkey % 2 = 0 AND l_linenumber = 1 AND l_orderkey % 16 = 0)
-SELECT count(*) AS rows, count(r.l_quantity) AS exact_matches, round(count(r.l_quantity)::double / count(*), 6) AS exact_match_rate FROM s LEFT JOIN r ON s.l_quantity = r.l_quantity AND s.l_discount = r.l_discount AND s.l_returnflag = r.l_returnflag""")
+@query("""WITH s AS (SELECT l_quantity, l_discount, l_tax, l_suppkey FROM lineitem WHERE l_orderkey % 2 <> 0), r AS (SELECT DISTINCT l_quantity, l_discount, l_tax, l_suppkey FROM lineitem WHERE l_orderkey % 2 = 0)
+SELECT count(*) AS rows, count(r.l_quantity) AS exact_matches, round(count(r.l_quantity)::double / count(*), 6) AS exact_match_rate FROM s LEFT JOIN r ON s.l_quantity = r.l_quantity AND s.l_discount = r.l_discount AND s.l_tax = r.l_tax AND s.l_suppkey = r.l_suppkey""")
 def exact_match_rate(spark, d):
     real, synthetic = halves(table(spark, d, "lineitem"), "l_orderkey")
-    return compare.exact_matches(real.filter("l_linenumber = 1 and l_orderkey % 16 = 0"), synthetic, ["l_quantity", "l_discount", "l_returnflag"])
+    return compare.exact_matches(real, synthetic, ["l_quantity", "l_discount", "l_tax", "l_suppkey"])
 
 
 @query("SELECT p_partkey, p_brand, p_size FROM part s WHERE p_partkey % 2 <> 0 AND NOT EXISTS (SELECT 1 FROM part r WHERE r.p_partkey % 2 = 0 AND r.p_brand = s.p_brand AND r.p_size = s.p_size)")

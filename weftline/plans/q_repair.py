@@ -103,8 +103,9 @@ def improve_quality(spark, d):
     return repair.enhance(real, shifted, ["o_totalprice"], ["o_orderpriority"], ["o_orderkey"])
 
 
-@query()
+@query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_event_counts(spark, d):
     from weftline.streaming import batches
 
-    return batches.windowed_counts(spark, d)
+    out = batches.windowed_counts(spark, d)
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -25,9 +25,12 @@ def check_upload(name: str, size: int, most: int = MAX_BYTES) -> None:
 
 
 def head_bytes(spark: SparkSession, path: str, most: int = HEAD_BYTES) -> bytes:
-    """The first bytes of a file, wherever Spark can read it: local disk, HDFS, an object store."""
+    """The first bytes of a file, or of a folder's first file that has any, wherever Spark can read it: local disk, HDFS, an object store."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getFileStatus(hadoop).isDirectory():
+        parts = sorted((s.getPath() for s in system.listStatus(hadoop) if s.isFile() and s.getLen() and not s.getPath().getName().startswith(("_", "."))), key=lambda p: p.getName())
+        hadoop = parts[0] if parts else hadoop
     stream = system.open(hadoop)
     try:
         size = min(most, system.getFileStatus(hadoop).getLen())
