@@ -67,7 +67,15 @@ def tvd_categorical(spark, d):
     return compare.tvd(real, synthetic, ["c_mktsegment", "c_nationkey"])
 
 
-@query()
+def similarity_sql(name: str, key: str, numbers, labels) -> str:
+    side = lambda f, c, s: f"{f}({c}) FILTER ({key} % 2 {'=' if s else '<>'} 0)"
+    m = " UNION ALL ".join(f"SELECT '{c}' AS column_name, {side('avg', c, 1)} AS m1, {side('avg', c, 0)} AS m2, {side('stddev_samp', c, 1)} AS s1, {side('stddev_samp', c, 0)} AS s2 FROM {name}" for c in numbers)
+    return f"""WITH m AS ({m}), k AS ({ks_sql(name, key, numbers)}), n AS (SELECT column_name, 'numerical' AS kind, (1 - least(abs(m1 - m2) / greatest(s1, 1e-9), 1) + 1 - least(abs(s1 - s2) / greatest(s1, 1e-9), 1) + 1 - ks) / 3 * 100 AS score FROM m JOIN k USING (column_name)), {shares_sql(name, key, labels)},
+j AS (SELECT column_name, sqrt(greatest(0, 0.5 * sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) + 0.5 * sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END))) AS d FROM p GROUP BY 1)
+SELECT column_name, kind, round(score, 4) AS score FROM n UNION ALL SELECT column_name, 'categorical', round(greatest(0, 1 - d) * 100, 4) FROM j"""
+
+
+@query(similarity_sql("part", "p_partkey", ("p_partkey", "p_size", "p_retailprice"), ("p_name", "p_brand", "p_type")))
 def statistical_similarity(spark, d):
     real, synthetic = halves(table(spark, d, "part"), "p_partkey")
     return compare.statistical_similarity(real, synthetic)
@@ -156,7 +164,15 @@ def gower_dcr(spark, d):
     return near.withColumn("distance", F.round("distance", 6))
 
 
-@query()
+PRIVACY = """WITH c AS (SELECT c_custkey AS k, c_acctbal AS x, c_nationkey AS n, c_mktsegment AS y, md5(c_custkey::varchar || '|42') AS h FROM customer), w AS (SELECT max(x) - min(x) AS wx, max(n) - min(n) AS wn FROM c WHERE k % 2 = 0),
+r AS (SELECT * FROM c WHERE k % 2 = 0 ORDER BY h LIMIT 2000), s AS (SELECT * FROM c WHERE k % 2 <> 0 ORDER BY h LIMIT 500), o AS (SELECT * FROM r ORDER BY h LIMIT 500),
+ds AS (SELECT s.k, min((least(abs(s.x - r.x) / wx, 1) + least(abs(s.n - r.n) / wn::double, 1) + (s.y <> r.y)::int) / 3.0::double) AS d FROM s, r, w GROUP BY 1), dr AS (SELECT o.k, min((least(abs(o.x - r.x) / wx, 1) + least(abs(o.n - r.n) / wn::double, 1) + (o.y <> r.y)::int) / 3.0::double) AS d FROM o, r, w WHERE o.k <> r.k GROUP BY 1),
+e AS (SELECT count(*) FILTER (EXISTS (SELECT 1 FROM c r WHERE r.k % 2 = 0 AND r.x = c.x AND r.n = c.n AND r.y = c.y))::double / count(*) AS x FROM c WHERE k % 2 <> 0),
+m AS (SELECT round((SELECT x FROM e), 6) AS x, (SELECT median(d) FROM ds) AS s, (SELECT median(d) FROM dr) AS r), q AS (SELECT *, CASE WHEN r > 0 THEN s / r WHEN s > 0 THEN 1.0::double ELSE 0.0::double END AS ratio FROM m)
+SELECT x AS exact_match_rate, round(s, 6) AS dcr_synthetic, round(r, 6) AS dcr_real, round(ratio, 4) AS dcr_ratio, round(50 * (1 - x) + 50 * least(1.0::double, ratio), 4) AS score, CASE WHEN x > 0.05 OR ratio < 0.5 THEN 'HIGH' WHEN x > 0.01 OR ratio < 0.8 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM q"""
+
+
+@query(PRIVACY)
 def privacy_score(spark, d):
     real, synthetic = halves(table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey"), "c_custkey")
     return compare.privacy(real, synthetic, "c_custkey")

@@ -126,20 +126,6 @@ def compact_profile(spark, d):
     return out.select("column_name", "unique_count", F.round("unique_ratio", 6).alias("unique_ratio"), "null_ratio", F.round("avg_length", 6).alias("avg_length"), "top_values", "sample_values")
 
 
-PRIVACY = """WITH c AS (SELECT c_custkey AS k, c_acctbal AS x, c_nationkey AS n, c_mktsegment AS y, md5(c_custkey::varchar || '|42') AS h FROM customer), w AS (SELECT max(x) - min(x) AS wx, max(n) - min(n) AS wn FROM c WHERE k % 2 = 0),
-r AS (SELECT * FROM c WHERE k % 2 = 0 ORDER BY h LIMIT 2000), s AS (SELECT * FROM c WHERE k % 2 <> 0 ORDER BY h LIMIT 500), o AS (SELECT * FROM r ORDER BY h LIMIT 500),
-ds AS (SELECT s.k, min((least(abs(s.x - r.x) / wx, 1) + least(abs(s.n - r.n) / wn::double, 1) + (s.y <> r.y)::int) / 3.0::double) AS d FROM s, r, w GROUP BY 1), dr AS (SELECT o.k, min((least(abs(o.x - r.x) / wx, 1) + least(abs(o.n - r.n) / wn::double, 1) + (o.y <> r.y)::int) / 3.0::double) AS d FROM o, r, w WHERE o.k <> r.k GROUP BY 1),
-e AS (SELECT count(*) FILTER (EXISTS (SELECT 1 FROM c r WHERE r.k % 2 = 0 AND r.x = c.x AND r.n = c.n AND r.y = c.y))::double / count(*) AS x FROM c WHERE k % 2 <> 0),
-m AS (SELECT round((SELECT x FROM e), 6) AS x, (SELECT median(d) FROM ds) AS s, (SELECT median(d) FROM dr) AS r), q AS (SELECT *, CASE WHEN r > 0 THEN s / r WHEN s > 0 THEN 1.0::double ELSE 0.0::double END AS ratio FROM m)
-SELECT x AS exact_match_rate, round(s, 6) AS dcr_synthetic, round(r, 6) AS dcr_real, round(ratio, 4) AS dcr_ratio, round(50 * (1 - x) + 50 * least(1.0::double, ratio), 4) AS score, CASE WHEN x > 0.05 OR ratio < 0.5 THEN 'HIGH' WHEN x > 0.01 OR ratio < 0.8 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM q"""
-
-
-@query(PRIVACY)
-def privacy_measures(spark, d):
-    real, synthetic = halves(table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey"), "c_custkey")
-    return compare.privacy(real, synthetic, "c_custkey")
-
-
 @query("SELECT metric, round(score, 2) AS score, threshold FROM (SELECT 'statistical' AS metric, least(100, 70 + count(*) % 3) AS score, 75.0::double AS threshold FROM orders UNION ALL SELECT 'correlation', 90, 70.0 FROM region LIMIT 2) WHERE score < threshold")
 def weak_metric_rows(spark, d):
     n = table(spark, d, "orders").count()
@@ -197,6 +183,13 @@ def preprocess_whole(spark, d):
     return out.withColumns({"total_cost": F.round("total_cost", 4), "cost_per_unit": F.round("cost_per_unit", 6)})
 
 
+@query("""WITH v AS (SELECT l_orderkey::double AS key, CASE WHEN l_orderkey % 11 <> 0 THEN l_extendedprice END AS price, CASE WHEN l_orderkey % 13 <> 0 THEN l_returnflag END AS flag, l_quantity AS quantity FROM lineitem), m AS (SELECT median(price) AS p, (SELECT flag FROM v WHERE flag IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS f FROM v),
+w AS (SELECT key, coalesce(price, p) AS price, coalesce(flag, f) AS flag, quantity FROM v, m) SELECT key, round(price, 4) AS price, quantity, (flag = 'A')::int AS "flag_A", (flag = 'N')::int AS "flag_N", (flag = 'R')::int AS "flag_R" FROM w""")
+def preprocess_lines(spark, d):
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.when(F.col("l_orderkey") % 11 != 0, F.col("l_extendedprice")).alias("price"), F.when(F.col("l_orderkey") % 13 != 0, F.col("l_returnflag")).alias("flag"), F.col("l_quantity").alias("quantity"))
+    return clean.preprocess(lines).withColumn("price", F.round("price", 4))
+
+
 def outlier_sql(columns) -> str:
     parts = []
     for c in columns:

@@ -76,6 +76,23 @@ def classify_columns(spark, d):
     return profile.classify_columns(profile.classifier_input(wide))
 
 
-@query()
+def full_profile_sql(name: str, kinds: dict[str, tuple[str, str]], most: int = 10) -> str:
+    """kinds: column -> (kind, Spark type)."""
+    parts = []
+    for c, (kind, dtype) in kinds.items():
+        v = f"{c}::varchar"
+        number, string = kind == "numerical", dtype == "string"
+        best = f"(SELECT {v} AS v, count(*) AS n FROM {name} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {most})"
+        stat = lambda f: f"round({f}, 4)" if number else "NULL::double"
+        parts.append(f"""SELECT '{c}' AS column_name, '{dtype}' AS dtype, count(DISTINCT {c}) AS unique_count, round(count(DISTINCT {c})::double / count(*), 6) AS unique_ratio, 0.0::double AS null_ratio, round(avg(length({v})), 6) AS avg_length, '{kind}' AS kind,
+(SELECT '{{' || string_agg('"' || v || '":' || n, ',' ORDER BY v) || '}}' FROM {best}) AS top_values, (SELECT '[' || string_agg('"' || v || '"', ',' ORDER BY v) || ']' FROM {best}) AS sample_values,
+{stat(f'min({c})')} AS min_value, {stat(f'quantile_cont({c}, 0.25)')} AS q1, {stat(f'quantile_cont({c}, 0.5)')} AS median_value, {stat(f'quantile_cont({c}, 0.75)')} AS q3, {stat(f'max({c})')} AS max_value, {stat(f'avg({c})')} AS mean_value, {stat(f'stddev_samp({c})')} AS std_value,
+{f'min(length({c}))' if string else 'NULL::bigint'} AS min_length, {f'max(length({c}))' if string else 'NULL::bigint'} AS max_length FROM {name}""" if number else f"""SELECT '{c}', '{dtype}', count(DISTINCT {c}), round(count(DISTINCT {c})::double / count(*), 6), 0.0::double, round(avg(length({v})), 6), '{kind}',
+(SELECT '{{' || string_agg('"' || v || '":' || n, ',' ORDER BY v) || '}}' FROM {best}), (SELECT '[' || string_agg('"' || v || '"', ',' ORDER BY v) || ']' FROM {best}), NULL, NULL, NULL, NULL, NULL, NULL, NULL, min(length({c})), max(length({c})) FROM {name}""")
+    return " UNION ALL ".join(parts)
+
+
+@query(full_profile_sql("part", {"p_partkey": ("numerical", "bigint"), "p_size": ("numerical", "int"), "p_name": ("categorical", "string"), "p_brand": ("categorical", "string"), "p_type": ("categorical", "string")}))
 def full_profile(spark, d):
-    return profile.full_profile(table(spark, d, "customer"))
+    out = profile.full_profile(table(spark, d, "part").select("p_partkey", "p_size", "p_name", "p_brand", "p_type"))
+    return out.withColumns({"unique_ratio": F.round("unique_ratio", 6), "avg_length": F.round("avg_length", 6)})

@@ -31,7 +31,10 @@ def resample_weights(spark, d):
     return repair.class_weights(real, synthetic, "c_mktsegment")
 
 
-@query()
+@query("""WITH g AS (SELECT c_mktsegment AS value, count(*) FILTER (c_custkey % 2 = 0) AS r, count(*) FILTER (c_custkey % 2 <> 0) AS s FROM customer GROUP BY 1), p AS (SELECT value, r::double / sum(r) OVER () AS p, s::double / sum(s) OVER () AS q FROM g),
+w AS (SELECT c.*, md5(c_custkey::varchar || '|42') AS h, round(greatest(p, 0.01::double) / greatest(q, 0.001::double), 6) AS w FROM customer c JOIN p ON c_mktsegment = value WHERE c_custkey % 2 <> 0),
+o AS (SELECT *, sum(w) OVER (ORDER BY h, c_custkey ROWS UNBOUNDED PRECEDING) AS t, sum(w) OVER () AS n FROM w), k AS (SELECT *, floor(t / n * 500 + 0.5) - floor((t - w) / n * 500 + 0.5) AS times FROM o)
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM (SELECT *, unnest(range(times::bigint)) FROM k WHERE times > 0)""")
 def weighted_resample(spark, d):
     real, synthetic = halves(table(spark, d, "customer"), "c_custkey")
     weights = repair.class_weights(real, synthetic, "c_mktsegment")

@@ -72,6 +72,16 @@ def net_lines(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), cut.alias("rebate"), (F.col("l_extendedprice") + F.col("l_quantity")).alias("gross"), F.col("l_quantity").alias("quantity"))
 
 
+NET = "SELECT l_extendedprice AS price, l_discount AS discount, CASE WHEN l_orderkey % 500 = 0 THEN 0 ELSE l_extendedprice * l_discount END AS rebate, l_extendedprice + l_quantity AS gross, l_quantity AS quantity FROM lineitem"
+TRIED = (("multiply", "*", "price", "discount", "rebate"), ("add", "+", "price", "quantity", "gross"), ("subtract", "-", "gross", "quantity", "price"), ("subtract", "-", "gross", "price", "quantity"), ("divide", "/", "rebate", "discount", "price"), ("divide", "/", "rebate", "price", "discount"), ("divide", "/", "rebate", "gross", "discount"))
+
+
+def detected_sql() -> str:
+    """The rules of ``arithmetic_rule_scan`` whose target correlates with an operand."""
+    rows = [f"SELECT '{op}' AS operation, '{a}' AS left_column, '{b}' AS right_column, '{t}' AS target, avg((abs({a} {sign} {b} - {t}) <= 0.01 + 1e-5 * abs({t}))::int) {f'FILTER ({b} <> 0)' if op == 'divide' else ''} AS accuracy, greatest(abs(corr({a}, {t})), abs(corr({b}, {t}))) AS related FROM v" for op, sign, a, b, t in TRIED]
+    return f"WITH v AS ({NET}), c AS ({' UNION ALL '.join(rows)}) SELECT operation, left_column, right_column, target, round(accuracy, 6) AS accuracy FROM c WHERE accuracy >= 0.99 AND related >= 0.7"
+
+
 @query("""WITH v AS (SELECT l_extendedprice AS price, l_discount AS discount, CASE WHEN l_orderkey % 500 = 0 THEN 0 ELSE l_extendedprice * l_discount END AS rebate, l_extendedprice + l_quantity AS gross, l_quantity AS quantity FROM lineitem),
 c AS (SELECT 'multiply' AS operation, 'price' AS left_column, 'discount' AS right_column, 'rebate' AS target, avg((abs(price * discount - rebate) <= 0.01 + 1e-5 * abs(rebate))::int) AS accuracy FROM v
 UNION ALL SELECT 'add', 'price', 'quantity', 'gross', avg((abs(price + quantity - gross) <= 0.01 + 1e-5 * abs(gross))::int) FROM v
@@ -86,7 +96,7 @@ def arithmetic_rule_scan(spark, d):
     return found.withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query()
+@query(detected_sql())
 def arithmetic_rules_detected(spark, d):
     found = rules.detect_arithmetic(net_lines(spark, d))
     rows = [(r["operation"], *r["operands"], r["target"], round(r["confidence"], 6)) for r in found]
