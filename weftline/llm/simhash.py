@@ -408,7 +408,7 @@ def few_keys(held: bytes, similarity: float) -> np.ndarray:
     return np.frombuffer(held, np.uint64)[: n - math.ceil(similarity * n - 1e-9) + 1].astype(np.int64)
 
 
-def wide_links(nodes: DataFrame, similarity: float, rows: int, tile: int = 2048, slack: float = 2.5) -> DataFrame:
+def wide_links(nodes: DataFrame, similarity: float, rows: int, tile: int = 6144, slack: float = 2.5) -> DataFrame:
     """(u, v, bits) over rows (node, few, wide): links that connect nodes of likeness ``similarity`` or more.
 
     Small sets meet by their smallest shingles and are compared exactly (bits 0). The others
@@ -457,7 +457,9 @@ def wide_links(nodes: DataFrame, similarity: float, rows: int, tile: int = 2048,
         return pd.DataFrame({"u": low, "v": high, "bits": np.concatenate([np.zeros(len(u), np.int64), d])})
 
     # keys of large groups are hashed anew with each pair of tiles; two keys that collide only share a comparison
-    large = nodes.select("few", "wide").mapInPandas(keys_only, "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile)
+    large = persist(nodes.select("few", "wide").mapInPandas(keys_only, "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile))
+    if large.count() <= BROADCAST_ROWS:  # one for every ``tile`` index rows at most; beyond that the index is shuffled for it
+        large = F.broadcast(large)
     tiles = F.ceil(F.col("n") / tile).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
     kind = F.col("key").bitwiseAND(F.lit(1))
