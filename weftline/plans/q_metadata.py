@@ -75,8 +75,14 @@ def owner_join(spark, d):
     return joined.select("event_id", "user_id", "c_name", "n_name")
 
 
-@query("""SELECT metric, CASE WHEN metric = 'a' THEN 'regressed' ELSE 'below_target' END AS insight, CASE WHEN metric = 'a' THEN 'high' ELSE 'medium' END AS severity FROM (VALUES ('a'), ('c')) t(metric)""")
+@query("""WITH g AS (SELECT p_name AS metric, round(avg(p_size) FILTER (p_partkey % 2 = 0), 4) AS b, round(avg(p_size) FILTER (p_partkey % 2 <> 0), 4) AS a FROM part GROUP BY 1), x AS (SELECT metric, a, round(a - b, 4) AS delta, CASE WHEN metric LIKE '%ring' THEN 27.0::double END AS goal FROM g WHERE a IS NOT NULL AND b IS NOT NULL)
+SELECT metric, CASE WHEN delta < 0 THEN 'regressed' ELSE 'below_target' END AS insight, CASE WHEN delta < 0 AND abs(delta) >= 10 THEN 'high' WHEN delta < 0 THEN 'medium' WHEN goal - a >= 15 THEN 'high' ELSE 'medium' END AS severity FROM x WHERE delta < 0 OR coalesce(a < goal, false)""")
 def feedback_insights(spark, d):
-    rows = [("a", 90.0, 70.0, -20.0, "regressed"), ("b", 60.0, 80.0, 20.0, "improved"), ("c", 60.0, 65.0, 5.0, "improved")]
-    deltas = spark.createDataFrame(rows, "metric string, value_before double, value_after double, delta double, status string")
-    return metadata.insights(deltas, {"a": 60.0, "b": 75.0, "c": 75.0})
+    """Part names play metrics, even and odd keys the values before and after."""
+    from weftline.operators import rules
+
+    part = table(spark, d, "part")
+    side = lambda odd: part.filter(F.col("p_partkey") % 2 == odd).groupBy(F.col("p_name").alias("metric")).agg(F.round(F.avg("p_size"), 4).alias("value"))
+    goals = {r["p_name"]: 27.0 for r in part.select("p_name").filter("p_name like '%ring'").distinct().collect()}
+    deltas = rules.metric_delta(side(0), side(1), ()).filter("value_before is not null and value_after is not null")
+    return metadata.insights(deltas, goals)

@@ -58,19 +58,27 @@ def bootstrap_fill(spark, d):
     return repair.fill_up(s, n + int(n / 2 + 0.5), ["s_suppkey"])
 
 
-CANDIDATES = [("base", 80.0, 70.0, 60.0, 95.0, 100.0, 90.0, 99.0, None, 0.0), ("ks_04", 90.0, 72.0, None, 96.0, 100.0, 95.0, 99.0, 98.0, 0.0), ("ks_08", 99.0, 99.0, 99.0, 99.0, 100.0, 99.0, 99.0, 99.0, 0.5)]
-COLUMNS = "candidate string, statistical double, correlation double, ml_utility double, privacy double, completeness double, domain_validity double, uniqueness double, chronology double, exact_match_rate double"
+CANDIDATES = """SELECT p_brand AS candidate, 40 + avg(p_size) AS s, (count(*) % 100)::double AS co, CASE WHEN min(p_partkey) % 2 = 0 THEN 50.0::double + max(p_size) END AS m, 90.0::double AS p, CASE WHEN max(p_partkey) % 3 = 0 THEN 98.0::double ELSE 100.0::double END AS k, 95.0::double AS v, 100.0::double - min(p_size) AS u, CASE WHEN max(p_size) < 50 THEN 97.0::double END AS t, CASE WHEN max(p_partkey) % 5 = 0 THEN 0.5::double ELSE 0.0::double END AS e FROM part GROUP BY 1"""
+SCORED = f"""WITH c AS ({CANDIDATES}) SELECT candidate, round((s * 0.22::double + co * 0.16::double + coalesce(m, 0) * 0.18::double + p * 0.14::double + k * 0.1::double + v * 0.1::double + u * 0.05::double + coalesce(t, 0) * 0.05::double) / (0.77::double + CASE WHEN m IS NULL THEN 0 ELSE 0.18::double END + CASE WHEN t IS NULL THEN 0 ELSE 0.05::double END), 4) AS score, k >= 99.999 AND e <= 0.01 AND u > 0 AS is_valid FROM c"""
 
 
-@query("""WITH c(candidate, s, co, m, p, k, v, u, t, e) AS (VALUES ('base', 80, 70, 60, 95, 100, 90, 99, NULL, 0), ('ks_04', 90, 72, NULL, 96, 100, 95, 99, 98, 0), ('ks_08', 99, 99, 99, 99, 100, 99, 99, 99, 0.5))
-SELECT candidate, round((s * 0.22::double + co * 0.16::double + coalesce(m, 0) * 0.18::double + p * 0.14::double + k * 0.1::double + v * 0.1::double + u * 0.05::double + coalesce(t, 0) * 0.05::double) / (0.77::double + CASE WHEN m IS NULL THEN 0 ELSE 0.18::double END + CASE WHEN t IS NULL THEN 0 ELSE 0.05::double END), 4) AS score, e <= 0.01 AS is_valid FROM c""")
+def candidate_rows(spark, d):
+    """The brands of parts play candidates."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("candidate")).agg(
+        (40 + F.avg(size)).alias("statistical"), (F.count("*") % 100).cast("double").alias("correlation"), F.when(F.min(key) % 2 == 0, 50.0 + F.max(size)).alias("ml_utility"), F.lit(90.0).alias("privacy"),
+        F.when(F.max(key) % 3 == 0, 98.0).otherwise(100.0).alias("completeness"), F.lit(95.0).alias("domain_validity"), (100.0 - F.min(size)).alias("uniqueness"), F.when(F.max(size) < 50, 97.0).alias("chronology"), F.when(F.max(key) % 5 == 0, 0.5).otherwise(0.0).alias("exact_match_rate"),
+    )
+
+
+@query(SCORED)
 def candidate_score(spark, d):
-    return repair.candidate_scores(spark.createDataFrame(CANDIDATES, COLUMNS))
+    return repair.candidate_scores(candidate_rows(spark, d))
 
 
-@query("SELECT 'ks_04' AS candidate, true AS is_valid")
+@query(f"SELECT candidate, score, is_valid FROM ({SCORED}) WHERE is_valid ORDER BY score DESC, candidate LIMIT 1")
 def best_candidate(spark, d):
-    return repair.best_candidate(repair.candidate_scores(spark.createDataFrame(CANDIDATES, COLUMNS))).select("candidate", "is_valid")
+    return repair.best_candidate(repair.candidate_scores(candidate_rows(spark, d)))
 
 
 @query()

@@ -9,10 +9,12 @@ from weftline.plans import metadata
 from weftline.plans.registry import query, table
 
 
-@query("SELECT count(*) AS rows, false AS ascending FROM orders")
+@query("""WITH x AS (SELECT o_orderkey AS a, CASE WHEN o_orderkey = 77 THEN 0 ELSE o_orderkey END AS b, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS pa, lag(CASE WHEN o_orderkey = 77 THEN 0 ELSE o_orderkey END) OVER (ORDER BY o_orderkey) AS pb FROM orders)
+SELECT 'as it is' AS version, count(*) AS rows, count(*) FILTER (a < pa) = 0 AS ascending FROM x UNION ALL SELECT 'one fell', count(*), count(*) FILTER (b < pb) = 0 FROM x""")
 def ids_ascending_check(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") == 77, 0).otherwise(F.col("o_orderkey")).alias("k"))
-    return shape.is_ascending(o, "k", ["o_orderkey"])
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").alias("a"), F.when(F.col("o_orderkey") == 77, 0).otherwise(F.col("o_orderkey")).alias("b"))
+    check = lambda c, name: shape.is_ascending(o, c, ["o_orderkey"]).select(F.lit(name).alias("version"), "*")
+    return check("a", "as it is").unionByName(check("b", "one fell"))
 
 
 @query("SELECT 'price' AS column_a, 'gross' AS column_b, round(corr(l_extendedprice, l_extendedprice + l_quantity), 4) AS correlation FROM lineitem")
