@@ -251,6 +251,12 @@ def test_every_range_has_its_task(spark):
         assert [r["t"] for r in got] == list(range(tasks))
 
 
+def test_no_task_gets_two_ranges(spark):
+    rows = spark.range(600).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 20).alias("text"))
+    out = fingerprint.fingerprint_edits(rows, range_chars=5_000).select("doc_id", F.spark_partition_id().alias("p")).collect()
+    assert max(Counter(r["p"] for r in out).values()) <= 600 / 20
+
+
 def test_long_texts_are_sketched_in_parts():
     words = fingerprint.word_hashes([f"w{i * 7 % 90_001}" for i in range(130_000)])
     assert np.array_equal(fingerprint.sketch_words(words), fingerprint.bottom(fingerprint.shingle_hashes(words)))

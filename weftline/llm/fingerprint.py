@@ -194,7 +194,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     before = F.struct(pick(before_of, F.col("range") + 1).alias("range"), F.lit(1).alias("beyond"))
     first = (pick(place_of, F.col("range") + 1) == F.col("place")) & (pick(tie_of, F.col("range") + 1) == F.col("tie"))
     spread = dealt.select("doc_id", "text", "place", "tie", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))).alias("x")).select("x.range", "x.beyond", "place", "tie", "doc_id", "text")
-    tied = spread.repartition(tasks, pick(keys, F.col("range") + 1)).sortWithinPartitions("range", "beyond", "place", "tie")
+    tied = spread.repartition(tasks, pick(keys, F.col("range") + 1).cast("long")).sortWithinPartitions("range", "beyond", "place", "tie")
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "distinct_shingles", "edited_containment", "next_containment"]
 
     def walk(batches):
