@@ -59,7 +59,7 @@ class Chunks:
     forget everything when full.
     """
 
-    LIMIT = 400_000
+    LIMIT = 800_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
