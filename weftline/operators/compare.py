@@ -6,8 +6,10 @@ any size is compared by grouped counts and windows per column. Metrics come back
 
 from __future__ import annotations
 
+import math
 from itertools import combinations, combinations_with_replacement
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -143,27 +145,41 @@ def median_filled(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*(F.coalesce(exprs.number(c), F.lit(m.get(c, [0.0])[0])).alias(c) for c in columns))
 
 
-def correlation_preservation(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
-    """(correlation_score, covariance_score, overall_score, correlation_error); null below two columns."""
+def covariance_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """Sample covariances of all pairs, in one aggregate per 80 pairs; missing ones are 0."""
     n = len(columns)
+    pairs, out = list(combinations_with_replacement(range(n), 2)), np.zeros((n, n))
+    for at in range(0, len(pairs), 80):
+        part = pairs[at : at + 80]
+        row = df.agg(*(F.covar_samp(columns[i], columns[j]).alias(f"p{k}") for k, (i, j) in enumerate(part))).first()
+        for (i, j), v in zip(part, row):
+            out[i, j] = out[j, i] = 0.0 if v is None or math.isnan(v) else v
+    return out
+
+
+def correlation_preservation(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
+    """(correlation_score, covariance_score, overall_score, correlation_error); null below two columns.
+
+    Each side gives its covariances, a number for each pair of columns; the rest follows from these.
+    """
+    schema, n = "correlation_score double, covariance_score double, overall_score double, correlation_error double", len(columns)
     if n < 2:
-        return real.sparkSession.createDataFrame([(None,) * 4], "correlation_score double, covariance_score double, overall_score double, correlation_error double")
-    r, s = median_filled(real, columns), median_filled(synthetic, columns)
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    cr, cs = correlation_long(r, columns), correlation_long(s, columns).withColumnRenamed("correlation", "other")
-    corr = cr.join(cs, ["column_a", "column_b"]).agg(
-        # off-diagonal cells stand twice in the matrix, the diagonal never differs
-        (2 * F.sum(F.abs(zero(F.col("correlation")) - zero(F.col("other")))) / (n * n)).alias("gap"),
-        F.sqrt(2 * F.sum(F.pow(zero(F.col("correlation")) - zero(F.col("other")), 2))).alias("num"), F.sqrt(2 * F.sum(F.pow(zero(F.col("correlation")), 2)) + n).alias("den"),
-    )
-    vr, vs = covariance_long(r, columns), covariance_long(s, columns).withColumnRenamed("covariance", "other")
-    own = vr.filter("column_a = column_b").select(F.col("column_a").alias("k"), F.sqrt("covariance").alias("sd"))
-    cov = vr.join(vs, ["column_a", "column_b"]).join(own.select(F.col("k").alias("column_a"), F.col("sd").alias("sd_a")), "column_a").join(own.select(F.col("k").alias("column_b"), F.col("sd").alias("sd_b")), "column_b")
-    rel = F.least(F.abs(F.col("covariance") - F.col("other")) / F.greatest(F.col("sd_a") * F.col("sd_b"), F.lit(1e-9)), F.lit(1.0))
-    cov = cov.agg((F.sum(rel * F.when(F.col("column_a") == F.col("column_b"), 1).otherwise(2)) / (n * n)).alias("cgap"))
-    c, v = F.greatest(F.lit(0.0), 1 - F.col("gap") / 2) * 100, F.greatest(F.lit(0.0), 1 - F.col("cgap")) * 100
-    joined = corr.withColumn("one", F.lit(1)).join(cov.withColumn("one", F.lit(1)), "one")
-    return joined.select(F.round(c, 4).alias("correlation_score"), F.round(v, 4).alias("covariance_score"), F.round((c + v) / 2, 4).alias("overall_score"), F.round(F.col("num") / F.col("den"), 4).alias("correlation_error"))
+        return real.sparkSession.createDataFrame([(None,) * 4], schema)
+    vr, vs = (covariance_matrix(median_filled(df, columns), columns) for df in (real, synthetic))
+
+    def correlations(v: np.ndarray) -> np.ndarray:
+        scale = np.sqrt(np.outer(np.diag(v), np.diag(v)))
+        out = np.divide(v, scale, out=np.zeros_like(v), where=scale > 0)
+        np.fill_diagonal(out, 1.0)
+        return out
+
+    cr, cs, sd = correlations(vr), correlations(vs), np.sqrt(np.diag(vr))
+    c = max(0.0, 1 - float(np.abs(cr - cs).sum()) / (n * n) / 2) * 100
+    gap = np.minimum(np.abs(vr - vs) / np.maximum(np.outer(sd, sd), 1e-9), 1.0)
+    v = max(0.0, 1 - float(gap.sum()) / (n * n)) * 100
+    error = float(np.linalg.norm(cr - cs) / np.linalg.norm(cr))
+    one = real.sparkSession.createDataFrame([(c, v, (c + v) / 2, error)], schema)
+    return one.select(*(F.round(x, 4).alias(x) for x in one.columns))
 
 
 def cramers_v(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
