@@ -44,7 +44,7 @@ PART_WORDS = 50_000
 class WordHashes(dict):
     """Word -> 64-bit hash; forgets everything when full."""
 
-    LIMIT = 250_000
+    LIMIT = 120_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:

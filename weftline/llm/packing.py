@@ -42,6 +42,8 @@ OTHER_WHITE = re.compile(r"[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Characters of text whose new chunks are tokenized in one call.
 CALL_CHARS = 1_000_000
+#: Words whose ids a worker keeps; a hundred bytes each, and kept as long as the worker lives.
+KNOWN_WORDS = 800_000
 
 
 def default_tokenizer() -> str:
@@ -56,12 +58,11 @@ class Chunks:
     Texts are cut at blanks, each of which goes with the word behind it, and before line
     feeds. The vocabulary's pre-tokenizer cuts there too, but where white space meets white
     space; texts in which it may, or that have other white space, are cut by CHUNK. Tables
-    forget everything when full.
+    forget everything when they hold ``limit`` entries.
     """
 
-    LIMIT = 800_000
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = KNOWN_WORDS):
+        self.limit = limit
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -110,7 +111,7 @@ class Chunks:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; what has not been seen before goes to the tokenizer in few calls."""
-        if len(self.words) + len(self.chunks) > self.LIMIT:
+        if len(self.words) + len(self.chunks) > self.limit:
             self.clear()
         starts, rest, whole = [], [], {}
         for i, text in enumerate(texts):
@@ -145,13 +146,13 @@ def in_calls(texts: list[str]) -> Iterator[list[str]]:
         yield run
 
 
-ENCODERS: dict[str, Chunks] = {}
+ENCODERS: dict[tuple[str, int], Chunks] = {}
 
 
-def encoder(path: str) -> Chunks:
-    if path not in ENCODERS:
-        ENCODERS[path] = Chunks(path)
-    return ENCODERS[path]
+def encoder(path: str, limit: int) -> Chunks:
+    if (path, limit) not in ENCODERS:
+        ENCODERS[path, limit] = Chunks(path, limit)
+    return ENCODERS[path, limit]
 
 
 def cut_pieces(data: bytes, size: int = SIZE) -> list[tuple[int, int, int]]:
@@ -162,12 +163,12 @@ def cut_pieces(data: bytes, size: int = SIZE) -> list[tuple[int, int, int]]:
     return [(a, b - a, zlib.crc32(data[4 * a : 4 * b])) for a, b in zip(cuts, cuts[1:])]
 
 
-def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, separator: int = SEPARATOR, tokenizer: str | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, separator: int = SEPARATOR, tokenizer: str | None = None, known_words: int = KNOWN_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for each piece of each document."""
     path, end = tokenizer or default_tokenizer(), separator.to_bytes(4, "little")
 
     def run(batches):
-        encode = encoder(path).encode
+        encode = encoder(path, known_words).encode
         for batch in batches:
             out = []
             encoded = (data for texts in in_calls(batch["text"].tolist()) for data in encode(texts))

@@ -32,7 +32,7 @@ from weftline.llm.common import persist, unused
 from weftline.llm.fingerprint import shingle_hashes, word_hashes
 
 SEED = 42
-BUFFER_ROWS, MAX_EDGES = 50_000, 200_000
+BUFFER_ROWS, MAX_EDGES = 30_000, 200_000
 #: Rows of three numbers of which a table may have so many to be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -466,7 +466,8 @@ def wide_links(nodes: DataFrame, similarity: float, rows: int, tile: int = 6144,
     spread = F.transform(F.sequence(F.lit(0), tiles - 1), lambda o: F.xxhash64("key", F.least(o, own), F.greatest(o, own)).bitwiseAND(F.lit(~1)) + kind)
     pair = F.when(F.col("n").isNull(), F.array("key")).otherwise(spread)
     tiled = nodes.select("node", "few", "wide").mapInPandas(index, "key long, node long, held binary").join(large, "key", "left").select(F.explode(pair).alias("key"), "node", "held")
-    found = tiled.repartition("key").sortWithinPartitions("key").mapInPandas(lambda b: whole_keys(b, ["key"], linked), "u long, v long, bits long")
+    # in the order of nodes, so that like groups of different keys give like links
+    found = tiled.repartition("key").sortWithinPartitions("key", "node").mapInPandas(lambda b: whole_keys(b, ["key"], linked), "u long, v long, bits long")
     return found.groupBy("u", "v").agg(F.min("bits").alias("bits"))
 
 
