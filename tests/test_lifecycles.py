@@ -175,15 +175,27 @@ def test_preprocess_checks_its_result(spark):
     assert clean.preprocess(df, for_generation=True).columns == df.columns
 
 
-def test_quantiles_over_slices(spark, monkeypatch):
-    monkeypatch.setattr(profile, "SLICE_VALUES", 50)
-    rng = random.Random(9)
-    values = [(float(rng.choice([rng.randrange(2000), 7, 7])), rng.random()) for _ in range(3000)]
-    got = profile.quantiles(spark.createDataFrame(values, "a double, b double"), ["a", "b"], [0.0, 0.25, 0.5, 0.995, 1.0])
+@pytest.mark.parametrize("accuracy", [10_000, 8])
+def test_quantiles_are_exact(spark, monkeypatch, accuracy):
+    """By sketches good and bad; many equal values, gaps and one empty column."""
     import numpy as np
 
+    monkeypatch.setattr(profile, "ACCURACY", accuracy)
+    rng = random.Random(9)
+    values = [(float(rng.choice([rng.randrange(2000), 7, 7])), rng.random() if rng.random() < 0.9 else None, None) for _ in range(3000)]
+    points = [0.0, 0.25, 0.5, 0.995, 1.0]
+    got = profile.quantiles(spark.createDataFrame(values, "a double, b double, c double"), ["a", "b", "c"], points)
+    assert set(got) == {"a", "b"}
     for i, c in enumerate("ab"):
-        assert np.allclose(got[c], np.quantile([v[i] for v in values], [0.0, 0.25, 0.5, 0.995, 1.0]))
+        assert np.allclose(got[c], np.quantile([v[i] for v in values if v[i] is not None], points))
+
+
+def test_cumulative_sums_over_slices(spark, monkeypatch):
+    monkeypatch.setattr(profile, "SLICE_VALUES", 20)
+    rng = random.Random(3)
+    rows = [("x", float(v), rng.randrange(1, 5)) for v in rng.sample(range(1000), 200)] + [("y", 1.0, 2)]
+    got = {(r["column_name"], r["value"]): (r["before_n"], r["all_n"]) for r in profile.cumulative(spark.createDataFrame(rows, "column_name string, value double, n long"), ["n"]).collect()}
+    assert got == {(c, v): (sum(n for d, w, n in rows if d == c and w < v), sum(n for d, _, n in rows if d == c)) for c, v, _ in rows}
 
 
 def test_first_rows_are_made_once(spark):

@@ -7,6 +7,8 @@ percentiles for sketches of fixed size, which is what very large tables need.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -88,36 +90,66 @@ def cumulative(counts: DataFrame, weights: list[str]) -> DataFrame:
     return within_slices(joined, weights).drop("slice", *(f"{p}_{w}" for p in "bt" for w in weights))
 
 
-def ranked_values(counts: DataFrame, points: list[float]) -> DataFrame:
-    """(column_name, q0, q1, ...): quantiles with linear interpolation, from settled value counts.
+#: Accuracy of the sketches that bracket exact quantiles: a rank's error is below a share of 1 / ACCURACY.
+ACCURACY = 10_000
+
 
-    Only the slices in which a quantile lies are sorted.
+def bracketed(numbers: DataFrame, columns: list[str], points: list[float], slack: float) -> dict[tuple[str, int], float | None] | None:
+    """(column, place of the point) -> quantile; None if a bracket of ``slack`` around a point missed it.
+
+    A sketch gives two values around each point; the rows below the lower one are counted, and
+    only the values between them are grouped and ranked.
     """
-    cut, sums = sliced(counts, ["n"])
-    at = lambda p: F.lit(p) * (F.col("all_n") - 1)
-    ranks = F.array(*(f(at(p)) for p in points for f in (F.floor, F.ceil)))
-    needed = sums.filter(F.exists(ranks, lambda r: (r >= F.col("b_n")) & (r < F.col("b_n") + F.col("t_n"))))
-    near = within_slices(cut.join(F.broadcast(needed), ["column_name", "slice"]), ["n"])  # two slices a point and column at most
-    held = lambda rank: F.max(F.when((F.col("before_n") <= rank) & (rank < F.col("before_n") + F.col("n")), F.col("value")))
-    parts = [x for i, p in enumerate(points) for x in (held(F.floor(at(p))).alias(f"lo{i}"), held(F.ceil(at(p))).alias(f"hi{i}"))]
-    rows = near.groupBy("column_name").agg(F.max("all_n").alias("all_n"), *parts)
-    return rows.select("column_name", *((F.col(f"lo{i}") + (at(p) - F.floor(at(p))) * (F.col(f"hi{i}") - F.col(f"lo{i}"))).alias(f"q{i}") for i, p in enumerate(points)))
+    probes = [min(1.0, max(0.0, p + d)) for p in points for d in (-slack, slack)]
+    row = numbers.agg(*(F.percentile_approx(c, probes, ACCURACY).alias(f"q{i}") for i, c in enumerate(columns)), *(x.alias(f"{k}{i}") for i, c in enumerate(columns) for k, x in (("n", F.count(c)), ("l", F.min(c)), ("h", F.max(c))))).first()
+    ends = {}
+    for i, c in enumerate(columns):
+        for k, p in enumerate(points if row[f"n{i}"] else []):
+            ends[c, k] = (row[f"l{i}"] if p <= slack else row[f"q{i}"][2 * k], row[f"h{i}"] if p >= 1 - slack else row[f"q{i}"][2 * k + 1], p * (row[f"n{i}"] - 1))
+    if not ends:
+        return {}
+    keys = list(ends)
+    below = numbers.agg(*(F.count_if(F.col(c) < ends[c, k][0]).alias(f"b{i}") for i, (c, k) in enumerate(keys))).first()
+    arrays = []
+    for c in dict.fromkeys(c for c, _ in keys):
+        own = [(i, k) for i, (o, k) in enumerate(keys) if o == c]
+        arrays += [F.lit(c), F.array(*(F.struct(F.lit(i).alias("i"), F.lit(ends[c, k][0]).alias("low"), F.lit(ends[c, k][1]).alias("high")) for i, k in own))]
+    long = numbers.unpivot([], columns, "column_name", "value").filter("value is not null")
+    inside = F.filter(F.create_map(*arrays)[F.col("column_name")], lambda x: (F.col("value") >= x["low"]) & (F.col("value") <= x["high"]))
+    counts = long.select(F.explode(inside).alias("x"), "value").groupBy("x.i", "value").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("i").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.create_map(*(F.lit(x) for i, key in enumerate(keys) for x in (i, float(ends[key][2]) - below[f"b{i}"])))[F.col("i")]
+    held = lambda r: F.max(F.when((F.col("before") <= r) & (r < F.col("before") + F.col("n")), F.col("value")))
+    found = counts.withColumns({"before": before, "rank": rank}).groupBy("i").agg(held(F.floor("rank")).alias("a"), held(F.ceil("rank")).alias("b")).collect()
+    out: dict[tuple[str, int], float | None] = {}
+    for r in found:
+        c, k = keys[r["i"]]
+        if r["a"] is None or r["b"] is None:
+            return None
+        pos = ends[c, k][2]
+        out[c, k] = r["a"] + (pos - math.floor(pos)) * (r["b"] - r["a"])
+    return out if len(out) == len(keys) else None
 
 
 def quantiles(df: DataFrame, columns: list[str], points: list[float], exact: bool = True) -> dict[str, list[float]]:
-    """The quantiles of each column that has values."""
-    if exact:
-        rows = ranked_values(settle(value_table(df, columns)), points)
-        return {r["column_name"]: list(r)[1:] for r in rows.collect()}
-    row = df.agg(*(F.percentile_approx(exprs.number(c), points, 10_000).alias(c) for c in columns)).first()
-    return {c: list(row[c]) for c in columns if row[c] is not None}
+    """The quantiles of each column that has values, with linear interpolation; no table of values is shuffled."""
+    if not columns:
+        return {}
+    numbers, slack, found = df.select(*(exprs.number(c).alias(c) for c in columns)), 2 / ACCURACY, None
+    if not exact:
+        row = numbers.agg(*(F.percentile_approx(c, points, ACCURACY).alias(c) for c in columns)).first()
+        return {c: list(row[c]) for c in columns if row[c] is not None}
+    while found is None:  # a sketch keeps its promise, so the first brackets do
+        found = bracketed(numbers, columns, points, slack)
+        slack *= 16
+    return {c: [found[c, k] for k in range(len(points))] for c in columns if (c, 0) in found}
 
 
 def numeric(df: DataFrame, columns: list[str] | None = None, exact: bool = True, digits: int = 4) -> DataFrame:
     """Counts, distinct values, moments and quartiles of each numeric column.
 
-    Moments and null counts combine on the map side. Exact distinct counts and quartiles
-    come from value counts; with ``exact=False``, from sketches in the same pass.
+    Moments and null counts combine on the map side. Exact distinct counts come from value
+    counts, exact quartiles from ``quantiles``; with ``exact=False``, both from sketches.
     """
     long, points = numeric_long(df, columns), [0.25, 0.5, 0.75]
     sketch = [] if exact else [F.approx_count_distinct("value").alias("distinct_count"), F.percentile_approx("value", points, 10_000).alias("q")]
@@ -125,9 +157,10 @@ def numeric(df: DataFrame, columns: list[str] | None = None, exact: bool = True,
         F.count("*").alias("row_count"), F.count_if(F.col("value").isNull()).alias("null_count"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.avg("value").alias("mean_value"), F.stddev_samp("value").alias("std_value"), *sketch
     )
     if exact:
-        counts = settle(value_table(df, columns or numeric_columns(df)))
-        distinct = counts.groupBy("column_name").agg(F.count("*").alias("distinct_count"))
-        stats = stats.join(distinct, "column_name", "left").join(ranked_values(counts, points), "column_name", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
+        names = columns or numeric_columns(df)
+        distinct = value_table(df, names).groupBy("column_name").agg(F.count("*").alias("distinct_count"))
+        middles = df.sparkSession.createDataFrame([(c, *q) for c, q in quantiles(df, names, points).items()], "column_name string, q0 double, q1 double, q2 double")
+        stats = stats.join(distinct, "column_name", "left").join(middles, "column_name", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
     else:
         stats = stats.withColumns({f"q{i}": F.col("q")[i] for i in range(3)})
     rounded = lambda c, name: F.round(c, digits).alias(name)
