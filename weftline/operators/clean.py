@@ -66,7 +66,10 @@ def fill_values(df: DataFrame, exact: bool = True) -> dict[str, tuple[str, objec
     kinds = column_kinds(df)
     moment = lambda c: F.unix_timestamp(exprs.parse_date(c) if dict(df.dtypes)[c] == "string" else F.col(c).cast("timestamp"))
     ordered = [c for c, k in kinds.items() if k in ("number", "date")]
-    middles = profile.quantiles(df.select(*(F.col(c) if kinds[c] == "number" else moment(c).alias(c) for c in ordered)), ordered, [0.5], exact) if ordered else {}
+    measured = df.select(*(F.col(c) if kinds[c] == "number" else moment(c).alias(c) for c in ordered))
+    if any(kinds[c] == "date" and dict(df.dtypes)[c] == "string" for c in ordered):
+        measured = settle(measured)  # dates are read once, not in every scan for a quantile
+    middles = profile.quantiles(measured, ordered, [0.5], exact) if ordered else {}
     fills: dict[str, tuple[str, object]] = {}
     for c, kind in kinds.items():
         value = middles[c][0] if c in middles else None
