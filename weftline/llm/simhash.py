@@ -298,11 +298,14 @@ def bits_for(similarity: float, bits: int = WIDE_BITS, slack: float = 0.0) -> in
 
 
 def wide_segments(rows: int, similarity: float, recall: float = 0.98) -> np.ndarray:
-    """The bits of each segment: wide enough for buckets of some hundred rows, and as many as the recall asks for.
+    """The bits of each segment: wide enough for buckets of about a thousand rows, and as many as the recall asks for.
+
+    A row is written once for each segment and compared with its bucket in each, so wider
+    segments cost disk and narrower ones cost comparisons.
 
     Seeded shuffles of all bits are cut up one after another, so there is no most to their number.
     """
-    width = min(20, max(12, math.ceil(math.log2(max(rows, 2))) - 6))
+    width = min(20, max(12, math.ceil(math.log2(max(rows, 2))) - 10))
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** width))
     rng, each = np.random.default_rng(SEED), WIDE_BITS // width
