@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import licenses, mixing, urls
+from weftline.llm import chat, licenses, mixing, urls
 
 
 def text_literal(value: str) -> str:
@@ -95,4 +95,48 @@ s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(
 k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::int AS rank, vec_id, score FROM k WHERE rank <= 10"""
 
-SQL = {"op2_license_scan": license_sql(), "op4_source_mix": mix_sql(), "op6_url_filter": url_sql(), "op9_exact_topk": TOPK_SQL}
+def chat_sql(budget: int = 1024, history: int = 256) -> str:
+    said = "'<|im_end|><|im_start|>assistant ok'"
+    frame = len(chat.START) + len(chat.END) + 2
+    return rf"""
+WITH RECURSIVE t0 AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL (VALUES (-1, 0, 'user', {said}), (-1, 1, 'assistant', {said}))),
+t1 AS (SELECT *, (strlen(text) + 3) // 4 + (strlen(role) + 3) // 4 + {chat.FRAME} AS tokens, length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + {frame} AS chars FROM t0),
+t AS (SELECT *, p // {chat.SECTION * budget} AS section FROM (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS p FROM t1)),
+h AS (SELECT conv_id, tokens AS head, chars AS head_chars FROM t WHERE p = 0 AND role = 'system' AND tokens <= {budget // 2}),
+r AS (SELECT t.*, {budget} - coalesce(head, 0) AS rest, head, head_chars FROM t LEFT JOIN h USING (conv_id)),
+w AS (SELECT conv_id, section, min(p) AS s FROM r GROUP BY conv_id, section
+  UNION ALL SELECT r.conv_id, r.section, min(r.p) FROM w JOIN r ON r.conv_id = w.conv_id AND r.section = w.section AND r.p > w.s AND r.p + r.tokens - w.s > CASE WHEN w.s = 0 THEN {budget} ELSE r.rest - {history} END GROUP BY r.conv_id, r.section, w.s),
+o AS (SELECT r.conv_id, r.turn, r.chars, r.p, r.tokens, r.rest, r.head_chars, max(w.s) AS s FROM r JOIN w ON w.conv_id = r.conv_id AND w.section = r.section AND w.s <= r.p GROUP BY ALL),
+z AS (SELECT conv_id, s, max(p + tokens) - s AS size, sum(chars) + CASE WHEN s > 0 THEN coalesce(any_value(head_chars), 0) ELSE 0 END AS chars, any_value(rest) AS rest FROM o GROUP BY conv_id, s),
+again AS (SELECT z.conv_id, z.s, sum(r.chars) AS chars FROM z JOIN r ON r.conv_id = z.conv_id AND r.p < z.s AND z.s - r.p <= least({history}, z.rest - z.size) AND NOT (r.p = 0 AND r.head IS NOT NULL) GROUP BY z.conv_id, z.s),
+f AS (SELECT z.conv_id, sum(z.chars + coalesce(again.chars, 0))::bigint AS formatted_chars, count(*) AS n_windows FROM z LEFT JOIN again USING (conv_id, s) GROUP BY z.conv_id),
+b AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS learnt FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(learnt)::bigint AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars, n_windows FROM b JOIN f USING (conv_id)"""
+
+
+#: Every phrase of one to four words within a piece, with its count for each language.
+COLLOCATION_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+s AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) v(m) WHERE len(w) >= m),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM s GROUP BY ALL),
+n AS (SELECT lang, sum(f)::bigint AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE m > 1 AND f >= 30),
+k AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:m], ' ') AS tail FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+x AS (SELECT k.lang, k.phrase, a, k, g1.f AS l, g2.f AS r, (2000000::hugeint * a) // (g1.f::hugeint + g2.f) AS score FROM k JOIN g g1 ON g1.lang = k.lang AND g1.phrase = head JOIN g g2 ON g2.lang = k.lang AND g2.phrase = tail),
+y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+u AS (SELECT lang, array_to_string(w[i:i + z - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(1, m - z + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS z FROM c WHERE m > 2)) GROUP BY ALL),
+q AS (SELECT y.* FROM y LEFT JOIN u USING (lang, phrase) WHERE longer IS NULL OR 100 * longer::hugeint < 80 * a::hugeint)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score::bigint AS score FROM q JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+NEGATIVES_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS anchor_id, c.r AS cr, c.vec_id, q.label = c.label AS same, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::bigint AS score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+p AS (SELECT r, anchor_id, cr, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.r, p.cr ORDER BY score DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s ON s.r = p.r AND NOT same AND 80 * positive_score::hugeint <= 100 * score::hugeint AND score <= positive_score)
+SELECT anchor_id, positive_id, rank::int AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+SQL = {"op11_chat_windows": chat_sql(), "op12_collocations": COLLOCATION_SQL, "op13_hard_negatives": NEGATIVES_SQL, "op2_license_scan": license_sql(), "op4_source_mix": mix_sql(), "op6_url_filter": url_sql(), "op9_exact_topk": TOPK_SQL}
