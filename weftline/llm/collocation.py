@@ -197,11 +197,10 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, text_col: str =
     bits = min(MOST_BITS, max(LEAST_BITS, (size // 16).bit_length()))
     count_type = np.uint8 if least <= 255 else np.uint32
     parts = rows.mapInArrow(lambda b: sketch_parts(b, bits, longest, count_type), "tile long, cells binary")
-    tiles = ROWS << max(0, bits - TILE_BITS)
-    merged = parts.repartition(min(tiles, 2048), "tile").sortWithinPartitions("tile").mapInArrow(lambda b: merge_tiles(b, least, count_type), "tile long, bits binary")
+    merged = parts.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda b: merge_tiles(b, least, count_type), "tile long, bits binary")
     kept = [bytearray((1 << bits) // 8) for _ in range(ROWS)]
     step = (1 << TILE_BITS) // 8
-    for tile, found in merged.toLocalIterator():
+    for tile, found in merged.collect():  # the bits of all cells, 64 MB at most
         at = (tile & 0xFFFFFFFF) * step
         kept[tile >> 32][at : at + step] = found
     sent = spark.sparkContext.broadcast([bytes(k) for k in kept])
