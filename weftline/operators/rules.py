@@ -1,22 +1,19 @@
 """Row validation and the discovery of arithmetic, date and range rules.
 
-Rules become Boolean columns. Discovery tests all of its candidates in a few wide
-aggregates (at most ``CHUNK`` expressions each, for the sake of code size), so the table is
-read once for each ``CHUNK`` of candidates.
+Rules become Boolean columns. Arithmetic rules are counted for all column triples at once
+(``arithmetic``); date rules take one aggregate over all pairs.
 """
 
 from __future__ import annotations
 
+import warnings
 from itertools import combinations, permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import exprs, words
-from weftline.operators import profile
-
-CHUNK = 20
-
+from weftline.operators import arithmetic, profile
 
 def violation(rule: dict) -> Column:
     """True where a row breaks the rule {rule_type, ...}."""
@@ -98,37 +95,28 @@ def candidates(columns: list[str], operations: tuple[str, ...]) -> list[tuple[st
 FOUND = "operation string, left_column string, right_column string, target string, accuracy double"
 
 
-def hit_share(op: str, a: str, b: str, t: str, rtol: float, atol: float) -> str:
-    """SQL for the share of rows in which a op b is close to t."""
-    a, b, t = (f"`{c.replace('`', '``')}`" for c in (a, b, t))
-    made = {"add": f"{a} + {b}", "subtract": f"{a} - {b}", "multiply": f"{a} * {b}", "divide": f"try_divide({a}, {b})"}[op]
-    hit = f"cast(coalesce(abs({made} - {t}) <= {atol!r}D + {rtol!r}D * abs({t}), false) as int)"
-    return f"avg(case when {b} <> 0 then {hit} end)" if op == "divide" else f"avg({hit})"
-
-
 def scan_arithmetic(df: DataFrame, columns: list[str] | None = None, operations=("add", "subtract", "multiply", "divide"), least: float = 0.99, rtol: float = 1e-5, atol: float = 1e-2, tried: list | None = None) -> DataFrame:
     """(operation, left_column, right_column, target, accuracy) of candidates that hold for ``least`` of the rows.
 
-    A division's accuracy counts rows whose divisor is not 0, however few. Every candidate
-    is tried on every row; ``CHUNK`` of them share a wide aggregate.
+    A division's accuracy counts rows whose divisor is not 0, however few. All column triples,
+    or those in ``tried``, are counted together, in two scans of the table at most.
     """
     columns = columns or profile.numeric_columns(df)
-    todo = candidates(columns, operations) if tried is None else tried
-    df = df.select(*(exprs.number(c).alias(c) for c in columns))
-    kept = []
-    for at in range(0, len(todo), CHUNK):
-        part = todo[at : at + CHUNK]
-        # one SQL text per candidate: built as Columns, they would cost more than the scan
-        row = df.agg(*(F.expr(hit_share(*c, rtol, atol)).alias(f"c{i}") for i, c in enumerate(part))).first()
-        kept += [(*c, float(row[i])) for i, c in enumerate(part) if row[i] is not None and row[i] >= least]
-    return df.sparkSession.createDataFrame(kept, FOUND)
-
-
-def detect_arithmetic(df: DataFrame, columns: list[str] | None = None, corr_least: float = 0.7, sample: int = 500, sample_least: float = 0.95, least: float = 0.99, cap: int = 200) -> list[dict]:
-    """Rules target = left op right: pairs that correlate, a sample first, then the whole table."""
+    numbers = df.select(*(exprs.number(c).alias(c) for c in columns))
+    return df.sparkSession.createDataFrame(arithmetic.holding(numbers, columns, tuple(operations), least, rtol, atol, tried), FOUND)
+
+
+def detect_arithmetic(df: DataFrame, columns: list[str] | None = None, corr_least: float = 0.7, sample: int = 500, sample_least: float = 0.95, least: float = 0.99, cap: int | None = None) -> list[dict]:
+    """Rules target = left op right: pairs that correlate, a sample first, then the whole table.
+
+    Of more than ``cap`` columns, where one is given, only the first are looked at; a warning names how many are not.
+    """
     from weftline.operators.compare import correlation_long
 
-    columns = (columns or profile.numeric_columns(df))[:cap]
+    columns = columns or profile.numeric_columns(df)
+    if cap is not None and len(columns) > cap:
+        warnings.warn(f"{len(columns) - cap} number columns beyond the first {cap} are not looked at", stacklevel=2)
+        columns = columns[:cap]
     if len(columns) < 3:
         return []
     filled = df.select(*(F.coalesce(exprs.number(c), F.lit(0.0)).alias(c) for c in columns))

@@ -103,6 +103,25 @@ def arithmetic_rules_detected(spark, d):
     return spark.createDataFrame(rows, "operation string, left_column string, right_column string, target string, accuracy double")
 
 
+#: A wider table, in the order of its column names; some columns follow from others.
+WIDE = {"a": "l_extendedprice", "b": "l_discount", "c": "l_tax", "d": "l_quantity", "e": "l_extendedprice * l_discount", "f": "l_extendedprice + l_quantity", "g": "l_quantity - l_discount", "h": "l_linenumber", "i": "l_quantity / (l_linenumber + 1)", "j": "l_linenumber + 1"}
+
+
+def wide_sql() -> str:
+    """Every triple of ``WIDE`` on every row."""
+    columns = ", ".join(f"({x})::double AS {c}" for c, x in WIDE.items())
+    return f"""WITH v AS (SELECT row_number() OVER () AS r, {columns} FROM lineitem), u AS (UNPIVOT v ON {', '.join(WIDE)} INTO NAME c VALUE x), n AS (SELECT count(*) AS n FROM v), z AS (SELECT c, count(*) FILTER (x <> 0) AS d FROM u GROUP BY c),
+t AS (SELECT a.c AS l, b.c AS r, t.c AS t, list_value(('add', a.x + b.x), ('subtract', a.x - b.x), ('multiply', a.x * b.x), ('divide', CASE WHEN b.x <> 0 THEN a.x / b.x END)) AS made, t.x AS x FROM u a JOIN u b ON a.r = b.r AND a.c <> b.c JOIN u t ON t.r = a.r AND t.c <> a.c AND t.c <> b.c),
+h AS (SELECT made[i][1] AS operation, l, t.r AS r, t, count(*) FILTER (abs(made[i][2] - x) <= 0.01 + 1e-5 * abs(x)) AS hits FROM t, (VALUES (1), (2), (3), (4)) k(i) WHERE i IN (2, 4) OR l < t.r GROUP BY ALL)
+SELECT operation, l AS left_column, h.r AS right_column, t AS target, round(hits::double / CASE WHEN operation = 'divide' THEN d ELSE n END, 6) AS accuracy FROM h JOIN z ON z.c = h.r, n WHERE hits::double / CASE WHEN operation = 'divide' THEN d ELSE n END >= 0.95"""
+
+
+@query(wide_sql())
+def arithmetic_rules_wide(spark, d):
+    wide = table(spark, d, "lineitem").select(*(F.expr(x).cast("double").alias(c) for c, x in WIDE.items()))
+    return rules.scan_arithmetic(wide, least=0.95).withColumn("accuracy", F.round("accuracy", 6))
+
+
 @query(f"""WITH v AS (SELECT (epoch(l_shipdate) - epoch(o_orderdate)) / 86400.0::double AS days FROM {LINE_ORDER})
 SELECT 'o_orderdate' AS first_column, 'l_shipdate' AS second_column, count(*) AS pairs, round(avg((days >= 0)::int), 6) AS forward, round(avg((days <= 0)::int), 6) AS backward, round(quantile_cont(days, 0.995) FILTER (days >= 0), 4) AS p995_forward, round(quantile_cont(-days, 0.995) FILTER (days <= 0), 4) AS p995_backward FROM v""")
 def chronology_rule(spark, d):
