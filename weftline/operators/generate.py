@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from weftline.functions import exprs, roles, words
 from weftline.functions.storage import settle
-from weftline.operators import clean, keys, profile, repair, rules, shape, text
+from weftline.operators import alike, clean, keys, profile, repair, rules, shape, text
 
 KNOTS = 257
 
@@ -188,13 +188,20 @@ class ProvidedText(TemplateText):
     """Texts by a provider such as a language model, which gets (numbers, example texts) and answers with a string.
 
     Numbers are asked for in batches, inside tasks. Answers are read by ``text.answers_by_id``;
-    what is missing, repeats another text or copies an example is asked for again, up to
-    ``retries`` times, then written from templates.
+    what is missing, repeats another text or is too like a real one (a ratio of ``similarity``
+    or more to any text of the column, see ``alike``) is asked for again, up to ``retries``
+    times, then written from templates.
     """
 
-    def __init__(self, column: str, provider: Callable[[list[int], list[str]], str], batch: int = 25, retries: int = 3, most: int = 500, seed: int = 42):
+    def __init__(self, column: str, provider: Callable[[list[int], list[str]], str], batch: int = 25, retries: int = 3, most: int = 500, seed: int = 42, similarity: float = 0.92):
         super().__init__(column, most, seed)
-        self.provider, self.batch, self.retries = provider, batch, retries
+        self.provider, self.batch, self.retries, self.similarity = provider, batch, retries, similarity
+        self.real: DataFrame | None = None
+
+    def fit(self, df: DataFrame) -> ProvidedText:
+        super().fit(df)
+        self.real = settle(df.select(F.col(self.column).cast("string").alias("text")).filter("text is not null").distinct())
+        return self
 
     def asked(self, ids: DataFrame) -> DataFrame:
         """(id, text) of the answers to settled ``ids``."""
@@ -212,9 +219,9 @@ class ProvidedText(TemplateText):
 
     def generate(self, spark: SparkSession, rows: int, offset: int = 0) -> DataFrame:
         todo, kept = spark.range(offset, offset + rows), None
-        known = spark.createDataFrame([(t.lower(),) for t in self.texts], "low string")
+        real = spark.createDataFrame([(t,) for t in self.texts], "text string") if self.real is None else self.real
         for _ in range(self.retries):
-            found = self.asked(todo).join(todo, "id").withColumn("low", F.lower("text")).join(F.broadcast(known), "low", "left_anti")  # at most ``most`` examples
+            found = alike.too_similar(self.asked(todo).join(todo, "id"), "text", real, threshold=self.similarity, out_col="like").filter("not like").withColumn("low", F.lower("text"))
             if kept is not None:
                 found = found.join(kept.select(F.lower("text").alias("low")).distinct(), "low", "left_anti")
             found = settle(found.groupBy("low").agg(F.min_by("text", "id").alias("text"), F.min("id").alias("id")).select("id", "text"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import compare, text
+from weftline.operators import alike, compare, text
 from weftline.plans.registry import query, table
 
 
@@ -256,3 +256,12 @@ def opinion_sql() -> str:
 def opinion_consistency(spark, d):
     o = opinions(spark, d)
     return o.select("c_custkey", text.sentiment_fits(F.col("t"), F.col("label")).alias("sentiment_fits"), text.rating_fits(F.col("t"), F.col("stars")).alias("rating_fits"))
+
+
+@query("""SELECT conv_id, turn, conv_id % 4 <> 2 OR trim(text) = '' AS too_similar FROM conversations WHERE role = 'user'""")
+def text_guard(spark, d):
+    """Texts in capitals, with a mark more, written anew, and blank ones against the texts as they were; a long text with a mark more may count as new."""
+    asked = table(spark, d, "conversations").filter("role = 'user'")
+    short = F.char_length("text").between(6, 198)
+    made = F.when(F.col("conv_id") % 4 == 1, F.when(short, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).when(F.col("conv_id") % 4 == 2, F.when(F.trim("text") == "", F.col("text")).otherwise(F.md5(F.concat_ws("-", "conv_id", "turn")))).when(F.col("conv_id") % 4 == 3, F.lit("  ")).otherwise(F.upper("text"))
+    return alike.too_similar(asked.select("conv_id", "turn", made.alias("made")), "made", asked, "text").select("conv_id", "turn", "too_similar")
