@@ -8,6 +8,8 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources import records
+
 EXTENSIONS = (".csv", ".tsv", ".txt", ".parquet", ".orc", ".json", ".xls", ".xlsx")
 DELIMITERS = (",", ";", "\t", "|")
 MAX_BYTES = 10 * 2**30
@@ -94,8 +96,10 @@ def read_csv(spark: SparkSession, path: str, tolerant: bool = False, infer: bool
     """A delimited file with a header row.
 
     ``tolerant`` drops lines that do not fit. ``multi_line`` says whether fields hold line
-    breaks (such a file is read by one task); by default the first 64 KB tell. Lines wrapped in
-    quotes as a whole are unwrapped and parsed again, on the executors like any other line.
+    breaks; by default the file tells, of which all lines are looked at if its first 64 KB hold
+    quotes. Such files are read in ranges as well (``records``), but for those in UTF-16 or with
+    bare carriage returns. Lines wrapped in quotes as a whole are unwrapped and parsed again, on
+    the executors like any other line.
     """
     head = head_bytes(spark, path)
     encoding = sniff_encoding(head)
@@ -103,7 +107,12 @@ def read_csv(spark: SparkSession, path: str, tolerant: bool = False, infer: bool
     delimiter, wrapped = sniff_delimiter(text)
     options = {"sep": delimiter, "header": "true", "encoding": encoding, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "inferSchema": str(infer).lower(), "escape": '"', "mode": "DROPMALFORMED" if tolerant else "PERMISSIVE"}
     if not wrapped:
-        broken = has_line_breaks(text, delimiter) if multi_line is None else multi_line
+        split = encoding != "UTF-16" and "\n" in text
+        broken = has_line_breaks(text, delimiter) or (split and '"' in text and records.line_breaks_in_fields(spark, path)) if multi_line is None else multi_line
+        if broken and split:
+            header = next(csv.reader(text.splitlines(keepends=True), delimiter=delimiter))
+            out = records.parsed(records.records(spark, path, encoding), [h.strip() for h in header], delimiter, tolerant)
+            return clean_names(narrowed(out, ("timestamp", "boolean")) if infer else out)
         return clean_names(spark.read.options(**options, multiLine=str(broken).lower()).csv(path))
     header = next(csv.reader([unwrapped(text.splitlines()[0])], delimiter=delimiter))
     schema = ", ".join(f"`{h.strip()}` STRING" for h in header)
@@ -113,10 +122,11 @@ def read_csv(spark: SparkSession, path: str, tolerant: bool = False, infer: bool
     return narrowed(parsed) if infer else parsed
 
 
-def narrowed(df: DataFrame) -> DataFrame:
-    """Text columns as longs or doubles where every value reads as one."""
-    row = df.agg(*(F.count(c).alias(f"n {c}") for c in df.columns), *(F.count(F.col(c).try_cast("bigint")).alias(f"l {c}") for c in df.columns), *(F.count(F.col(c).try_cast("double")).alias(f"d {c}") for c in df.columns)).first()
-    kind = lambda c: "bigint" if row[f"n {c}"] and row[f"l {c}"] == row[f"n {c}"] else "double" if row[f"n {c}"] and row[f"d {c}"] == row[f"n {c}"] else "string"
+def narrowed(df: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Text columns as longs, doubles or ``more`` kinds, the first as which every value reads."""
+    kinds = ("bigint", "double", *more)
+    row = df.agg(*(F.count(c).alias(f"n {c}") for c in df.columns), *(F.count(F.col(c).try_cast(k)).alias(f"{k} {c}") for c in df.columns for k in kinds)).first()
+    kind = lambda c: next((k for k in kinds if row[f"n {c}"] and row[f"{k} {c}"] == row[f"n {c}"]), "string")
     return df.select(*(F.col(c).try_cast(kind(c)).alias(c) for c in df.columns))
 
 
