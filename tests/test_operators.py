@@ -321,3 +321,38 @@ def test_shapes(spark):
     assert (table["ids"], table["functions"], table["decimals"]) == (["item_id"], ["name"], {"x": 2})
     summary = shape.preprocessing_summary(df, df.drop("note").withColumn("new", F.lit(1)), {"note": "remove", "x": "keep"})
     assert summary["added"] == ["new"] and summary["removed"] == ["note"] and summary["actions"] == {"remove": 1, "keep": 1}
+
+
+def test_rows_without_a_number_keep_their_place(spark):
+    real = frame(spark, "v double", *[float(i) for i in range(100)])
+    made = frame(spark, "k long, v double", *[(i, None if i % 4 == 0 else i * 7.0) for i in range(80)])
+    out = repair.quantile_map(real, made, "v", ["k"]).collect()
+    assert len(out) == 80 and {r["k"] for r in out if r["v"] is None} == set(range(0, 80, 4))
+    got = [r["v"] for r in sorted(out, key=lambda r: r["k"]) if r["v"] is not None]
+    assert got == sorted(got) and 0 <= got[0] and got[-1] <= 99
+    matched = repair.match_marginals(real, made, ["v"], ["k"])
+    assert matched.count() == 80 and matched.filter("v is null").count() == 20
+    whole = frame(spark, "k long, v string", (1, "x"), (2, "5"), (3, None))
+    assert repair.quantile_map(real, whole, "v", ["k"]).count() == 3
+
+
+def test_rows_of_no_class_are_drawn(spark):
+    df = frame(spark, "k long, c string", *[(i, None if i % 2 else "a") for i in range(1000)])
+    out = repair.weighted_resample(df, frame(spark, "value string, weight double", ("a", 3.0)), "c", 1000, ["k"])
+    drawn = {r["c"]: r["count"] for r in out.groupBy("c").count().collect()}
+    assert out.count() == 1000 and abs(drawn[None] - 250) <= 2 and abs(drawn["a"] - 750) <= 2
+
+
+def test_sample_has_different_rows(spark):
+    df = frame(spark, "a long, t string", *[(i % 20, f"text {i % 20}") for i in range(6000)]).repartition(3)
+    assert {r["a"] for r in roles.sample_rows(df, 100).collect()} == set(range(20))
+    many = spark.range(20_000).select("id", F.md5(F.col("id").cast("string")).alias("t"))
+    one, two = (sorted(r["id"] for r in roles.sample_rows(x, 50).collect()) for x in (many.repartition(7), many.orderBy(F.desc("id"))))
+    assert one == two and len(one) == 50
+    assert roles.sample_rows(many.limit(0), 50).count() == 0
+
+
+def test_patterns_do_not_follow_the_order_of_files(spark):
+    mails = spark.range(500).select(F.when(F.col("id") < 120, F.lit("no mail at all")).otherwise(F.concat(F.lit("a"), "id", F.lit("@example.org"))).alias("m"))
+    answers = {profile.patterns(x).first()["email"] for x in (mails.orderBy("id"), mails.orderBy(F.desc("id")), mails.repartition(5))}
+    assert answers == {True}

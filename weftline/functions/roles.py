@@ -19,9 +19,21 @@ TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def sample_rows(df: DataFrame, rows: int) -> DataFrame:
-    """``rows`` rows by a hash of what they hold, so the order of files and tasks does not matter."""
+    """``rows`` different rows, those of the smallest hashes of what they hold.
+
+    Neither the order of files and tasks nor how often a row is repeated matters. A sketch of
+    the number of different rows gives a hash below which there are enough of them, so only
+    those are grouped.
+    """
     plain = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BooleanType, *NUMERIC, *TEMPORAL))]
-    return df.orderBy(F.xxhash64(*plain)).limit(rows) if plain else df.limit(rows)
+    if not plain:
+        return df.limit(rows)
+    # float zeros of either sign and hashes are no issue for a sample; the hash is read as a share of its range
+    hashed = df.select(F.struct(*df.columns).alias("row"), F.xxhash64(*plain).alias("hash"))
+    different = hashed.agg(F.approx_count_distinct("hash")).first()[0]
+    if different > 8 * rows:
+        hashed = hashed.filter(F.col("hash") < int(-(2**63) + 2**64 * min(1.0, 4 * rows / different)))
+    return hashed.groupBy("hash").agg(F.any_value("row").alias("row")).orderBy("hash").limit(rows).select("row.*")
 
 
 def sample_values(df: DataFrame, rows: int = 100) -> dict[str, list]:

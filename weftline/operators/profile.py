@@ -195,9 +195,9 @@ def value_counts(df: DataFrame, columns: list[str] | None = None, top: int = 20)
 
 
 def patterns(df: DataFrame, columns: list[str] | None = None, rows: int = 100, share: float = 0.8) -> DataFrame:
-    """Whether each text column's sample reads as e-mail addresses, phone numbers or UUIDs; the sample is the feature."""
+    """Whether each text column's sample reads as e-mail addresses, phone numbers or UUIDs; the sample, of different rows in the order of their hashes, is the feature."""
     columns = columns or text_columns(df)
-    sample = text_long(df.select(*columns).limit(rows), columns)
+    sample = text_long(roles.sample_rows(df.select(*columns), rows), columns)
     checks = {"email": words.EMAIL, "phone": words.PHONE, "uuid": words.UUID}
     return sample.groupBy("column_name").agg(*(F.coalesce(F.avg(F.col("value").rlike(p).cast("int")) >= share, F.lit(False)).alias(k) for k, p in checks.items()))
 

@@ -17,9 +17,11 @@ def quantile_map(real: DataFrame, synthetic: DataFrame, column: str, order: list
     """``synthetic`` with a column mapped, rank for rank, onto the real column's quantiles.
 
     Ranks come from range-partitioned numbering. Each rank lies between two sorted real
-    values, which meet it in an equi-join, so neither table is gathered.
+    values, which meet it in an equi-join, so neither table is gathered. Rows without a number
+    in the column have no rank; they stay, with null.
     """
-    s = clean.numbered(synthetic.withColumn("_v", exprs.number(column)).filter("_v is not null"), ["_v", *order], "_rank")
+    value = exprs.number(column)
+    s = clean.numbered(synthetic.withColumn("_v", value).filter("_v is not null"), ["_v", *order], "_rank")
     # a value that many rows have is dealt over several ranges by the second key
     r = clean.numbered(real.select(exprs.number(column).alias("_real"), F.monotonically_increasing_id().alias("_r")).filter("_real is not null"), ["_real", "_r"], "_pos", 0)
     n, m = s.count(), r.count()
@@ -34,7 +36,9 @@ def quantile_map(real: DataFrame, synthetic: DataFrame, column: str, order: list
     value = F.col("_a") + F.col("_part") * (F.coalesce("_b", "_a") - F.col("_a"))
     kind = real.schema[column].dataType.simpleString()
     value = F.round(value).cast(kind) if kind in ("int", "bigint") else value
-    return mapped.withColumn(column, value).select(*synthetic.columns)
+    out = mapped.withColumn(column, value).select(*synthetic.columns)
+    without = synthetic.filter(exprs.number(column).isNull())
+    return out.unionByName(without.withColumn(column, F.lit(None).cast(out.schema[column].dataType)))
 
 
 def match_marginals(real: DataFrame, synthetic: DataFrame, columns: list[str], order: list[str], threshold: float = 0.08, least: int = 10) -> DataFrame:
@@ -74,8 +78,8 @@ def systematic(df: DataFrame, weight: str, rows: int, order: list[str], seed: in
 
 
 def weighted_resample(df: DataFrame, weights: DataFrame, column: str, rows: int, order: list[str], seed: int = 42) -> DataFrame:
-    """``rows`` rows with replacement, each as likely as the weight of its class."""
-    joined = df.join(weights.select(F.col("value").alias("_v"), F.col("weight").alias("_w")), F.col(column).cast("string") == F.col("_v")).drop("_v")
+    """``rows`` rows with replacement, each as likely as the weight of its class; rows of no class, or of one without a weight, have weight 1."""
+    joined = df.join(weights.select(F.col("value").alias("_v"), F.col("weight").alias("_w")), F.col(column).cast("string") == F.col("_v"), "left").drop("_v").withColumn("_w", F.coalesce("_w", F.lit(1.0)))
     return systematic(joined, "_w", rows, order, seed).drop("_w")
 
 

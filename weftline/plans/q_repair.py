@@ -18,6 +18,16 @@ def marginal_match(spark, d):
     return out.withColumn("o_totalprice", F.round("o_totalprice", 6))
 
 
+@query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS p FROM orders), s AS (SELECT o_orderkey, row_number() OVER (ORDER BY p, o_orderkey) AS rk, count(*) OVER () AS n FROM o WHERE o_orderkey % 2 <> 0 AND p IS NOT NULL), r AS (SELECT p * 1.1 AS v, row_number() OVER (ORDER BY p) - 1 AS i, count(*) OVER () AS m FROM o WHERE o_orderkey % 2 = 0 AND p IS NOT NULL),
+q AS (SELECT o_orderkey, (rk - 0.5::double) / n * ((SELECT max(m) FROM r) - 1) AS pos FROM s)
+SELECT o_orderkey, round(a.v + (pos - floor(pos)) * (coalesce(b.v, a.v) - a.v), 6) AS o_totalprice FROM q JOIN r a ON a.i = floor(pos)::bigint LEFT JOIN r b ON b.i = floor(pos)::bigint + 1 UNION ALL SELECT o_orderkey, NULL FROM o WHERE o_orderkey % 2 <> 0 AND p IS NULL""")
+def marginal_match_nulls(spark, d):
+    price = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("o_totalprice")
+    real, synthetic = halves(table(spark, d, "orders").select("o_orderkey", price), "o_orderkey")
+    out = repair.quantile_map(real.withColumn("o_totalprice", F.col("o_totalprice") * F.lit(1.1)), synthetic, "o_totalprice", ["o_orderkey"])
+    return out.withColumn("o_totalprice", F.round("o_totalprice", 6))
+
+
 @query("""WITH c AS (SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1), e AS (SELECT value, n::double / sum(n) OVER () AS share, n * 1003 / sum(n) OVER ()::double AS x FROM c), f AS (SELECT *, floor(x) AS b, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, value) AS place FROM e)
 SELECT value, round(share, 6) AS share, (b + (place <= 1003 - sum(b) OVER ())::int)::bigint AS allocated FROM f""")
 def stratified_allocation(spark, d):
@@ -41,6 +51,17 @@ def weighted_resample(spark, d):
     return repair.weighted_resample(synthetic, weights, "c_mktsegment", 500, ["c_custkey"])
 
 
+@query("""WITH c AS (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer),
+g AS (SELECT c_mktsegment AS value, count(*) FILTER (c_custkey % 2 = 0) AS r, count(*) FILTER (c_custkey % 2 <> 0) AS s FROM c WHERE c_mktsegment IS NOT NULL GROUP BY 1), p AS (SELECT value, r::double / sum(r) OVER () AS p, s::double / sum(s) OVER () AS q FROM g),
+w AS (SELECT c.*, md5(c_custkey::varchar || '|42') AS h, CASE WHEN value IS NULL THEN 1.0::double ELSE round(greatest(p, 0.01::double) / greatest(q, 0.001::double), 6) END AS w FROM c LEFT JOIN p ON c_mktsegment = value WHERE c_custkey % 2 <> 0),
+o AS (SELECT *, sum(w) OVER (ORDER BY h, c_custkey ROWS UNBOUNDED PRECEDING) AS t, sum(w) OVER () AS n FROM w), k AS (SELECT *, floor(t / n * 500 + 0.5) - floor((t - w) / n * 500 + 0.5) AS times FROM o)
+SELECT c_custkey, c_acctbal, c_mktsegment FROM (SELECT *, unnest(range(times::bigint)) FROM k WHERE times > 0)""")
+def weighted_resample_nulls(spark, d):
+    part = table(spark, d, "customer").select("c_custkey", "c_acctbal", F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    real, synthetic = halves(part, "c_custkey")
+    return repair.weighted_resample(synthetic, repair.class_weights(real, synthetic, "c_mktsegment"), "c_mktsegment", 500, ["c_custkey"])
+
+
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY md5(o_orderkey::varchar || '|42'), o_orderkey) <= ceil(0.2 * count(*) OVER ()) AS is_test FROM orders")
 def train_test_split_md5(spark, d):
     return repair.train_test_split(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
