@@ -1,4 +1,4 @@
-"""Generators: a Gaussian copula with empirical marginals, text providers, linked tables.
+"""Generators: a Gaussian copula with empirical or fitted marginals, text providers, linked tables.
 
 What a row gets depends on the seed and the row's number only: uniform numbers come from
 hashes of both, so any task can make any row again.
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from weftline.functions import exprs, roles, words
 from weftline.functions.storage import settle
-from weftline.operators import alike, clean, keys, profile, repair, rules, shape, text
+from weftline.operators import alike, clean, keys, marginals, profile, repair, rules, shape, text
 
 KNOTS = 257
 
@@ -54,10 +54,17 @@ class GaussianCopula:
     ``max_categories`` commonest values of a text column, one correlation matrix. Text columns of
     more values keep a settled table of the rows that have the others, from which these are
     drawn, each as often as it stands.
+
+    ``default_distribution`` names a family (``marginals``) for number columns, whose fitted
+    quantiles take the place of the real ones; ``best`` takes the closest for each column, and
+    a column that the family does not fit keeps its own. ``fitted`` has what was chosen.
+    ``enforce_min_max_values`` keeps draws within the learnt range.
     """
 
-    def __init__(self, max_categories: int = 500, seed: int = 42):
+    def __init__(self, max_categories: int = 500, seed: int = 42, default_distribution: str | None = None, enforce_min_max_values: bool = True):
         self.max_categories, self.seed = max_categories, seed
+        self.distribution, self.bounded = marginals.family_of(default_distribution or "empirical"), enforce_min_max_values
+        self.fitted: dict[str, tuple[str, tuple[float, float], float]] = {}
         self.columns: list[tuple[str, str, object]] = []
         self.rare: dict[str, tuple[DataFrame, int]] = {}
         self.root = np.eye(0)
@@ -67,11 +74,15 @@ class GaussianCopula:
         dates = [f.name for f in df.schema if isinstance(f.dataType, roles.TEMPORAL)]
         points = [i / (KNOTS - 1) for i in range(KNOTS)]
         value = {c: exprs.number(c) for c in numbers} | {c: F.unix_timestamp(F.col(c).cast("timestamp")).cast("double") for c in dates}
-        rows = df.agg(*(F.percentile_approx(v, points, 10_000).alias(c) for c, v in value.items())).first() if value else {}
-        scores, self.columns, self.rare = [], [], {}
+        shaped = {c: value[c] for c in numbers} if self.distribution != "empirical" else {}
+        rows = df.agg(*(F.percentile_approx(v, points, 10_000).alias(c) for c, v in value.items()), *marginals.moments(shaped)).first() if value else {}
+        scores, self.columns, self.rare, self.fitted = [], [], {}, {}
         for f in df.schema:
             if f.name in value:
                 knots = [float(x) for x in rows[f.name] or [0.0]]
+                if f.name in shaped and (known := marginals.read_moments(rows, f.name)) and (fit := marginals.chosen(self.distribution, known, knots)):
+                    self.fitted[f.name] = fit
+                    knots = marginals.quantile_knots(*fit[:2], known[3], known[4], KNOTS, self.bounded)
                 self.columns.append((f.name, "date" if f.name in dates else "int" if f.dataType.simpleString() in ("int", "bigint", "smallint") else "float", knots))
                 p = self.cdf(value[f.name], knots)
             else:
@@ -95,10 +106,11 @@ class GaussianCopula:
         pairs = [(i, j) for i in range(n) for j in range(i)]
         corr = np.eye(n)
         if pairs:
-            row = normal.agg(*(F.corr(df.columns[i], df.columns[j]).alias(f"p{i}_{j}") for i, j in pairs)).first()
+            # covariances, as a correlation with a constant column is an error
+            row = normal.agg(*(F.covar_pop(df.columns[i], df.columns[j]).alias(f"p{i}_{j}") for i, j in pairs), *(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(df.columns))).first()
             for i, j in pairs:
-                r = row[f"p{i}_{j}"]
-                corr[i, j] = corr[j, i] = 0.0 if r is None or math.isnan(r) else r
+                scale = (row[f"s{i}"] or 0.0) * (row[f"s{j}"] or 0.0)
+                corr[i, j] = corr[j, i] = row[f"p{i}_{j}"] / scale if scale > 1e-12 else 0.0
         values, vectors = np.linalg.eigh(corr)
         self.root = vectors * np.sqrt(np.clip(values, 0, None))
         return self

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import exprs, roles
-from weftline.operators import clean, compare, encode, generate, keys, ml, profile, repair, rules, shape, text
+from weftline.operators import clean, compare, encode, generate, keys, marginals, ml, profile, repair, rules, shape, text
 from weftline.plans import lifecycle, metadata
 from weftline.plans.q_compare import halves
 from weftline.plans.registry import query, table
@@ -259,6 +259,15 @@ def matched_categories(spark, d):
     return spark.createDataFrame(rows, "measure string, closer boolean")
 
 
+@query("""WITH u AS (SELECT 'l_quantity' AS column_name, l_quantity AS x FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem),
+m AS (SELECT column_name, avg(x) AS m, var_pop(x) AS v, min(x) AS l, max(x) AS h FROM u GROUP BY column_name), b AS (SELECT *, (m - l) / (h - l) AS bm, (m - l) / (h - l) * (1 - (m - l) / (h - l)) / (v / (h - l) ^ 2) - 1 AS c FROM m)
+SELECT column_name, 'norm' AS distribution, round(m, 6) AS first, round(sqrt(v), 6) AS second, l AS low, h AS high FROM m UNION ALL SELECT column_name, 'uniform', round(l, 6), round(h - l, 6), l, h FROM m
+UNION ALL SELECT column_name, 'gamma', round((m - l) ^ 2 / v, 6), round(v / (m - l), 6), l, h FROM m UNION ALL SELECT column_name, 'beta', round(bm * c, 6), round((1 - bm) * c, 6), l, h FROM b WHERE c > 0""")
+def fitted_marginals(spark, d):
+    found = marginals.fitted(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], ("gaussian", "uniform", "gamma", "beta"))
+    return found.select("column_name", "distribution", F.round("first", 6).alias("first"), F.round("second", 6).alias("second"), "low", "high")
+
+
 @query()
 def evaluate_tables(spark, d):
     real, synthetic = halves(table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus"), "o_orderkey")
