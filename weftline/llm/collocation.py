@@ -11,7 +11,7 @@ longer candidate explains most of them.
 Sizes: a sketch row has some sixteenth of the text's bytes in cells, up to 2^28; the bits
 that go to all tasks are thus 64 MB at most. Larger inputs fill the cells more, so the second
 pass counts more phrases than it would need; the result stays exact. Texts are read in chunks
-of about 4 MB that end at a piece's end, so a worker's memory follows the longest piece, not
+of about 2 MB that end at a piece's end, so a worker's memory follows the longest piece, not
 the longest text.
 
 Edge cases: null and empty texts count no word; a null language is ``und`` (as is a language
@@ -34,7 +34,7 @@ from pyspark.sql import Window
 from weftline.llm.common import persist
 
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 TILE_BITS, LEAST_BITS, MOST_BITS = 16, 16, 28
 ROWS = 2
 
@@ -105,13 +105,15 @@ class Words:
         self.lang = code[np.searchsorted(begins, starts, "right") - 1]
         salts = np.array([xxhash.xxh64_intdigest(x.encode()) for x in self.langs], np.uint64)
         self.hash = []
+        place = np.arange(len(self.text), dtype=np.int32) - np.repeat(self.at.astype(np.int32), sizes)
         for table, step in zip(_TABLES[:hashes], _STEPS):
             if not len(starts):
                 self.hash.append(np.zeros(0, np.uint64))
                 continue
             power = np.multiply.accumulate(np.full(int(sizes.max()), step))
-            place = np.arange(len(self.text)) - np.repeat(self.at, sizes)
-            self.hash.append(mix(np.add.reduceat(table[self.text] * power[place], self.at)))
+            weighed = table[self.text]
+            weighed *= power[place]
+            self.hash.append(mix(np.add.reduceat(weighed, self.at)))
         self.first = [mix(h ^ salts[self.lang]) for h in self.hash]
 
     def phrases(self, longest: int):
