@@ -37,7 +37,9 @@ from weftline.llm.topk import exact_product
 
 #: Pivots: one for so many rows, within limits; they go to every task.
 ROWS_A_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 256, 8, 512
-BLOCK_ROWS, UNIT_BLOCKS, GROUP_ROWS, TASK_ROWS = 1024, 16, 64, 4096
+BLOCK_ROWS, UNIT_BLOCKS, GROUP_ROWS, TASK_ROWS = 1024, 16, 1024, 4096
+#: Anchors whose scores with a unit are held at once.
+AT_ONCE = 64
 #: Share of the longest norm by which rounding may shift a distance.
 SLACK = 1e-6
 NONE, ALL = -(2**62), 2**62
@@ -127,16 +129,18 @@ def join_unit(asks: pd.DataFrame, blocks: pd.DataFrame, same: bool, k: int) -> p
     dims = int(blocks["dims"].iloc[0])
     ids, rows, labels = (np.frombuffer(b"".join(blocks[c]), np.int64) for c in ("ids", "rows", "labels"))
     vectors = np.frombuffer(b"".join(blocks["vectors"]), np.int64).reshape(-1, dims)
-    for row, own in asks.groupby("row", sort=False):
-        one = own.iloc[0]
-        scores = exact_product(np.frombuffer(one["vector"], np.int64)[None], vectors)[0]
-        fits = (rows != row) & ((labels == one["label"]) == same)
-        for task, low, high in zip(own["task"], own["low"], own["high"]):
-            keep = np.flatnonzero(fits & (scores >= low) & (scores <= high))
-            if len(keep) > 4 * k:
-                keep = keep[scores[keep] >= np.partition(scores[keep], -k)[-k]]
-            keep = keep[np.lexsort((ids[keep], -scores[keep]))][:k]
-            out.append(pd.DataFrame({"row": row, "task": task, "cand_row": rows[keep], "cand_id": ids[keep], "score": scores[keep]}))
+    anchors = list(asks.groupby("row", sort=False))
+    for at in range(0, len(anchors), AT_ONCE):
+        some = anchors[at : at + AT_ONCE]
+        products = exact_product(np.vstack([np.frombuffer(own["vector"].iloc[0], np.int64) for _, own in some]), vectors)
+        for (row, own), scores in zip(some, products):
+            fits = (rows != row) & ((labels == own["label"].iloc[0]) == same)
+            for task, low, high in zip(own["task"], own["low"], own["high"]):
+                keep = np.flatnonzero(fits & (scores >= low) & (scores <= high))
+                if len(keep) > 4 * k:
+                    keep = keep[scores[keep] >= np.partition(scores[keep], -k)[-k]]
+                keep = keep[np.lexsort((ids[keep], -scores[keep]))][:k]
+                out.append(pd.DataFrame({"row": row, "task": task, "cand_row": rows[keep], "cand_id": ids[keep], "score": scores[keep]}))
     return pd.concat(out)[names]
 
 
