@@ -10,7 +10,7 @@ import math
 import re
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
@@ -180,13 +180,21 @@ def apply_actions(df: DataFrame, actions: dict[str, str], order: list[str], deri
     return df.drop(*(c for c, a in wanted.items() if a == "remove"))
 
 
+def output_checks(df: DataFrame) -> list:
+    """Aggregates: rows, the nulls of each column and the infinities of each number column."""
+    numbers = [f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    return [F.count("*").alias("_n"), *(F.count_if(F.col(c).isNull()).alias(f"null {c}") for c in df.columns), *(F.count_if(F.abs(F.col(c)) == float("inf")).alias(f"infinite {c}") for c in numbers)]
+
+
+def told_problems(found: dict, rows: int | None) -> list[str]:
+    """What the aggregates of ``output_checks`` find wrong."""
+    n = found["_n"]
+    return (["no rows"] if not n else []) + ([f"{n} rows, not {rows}"] if rows not in (None, n) else []) + [k for k, v in found.items() if v and k != "_n"]
+
+
 def output_problems(df: DataFrame, rows: int | None = None) -> list[str]:
     """What keeps a preprocessed table from use: no rows, another number of rows, nulls, infinities."""
-    numbers = [f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
-    row = df.agg(F.count("*").alias("_n"), *(F.count_if(F.col(c).isNull()).alias(f"null {c}") for c in df.columns), *(F.count_if(F.abs(F.col(c)) == float("inf")).alias(f"infinite {c}") for c in numbers)).first().asDict()
-    n = row.pop("_n")
-    found = [k for k, v in row.items() if v]
-    return (["no rows"] if not n else []) + ([f"{n} rows, not {rows}"] if rows not in (None, n) else []) + found
+    return told_problems(df.agg(*output_checks(df)).first().asDict(), rows)
 
 
 def outliers(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -215,8 +223,12 @@ def preprocess(df: DataFrame, actions: dict[str, str] | None = None, order: list
         kept += [c for c in out.columns if c.lower().endswith("id")]
         out = domain_features(out)
         out = encode.prepare(out, [c for c in profile.text_columns(out) if c not in kept])
-    if validate and (problems := [p for p in output_problems(out, df.count()) if p != "null cost_per_unit"]):
-        raise ValueError("preprocessing left " + "; ".join(problems))
+    if validate:
+        # the job that settles the table counts what is wrong with it, so its plan runs once
+        seen = Observation()
+        out = settle(out.observe(seen, *output_checks(out)))
+        if problems := [p for p in told_problems(seen.get, df.count()) if p != "null cost_per_unit"]:
+            raise ValueError("preprocessing left " + "; ".join(problems))
     return out
 
 

@@ -61,6 +61,9 @@ class GaussianCopula:
     ``enforce_min_max_values`` keeps draws within the learnt range.
     """
 
+    #: Whether a row comes from its number alone, so that a stream of numbers makes a stream of rows.
+    streams = True
+
     def __init__(self, max_categories: int = 500, seed: int = 42, default_distribution: str | None = None, enforce_min_max_values: bool = True):
         self.max_categories, self.seed = max_categories, seed
         self.distribution, self.bounded = marginals.family_of(default_distribution or "empirical"), enforce_min_max_values
@@ -138,7 +141,10 @@ class GaussianCopula:
         return [(r["v"], r["n"] / total) for r in top] + [(None, rare / total)]
 
     def generate(self, spark: SparkSession, rows: int, offset: int = 0) -> DataFrame:
-        """``rows`` rows; the draw of a row depends on the seed and its number only."""
+        return self.of_numbers(spark.range(offset, offset + rows))
+
+    def of_numbers(self, ids: DataFrame) -> DataFrame:
+        """A row for each number (``id``), of a table or of a stream; it depends on the seed and the number only."""
         kinds = {"int": T.LongType(), "float": T.DoubleType(), "date": T.StringType(), "category": T.StringType()}
         names = [c for c, _, _ in self.columns]
         schema = T.StructType([T.StructField(f"c{i}", kinds[k]) for i, (_, k, _) in enumerate(self.columns)] + [T.StructField(f"r{i}", T.LongType()) for i, c in enumerate(names) if c in self.rare])
@@ -165,7 +171,7 @@ class GaussianCopula:
                     out[f"c{k}"] = np.round(x).astype(np.int64) if kind == "int" else pd.to_datetime(x, unit="s").strftime("%Y-%m-%d") if kind == "date" else x
                 yield pd.DataFrame(out, columns=schema.names)
 
-        draws = spark.range(offset, offset + rows).select(*(uniform("id", self.seed, i).alias(f"u{i}") for i in range(len(columns))))
+        draws = ids.select(*(uniform("id", self.seed, i).alias(f"u{i}") for i in range(len(columns))))
         made = draws.mapInPandas(draw, schema)
         for k in rare:
             table = self.rare[names[k]][0].select(F.col("pos").alias("_pos"), F.nullif(F.col("v"), F.lit(words.MISSING_CATEGORY)).alias("_v"))
@@ -177,6 +183,8 @@ class GaussianCopula:
 class TemplateText:
     """Offline text provider: recombines halves of ``most`` texts (a sample by hash), for columns that a language model would write."""
 
+    streams = True
+
     def __init__(self, column: str, most: int = 500, seed: int = 42):
         self.column, self.most, self.seed, self.texts = column, most, seed, [""]
 
@@ -193,7 +201,10 @@ class TemplateText:
         return F.trim(F.concat_ws(" ", pick(heads, 0), pick(tails, 1)))
 
     def generate(self, spark: SparkSession, rows: int, offset: int = 0) -> DataFrame:
-        return spark.range(offset, offset + rows).select(self.written(F.col("id")).alias(self.column))
+        return self.of_numbers(spark.range(offset, offset + rows))
+
+    def of_numbers(self, ids: DataFrame) -> DataFrame:
+        return ids.select(self.written(F.col("id")).alias(self.column))
 
 
 class ProvidedText(TemplateText):
@@ -210,6 +221,9 @@ class ProvidedText(TemplateText):
         self.provider, self.batch, self.retries, self.similarity = provider, batch, retries, similarity
         self.real: DataFrame | None = None
 
+    #: A retry depends on what other rows got, so no row comes from its number alone.
+    streams = False
+
     def fit(self, df: DataFrame) -> ProvidedText:
         super().fit(df)
         self.real = settle(df.select(F.col(self.column).cast("string").alias("text")).filter("text is not null").distinct())
@@ -278,16 +292,21 @@ def generate_rows(model, spark: SparkSession, rows: int, real: DataFrame | None
     return clean.apply_actions(out, actions, out.columns[:1]) if actions else out
 
 
-def generate_checkpointed(model, spark: SparkSession, rows: int, path: str, wanted: int | None = None) -> DataFrame:
-    """Generate in batches that are written as Parquet; a restart goes on behind the last whole batch."""
+def generate_checkpointed(model, spark: SparkSession, rows: int, path: str, wanted: int | None = None, progress: Callable[[int, int], None] | None = None) -> DataFrame:
+    """Generate in batches that are written as Parquet; a restart goes on behind the last whole batch.
+
+    ``progress`` is told (rows done, rows wanted) after every batch, from what was written. Where
+    more rows than asked for are there already, the first of them are returned.
+    """
     from weftline.sources import sinks
 
     done, size = sinks.checkpoint_rows(spark, path), batch_size(rows, wanted)
     while done < rows:
         n = min(size, rows - done)
-        sinks.append_batch(model.generate(spark, n, done), path, done)
-        done += n
-    return sinks.read_checkpoint(spark, path).limit(rows)
+        done += sinks.append_batch(model.generate(spark, n, done), path, done)
+        if progress:
+            progress(done, rows)
+    return sinks.read_checkpoint(spark, path, rows)
 
 
 def parents_first(tables: list[str], relations: list[tuple[str, str, str, str]]) -> list[str]:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from weftline.functions import exprs, roles
+from weftline.functions.storage import shared_folder
 from weftline.operators import clean, compare, encode, generate, keys, marginals, ml, profile, repair, rules, shape, text
 from weftline.plans import lifecycle, metadata
 from weftline.plans.q_compare import halves
 from weftline.plans.registry import query, table
+from weftline.streaming import generation
 
 @query("SELECT 'ID_' || row_number() OVER (ORDER BY s_name)::varchar AS s_suppkey, s_name, s_acctbal, s_acctbal + s_nationkey AS total FROM supplier")
 def column_actions(spark, d):
@@ -268,6 +272,17 @@ def fitted_marginals(spark, d):
     return found.select("column_name", "distribution", F.round("first", 6).alias("first"), F.round("second", 6).alias("second"), "low", "high")
 
 
+@query("SELECT 2 * count(*) AS rows, count(*) // 2 AS rows_of_first_run, 0::bigint AS rows_unlike_one_run FROM part")
+def generation_stream(spark, d):
+    """A stream that makes half of a table's number of rows, stops, goes on to twice the number, and is held against rows made at once."""
+    part, path = table(spark, d, "part").select("p_size", "p_retailprice", "p_brand"), f"{shared_folder(spark)}/generation-{uuid.uuid4().hex}"
+    n, model = part.count(), generate.GaussianCopula().fit(part)
+    half = generation.generate_stream(model, spark, n // 2, path, batch=max(1, n // 5)).count()
+    whole = generation.generate_stream(model, spark, 2 * n, path, batch=max(1, n // 3))
+    unlike = whole.exceptAll(model.generate(spark, 2 * n)).count()
+    return whole.agg(F.count("*").alias("rows")).select("rows", F.lit(half).cast("long").alias("rows_of_first_run"), F.lit(unlike).cast("long").alias("rows_unlike_one_run"))
+
+
 @query()
 def evaluate_tables(spark, d):
     real, synthetic = halves(table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus"), "o_orderkey")

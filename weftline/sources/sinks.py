@@ -6,23 +6,29 @@ import html
 import uuid
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+def counted(df: DataFrame, write) -> int:
+    """The rows that ``write(df)`` wrote, counted by the job that wrote them."""
+    seen = Observation()
+    write(df.observe(seen, F.count("*").alias("rows")))
+    return seen.get["rows"]
+
+
 def save_generated(df: DataFrame, folder: str, name: str, model: str, kind: str = "parquet") -> dict:
-    """Write under folder/gen_date=.../run=.../; the rows are counted in what was written, by its footers where it has them."""
+    """Write under folder/gen_date=.../run=.../, in one job."""
     path = f"{folder}/{name}_{model}"
     own = f"{path}/gen_date={date.today().isoformat()}/run={uuid.uuid4().hex}"
     options = {"header": "true"} if kind == "csv" else {}
-    df.write.options(**options).format(kind).save(own)
-    rows = df.sparkSession.read.options(**options).format(kind).load(own).count()
+    rows = counted(df, lambda out: out.write.options(**options).format(kind).save(own))
     return {"path": path, "rows": rows, "columns": len(df.columns)}
 
 
-def append_batch(df: DataFrame, path: str, first_row: int) -> None:
-    """One batch in a folder of its own: writing it again replaces it, so a retry does no harm."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={first_row}")
+def append_batch(df: DataFrame, path: str, first_row: int) -> int:
+    """One batch in a folder of its own, and its rows: writing it again replaces it, so a retry does no harm."""
+    return counted(df, lambda out: out.write.mode("overwrite").parquet(f"{path}/batch={first_row}"))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -30,8 +36,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).orderBy("batch").drop("batch")
+def read_checkpoint(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
+    """The batches in order; of their rows the first ``rows``, where only the batch that passes the number is cut."""
+    df = spark.read.parquet(path)
+    if rows is not None:
+        sizes, left, whole, cut = {r["batch"]: r["count"] for r in df.groupBy("batch").count().collect()}, rows, [], None  # one row a batch
+        for b in sorted(sizes):
+            if sizes[b] <= left:
+                whole.append(b)
+                left -= sizes[b]
+            else:
+                cut = df.filter(F.col("batch") == b).limit(left) if left else None
+                break
+        df = df.filter(F.col("batch").isin(whole)) if len(whole) < len(sizes) else df
+        df = df.unionByName(cut) if cut is not None else df
+    return df.orderBy("batch").drop("batch")
 
 
 def checkpoint_rows(spark: SparkSession, path: str) -> int:
@@ -39,11 +58,10 @@ def checkpoint_rows(spark: SparkSession, path: str) -> int:
 
 
 def save_tables(tables: dict[str, DataFrame], folder: str) -> DataFrame:
-    """Every table as Parquet with a manifest (table_name, rows); the manifest is written last."""
+    """Every table as Parquet, in a job each, with a manifest (table_name, rows); the manifest is written last."""
     rows = []
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        rows.append((name, df.sparkSession.read.parquet(f"{folder}/{name}").count()))
+        rows.append((name, counted(df, lambda out, at=f"{folder}/{name}": out.write.mode("overwrite").parquet(at))))
     manifest = next(iter(tables.values())).sparkSession.createDataFrame(rows, "table_name string, rows long")
     manifest.write.mode("overwrite").json(f"{folder}/_manifest")
     return manifest
