@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from weftline.functions import exprs, roles
-from weftline.operators import profile
+from weftline.operators import nearest, profile
 
 
 def common(real: DataFrame, synthetic: DataFrame) -> list[str]:
@@ -221,14 +221,17 @@ def without_copies(real: DataFrame, synthetic: DataFrame, columns: list[str] | N
     return synthetic.join(keys, same, "left_anti")
 
 
-def gower_nearest(queries: DataFrame, reference: DataFrame, numbers: list[str], labels: list[str], ranges: dict[str, float], key: str, itself: bool = False, most: int = 2000) -> DataFrame:
+def gower_nearest(queries: DataFrame, reference: DataFrame, numbers: list[str], labels: list[str], ranges: dict[str, float], key: str, itself: bool = False, most: int | None = 2000) -> DataFrame:
     """(key, distance): Gower distance from each query to its nearest reference row.
 
-    The reference is a bounded sample by contract (``most`` rows), held as one array beside
-    each query row, so queries are spread over tasks and nothing is paired in rows.
+    The reference is a bounded sample (``most`` rows, those of the smallest hashes of their
+    keys), held as one array beside each query row, so queries are spread over tasks and nothing
+    is paired in rows. With ``most=None`` all of it counts (``nearest``).
     """
+    if most is None:
+        return nearest.gower_nearest_exact(queries, reference, numbers, labels, ranges, key, itself)
     keep = [F.col(key).alias("key"), *(exprs.number(c).alias(c) for c in numbers), *(F.col(c).cast("string").alias(c) for c in labels)]
-    pool = reference.select(F.struct(*keep).alias("r")).limit(most).agg(F.collect_list("r").alias("pool"))
+    pool = reference.select(F.struct(*keep).alias("r")).orderBy(F.xxhash64("r.key"), "r.key").limit(most).agg(F.collect_list("r").alias("pool"))
 
     def distance(r) -> Column:
         gaps = [F.least(F.abs(F.col(c) - r[c]) / F.lit(float(ranges.get(c) or 1.0)), F.lit(1.0)) for c in numbers]
@@ -240,16 +243,16 @@ def gower_nearest(queries: DataFrame, reference: DataFrame, numbers: list[str],
     return rows.select("key", F.array_min(F.transform("pool", distance)).alias("distance"))
 
 
-def privacy(real: DataFrame, synthetic: DataFrame, key: str, most_synthetic: int = 500, most_real: int = 2000, seed: int = 42) -> DataFrame:
-    """(exact_match_rate, dcr_synthetic, dcr_real, dcr_ratio, score, risk); samples of fixed size are part of the measure."""
+def privacy(real: DataFrame, synthetic: DataFrame, key: str, most_synthetic: int | None = 500, most_real: int | None = 2000, seed: int = 42) -> DataFrame:
+    """(exact_match_rate, dcr_synthetic, dcr_real, dcr_ratio, score, risk); samples of fixed size are part of the measure, None in place of a size takes all rows."""
     use = [c for c in common(real, synthetic) if c != key]
     numbers = [f.name for f in real.schema if f.name in use and roles.is_numeric(f.dataType)]
     labels = [f.name for f in real.schema if f.name in use and f.dataType.simpleString() in ("string", "boolean")]
-    sample = lambda df, n: df.orderBy(exprs.md5_order(key, seed=seed)).limit(n)
+    sample = lambda df, n: df if n is None else df.orderBy(exprs.md5_order(key, seed=seed)).limit(n)
     ranges = real.agg(*(F.max(exprs.number(c)) - F.min(exprs.number(c)) for c in numbers)).toDF(*numbers).first().asDict() if numbers else {}
     r = sample(real, most_real)
-    near = gower_nearest(sample(synthetic, most_synthetic), r, numbers, labels, ranges, key)
-    own = gower_nearest(r.orderBy(exprs.md5_order(key, seed=seed)).limit(most_synthetic), r, numbers, labels, ranges, key, itself=True)
+    near = gower_nearest(sample(synthetic, most_synthetic), r, numbers, labels, ranges, key, most=most_real)
+    own = gower_nearest(sample(r, most_synthetic), r, numbers, labels, ranges, key, itself=True, most=most_real)
     medians = near.agg(F.median("distance").alias("s"), F.lit(1).alias("one")).join(own.agg(F.median("distance").alias("r"), F.lit(1).alias("one")), "one")
     exact = exact_matches(real, synthetic, numbers + labels).withColumn("one", F.lit(1))
     ratio = F.when(F.col("r") > 0, F.col("s") / F.col("r")).otherwise(F.when(F.col("s") > 0, 1.0).otherwise(0.0))

@@ -265,3 +265,13 @@ def text_guard(spark, d):
     short = F.char_length("text").between(6, 198)
     made = F.when(F.col("conv_id") % 4 == 1, F.when(short, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).when(F.col("conv_id") % 4 == 2, F.when(F.trim("text") == "", F.col("text")).otherwise(F.md5(F.concat_ws("-", "conv_id", "turn")))).when(F.col("conv_id") % 4 == 3, F.lit("  ")).otherwise(F.upper("text"))
     return alike.too_similar(asked.select("conv_id", "turn", made.alias("made")), "made", asked, "text").select("conv_id", "turn", "too_similar")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal END AS a, c_nationkey::double AS b, c_mktsegment AS s FROM customer), g AS (SELECT max(a) - min(a) AS ra, max(b) - min(b) AS rb FROM c WHERE k % 2 = 0),
+d AS (SELECT x.k, min((coalesce(least(abs(x.a - y.a) / ra, 1), 1) + least(abs(x.b - y.b) / rb, 1) + (x.s IS DISTINCT FROM y.s)::int) / 3) AS distance FROM c x, c y, g WHERE x.k % 2 <> 0 AND y.k % 2 = 0 GROUP BY x.k) SELECT k AS key, round(distance, 6) AS distance FROM d""")
+def gower_nearest_whole(spark, d):
+    """Every row of one half against every row of the other."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 9 != 0, F.col("c_acctbal")).alias("a"), F.col("c_nationkey").cast("double").alias("b"), F.col("c_mktsegment").alias("s"))
+    real, synthetic = halves(c, "k")
+    width = real.agg(*((F.max(x) - F.min(x)).alias(x) for x in "ab")).first().asDict()
+    return compare.gower_nearest(synthetic, real, ["a", "b"], ["s"], width, "k", most=None).withColumn("distance", F.round("distance", 6))
