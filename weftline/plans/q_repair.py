@@ -141,3 +141,11 @@ def stream_event_counts(spark, d):
 
     out = batches.windowed_counts(spark, d)
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT user_id::varchar AS run, max(ts) AS beat FROM events GROUP BY user_id HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
+def stale_watch(spark, d):
+    """Timers of a stream against what a table says at the end."""
+    from weftline.streaming import heartbeats
+
+    return heartbeats.stale_events(spark, d).select("run", F.col("beat").cast("timestamp_ntz").alias("beat"))
