@@ -1,6 +1,7 @@
 """Readers, sinks and streams."""
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from weftline.operators import generate
@@ -46,7 +47,7 @@ def test_refusals(spark, tmp_path):
             readers.check_upload(name, size)
     with pytest.raises(ValueError):
         readers.preview(spark.range(3), 51)
-    with pytest.raises(RuntimeError):
+    with pytest.raises(AnalysisException):
         readers.read_excel(spark, "file:///nowhere.xlsx")
 
 

@@ -110,6 +110,55 @@ def copula_sample(spark, d):
     return generate.GaussianCopula().fit(o).generate(spark, 1000)
 
 
+@query("""SELECT 'rows' AS fact, count(*) AS n FROM orders UNION ALL SELECT 'o_orderstatus', count(DISTINCT o_orderstatus) FROM orders UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority) FROM orders UNION ALL SELECT 'below', count(*) FILTER (o_totalprice < (SELECT min(o_totalprice) FROM orders)) FROM orders
+UNION ALL SELECT 'above', count(*) FILTER (o_totalprice > (SELECT max(o_totalprice) FROM orders)) FROM orders UNION ALL SELECT 'unknown values', count(*) FILTER (o_orderstatus NOT IN (SELECT o_orderstatus FROM orders)) FROM orders UNION ALL SELECT 'mean off by tenths of the deviation', 0""")
+def copula_sample_facts(spark, d):
+    """What must hold of rows that are drawn, whatever the draws: their number, all of the few values, no others, the range, the mean."""
+    from weftline.operators import generate
+
+    o = table(spark, d, "orders").select("o_totalprice", "o_orderstatus", "o_orderpriority")
+    n = o.count()
+    made = generate.GaussianCopula().fit(o).generate(spark, n)
+    real = o.agg(F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.avg("o_totalprice").alias("mean"), F.stddev("o_totalprice").alias("sd")).first()
+    known = [r["o_orderstatus"] for r in o.select("o_orderstatus").distinct().collect()]
+    p = F.col("o_totalprice")
+    facts = {"rows": F.count("*"), "o_orderstatus": F.count_distinct("o_orderstatus"), "o_orderpriority": F.count_distinct("o_orderpriority"), "below": F.count_if(p < real["low"]), "above": F.count_if(p > real["high"]), "unknown values": F.count_if(~F.col("o_orderstatus").isin(known)), "mean off by tenths of the deviation": F.floor(F.abs(F.avg(p) - real["mean"]) / real["sd"] * 10)}
+    row = made.agg(*(v.cast("long").alias(k) for k, v in facts.items()))
+    return row.unpivot([], list(facts), "fact", "n")
+
+
+@query("""WITH s AS (SELECT o_orderkey, o_totalprice * 1.5 AS p FROM orders WHERE o_orderkey % 2 <> 0), r AS (SELECT o_totalprice AS p FROM orders WHERE o_orderkey % 2 = 0)
+SELECT count(*) AS rows, count(DISTINCT o_orderkey) AS keys, count(*) FILTER (o_orderkey % 5 = 0) AS without_price, 0::bigint AS beyond_real_range, true AS same_order FROM s""")
+def improved_facts(spark, d):
+    """A table with missing prices after its marginals are matched: every row and key is there, prices lie in the real range and keep their order."""
+    real, synthetic = halves(table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), "o_orderkey")
+    shifted = synthetic.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice") * 1.5))
+    out = repair.match_marginals(real, shifted, ["o_totalprice"], ["o_orderkey"])
+    low, high = real.agg(F.min("o_totalprice"), F.max("o_totalprice")).first()
+    both = out.join(shifted.select("o_orderkey", F.col("o_totalprice").alias("before")), "o_orderkey")
+    # in a kept order, the largest mapped value below a tenth of the old ones is below the smallest above it
+    cuts = shifted.approxQuantile("o_totalprice", [i / 10 for i in range(1, 10)], 0.001)
+    p, b = F.col("o_totalprice"), F.col("before")
+    kept = [F.coalesce(F.max(F.when(b < c, p)) <= F.min(F.when(b >= c, p)), F.lit(True)) for c in cuts]
+    whole = kept[0]
+    for k in kept[1:]:
+        whole = whole & k
+    return both.agg(F.count("*").alias("rows"), F.count_distinct("o_orderkey").alias("keys"), F.count_if(p.isNull()).alias("without_price"), F.count_if((p < low) | (p > high)).alias("beyond_real_range"), whole.alias("same_order"))
+
+
+@query("""SELECT 'customer' AS table_name, count(*) // 2 AS rows, count(*) // 2 AS keys, 0::bigint AS orphans, count(DISTINCT c_mktsegment) AS labels FROM customer UNION ALL SELECT 'orders', count(*) // 2, count(*) // 2, 0, count(DISTINCT o_orderstatus) FROM orders""")
+def linked_facts(spark, d):
+    """Linked tables of half the originals' sizes: rows, keys, foreign keys without a parent, and the label values."""
+    from weftline.operators import generate
+
+    tables = {"customer": table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), "orders": table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")}
+    sizes = {k: v.count() // 2 for k, v in tables.items()}
+    made = generate.linked(tables, [("customer", "c_custkey", "orders", "o_custkey")], {"customer": "c_custkey", "orders": "o_orderkey"}, sizes)
+    lost = made["orders"].join(made["customer"].select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_anti").count()
+    facts = lambda name, key, label, orphans: made[name].agg(F.lit(name).alias("table_name"), F.count("*").alias("rows"), F.count_distinct(key).alias("keys"), F.lit(orphans).cast("long").alias("orphans"), F.count_distinct(label).alias("labels"))
+    return facts("customer", "c_custkey", "c_mktsegment", 0).unionByName(facts("orders", "o_orderkey", "o_orderstatus", lost))
+
+
 @query()
 def linked_generate(spark, d):
     from weftline.operators import generate

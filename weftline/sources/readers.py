@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import csv
+import math
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftline.sources import records
+from weftline.sources import records, workbook
 
 EXTENSIONS = (".csv", ".tsv", ".txt", ".parquet", ".orc", ".json", ".xls", ".xlsx")
 DELIMITERS = (",", ";", "\t", "|")
@@ -124,23 +126,19 @@ def read_csv(spark: SparkSession, path: str, tolerant: bool = False, infer: bool
 
 def narrowed(df: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Text columns as longs, doubles or ``more`` kinds, the first as which every value reads."""
+    if not df.columns:
+        return df
     kinds = ("bigint", "double", *more)
     row = df.agg(*(F.count(c).alias(f"n {c}") for c in df.columns), *(F.count(F.col(c).try_cast(k)).alias(f"{k} {c}") for c in df.columns for k in kinds)).first()
     kind = lambda c: next((k for k in kinds if row[f"n {c}"] and row[f"{k} {c}"] == row[f"n {c}"]), "string")
     return df.select(*(F.col(c).try_cast(kind(c)).alias(c) for c in df.columns))
 
 
-def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of a workbook; these are small by their format, and need an optional library."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("reading workbooks needs the optional dependency openpyxl") from e
-    import io
-
-    import pandas as pd
-
-    return spark.createDataFrame(pd.read_excel(io.BytesIO(head_bytes(spark, path, MAX_BYTES))))
+def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """A sheet of a workbook (.xlsx), the first by default: its first row has the names, dates come as timestamps."""
+    if path.lower().rstrip("/").endswith(".xls"):
+        raise ValueError(f"{path}: workbooks of the old binary format are not read; save it as .xlsx")
+    return narrowed(workbook.named_columns(workbook.book_rows(spark, path, sheet)), ("timestamp", "boolean"))
 
 
 def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -149,7 +147,7 @@ def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
     if low.endswith((".csv", ".tsv", ".txt")):
         df = read_csv(spark, path, **options)
     elif low.endswith((".xls", ".xlsx")):
-        df = read_excel(spark, path)
+        df = read_excel(spark, path, **options)
     elif low.endswith((".json", ".orc")):
         df = spark.read.format(low.rsplit(".", 1)[1]).load(path)
     else:
@@ -160,12 +158,31 @@ def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
     return df
 
 
-def read_jdbc(spark: SparkSession, url: str, name: str, column: str | None = None, low: int = 0, high: int = 0, parts: int = 8, **properties: str) -> DataFrame:
-    """A database table, in ``parts`` ranges of a number column if one is named."""
+def read_jdbc(spark: SparkSession, url: str, name: str, column: str | None = None, low: int | None = None, high: int | None = None, parts: int = 8, **properties: str) -> DataFrame:
+    """A database table; with a number column, in ``parts`` ranges of it.
+
+    Between ``low`` and ``high`` the ranges are of equal width. Without them they are of about
+    equal numbers of rows: the column alone is read first, and a sketch of its values in Spark
+    gives the bounds. Rows without a value come with the first range.
+    """
     reader = spark.read.format("jdbc").options(url=url, dbtable=name, **properties)
-    if column:
-        reader = reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts)
-    return reader.load()
+    if not column:
+        return reader.load()
+    if low is not None and high is not None:
+        return reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts).load()
+    least, most = reader.load().agg(F.min(column), F.max(column)).first()
+    if least is None or least == most:
+        return reader.load()
+    spread = reader.options(partitionColumn=column, lowerBound=math.floor(least), upperBound=math.ceil(most), numPartitions=parts).load()
+    cuts = spread.agg(F.percentile_approx(F.col(column).cast("double"), [i / parts for i in range(1, parts)], 10_000)).first()[0]
+    field = next(f for f in spread.schema if f.name.lower() == column.lower())
+    kind, quoted = field.dataType, spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(field.name)
+    text = [str(int(c)) if isinstance(kind, T.IntegralType) else repr(c) for c in sorted(set(cuts)) if c > float(least)]
+    ranges = [" AND ".join([*([f"{quoted} >= {a}"] if a else []), *([f"{quoted} < {b}"] if b else [])]) for a, b in zip([None, *text], [*text, None])]
+    if not text:
+        return reader.load()
+    ranges[0] = f"({ranges[0]}) OR {quoted} IS NULL"
+    return spark.read.jdbc(url, name, predicates=ranges, properties=properties)
 
 
 def read_group(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
