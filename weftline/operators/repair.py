@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from weftline.functions import exprs, words
 from weftline.functions.storage import settle
-from weftline.operators import clean, compare, rules
+from weftline.operators import clean, compare, profile, rules
 
 
 def quantile_map(real: DataFrame, synthetic: DataFrame, column: str, order: list[str]) -> DataFrame:
@@ -62,18 +62,22 @@ def class_weights(real: DataFrame, synthetic: DataFrame, column: str, low_real:
 def systematic(df: DataFrame, weight: str, rows: int, order: list[str], seed: int = 42) -> DataFrame:
     """``rows`` rows with replacement, each as likely as its weight (systematic resampling).
 
-    A row with cumulative weight from a to b is drawn once for each point k + 1/2 in [a, b):
-    the counts are exact to within one, and equal seeds agree.
+    A row with cumulative weight from a to b is drawn once for each point k + 1/2 in [a, b); a
+    row begins where the one before it ends, to the last bit, so the draws are ``rows`` in all.
+    Equal seeds agree.
     """
     n = clean.numbered(df.withColumn("_h", exprs.md5_order(*order, seed=seed)), ["_h", *order], "_i", 0)
     parts = n.withColumn("_part", F.floor(F.col("_i") / 50_000))
     sums = parts.groupBy("_part").agg(F.sum(weight).alias("w"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per 50,000
-    bases = sums.select("_part", F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("_base"), F.sum("w").over(Window.partitionBy()).alias("_all"))
-    within = Window.partitionBy("_part").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    end = parts.withColumn("_cum", F.sum(weight).over(within)).join(bases, "_part").withColumn("_to", (F.col("_base") + F.col("_cum")) / F.col("_all") * rows)
-    begin = F.col("_to") - F.col(weight) / F.col("_all") * rows
-    times = (F.floor(F.col("_to") + 0.5) - F.floor(begin + 0.5)).cast("int")
+    parts_so_far = lambda to: Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, to)  # noqa: E731  one row per 50,000
+    bases = sums.select("_part", F.coalesce(F.sum("w").over(parts_so_far(-1)), F.lit(0.0)).alias("_base"), F.sum("w").over(parts_so_far(0)).alias("_upto"))
+    bases = bases.withColumn("_all", F.max("_upto").over(Window.partitionBy()))
+    own = Window.partitionBy("_part").orderBy("_i")
+    cum = parts.withColumn("_cum", F.sum(weight).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = cum.withColumns({"_last": F.lead("_i").over(own).isNull(), "_before": F.coalesce(F.lag("_cum").over(own), F.lit(0.0))}).join(bases, "_part")
+    point = lambda w: F.floor(w / F.col("_all") * rows + 0.5)
+    end = ends.withColumn("_to", F.when(F.col("_last"), F.col("_upto")).otherwise(F.col("_base") + F.col("_cum")))
+    times = (point(F.col("_to")) - point(F.col("_base") + F.col("_before"))).cast("int")
     return end.withColumn("_times", times).filter("_times > 0").select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_t")).drop("_t")
 
 
@@ -124,11 +128,44 @@ def restore_categories(real: DataFrame, synthetic: DataFrame, column: str, order
     return numbered.join(values, "position").select(*synthetic.columns)
 
 
+def hash_number(h) -> Column:
+    """The first 52 bits of a hash in hexadecimal digits, as a whole double."""
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double")
+
+
+def mark_first(df: DataFrame, order: list[str], count: int, flag: str, slack: float = 2 / profile.ACCURACY) -> DataFrame:
+    """Add ``flag``: true for exactly ``count`` rows, the first by ``order``, whose first column is a hash in hexadecimal digits.
+
+    A sketch brackets the place of the last of them; only the order columns of the few rows in
+    the bracket are sorted, and the table is marked by comparison, without a shuffle. Rows that
+    are equal to the last one in all order columns are numbered among themselves.
+    """
+    n = df.count()
+    if count <= 0 or count >= n:
+        return df.withColumn(flag, F.lit(count > 0))
+    x = hash_number(order[0])
+    while True:
+        probes = [min(1.0, max(0.0, count / n + d)) for d in (-slack, slack)]
+        row = df.agg(F.percentile_approx(x, probes, profile.ACCURACY).alias("q"), F.min(x).alias("l"), F.max(x).alias("h")).first()
+        low, high = row["l"] if count / n <= slack else row["q"][0], row["h"] if count / n >= 1 - slack else row["q"][1]
+        below, inside = df.agg(F.count_if(x < low), F.count_if((x >= low) & (x <= high))).first()
+        if below < count <= below + inside:
+            break
+        slack *= 16  # a sketch keeps its promise, so this is hardly ever needed
+    last = clean.numbered(df.filter((x >= low) & (x <= high)).select(*order), order, "_nth").filter(F.col("_nth") == count - below).first()
+    place, end = F.struct(*order), F.struct(*(F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in order))
+    before, equal = df.agg(F.count_if(place < end), F.count_if(place == end)).first()
+    if before + equal == count:
+        return df.withColumn(flag, place <= end)
+    ties = clean.numbered(df.filter(place == end).withColumn("_tie", F.monotonically_increasing_id()), ["_tie"], "_nth")
+    ties = ties.withColumn(flag, F.col("_nth") <= count - before).drop("_tie", "_nth")
+    return df.filter(place != end).withColumn(flag, place < end).unionByName(ties)
+
+
 def train_test_split(df: DataFrame, key: list[str], test: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``is_test``: exactly ceil(test * n) rows, by a repeatable shuffled order."""
-    n = df.count()
-    ranked = clean.numbered(df.withColumn("_h", exprs.md5_order(*key, seed=seed)), ["_h", *key], "_i")
-    return ranked.withColumn("is_test", F.col("_i") <= math.ceil(test * n)).drop("_h", "_i")
+    hashed = df.withColumn("_h", exprs.md5_order(*key, seed=seed))
+    return mark_first(hashed, ["_h", *key], math.ceil(test * df.count()), "is_test").drop("_h")
 
 
 def random_sample(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
