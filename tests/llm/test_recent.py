@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, collocation, negatives, queries
+from weftline.llm import chat, collocation, licenses, negatives, queries
 
 TALK = "conv_id long, turn long, role string, text string"
 SAID = "<|im_end|><|im_start|>assistant ok"
@@ -229,3 +229,21 @@ def test_queries_equal_sql(spark, name):
     columns = sorted(df.columns)
     assert columns == sorted(want.columns)
     assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(want.select(*columns).fetchall())
+
+
+FREE = "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation, either version {} of the License"
+WORK = "This work is licensed under {}"
+RELATIVES = [
+    (FREE.format("GNU Lesser General Public License", 3), "lgpl-3"), (FREE.format("GNU Affero General Public License", 3), "agpl-3"), (FREE.format("GNU General Public License", 3), "gpl-3"), (FREE.format("GNU General Public License", 4), ""),
+    (WORK.format("the GNU Lesser General Public License, version 3"), "lgpl-3"), (WORK.format("the GNU General Public License, version 1"), "gpl-1"), (WORK.format("the GNU General Public License, version 2"), "gpl-2"), (WORK.format("the GNU General Public License, version 3"), "gpl-3"), (WORK.format("the GNU General Public License, version 5"), ""),
+    (WORK.format("a Creative Commons Attribution 4.0 International License"), "cc-by"), (WORK.format("a Creative Commons Attribution-NonCommercial 4.0 International License"), "cc-by-nc"), (WORK.format("a Creative Commons Attribution-ShareAlike 4.0 International License"), "cc-by-sa"),
+    (WORK.format("a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"), "cc-by-nc-sa"), (WORK.format("a Creative Commons Attribution-NoDerivatives 4.0 International License"), "cc-by-nd"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1", "mpl-1.1"), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl-2"),
+]
+
+
+def test_relatives_are_told_apart(spark):
+    df = spark.createDataFrame([(i, f"Some words before. {t}. And words behind it.") for i, (t, _) in enumerate([*RELATIVES, *((t, label) for label, t in licenses.TEMPLATES)])], "doc_id long, text string")
+    found = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df).collect()}
+    assert [found[i] for i in range(len(RELATIVES))] == [label for _, label in RELATIVES]
+    assert [found[len(RELATIVES) + i] for i in range(len(licenses.TEMPLATES))] == [label for label, _ in licenses.TEMPLATES]

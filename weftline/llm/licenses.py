@@ -6,7 +6,9 @@ template place t votes for the diagonal p - t. Votes are gathered in bands of ne
 diagonals (words put in or left out move a notice's rest by a few diagonals), laid twice so
 that a notice lies well inside one of them, and parted where a band has no vote for some
 words or a template's place comes again. Each such run is a span; it is verified by how many
-of its template's pairs stand in it and by its length. Of spans that overlap, the one that
+of its template's pairs stand in it, by its length, and by the pairs that tell the template
+from relatives with other labels: each of those has to be there once, so a notice of another
+version or variant is not taken for it. Of spans that overlap, the one that
 holds most pairs stands, so a notice is not also taken for its relatives. Pairs of two
 function words do not vote. Base phrases are templates too: one stands where a single
 diagonal holds all its pairs, which is to say where its words follow one another.
@@ -74,6 +76,23 @@ TEMPLATES = (
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    # relatives, of which a wrong word makes another license
+    ("gpl-1", "This work is licensed under the GNU General Public License, version 1"),
+    ("gpl-2", "This work is licensed under the GNU General Public License, version 2"),
+    ("lgpl", "This work is licensed under the GNU Lesser General Public License, version 2.1"),
+    ("lgpl-3", "This work is licensed under the GNU Lesser General Public License, version 3"),
+    ("agpl-3", "This work is licensed under the GNU Affero General Public License, version 3"),
+    ("agpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("gpl-1", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version"),
+    ("lgpl-3", f"This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library {WARRANTY} See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library. If not, see <https://www.gnu.org/licenses/>."),
+    ("lgpl-3", f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program {WARRANTY} See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("lgpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("lgpl-3", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("mpl-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1"),
+    ("mpl-1.1", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
     ("cc0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide"),
 )
 #: A pair of two of these does not vote.
@@ -101,11 +120,44 @@ def template_entries(phrases=PHRASES, templates=TEMPLATES) -> list[tuple[str, li
     return out
 
 
+#: Share of a template's pairs that a relative has too.
+RELATED = 0.6
+#: Besides digits, as versions have them, the words that tell a license from its relatives.
+VARIANTS = frozenset("lesser affero noncommercial sharealike noderivatives".split())
+
+
+def telling_places(entries: list) -> list[dict[int, int]]:
+    """For each template the places of the pairs that tell it from its relatives, with the number of the pair, from 1.
+
+    A relative is a template of another label with most of its pairs. A pair that it does not
+    have tells the two apart if a digit or a variant's name is in it, or stands in the
+    relative between its words.
+    """
+    varies = lambda w: w in VARIANTS or (len(w) == 1 and w.isdigit())
+    pairs = [{(w[i], w[i + 1]) for i in places} for _, w, _, places in entries]
+    out = []
+    for (label, words, base, places), own in zip(entries, pairs):
+        found: dict[tuple[str, str], int] = {}
+        at: dict[int, int] = {}
+        for (other, _, other_base, _), theirs in zip(entries, pairs):
+            if base or other_base or other == label or len(own & theirs) < RELATED * len(own):
+                continue
+            between = {(a, d) for a, b in theirs if varies(b) for c, d in theirs if c == b}
+            for i in places:
+                pair = (words[i], words[i + 1])
+                if pair not in theirs and (varies(pair[0]) or varies(pair[1]) or pair in between):
+                    at[i] = found.setdefault(pair, len(found) + 1)
+        out.append(at)
+    return out
+
+
 def template_pairs(spark, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
-    """(hash, template, place, length, pairs, label, base): the voting pairs of all phrases and templates, some thousand rows."""
-    rows = [(i, at, words[at], words[at + 1], len(words), len(places), label, base) for i, (label, words, base, places) in enumerate(template_entries(phrases, templates)) for at in places]
-    pairs = spark.createDataFrame(rows, "template int, place int, a string, b string, length int, pairs int, label string, base boolean")
-    return pairs.select(F.xxhash64("a", "b").alias("hash"), "template", "place", "length", "pairs", "label", "base")
+    """(hash, template, place, length, pairs, tells, telling, label, base): the voting pairs of all phrases and templates, some thousand rows."""
+    entries = template_entries(phrases, templates)
+    telling = telling_places(entries)
+    rows = [(i, at, words[at], words[at + 1], len(words), len(places), telling[i].get(at, 0), len(set(telling[i].values())), label, base) for i, (label, words, base, places) in enumerate(entries) for at in places]
+    pairs = spark.createDataFrame(rows, "template int, place int, a string, b string, length int, pairs int, tells int, telling int, label string, base boolean")
+    return pairs.select(F.xxhash64("a", "b").alias("hash"), "template", "place", "length", "pairs", "tells", "telling", "label", "base")
 
 
 def license_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
@@ -121,7 +173,7 @@ def license_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = spread.join(F.broadcast(known.withColumnRenamed("hash", "known")), (F.col("at") >= 0) & (F.col("hash") == F.col("known")), "left")
     own = F.when(F.col("at") < 0, F.col("hash"))
     return joined.filter((F.col("at") < 0) | F.col("template").isNotNull()).select(
-        "doc_id", "text_hash", F.coalesce("template", F.lit(-1)).alias("template"), "label", F.coalesce("base", F.lit(False)).alias("base"), "length", "pairs", "at", F.coalesce("place", F.lit(0)).alias("place"), own.alias("n_words"),
+        "doc_id", "text_hash", F.coalesce("template", F.lit(-1)).alias("template"), "label", F.coalesce("base", F.lit(False)).alias("base"), "length", "pairs", "tells", "telling", "at", F.coalesce("place", F.lit(0)).alias("place"), own.alias("n_words"),
     )
 
 
@@ -132,9 +184,9 @@ def license_spans(hits: DataFrame, band: int = 16, max_gap: int = 8, min_cover:
     All steps group by the document first, so one shuffle serves them.
     """
     key = ["doc_id", "text_hash"]
-    about = ("label", "base", "length", "pairs", "n_words")
+    about = ("label", "base", "length", "pairs", "telling", "n_words")
     dealt = hits.repartition(*key)
-    found = dealt.groupBy(*key, "template", "at", "place").agg(*(F.first(c).alias(c) for c in about), F.count("*").alias("rows"))  # equal rows vote once
+    found = dealt.groupBy(*key, "template", "at", "place").agg(*(F.first(c).alias(c) for c in (*about, "tells")), F.count("*").alias("rows"))  # equal rows vote once
     single = F.col("base") | (F.col("template") < 0)
     phases = found.withColumn("phase", F.explode(F.when(single, F.array(F.lit(-1))).otherwise(F.array(F.lit(0), F.lit(1)))))
     diagonal = F.col("at") - F.col("place")
@@ -145,9 +197,9 @@ def license_spans(hits: DataFrame, band: int = 16, max_gap: int = 8, min_cover:
     runs = banded.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(along))
     again = Window.partitionBy(*lane, "run", "place").orderBy("at")
     copies = runs.withColumn("copy", F.row_number().over(again))
-    spans = copies.groupBy(*lane, "run", "copy").agg(*(F.first(c).alias(c) for c in about), F.max("rows").alias("rows"), F.count("*").alias("votes"), F.min("at").alias("begin"), (F.max("at") + 2).alias("end"))
+    spans = copies.groupBy(*lane, "run", "copy").agg(*(F.first(c).alias(c) for c in about), F.max("rows").alias("rows"), F.count("*").alias("votes"), F.size(F.collect_set(F.when(F.col("tells") > 0, F.col("tells")))).alias("told"), F.min("at").alias("begin"), (F.max("at") + 2).alias("end"))
     whole = F.col("votes") == F.col("pairs")
-    covers = (F.col("votes") >= min_cover * F.col("pairs")) & (F.col("length") >= min_words) & (F.col("end") - F.col("begin") <= 2 * F.col("length"))
+    covers = (F.col("votes") >= min_cover * F.col("pairs")) & (F.col("told") == F.col("telling")) & (F.col("length") >= min_words) & (F.col("end") - F.col("begin") <= 2 * F.col("length"))
     stand = spans.filter(F.when(F.col("template") < 0, True).when(F.col("base"), whole).otherwise(covers))
     stand = stand.withColumn("cover", F.when(F.col("template") >= 0, F.col("votes") / F.col("pairs")))
     # spans that overlap meet in a cluster; those of the method give way to better ones of another label

@@ -11,19 +11,20 @@ def text_literal(value: str) -> str:
 
 def license_sql() -> str:
     entries = licenses.template_entries()
-    rows = ",\n".join(f"({i}, {p}, {text_literal(w[p])}, {text_literal(w[p + 1])}, {len(w)}, {len(places)}, {text_literal(label)}, {base})" for i, (label, w, base, places) in enumerate(entries) for p in places)
+    telling = licenses.telling_places(entries)
+    rows = ",\n".join(f"({i}, {p}, {text_literal(w[p])}, {text_literal(w[p + 1])}, {len(w)}, {len(places)}, {telling[i].get(p, 0)}, {len(set(telling[i].values()))}, {text_literal(label)}, {base})" for i, (label, w, base, places) in enumerate(entries) for p in places)
     return rf"""
-WITH known(template, place, a, b, length, pairs, label, base) AS (VALUES {rows}),
+WITH known(template, place, a, b, length, pairs, tells, telling, label, base) AS (VALUES {rows}),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 g AS (SELECT r, unnest(range(len(w) - 1)) AS pos, w FROM d WHERE len(w) > 1),
-hits AS (SELECT r, template, label, base, length, pairs, pos, place FROM (SELECT r, pos, w[pos + 1] AS a, w[pos + 2] AS b FROM g) JOIN known USING (a, b)),
+hits AS (SELECT r, template, label, base, length, pairs, tells, telling, pos, place FROM (SELECT r, pos, w[pos + 1] AS a, w[pos + 2] AS b FROM g) JOIN known USING (a, b)),
 lanes AS (SELECT *, CASE WHEN phase < 0 THEN pos - place ELSE floor((pos - place + phase * 8)::double / 16)::bigint END AS band
   FROM (SELECT *, unnest(CASE WHEN base THEN [-1] ELSE [0, 1] END) AS phase FROM hits)),
 marked AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY r, template, phase, band ORDER BY pos, place) > 8 THEN 1 ELSE 0 END AS fresh FROM lanes),
 runs AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template, phase, band ORDER BY pos, place ROWS UNBOUNDED PRECEDING) AS run FROM marked),
 copies AS (SELECT *, row_number() OVER (PARTITION BY r, template, phase, band, run, place ORDER BY pos) AS copy FROM runs),
-all_spans AS (SELECT r, template, label, base, length, pairs, count(*) AS votes, min(pos) AS s, max(pos) + 2 AS e FROM copies GROUP BY r, template, label, base, length, pairs, phase, band, run, copy),
-spans AS (SELECT *, votes::double / pairs AS cover FROM all_spans WHERE CASE WHEN base THEN votes = pairs ELSE votes >= 0.75 * pairs AND length >= 5 AND e - s <= 2 * length END),
+all_spans AS (SELECT r, template, label, base, length, pairs, telling, count(DISTINCT tells) FILTER (tells > 0) AS told, count(*) AS votes, min(pos) AS s, max(pos) + 2 AS e FROM copies GROUP BY r, template, label, base, length, pairs, telling, phase, band, run, copy),
+spans AS (SELECT *, votes::double / pairs AS cover FROM all_spans WHERE CASE WHEN base THEN votes = pairs ELSE votes >= 0.75 * pairs AND told = telling AND length >= 5 AND e - s <= 2 * length END),
 found_spans AS (SELECT * FROM spans x WHERE base OR NOT EXISTS (SELECT 1 FROM spans o WHERE o.r = x.r AND NOT o.base AND o.label <> x.label
   AND 2 * (least(x.e, o.e) - greatest(x.s, o.s)) >= least(x.e - x.s, o.e - o.s) AND (o.votes > x.votes OR (o.votes = x.votes AND (o.cover > x.cover OR (o.cover = x.cover AND o.label > x.label)))))),
 found AS (SELECT r, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
