@@ -61,6 +61,8 @@ def test_a_slice_loses_no_rule(spark, monkeypatch, few):
     monkeypatch.setattr(arithmetic, "FEW", few)
     monkeypatch.setattr(arithmetic, "SMALL", 64)
     rows, names = rows_of(1500, 7, 6), [f"c{i}" for i in range(7)]
+    # a divisor of three rows
+    rows = [(*r[:5], float(i % 5 + 1) if i % 600 == 9 else 0.0, r[0] / (i % 5 + 1) if i % 600 == 9 and r[0] is not None else 3.5) for i, r in enumerate(rows)]
     df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(4)
     found = {(*r[:4], round(r[4], 9)) for r in map(tuple, rules.scan_arithmetic(df, least=0.95).collect())}
     assert found == plain(rows, names, arithmetic.OPERATIONS, 0.95, 1e-5, 1e-2)

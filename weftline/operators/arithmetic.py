@@ -174,11 +174,20 @@ def holding(df: DataFrame, columns: list[str], operations: tuple[str, ...], leas
         counts = settle(counts)
         seen, by = totals_of(counts.filter("code < 0").collect(), pairs)
         bounds = [*(float(max(0, needed(d, s))) for d, s in zip(divisors, by)), float(max(0, needed(rows, seen)))]
+        if bounds[-1] <= 0:  # an unlucky slice rules nothing out
+            share, counts = 1.0, hits(df, pairs, rtol, atol)
+            bounds = [*(float(max(1, needed(d, d))) for d in divisors), float(max(1, needed(rows, rows)))]
     found = {r["code"]: r["hits"] for r in reaching(counts, pairs, bounds) if r["code"] >= 0}
     names = {c: i for i, c in enumerate(columns)}
     if tried is not None:
         wanted = {pairs.code(op, names[a], names[b], names[t]) for op, a, b, t in tried}
         found = {k: n for k, n in found.items() if k in wanted}
+    if share < 1 and "divide" in operations:
+        # a divisor that is 0 nearly everywhere: its slice says nothing, not even of triples without a hit
+        rare = [i for i, d in enumerate(divisors) if d and bounds[i] <= 0]
+        at, left, right = next(p[1:] for p in pairs.parts if p[0] == "divide")
+        unknown = {int(at + k) * pairs.columns + t for i in rare for k in np.flatnonzero(right == i) for t in range(pairs.columns) if t not in (i, left[k])}
+        found |= dict.fromkeys(unknown if tried is None else unknown & wanted, 0)
     if share < 1 and found:
         codes = np.array(sorted(found), np.int64)
         found = {r["code"]: r["hits"] for r in hits(df, pairs, rtol, atol, codes).filter("code >= 0").collect()}
