@@ -81,10 +81,13 @@ def test_a_write_is_one_job(spark, tmp_path):
     assert {r["table_name"]: r["rows"] for r in sinks.save_tables({"a": df, "b": df.limit(0)}, str(tmp_path / "all")).collect()} == {"a": 1000, "b": 0}
 
 
-def test_preprocessing_is_checked_as_it_is_settled(spark):
+def test_preprocessing_is_checked_as_it_is_written(spark, tmp_path):
     df = spark.createDataFrame([(1, 2.0, "a"), (2, None, None), (3, 4.0, "b")] * 5, "k long, v double, c string")
-    out = clean.preprocess(df, for_generation=True)
-    assert out.count() == 15 and clean.output_problems(out, 15) == []
+    assert clean.preprocess_to(df, str(tmp_path / "out")) == 15
+    written, plain = spark.read.parquet(str(tmp_path / "out")), clean.preprocess(df)
+    assert written.columns == plain.columns and rows_of(written) == rows_of(plain)
+    assert clean.output_problems(plain, 15) == []
     assert clean.told_problems({"_n": 3, "null a": 0, "infinite b": 2}, 4) == ["3 rows, not 4", "infinite b"]
     with pytest.raises(ValueError):
-        clean.preprocess(df.limit(0))
+        clean.preprocess_to(df.limit(0), str(tmp_path / "none"))
+    assert not sinks.exists(spark, str(tmp_path / "none"))

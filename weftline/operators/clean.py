@@ -224,14 +224,32 @@ def preprocess(df: DataFrame, actions: dict[str, str] | None = None, order: list
         out = domain_features(out)
         out = encode.prepare(out, [c for c in profile.text_columns(out) if c not in kept])
     if validate:
-        # the job that settles the table counts what is wrong with it, so its plan runs once
-        seen = Observation()
-        out = settle(out.observe(seen, *output_checks(out)))
-        if problems := [p for p in told_problems(seen.get, df.count()) if p != "null cost_per_unit"]:
-            raise ValueError("preprocessing left " + "; ".join(problems))
+        refuse(output_problems(out, df.count()))
     return out
 
 
+def refuse(problems: list[str]) -> None:
+    if problems := [p for p in problems if p != "null cost_per_unit"]:
+        raise ValueError("preprocessing left " + "; ".join(problems))
+
+
+def preprocess_to(df: DataFrame, path: str, actions: dict[str, str] | None = None, order: list[str] | None = None, for_generation: bool = False) -> int:
+    """Write the preprocessed table as Parquet and return its rows; what is wrong with it is counted by the job that writes it.
+
+    A table with faults is not left behind: its folder goes, and the faults are an error.
+    """
+    out, seen = preprocess(df, actions, order, for_generation, validate=False), Observation()
+    out.observe(seen, *output_checks(out)).write.parquet(path)
+    found = seen.get
+    try:
+        refuse(told_problems(found, df.count()))
+    except ValueError:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+        raise
+    return found["_n"]
+
+
 def preprocess_run(df: DataFrame, actions: dict[str, str] | None = None, order: list[str] | None = None, for_generation: bool = False) -> dict[str, DataFrame]:
     """The preprocessed table and the outliers of the raw one."""
     return {"table": preprocess(df, actions, order, for_generation), "outliers": outliers(df)}
