@@ -133,14 +133,15 @@ def hash_number(h) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double")
 
 
-def mark_first(df: DataFrame, order: list[str], count: int, flag: str, slack: float = 2 / profile.ACCURACY) -> DataFrame:
+def mark_first(df: DataFrame, order: list[str], count: int, flag: str, slack: float = 2 / profile.ACCURACY, rows: int | None = None) -> DataFrame:
     """Add ``flag``: true for exactly ``count`` rows, the first by ``order``, whose first column is a hash in hexadecimal digits.
 
     A sketch brackets the place of the last of them; only the order columns of the few rows in
     the bracket are sorted, and the table is marked by comparison, without a shuffle. Rows that
-    are equal to the last one in all order columns are numbered among themselves.
+    are equal to the last one in all order columns are numbered among themselves. ``rows`` is
+    the table's number of rows, where it is known.
     """
-    n = df.count()
+    n = df.count() if rows is None else rows
     if count <= 0 or count >= n:
         return df.withColumn(flag, F.lit(count > 0))
     x = hash_number(order[0])
@@ -164,8 +165,8 @@ def mark_first(df: DataFrame, order: list[str], count: int, flag: str, slack: fl
 
 def train_test_split(df: DataFrame, key: list[str], test: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``is_test``: exactly ceil(test * n) rows, by a repeatable shuffled order."""
-    hashed = df.withColumn("_h", exprs.md5_order(*key, seed=seed))
-    return mark_first(hashed, ["_h", *key], math.ceil(test * df.count()), "is_test").drop("_h")
+    hashed, rows = df.withColumn("_h", exprs.md5_order(*key, seed=seed)), df.count()
+    return mark_first(hashed, ["_h", *key], math.ceil(test * rows), "is_test", rows=rows).drop("_h")
 
 
 def random_sample(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
