@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from weftline.operators import repair
 from weftline.plans import catalogue
 
 SF = Path("/root/testdata/sf0.001")
@@ -51,3 +52,15 @@ def test_plan_stays_in_the_jvm(spark, name):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = contract.queries()["rule_range"](spark, str(SF))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<p_partkey:bigint,p_size:int>" in plan
+
+
+def test_draws_whose_points_are_borders_equal_sql(spark, tmp_path):
+    """Of 11,200 rows every sixteenth ends on a point, or would if doubles were exact."""
+    spark.range(11_200).selectExpr("id AS c_custkey", "'OTHER' AS c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    got = contract.queries()["systematic_draws"](spark, str(tmp_path)).select("c_custkey", "times").collect()
+    want = c.sql(catalogue.oracle_sql()["systematic_draws"]).fetchall()
+    assert values(map(tuple, got)) == values(want)
+    customers = spark.read.parquet(f"{tmp_path}/customer.parquet").selectExpr("c_custkey", "1.0D AS w")
+    assert repair.systematic(customers, "w", 700, ["c_custkey"]).count() == 700 != sum(n for _, n in want)

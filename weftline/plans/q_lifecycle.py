@@ -155,7 +155,7 @@ def stratified_sample(spark, d):
 SELECT c_custkey, times::bigint AS times FROM k WHERE times > 0""")
 def systematic_draws(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", 3.0).otherwise(1.0).alias("w"))
-    return repair.systematic(c, "w", 700, ["c_custkey"]).groupBy("c_custkey").agg(F.count("*").alias("times"))
+    return repair.systematic(c, "w", 700, ["c_custkey"], own_begin=True).groupBy("c_custkey").agg(F.count("*").alias("times"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
