@@ -1,4 +1,9 @@
-"""Train on synthetic, test on real: random forests on either table, tested on the same real rows."""
+"""Train on synthetic, test on real: random forests on either table, tested on the same real rows.
+
+A forest looks at bins of numbers and at told values only, so rows that agree in them and in the
+label are one weighted row to it. Tables of over ROWS rows are grouped so before they are fitted.
+Every row counts; what a tree draws with replacement are the rows of a group in blocks.
+"""
 
 from __future__ import annotations
 
@@ -11,11 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import exprs, roles, words
+from weftline.functions.storage import settle
 from weftline.operators import profile, repair
 
 TREES, DEPTH, LIFT, SEED = 50, 6, 0.05, 42
 #: Values of a text column that are told apart (the commonest ones); the forest's bins have to hold them.
 VALUES, BINS = 200, 256
+#: Rows up to which a forest is fitted row by row; of more, a grouped table has about as many (or as many as it has different rows).
+ROWS = 200_000
 RESULT = "target string, task string, status string, real_score double, synthetic_score double, score double"
 
 
@@ -45,6 +53,31 @@ def detached(model):
     return model
 
 
+def bin_cuts(df: DataFrame, numbers: list[str]) -> dict[str, list[float]]:
+    """The different values at the borders of as many parts of equal depth as the forest has bins."""
+    points = [i / (BINS - 1) for i in range(1, BINS - 1)]
+    row = df.agg(*(F.percentile_approx(c, points, profile.ACCURACY).alias(c) for c in numbers)).first() if numbers else {}
+    return {c: sorted(set(row[c] or [])) for c in numbers}
+
+
+def in_bins(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
+    """Numbers replaced by how many cuts are not above them."""
+    return df.withColumns({c: exprs.position(c, F.array(*map(F.lit, own)), len(own) + 1).cast("double") if own else F.lit(0.0) for c, own in cuts.items()})
+
+
+def grouped(df: DataFrame, columns: list[str], regression: bool) -> DataFrame:
+    """Rows equal in ``columns`` and ``_y`` as one with their number ``_w``, in so many blocks that there are about ROWS in all.
+
+    In a regression rows that are equal in ``columns`` have their mean: what their labels differ
+    within a block is the same in every split, as no split parts them.
+    """
+    keys = columns if regression else [*columns, "_y"]
+    blocks = max(1, ROWS // max(1, df.select(*keys).distinct().count()))
+    rows = df.withColumn("_b", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))).groupBy(*keys, "_b")
+    out = rows.agg(F.count("*").cast("double").alias("_w"), *([F.avg("_y").alias("_y")] if regression else [])).drop("_b")
+    return settle(out.repartition(max(8, df.sparkSession.sparkContext.defaultParallelism)))
+
+
 def utility(real: DataFrame, synthetic: DataFrame, target: str, key: list[str], columns: list[str] | None = None) -> DataFrame:
     """(target, task, status, real_score, synthetic_score, score) for one target."""
     spark, columns = real.sparkSession, [c for c in (columns or real.columns) if c not in (target, *key) and c in synthetic.columns]
@@ -52,7 +85,7 @@ def utility(real: DataFrame, synthetic: DataFrame, target: str, key: list[str],
     task = task_of(real, target)
     if task is None or not columns or real.count() < 10 or synthetic.count() < 5:
         return row(target, task, "not_applicable", None, None, None)
-    split = repair.train_test_split(real.filter(F.col(target).isNotNull()), key)
+    split = settle(repair.train_test_split(real.filter(F.col(target).isNotNull()), key))
     train, test = split.filter("not is_test"), split.filter("is_test")
     texts, medians = features_of(train, columns)
 
@@ -70,24 +103,33 @@ def utility(real: DataFrame, synthetic: DataFrame, target: str, key: list[str],
     stages.append(VectorAssembler(inputCols=[*medians, *(f"_{c}" for c in texts)], outputCol="_x"))
     if task == "classification":
         labels = StringIndexer(inputCol="_y", outputCol="_label", handleInvalid="skip").fit(train)
-        train, test, fake = (labels.transform(x) for x in (train, test, fake))
         model = RandomForestClassifier(featuresCol="_x", labelCol="_label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxBins=BINS)
     else:
+        labels = None
         model = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxBins=BINS)
     prepared = Pipeline(stages=stages).fit(train)
-    train, test, fake = (prepared.transform(x) for x in (train, test, fake))
-    a, b = (detached(model.fit(x)).transform(test) for x in (train, fake))
+    shaped = lambda df: prepared.transform(labels.transform(df) if labels else df)
+
+    def predicted(df: DataFrame) -> DataFrame:
+        """The test rows with the predictions of a forest of ``df``; in its bins, if it has too many rows to be fitted one by one."""
+        if df.count() <= ROWS:
+            return detached(model.fit(shaped(df))).transform(shaped(test))
+        own = bin_cuts(df, list(medians))
+        one = grouped(in_bins(df, own), [*medians, *texts], task == "regression")
+        return detached(model.copy({model.weightCol: "_w"}).fit(shaped(one))).transform(shaped(in_bins(test, own)))
+
+    a = predicted(train)
     if task == "classification":
         metric = lambda df, name: MulticlassClassificationEvaluator(labelCol="_label", metricName=name).evaluate(df)
-        majority = test.groupBy("_label").count().agg(F.max("count") / F.sum("count")).first()[0]
+        majority = labels.transform(test).groupBy("_label").count().agg(F.max("count") / F.sum("count")).first()[0]
         if metric(a, "accuracy") < majority + LIFT:
             return row(target, task, "not_predictable", None, None, None)
-        x, y = metric(a, "f1"), metric(b, "f1")
+        x, y = metric(a, "f1"), metric(predicted(fake), "f1")
     else:
         metric = lambda df, name: RegressionEvaluator(labelCol="_y", metricName=name).evaluate(df)
         if metric(a, "r2") < LIFT:
             return row(target, task, "not_predictable", None, None, None)
-        x, y = metric(a, "rmse"), metric(b, "rmse")
+        x, y = metric(a, "rmse"), metric(predicted(fake), "rmse")
     score = 100.0 if x == y else 100.0 * min(x, y) / max(x, y)
     return row(target, task, "evaluated", float(x), float(y), round(score, 4))
 
