@@ -61,3 +61,22 @@ def test_near_copies_are_asked_for_again(spark):
     assert asked.value >= 30
     loose = [r["note"] for r in generate.ProvidedText("note", provider, retries=1, similarity=1.0).fit(real).generate(spark, 20).collect()]
     assert sum(m.endswith("!") for m in loose) == 10
+
+
+def test_common_passages_bring_no_cell_more_than_its_rows(spark, monkeypatch):
+    """Texts of one length that share passages: cells have a bound, results stay those of every pair."""
+    monkeypatch.setattr(alike, "CELL_ROWS", 16)
+    pick, cells, large = random.Random(5), spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    hits = alike.first_hits
+
+    def watched(texts, sources, threshold):
+        cells.add(1)
+        large.add(int(max(len(texts), len(sources)) > 64))
+        return hits(texts, sources, threshold)
+
+    monkeypatch.setattr(alike, "first_hits", watched)
+    sources = [" ".join(["the same passage of many texts", *(pick.choice(WORDS) for _ in range(6))]) for _ in range(150)]
+    texts = [edited(pick, pick.choice(sources)) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = {r["k"]: r["too_similar"] for r in alike.too_similar(df, "t", spark.createDataFrame([(s,) for s in sources], "s string"), "s").collect()}
+    assert got == {i: plain(t, sources, 0.92) for i, t in enumerate(texts)} and cells.value > 20 and not large.value
