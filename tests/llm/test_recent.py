@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, collocation, licenses, negatives, queries
+from weftline.llm import chat, collocation, licenses, negatives, queries, simhash
 
 TALK = "conv_id long, turn long, role string, text string"
 SAID = "<|im_end|><|im_start|>assistant ok"
@@ -247,3 +247,21 @@ def test_relatives_are_told_apart(spark):
     found = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df).collect()}
     assert [found[i] for i in range(len(RELATIVES))] == [label for _, label in RELATIVES]
     assert [found[len(RELATIVES) + i] for i in range(len(licenses.TEMPLATES))] == [label for label, _ in licenses.TEMPLATES]
+
+
+def test_near_copy_pairs_are_pruned_by_chains_on_the_ring():
+    """From some word every chain of a near pair is short; a pair is found from there, and not from where its differences lie."""
+    rng, most = np.random.default_rng(3), simhash.bits_for(0.8, slack=2.5)
+    found = lambda a, b, at: len(simhash.wide_tile_links(np.zeros(2, np.int64), np.arange(2), np.stack([a, b]), most, np.full(2, at))[0])
+    for _ in range(60):
+        a, flips = rng.integers(0, 2, simhash.WIDE_BITS), rng.choice(simhash.WIDE_BITS, rng.integers(most - 30, most + 31), replace=False)
+        b = a.copy()
+        b[flips] ^= 1
+        a, b = (np.packbits(x).view("<u8") for x in (a, b))
+        assert any(found(a, b, at) for at in range(simhash.WIDE_WORDS)) == (len(flips) <= most)
+    a = np.zeros(simhash.WIDE_WORDS, np.uint64)
+    b = a.copy()
+    b[2] = 2**64 - 1  # 64 differences in one word
+    assert not found(a, b, 2) and not found(a, b, 1) and found(a, b, 3)
+    cuts = simhash.wide_segments(10_000, 0.8)
+    assert all((cut // 64 == (i * cuts.shape[1]) // 64).any() for i, cut in enumerate(cuts))

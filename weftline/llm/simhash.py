@@ -270,11 +270,12 @@ def wide_votes(h: np.ndarray) -> np.ndarray:
 
 def wide_fingerprints(sets: list[np.ndarray]) -> list[bytes]:
     out: list[bytes] = []
+    order = np.random.default_rng(SEED + 1).permutation(WIDE_BITS)  # neighbours in a segment are no neighbours of the transform
     spin = 1.0 - 2.0 * np.random.default_rng(SEED).integers(0, 2, WIDE_BITS).astype(np.float32)
     for at in range(0, len(sets), 64):
         votes = np.stack([wide_votes(h) for h in sets[at : at + 64]])
         bits = hadamard(votes * spin) + 0.5 * spin > 0  # the half breaks even votes
-        out += [row.tobytes() for row in np.packbits(bits, axis=1)]
+        out += [row.tobytes() for row in np.packbits(bits[:, order], axis=1)]
     return out
 
 
@@ -297,19 +298,35 @@ def bits_for(similarity: float, bits: int = WIDE_BITS, slack: float = 0.0) -> in
     return round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
+#: Bits by which a chain may pass its share of the limit, as it starts where a bucket lies; the share of pairs at the likeness that a bucket's chain keeps then, at least.
+CHAIN_SLACK, CHAIN_KEPT = 8, 0.985
+
+
+def chain_limits(most: int) -> np.ndarray:
+    """The bits in which a chain of 1, 2, ... words on the ring may differ; the last is the full Hamming check."""
+    return np.minimum(most, most * np.arange(1, WIDE_WORDS + 1) // WIDE_WORDS + CHAIN_SLACK)
+
+
+def ring_word(segment: Column, width: int) -> Column:
+    """The word of a fingerprint in which a segment begins, or any for one that is dealt over all words."""
+    return F.floor(F.pmod(segment, F.lit(WIDE_BITS // width)) * width / 64).cast("int")
+
+
 def wide_segments(rows: int, similarity: float, recall: float = 0.98) -> np.ndarray:
     """The bits of each segment: wide enough for buckets of about a thousand rows, and as many as the recall asks for.
 
     A row is written once for each segment and compared with its bucket in each, so wider
     segments cost disk and narrower ones cost comparisons.
 
-    Seeded shuffles of all bits are cut up one after another, so there is no most to their number.
+    The first segments lie side by side on the ring of the fingerprint's words; then seeded
+    shuffles of all bits are cut up one after another, so there is no most to their number.
+    The recall counts in what the chains leave out that start at a segment.
     """
     width = min(20, max(12, math.ceil(math.log2(max(rows, 2))) - 10))
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** width))
+    count = math.ceil(math.log(1 - recall) / math.log(1 - CHAIN_KEPT * (1 - p) ** width))
     rng, each = np.random.default_rng(SEED), WIDE_BITS // width
-    shuffles = [rng.permutation(WIDE_BITS)[: each * width].reshape(each, width) for _ in range(math.ceil(count / each))]
+    shuffles = [(rng.permutation(WIDE_BITS) if k else np.arange(WIDE_BITS))[: each * width].reshape(each, width) for k in range(math.ceil(count / each))]
     cuts = np.concatenate(shuffles)[:count]
     assert len(cuts) == count
     return cuts
@@ -339,13 +356,17 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
     return order[np.sort(np.concatenate(taken))] if taken else np.empty(0, np.int64)
 
 
-def wide_tile_links(keys: np.ndarray, nodes: np.ndarray, words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def wide_tile_links(keys: np.ndarray, nodes: np.ndarray, words: np.ndarray, most: int, ring: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links (u, v, differing bits) among rows of equal key within ``most`` bits, as forests of nearest pairs.
 
-    A chain of words whose differences add up to more than ``most`` ends a pair's check.
+    Pairs within ``most`` bits have a word on the ring from which every chain of l words differs
+    in l / WIDE_WORDS of that at most (pigeonring principle). Rows of a key agree in a segment;
+    chains that start at its word, ``ring``, prune their pairs, and the survivors' last chain is
+    the full Hamming check.
     """
     n, a, b, d_all = len(nodes), [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     left, held = np.arange(n - 1), 0
+    limits, start = chain_limits(most), np.zeros(n, np.int64) if ring is None else ring
 
     def reduced():
         x, y, d = np.concatenate(a), np.concatenate(b), np.concatenate(d_all)
@@ -358,10 +379,10 @@ def wide_tile_links(keys: np.ndarray, nodes: np.ndarray, words: np.ndarray, most
         if not len(left):
             break
         at, spent = left, np.zeros(len(left), np.int64)
-        for i in range(WIDE_WORDS):
-            spent = spent + np.bitwise_count(words[at, i] ^ words[at + step, i])
-            if i >= WIDE_WORDS // 4:
-                at, spent = at[spent <= most], spent[spent <= most]
+        for i, limit in enumerate(limits):
+            word = (start[at] + i) % WIDE_WORDS
+            spent = spent + np.bitwise_count(words[at, word] ^ words[at + step, word])
+            at, spent = at[spent <= limit], spent[spent <= limit]
         if len(at):
             a.append(at)
             b.append(at + step)
@@ -415,8 +436,9 @@ def wide_links(nodes: DataFrame, similarity: float, rows: int, tile: int = 6144,
     """(u, v, bits) over rows (node, few, wide): links that connect nodes of likeness ``similarity`` or more.
 
     Small sets meet by their smallest shingles and are compared exactly (bits 0). The others
-    meet by segments of their fingerprints and are linked if these differ in no more bits
-    than ``slack`` standard deviations above what ``similarity`` lets expect. Rows of one key
+    meet by segments of their fingerprints, whose chains on the ring prune them, and are linked
+    if these differ in no more bits than ``slack`` standard deviations above what
+    ``similarity`` lets expect. Rows of one key
     are dealt into pairs of tiles, so no task holds more than two tiles of a key at once.
     """
     cuts, most = wide_segments(rows, similarity), bits_for(similarity, slack=slack)
@@ -455,7 +477,7 @@ def wide_links(nodes: DataFrame, similarity: float, rows: int, tile: int = 6144,
         few, wide = rows[~of_segment], rows[of_segment]
         u, v = few_tile_links(pd.factorize(few["key"])[0], few["node"].to_numpy(np.int64), few["held"].tolist(), similarity)
         words = np.frombuffer(b"".join(wide["held"]), "<u8").reshape(-1, WIDE_WORDS)
-        x, y, d = wide_tile_links(pd.factorize(wide["key"])[0], wide["node"].to_numpy(np.int64), words, most)
+        x, y, d = wide_tile_links(pd.factorize(wide["key"])[0], wide["node"].to_numpy(np.int64), words, most, wide["ring"].to_numpy(np.int64))
         low, high = np.concatenate([u, np.minimum(x, y)]), np.concatenate([v, np.maximum(x, y)])
         return pd.DataFrame({"u": low, "v": high, "bits": np.concatenate([np.zeros(len(u), np.int64), d])})
 
@@ -468,7 +490,7 @@ def wide_links(nodes: DataFrame, similarity: float, rows: int, tile: int = 6144,
     kind = F.col("key").bitwiseAND(F.lit(1))
     spread = F.transform(F.sequence(F.lit(0), tiles - 1), lambda o: F.xxhash64("key", F.least(o, own), F.greatest(o, own)).bitwiseAND(F.lit(~1)) + kind)
     pair = F.when(F.col("n").isNull(), F.array("key")).otherwise(spread)
-    tiled = nodes.select("node", "few", "wide").mapInPandas(index, "key long, node long, held binary").join(large, "key", "left").select(F.explode(pair).alias("key"), "node", "held")
+    tiled = nodes.select("node", "few", "wide").mapInPandas(index, "key long, node long, held binary").join(large, "key", "left").select(ring_word(F.shiftright("key", 25), cuts.shape[1]).alias("ring"), F.explode(pair).alias("key"), "node", "held")
     # in the order of nodes, so that like groups of different keys give like links
     found = tiled.repartition("key").sortWithinPartitions("key", "node").mapInPandas(lambda b: whole_keys(b, ["key"], linked), "u long, v long, bits long")
     return found.groupBy("u", "v").agg(F.min("bits").alias("bits"))
