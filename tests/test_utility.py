@@ -35,3 +35,14 @@ def test_no_second_forest_if_the_first_predicts_nothing(spark, table, monkeypatc
     fits, fit = [], RandomForestClassifier.fit
     monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, df, *a: fits.append(1) or fit(self, df, *a))
     assert ml.utility(table, table, "noise", ["id"], ["x", "kind"]).first()["status"] == "not_predictable" and len(fits) == 1
+
+
+def test_thresholds_come_from_all_rows(spark, monkeypatch):
+    """Of more rows than bins squared, Spark would draw a sample to find a forest's thresholds."""
+    rows = spark.range(95_000).withColumns({"x": F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double")}).withColumn("label", F.when(F.col("x") > 400, "high").otherwise("low")).cache()
+    fitted, fit = [], RandomForestClassifier.fit
+    monkeypatch.setattr(ml, "TREES", 3)
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, df, *a: fitted.append((df.count(), df.agg(F.sum("_w")).first()[0] if "_w" in df.columns else df.count())) or fit(self, df, *a))
+    assert ml.utility(rows, rows, "label", ["id"], ["x"]).first()["score"] == pytest.approx(100, abs=1)
+    assert [n <= ml.BINS**2 for n, _ in fitted] == [True, True]
+    assert fitted[0][1] == pytest.approx(76_000, rel=0.01) and fitted[1][1] == 95_000

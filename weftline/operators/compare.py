@@ -7,6 +7,7 @@ any size is compared by grouped counts and windows per column. Metrics come back
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations, combinations_with_replacement
 
 import numpy as np
@@ -243,23 +244,44 @@ def gower_nearest(queries: DataFrame, reference: DataFrame, numbers: list[str],
     return rows.select("key", F.array_min(F.transform("pool", distance)).alias("distance"))
 
 
+def medians(weighted: list[DataFrame]) -> list[float | None]:
+    """The exact median of each table (distance, n), in which a distance stands n times; no task holds all of them."""
+    named = [df.filter("distance is not null").select(F.lit(str(i)).alias("column_name"), F.col("distance").alias("value"), "n") for i, df in enumerate(weighted)]
+    counts = reduce(DataFrame.unionByName, named).groupBy("column_name", "value").agg(F.sum("n").alias("n"))
+    at = lambda rank: F.max(F.when((F.col("before_n") <= rank) & (rank < F.col("before_n") + F.col("n")), F.col("value")))
+    middle = (F.col("all_n") - 1) / 2
+    found = profile.cumulative(counts, ["n"]).groupBy("column_name").agg(((at(F.floor(middle)) + at(F.ceil(middle))) / 2).alias("m")).collect()
+    by = {int(r["column_name"]): r["m"] for r in found}
+    return [by.get(i) for i in range(len(weighted))]
+
+
 def privacy(real: DataFrame, synthetic: DataFrame, key: str, most_synthetic: int | None = 500, most_real: int | None = 2000, seed: int = 42) -> DataFrame:
-    """(exact_match_rate, dcr_synthetic, dcr_real, dcr_ratio, score, risk); samples of fixed size are part of the measure, None in place of a size takes all rows."""
+    """(exact_match_rate, dcr_synthetic, dcr_real, dcr_ratio, score, risk).
+
+    Samples of fixed size are part of the measure; None in place of a size takes all rows, and
+    in place of both, every row of either table is asked for its nearest real row, and the
+    medians are those of all distances (``nearest.Index``).
+    """
     use = [c for c in common(real, synthetic) if c != key]
     numbers = [f.name for f in real.schema if f.name in use and roles.is_numeric(f.dataType)]
     labels = [f.name for f in real.schema if f.name in use and f.dataType.simpleString() in ("string", "boolean")]
     sample = lambda df, n: df if n is None else df.orderBy(exprs.md5_order(key, seed=seed)).limit(n)
     ranges = real.agg(*(F.max(exprs.number(c)) - F.min(exprs.number(c)) for c in numbers)).toDF(*numbers).first().asDict() if numbers else {}
-    r = sample(real, most_real)
-    near = gower_nearest(sample(synthetic, most_synthetic), r, numbers, labels, ranges, key, most=most_real)
-    own = gower_nearest(sample(r, most_synthetic), r, numbers, labels, ranges, key, itself=True, most=most_real)
-    medians = near.agg(F.median("distance").alias("s"), F.lit(1).alias("one")).join(own.agg(F.median("distance").alias("r"), F.lit(1).alias("one")), "one")
+    if most_synthetic is None and most_real is None:
+        index = nearest.Index(real, numbers, labels, ranges, key)
+        s, r = medians([index.distances(index.different(index.asked(synthetic, False))), index.distances(index.own())])
+        medians_of = real.sparkSession.createDataFrame([(s, r, 1)], "s double, r double, one int")
+    else:
+        r = sample(real, most_real)
+        near = gower_nearest(sample(synthetic, most_synthetic), r, numbers, labels, ranges, key, most=most_real)
+        own = gower_nearest(sample(r, most_synthetic), r, numbers, labels, ranges, key, itself=True, most=most_real)
+        medians_of = near.agg(F.median("distance").alias("s"), F.lit(1).alias("one")).join(own.agg(F.median("distance").alias("r"), F.lit(1).alias("one")), "one")
     exact = exact_matches(real, synthetic, numbers + labels).withColumn("one", F.lit(1))
     ratio = F.when(F.col("r") > 0, F.col("s") / F.col("r")).otherwise(F.when(F.col("s") > 0, 1.0).otherwise(0.0))
     x = F.col("exact_match_rate")
     score = 50 * (1 - x) + 50 * F.least(F.lit(1.0), ratio)
     risk = F.when((x > 0.05) | (ratio < 0.5), "HIGH").when((x > 0.01) | (ratio < 0.8), "MEDIUM").otherwise("LOW")
-    return medians.join(exact, "one").select(x, F.round("s", 6).alias("dcr_synthetic"), F.round("r", 6).alias("dcr_real"), F.round(ratio, 4).alias("dcr_ratio"), F.round(score, 4).alias("score"), risk.alias("risk"))
+    return medians_of.join(exact, "one").select(x, F.round("s", 6).alias("dcr_synthetic"), F.round("r", 6).alias("dcr_real"), F.round(ratio, 4).alias("dcr_ratio"), F.round(score, 4).alias("score"), risk.alias("risk"))
 
 
 def composite(metrics: DataFrame) -> DataFrame:

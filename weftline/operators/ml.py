@@ -2,7 +2,7 @@
 
 A forest looks at bins of numbers and at told values only, so rows that agree in them and in the
 label are one weighted row to it. Tables of over ROWS rows are grouped so before they are fitted.
-Every row counts; what a tree draws with replacement are the rows of a group in blocks.
+Every row counts, also for the bins; what a tree draws with replacement are the rows of a group in blocks.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ TREES, DEPTH, LIFT, SEED = 50, 6, 0.05, 42
 #: Values of a text column that are told apart (the commonest ones); the forest's bins have to hold them.
 VALUES, BINS = 200, 256
 #: Rows up to which a forest is fitted row by row; of more, a grouped table has about as many (or as many as it has different rows).
-ROWS = 200_000
+#: Spark takes the thresholds of up to so many rows from all of them, of more from a sample of so many.
+ROWS = BINS * BINS
 RESULT = "target string, task string, status string, real_score double, synthetic_score double, score double"
 
 

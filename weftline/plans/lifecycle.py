@@ -30,7 +30,7 @@ def evaluate(real: DataFrame, synthetic: DataFrame, key: str, configs: dict[str,
     rows.append(("text", sum(scores) / len(scores) if scores else None))
     rows.append(("referential", keys.integrity(relations).agg(F.avg("score")).first()[0] if relations else None))
     enough = real.limit(5).count() >= 5 and synthetic.limit(5).count() >= 5
-    rows.append(("privacy", compare.privacy(real, synthetic, key).first()["score"] if enough else None))
+    rows.append(("privacy", compare.privacy(real, synthetic, key, None, None).first()["score"] if enough else None))
     return real.sparkSession.createDataFrame([(m, None if s is None else float(s), "not_applicable" if s is None else "evaluated") for m, s in rows], METRIC)
 
 
